@@ -67,9 +67,9 @@ _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS["up"]) < n:
-        n = max(n, STEP_BYTES + 1)
+        size = max(n, STEP_BYTES + 1)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            x = np.full(n, base, np.uint64)
+            x = np.full(size, base, np.uint64)
             x[0] = 1
             _POWERS[name] = np.cumprod(x)
     return _POWERS["up"][:n], _POWERS["down"][:n]
