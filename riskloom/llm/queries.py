@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, mips, mixing, urls, wordpiece
+from riskloom.llm import ann, bpe, jaccard, langid, mips, mixing, toxicity, urls, wordpiece
 from riskloom.llm.common import table
 
 BPE_FILE, PIECE_FILE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -20,10 +21,23 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = langid.held_out(F.col("doc_id"), toxicity.FOLDS, toxicity.HELD_OUT).alias("held_out")
+    return toxicity.score(docs.select("doc_id", "text", held_out), model).drop("text")
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))))
+    return langid.identify(docs.select("doc_id", "text", langid.held_out(F.col("doc_id")).alias("held_out")), profiles).drop("text")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return wordpiece.count_tokens(docs, wordpiece.read_pieces(public_tokenizers.path(PIECE_FILE))).drop("text")
@@ -37,5 +51,9 @@ def op9_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mips.top_inner_products(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op4_nearest, op7_token_counts, op8_mix, op9_inner_products)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_toxicity, op4_nearest, op5_language, op7_token_counts, op8_mix, op9_inner_products, op10_jaccard)}
 ORACLES = {"op2_url_filter": urls.ORACLE, "op8_mix": mixing.ORACLE, "op9_inner_products": mips.ORACLE}
