@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 PART_POSTINGS = 1_000_000
-POSTINGS, ROWS = 0, 1
+POSTINGS, ROWS, TOTALS = 0, 1, 2
 _SCHEMA = "part long, batch long, kind int, a binary, b binary, c binary"
 _NAMES = ["part", "batch", "kind", "a", "b", "c"]
 
@@ -40,10 +40,13 @@ def packed_places(at: np.ndarray) -> bytes:
     return bytes([2 if small else 4, 0, 0, 0]) + at.astype(np.uint16 if small else np.uint32).tobytes()
 
 
-def exchange(rows: DataFrame, parts: int, deal: Callable, answer: Callable, gather: Callable, schema: str) -> DataFrame:
-    """deal(batch) -> (keys, places, extra bytes a posting or None, bytes for the batch itself)
-    answer(keys, extra) -> (kept, values): which postings to answer, and a 16-bit value for each kept one
+def exchange(rows: DataFrame, parts: int, deal: Callable, answer: Callable, gather: Callable, schema: str, value: type = np.uint16, add_up: Callable | None = None) -> DataFrame:
+    """deal(batch) -> (keys, places, an extra byte a posting or None, bytes for the batch itself)
+    answer(keys, extra) -> (kept, values): which postings to answer, and a value of type `value` for each
     gather(the batch's own bytes, places, keys, values) -> pa.Table of `schema`.
+
+    With add_up, answer also returns bytes that describe the part; add_up(a list of these) -> pa.Table of `schema`, and
+    gather gets no keys.
     """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,23 +70,28 @@ def exchange(rows: DataFrame, parts: int, deal: Callable, answer: Callable, gath
         blobs = [x.as_py() for x in rows["a"]]
         keys = np.frombuffer(b"".join(blobs), np.uint64)
         extra = np.frombuffer(b"".join(x.as_py() for x in rows["c"]), np.uint8) if rows["c"].null_count == 0 else None
-        kept, values = answer(keys, extra)
+        kept, values, *more = answer(keys, extra)
         out, start = [], 0
+        if add_up:
+            part = rows["part"][0].as_py()
+            out.append((0, -1 - part % 64, TOTALS, more[0], None, None))
         for blob, at, batch in zip(blobs, rows["b"], rows["batch"], strict=True):
             here = slice(start, start + len(blob) // 8)
             start = here.stop
             some = np.flatnonzero(kept[here])
             if len(some):
-                out.append((0, batch.as_py(), POSTINGS, keys[here][some].tobytes(), packed_places(places(at.as_py())[some]), values[here][some].astype(np.uint16).tobytes()))
+                out.append((0, batch.as_py(), POSTINGS, b"" if add_up else keys[here][some].tobytes(), packed_places(places(at.as_py())[some]), values[here][some].astype(value).tobytes()))
         return pa.Table.from_batches([_batch(out)])
 
     def gathered(rows: pa.Table) -> pa.Table:
         kinds = rows["kind"].to_numpy()
+        if kinds[0] == TOTALS:
+            return add_up([x.as_py() for x in rows["a"]])
         own = rows["a"][int(np.flatnonzero(kinds == ROWS)[0])].as_py()
         posted = rows.filter(pa.array(kinds == POSTINGS))
         keys = np.frombuffer(b"".join(x.as_py() for x in posted["a"]), np.uint64)
         at = np.concatenate([np.zeros(0, np.int64), *(places(x.as_py()) for x in posted["b"])])
-        values = np.frombuffer(b"".join(x.as_py() for x in posted["c"]), np.uint16).astype(np.int64)
+        values = np.frombuffer(b"".join(x.as_py() for x in posted["c"]), value)
         return gather(own, at, keys, values)
 
     posted = rows.mapInArrow(dealt, _SCHEMA)

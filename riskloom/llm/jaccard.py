@@ -165,7 +165,7 @@ def survivors(docs: DataFrame, base: DataFrame, hot: dict[int, int], common: np.
         fps, ns, common_at, common_rank = np.split(np.frombuffer(own, np.int64, offset=32), np.cumsum(sizes)[:-1])
         at = np.concatenate([at, common_at])
         keys = np.concatenate([keys, by_rank[common_rank]]) if len(common_rank) else keys
-        count = np.concatenate([count, 65536 + common_rank])
+        count = np.concatenate([count.astype(np.int64), 65536 + common_rank])
         order = np.lexsort((keys, count, at))
         at, keys = at[order], keys[order]
         cut = np.searchsorted(at, np.arange(len(ns) + 1))
