@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, jaccard, langid, mips, mixing, toxicity, urls, wordpiece
+from riskloom.llm import ann, bpe, jaccard, langid, maxent, mips, mixing, toxicity, urls, wordpiece
 from riskloom.llm.common import table
 
 BPE_FILE, PIECE_FILE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -38,6 +38,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", langid.held_out(F.col("doc_id")).alias("held_out")), profiles).drop("text")
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return wordpiece.count_tokens(docs, wordpiece.read_pieces(public_tokenizers.path(PIECE_FILE))).drop("text")
@@ -55,5 +59,5 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_toxicity, op4_nearest, op5_language, op7_token_counts, op8_mix, op9_inner_products, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_toxicity, op4_nearest, op5_language, op6_language_model, op7_token_counts, op8_mix, op9_inner_products, op10_jaccard)}
 ORACLES = {"op2_url_filter": urls.ORACLE, "op8_mix": mixing.ORACLE, "op9_inner_products": mips.ORACLE}
