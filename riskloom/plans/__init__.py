@@ -1,3 +1,3 @@
 """The queries by area; importing this package fills the catalogue."""
 
-from riskloom.plans import selection  # noqa: F401
+from riskloom.plans import datasets, factsheets, ratings, selection, sources  # noqa: F401
