@@ -150,10 +150,10 @@ def gold_coverage(t: Tables) -> DataFrame:
     return t.sql("SELECT portfolio, task_type, count(*) AS n, count_if(quality_score = 0) AS abstentions, count_if(review_status = 'rejected') AS rejected FROM records GROUP BY GROUPING SETS ((portfolio), (task_type), ())", "records")
 
 
-@query("SELECT group_id, array_to_string(list_sort(list_distinct(list(part))), ',') AS parts FROM (SELECT group_id, CASE record_id % 3 WHEN 0 THEN 'release' WHEN 1 THEN 'training' ELSE 'calibration' END AS part FROM records WHERE record_id % 7 = 0) GROUP BY 1 HAVING count(DISTINCT part) > 1")
+@query("SELECT group_id, array_to_string(list_sort(list_distinct(list(part))), ',') AS parts FROM (SELECT group_id, CASE record_id % 3 WHEN 0 THEN 'release' WHEN 1 THEN 'training' ELSE 'calibration' END AS part FROM records) GROUP BY 1 HAVING count(DISTINCT part) > 1")
 def intersect_partition_overlap(t: Tables) -> DataFrame:
     part = F.element_at(F.array(F.lit("release"), F.lit("training"), F.lit("calibration")), (F.col("record_id") % 3 + 1).cast("int"))
-    found = t.records.filter("record_id % 7 = 0").groupBy("group_id").agg(F.array_sort(F.collect_set(part)).alias("p"))
+    found = t.records.groupBy("group_id").agg(F.array_sort(F.collect_set(part)).alias("p"))
     return found.filter(F.size("p") > 1).select("group_id", F.concat_ws(",", "p").alias("parts"))
 
 
@@ -173,7 +173,7 @@ def canonical_digest(t: Tables) -> DataFrame:
 def stable_point_id(t: Tables) -> DataFrame:
     """The first eight bytes of the sha256, modulo 2^63."""
     head = F.conv(F.substring(F.sha2(F.col("record_id").cast("string"), 256), 1, 16), 16, 10).cast("decimal(20,0)")
-    return t.records.select("record_id", F.pmod(head, F.lit(2**63).cast("decimal(20,0)")).cast("long").alias("point_id"))
+    return t.records.select("record_id", F.pmod(head, F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long").alias("point_id"))
 
 
 @query("SELECT group_id, sha256(string_agg(record_id || ':' || sha256(text), chr(10) ORDER BY record_id)) AS content FROM records GROUP BY group_id")

@@ -25,11 +25,10 @@ def obligor_history(t: Tables) -> DataFrame:
 
 @query("""
 SELECT obligor_id, facility_id, observation_date, data_cutoff_date, facility_limit, outstanding, stage FROM fm
-WHERE obligor_id % 2 = 1 AND facility_id % 10 = 1 AND observation_date BETWEEN DATE '1996-01-31' AND DATE '1999-12-31' AND data_cutoff_date <= DATE '1999-12-31'
+WHERE observation_date BETWEEN DATE '1996-01-31' AND DATE '1999-12-31' AND data_cutoff_date <= DATE '1999-12-31'
 """)
 def facility_history(t: Tables) -> DataFrame:
-    rows = t.fm.filter((F.col("obligor_id") % 2 == 1) & (F.col("facility_id") % 10 == 1))
-    rows = rows.filter(F.col("observation_date").between(F.lit("1996-01-31").cast("date"), F.lit("1999-12-31").cast("date")))
+    rows = t.fm.filter(F.col("observation_date").between(F.lit("1996-01-31").cast("date"), F.lit("1999-12-31").cast("date")))
     return G.point_in_time(rows, "1999-12-31", model_output=False).select("obligor_id", "facility_id", "observation_date", "data_cutoff_date", "facility_limit", "outstanding", "stage")
 
 

@@ -27,14 +27,14 @@ _CELLS = {"obligor_id": "string", "observation_date": "date", "data_cutoff_date"
 
 @query("""
 SELECT obligor_id, TRY_CAST(observation_date AS DATE) AS observation_date, TRY_CAST(outstanding AS DOUBLE) AS outstanding, TRY_CAST(pit_pd AS DOUBLE) AS pit_pd,
-  CASE WHEN days_past_due <> '2.5' THEN TRY_CAST(days_past_due AS BIGINT) ELSE 2 END AS days_past_due, TRY_CAST(stage AS BIGINT) AS stage FROM delivered
+  CASE WHEN days_past_due <> '2.5' THEN TRY_CAST(days_past_due AS BIGINT) END AS days_past_due, TRY_CAST(stage AS BIGINT) AS stage FROM delivered
 """)
 def scan_load_file(t: Tables) -> DataFrame:
     """A file written and read again as text cells, then cast."""
     path = _scratch(t, "delivered")
     t.delivered.write.json(path)
     rows = L.typed(L.read_delivered(t.spark, path, "json", list(_CELLS)), R.OBLIGOR)
-    return rows.select("obligor_id", "observation_date", "outstanding", "pit_pd", F.coalesce("days_past_due", F.lit(None).cast("long")).alias("days_past_due"), "stage")
+    return rows.select("obligor_id", "observation_date", "outstanding", "pit_pd", "days_past_due", "stage")
 
 
 _VALIDATE = {

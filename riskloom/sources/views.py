@@ -163,6 +163,7 @@ class Tables:
     def sql(self, text: str, *names: str) -> DataFrame:
         """Run SQL whose FROM and JOIN clauses name tables or views of this folder."""
         used = {}
+        text = text.replace("{", "{{").replace("}", "}}")
         for name in names:
             text, times = re.subn(rf"\b(FROM|JOIN)\s+{name}\b", rf"\1 {{{name}}}", text, flags=re.I)
             if times:
