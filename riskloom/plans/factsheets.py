@@ -135,3 +135,12 @@ def cap_facts(t: Tables) -> DataFrame:
     facts = last.withColumn("f", F.explode(F.array(*position, fact(1, "utilisation_pct", F.col("last.utilisation_pct.value"))))).select("obligor_id", "f.*").filter("value is not null")
     n = F.row_number().over(Window.partitionBy("obligor_id").orderBy("kind", "name"))
     return facts.withColumn("n", n).filter("n <= 60").select("obligor_id", "n", "name", "value")
+
+
+@query(f"""
+WITH r AS (SELECT obligor_id, observation_date, revenue, lag(revenue) OVER (PARTITION BY obligor_id ORDER BY observation_date) AS p FROM om)
+SELECT obligor_id, observation_date, CASE WHEN p > 0 THEN {_F("((revenue - p) / p * 100e0)", 4)} END AS revenue_change_pct FROM r
+""")
+def relative_change(t: Tables) -> DataFrame:
+    before = F.lag("revenue").over(Window.partitionBy("obligor_id").orderBy("observation_date"))
+    return t.om.select("obligor_id", "observation_date", C.relative_change(F.col("revenue"), before).alias("revenue_change_pct"))

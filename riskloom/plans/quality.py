@@ -313,3 +313,22 @@ def assess_case(t: Tables) -> DataFrame:
     rows = t.answers.withColumn("c", checks)
     got = F.when(F.col("c.check") == "status", F.col("status")).otherwise(F.col("answer_status"))
     return rows.groupBy("answer_id", "seq").agg(F.count_if(got == F.col("c.want")).alias("passed"), F.max(F.when(F.col("status") == "invalid", 0).otherwise(2)).alias("checks"))
+
+
+@query("""
+WITH p AS (SELECT *, lag(context_id) OVER w AS c, lag(status) OVER w AS s, lag(recommendation) OVER w AS r, lag(answer_id) OVER w AS before FROM answers WINDOW w AS (PARTITION BY question_id ORDER BY answer_id, seq))
+SELECT answer_id, seq, array_to_string(list_filter([CASE WHEN context_id IS DISTINCT FROM c THEN 'context_id' END, CASE WHEN status IS DISTINCT FROM s THEN 'status' END, CASE WHEN recommendation IS DISTINCT FROM r THEN 'recommendation' END], lambda x: x IS NOT NULL), ',') AS changed FROM p WHERE before IS NOT NULL
+""")
+def context_changes(t: Tables) -> DataFrame:
+    """What changed in the context since a question's previous answer."""
+    w = Window.partitionBy("question_id").orderBy("answer_id", "seq")
+    fields = F.struct("context_id", "status", "recommendation")
+    rows = t.answers.select("answer_id", "seq", fields.alias("b"), F.lag(fields).over(w).alias("a")).filter("a is not null")
+    return rows.select("answer_id", "seq", F.concat_ws(",", Q.changed("context_id", "status", "recommendation")).alias("changed"))
+
+
+@query("SELECT answer_id, seq, array_to_string(list_sort(list_transform(string_split(recommendation, ' '), lambda x: lower(trim(x)))), ' ') AS projection FROM answers")
+def normal(t: Tables) -> DataFrame:
+    """An answer's list of words in a form without order and case."""
+    words = F.transform(F.split("recommendation", " "), lambda x: F.lower(F.trim(x)))
+    return t.answers.select("answer_id", "seq", F.concat_ws(" ", F.sort_array(words)).alias("projection"))
