@@ -40,9 +40,10 @@ def content_hash(text: Column) -> Column:
 
 def frozen_split(rows: DataFrame, cutoff: str) -> DataFrame:
     """Split by group; a group with a record on or after the cutoff, or that falls to test, is test with all its records."""
-    late = F.bool_or(F.col("observed") >= F.lit(cutoff).cast("date")).over(Window.partitionBy("group_id"))
+    late = rows.filter(F.col("observed") >= F.lit(cutoff).cast("date")).select("group_id").distinct().withColumn("_late", F.lit(True))
     plain = C.stable_split(F.col("group_id"))
-    return rows.withColumn("split", F.when(late | (plain == "test"), "test").otherwise(plain))
+    joined = rows.join(late, "group_id", "left")  # a window would hold all of a large group in one task
+    return joined.withColumn("split", F.when(F.col("_late") | (plain == "test"), "test").otherwise(plain)).drop("_late")
 
 
 def without(rows: DataFrame, groups: DataFrame, hashes: DataFrame) -> DataFrame:

@@ -45,13 +45,14 @@ def calibration(rows: DataFrame) -> DataFrame:
 def select_threshold(rows: DataFrame) -> DataFrame:
     """The threshold with the greatest (least of recall and rejection, rejection, recall, threshold).
 
-    `rows`: cosine, relevant. Candidates are 0, 1 and the clamped cosines; counts per distinct value, then running sums.
+    `rows`: cosine, relevant. Candidates are 0, 1 and the clamped cosines, to six digits, so at most a million; counts per
+    value, then running sums.
     """
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("cosine")))
+    t = C.fixed(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("cosine"))), 6)
     cells = rows.groupBy(t.alias("t")).agg(F.count_if("relevant").alias("pos"), F.count_if(~F.col("relevant")).alias("neg"))
     ends = rows.sparkSession.createDataFrame([(0.0, 0, 0), (1.0, 0, 0)], "t double, pos long, neg long")
     cells = cells.union(ends).groupBy("t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    up = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)  # distinct cosines, rounded by the caller
+    up = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)  # at most a million values
     everything = Window.partitionBy()
     cells = cells.withColumns({"below_pos": F.coalesce(F.sum("pos").over(up), F.lit(0)), "below_neg": F.coalesce(F.sum("neg").over(up), F.lit(0)), "all_pos": F.sum("pos").over(everything), "all_neg": F.sum("neg").over(everything)})
     recall = F.coalesce(F.try_divide((F.col("all_pos") - F.col("below_pos")).cast("double"), F.col("all_pos")), F.lit(0.0))

@@ -137,13 +137,26 @@ def class_metrics(pairs: DataFrame) -> DataFrame:
     return out.withColumn("f1", F.coalesce(F.try_divide(2.0 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
+def hash_rank(rows: DataFrame, key: str, stratum: str) -> DataFrame:
+    """k and n: a row's place in the hash order of its stratum, and the stratum's size.
+
+    Strata are few and large, so a window over one would put a share of all rows in one task. Rows are ranked within
+    4,096 parts of the hash instead, and each part is shifted by the sizes of the parts before it.
+    """
+    rows = rows.withColumn("_h", F.sha2(F.col(key).cast("string"), 256)).withColumn("_p", F.substring("_h", 1, 3))
+    parts = rows.groupBy(stratum, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    of = Window.partitionBy(stratum)  # at most 4,096 rows a stratum
+    before = F.coalesce(F.sum("_c").over(of.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(stratum, "_p", before.alias("_before"), F.sum("_c").over(of).alias("n"))
+    place = F.row_number().over(Window.partitionBy(stratum, "_p").orderBy("_h"))
+    return rows.withColumn("_k", place).join(parts, [stratum, "_p"]).withColumn("k", F.col("_k") + F.col("_before")).drop("_h", "_p", "_k", "_before")
+
+
 def stratified_split(rows: DataFrame, key: str, stratum: str) -> DataFrame:
     """80/10/10 inside each stratum, in hash order; small strata are all for training."""
-    by = Window.partitionBy(stratum)
-    order = by.orderBy(F.sha2(F.col(key).cast("string"), 256))
-    rows = rows.withColumns({"k": F.row_number().over(order), "n": F.count(F.lit(1)).over(by)})
     share = F.when(F.col("n") >= 10, F.greatest(F.lit(1), F.bround(F.col("n") * 0.1, 0).cast("int"))).otherwise(0)
-    return rows.withColumn("split", F.when(F.col("k") <= share, "valid").when(F.col("k") <= share * 2, "test").otherwise("train")).drop("k", "n")
+    split = F.when(F.col("k") <= share, "valid").when(F.col("k") <= share * 2, "test").otherwise("train")
+    return hash_rank(rows, key, stratum).withColumn("split", split).drop("k", "n")
 
 
 def balance_quota(rows: DataFrame, key: str, label: str, total: int, classes: int) -> DataFrame:
