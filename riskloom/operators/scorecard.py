@@ -75,6 +75,7 @@ def drivers() -> Column:
 
 def profile() -> Column:
     """The issuer as a question of thirteen lines."""
+    # The labels and the wording of the question.
     cyc, pos = ("Very low", "Low", "Moderate", "High", "Very high"), ("Weak", "Below average", "Average", "Strong", "Dominant")
     label = lambda names, c: F.concat(F.element_at(F.array(*map(F.lit, names)), F.col(c).cast("int")), F.lit(" ("), F.col(c).cast("string"), F.lit("/5)"))
     number = lambda x, d: F.format_string(f"%.{d}f", x)

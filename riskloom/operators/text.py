@@ -77,12 +77,12 @@ def pages_of(chunks: DataFrame, starts: DataFrame) -> DataFrame:
     return joined.groupBy("doc_id", "chunk").agg(F.max_by("page", "page_start").alias("page"))
 
 
-def _chunk_one(pdf: pd.DataFrame) -> pd.DataFrame:
+def _chunks_of(doc_id: int, parts: list[dict]) -> list[tuple]:
     """One document's sections in order: pack each, and join a small fragment without a number to the chunk before it."""
-    out: list[dict] = []
-    for s in pdf.sort_values("section").itertuples():
+    out: list[list] = []
+    for s in parts:
         texts, open_ = [], ""
-        for p in (x.strip() for x in s.text.split("\n")):
+        for p in (x.strip() for x in s["text"].split("\n")):
             for part in re.split(r"(?<=[.!?])\s+", p) if len(p) > MAXIMUM else [p]:
                 if not part:
                     continue
@@ -90,17 +90,24 @@ def _chunk_one(pdf: pd.DataFrame) -> pd.DataFrame:
                     texts.append(open_)
                     open_ = ""
                 open_ = f"{open_}\n\n{part}" if open_ else part
-        texts += [open_] if open_ else []
-        for text in texts:
-            if len(text) < MINIMUM and not s.number and out:
-                out[-1]["text"] += "\n\n" + text
+        for text in [*texts, *([open_] if open_ else [])]:
+            if len(text) < MINIMUM and not s["number"] and out:
+                out[-1][4] += "\n\n" + text
             else:
-                out.append({"doc_id": s.doc_id, "chunk": len(out), "number": s.number, "title": s.title, "text": text})
-    return pd.DataFrame(out, columns=["doc_id", "chunk", "number", "title", "text"])
+                out.append([doc_id, len(out), s["number"], s["title"], text])
+    return list(map(tuple, out))
+
+
+def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"doc_id": pa.int64(), "chunk": pa.int32(), "number": pa.string(), "title": pa.string(), "text": pa.string()}
+    for batch in batches:
+        rows = [r for doc_id, parts in zip(batch["doc_id"].to_pylist(), batch["parts"].to_pylist(), strict=True) for r in _chunks_of(doc_id, parts)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
 
 
 def chunk_corpus(rows: DataFrame) -> DataFrame:
-    """Chunks of every document; the state crosses sections, so a document is one group. The hash identifies a chunk."""
-    chunks = rows.groupBy("doc_id").applyInPandas(_chunk_one, "doc_id long, chunk int, number string, title string, text string")
+    """Chunks of every document; the state crosses sections, so a document's sections make one row. The hash identifies a
+    chunk."""
+    documents = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "number", "title", "text"))).alias("parts"))
+    chunks = documents.mapInArrow(_chunk_batches, "doc_id long, chunk int, number string, title string, text string")
     return chunks.withColumn("content_hash", F.sha2("text", 256))
-
