@@ -32,7 +32,7 @@ CHUNK, OVERLAP = 65_536, 512
 #: A boundary is sure if the match before it ended so far from the end of the chunk (the pattern looks no further).
 SURE = 3
 #: Distinct pre-tokens whose ids a worker keeps (and as many older ones), and the longest that it keeps.
-CACHE, CACHE_LENGTH = 400_000, 40
+CACHE, CACHE_LENGTH = 200_000, 40
 #: Bytes beyond which a pre-token is merged by a heap.
 LONG = 64
 
