@@ -1,6 +1,6 @@
 """Keyed postings shuffled as packed columns.
 
-A batch of rows deals its postings (a 64-bit key and the row's place in the batch) to parts by key; a part sees every
+A batch of rows (a run of texts of some megabytes) deals its postings (a 64-bit key and the row's place in the batch) to parts by key; a part sees every
 posting of its keys and answers each batch; a batch gathers the answers of all parts. A shuffled row is one batch's
 share of one part, so that a posting costs about ten bytes instead of a row. Parts and batches are bounded by their
 number: `parts_for` keeps a part at about a million postings.
@@ -15,7 +15,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from riskloom.llm.common import steps
+
 PART_POSTINGS = 1_000_000
+#: Bytes of text whose postings are dealt at a time.
+DEAL_BYTES = 8 << 20
 POSTINGS, ROWS, TOTALS = 0, 1, 2
 _SCHEMA = "part long, batch long, kind int, a binary, b binary, c binary"
 _NAMES = ["part", "batch", "kind", "a", "b", "c"]
@@ -51,7 +55,8 @@ def exchange(rows: DataFrame, parts: int, deal: Callable, answer: Callable, gath
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
-        for number, batch in enumerate(batches):
+        slices = (whole.slice(row, end - row) for whole in batches for row, end, *_ in steps(whole["text"], DEAL_BYTES))
+        for number, batch in enumerate(slices):
             keys, at, extra, own = deal(batch)
             part = (keys % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((keys, part))

@@ -45,6 +45,8 @@ HOT_CLASSES = 100_000
 #: Light sets have at most so many shingles whatever the cost says.
 MOST_LIGHT = 24
 CELL_KEYS, CELL_SETS = 1_000_000, 2048
+#: Clusters by band of sizes, up to which their numbers of blocks are broadcast; beyond, they are joined by key.
+BROADCAST_BANDS = 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -264,9 +266,12 @@ def heavy_links(sets: DataFrame, lists: DataFrame, light: int, percent: int) ->
     whole = inside.groupBy("root").agg(blocks.alias("all_blocks"))
     bands = inside.groupBy("root", "band").agg(blocks.alias("blocks"))
     beside = lambda step, name: bands.select("root", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
-    rows = inside.join(whole, "root").join(bands, ["root", "band"])
+    bands = materialise(bands, "bands")
+    small = bands.count() <= BROADCAST_BANDS
+    held = lambda df: F.broadcast(df) if small else df
+    rows = inside.join(held(whole), "root").join(held(bands), ["root", "band"])
     for step, name in ((1, "above"), (-1, "below")):
-        rows = rows.join(beside(step, name), ["root", "band"], "left")
+        rows = rows.join(held(beside(step, name)), ["root", "band"], "left")
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     own = "transform(sequence(0, blocks - 1), j -> struct(band as lo, band as hi, least(mine, j) as i, greatest(mine, j) as j, if(mine = j, -1, mine) as side))"
     up = "if(above is null, array(), transform(sequence(0, above - 1), j -> struct(band as lo, band + 1 as hi, mine as i, j as j, -2 as side)))"
