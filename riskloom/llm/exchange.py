@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from riskloom.llm.common import steps
+from riskloom.llm.common import small_batches, steps, trim, trimmed
 
 PART_POSTINGS = 1_000_000
 #: Bytes of text whose postings are dealt at a time.
@@ -44,27 +44,39 @@ def packed_places(at: np.ndarray) -> bytes:
     return bytes([2 if small else 4, 0, 0, 0]) + at.astype(np.uint16 if small else np.uint32).tobytes()
 
 
-def exchange(rows: DataFrame, parts: int, deal: Callable, answer: Callable, gather: Callable, schema: str, value: type = np.uint16, add_up: Callable | None = None) -> DataFrame:
+def packed_keys(keys: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpacked_keys(raw: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return wide.view("<u8").ravel()
+
+
+def exchange(rows: DataFrame, parts: int, deal: Callable, answer: Callable, gather: Callable, schema: str, value: type = np.uint16, add_up: Callable | None = None, width: int = 8) -> DataFrame:
     """deal(batch) -> (keys, places, an extra byte a posting or None, bytes for the batch itself)
     answer(keys, extra) -> (kept, values): which postings to answer, and a value of type `value` for each
     gather(the batch's own bytes, places, keys, values) -> pa.Table of `schema`.
 
-    With add_up, answer also returns bytes that describe the part; add_up(a list of these) -> pa.Table of `schema`, and
+    `width`: the bytes of a key that are told apart. With add_up, answer also returns bytes that describe the part; add_up(a list of these) -> pa.Table of `schema`, and
     gather gets no keys.
     """
 
+    @trimmed
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
         slices = (whole.slice(row, end - row) for whole in batches for row, end, *_ in steps(whole["text"], DEAL_BYTES))
         for number, batch in enumerate(slices):
             keys, at, extra, own = deal(batch)
+            keys = keys & np.uint64((1 << 8 * width) - 1)
             part = (keys % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((keys, part))
             cut = np.searchsorted(part[order], np.arange(parts + 1))
             out = []
             for p in np.flatnonzero(np.diff(cut)):
                 some = order[cut[p] : cut[p + 1]]
-                out.append((int(p), task + number, POSTINGS, keys[some].tobytes(), packed_places(at[some]), None if extra is None else extra[some].tobytes()))
+                out.append((int(p), task + number, POSTINGS, packed_keys(keys[some], width), packed_places(at[some]), None if extra is None else extra[some].tobytes()))
             out.append((parts + (task + number) % parts, task + number, ROWS, own, None, None))
             yield _batch(out)
 
@@ -73,7 +85,7 @@ def exchange(rows: DataFrame, parts: int, deal: Callable, answer: Callable, gath
         if kinds[0] == ROWS:
             return rows.select(_NAMES)
         blobs = [x.as_py() for x in rows["a"]]
-        keys = np.frombuffer(b"".join(blobs), np.uint64)
+        keys = unpacked_keys(b"".join(blobs), width)
         extra = np.frombuffer(b"".join(x.as_py() for x in rows["c"]), np.uint8) if rows["c"].null_count == 0 else None
         kept, values, *more = answer(keys, extra)
         out, start = [], 0
@@ -81,12 +93,14 @@ def exchange(rows: DataFrame, parts: int, deal: Callable, answer: Callable, gath
             part = rows["part"][0].as_py()
             out.append((0, -1 - part % 64, TOTALS, more[0], None, None))
         for blob, at, batch in zip(blobs, rows["b"], rows["batch"], strict=True):
-            here = slice(start, start + len(blob) // 8)
+            here = slice(start, start + len(blob) // width)
             start = here.stop
             some = np.flatnonzero(kept[here])
             if len(some):
-                out.append((0, batch.as_py(), POSTINGS, b"" if add_up else keys[here][some].tobytes(), packed_places(places(at.as_py())[some]), values[here][some].astype(value).tobytes()))
-        return pa.Table.from_batches([_batch(out)])
+                out.append((0, batch.as_py(), POSTINGS, b"" if add_up else packed_keys(keys[here][some], width), packed_places(places(at.as_py())[some]), values[here][some].astype(value).tobytes()))
+        found = pa.Table.from_batches([_batch(out)])
+        trim()
+        return found
 
     def gathered(rows: pa.Table) -> pa.Table:
         kinds = rows["kind"].to_numpy()
@@ -94,11 +108,12 @@ def exchange(rows: DataFrame, parts: int, deal: Callable, answer: Callable, gath
             return add_up([x.as_py() for x in rows["a"]])
         own = rows["a"][int(np.flatnonzero(kinds == ROWS)[0])].as_py()
         posted = rows.filter(pa.array(kinds == POSTINGS))
-        keys = np.frombuffer(b"".join(x.as_py() for x in posted["a"]), np.uint64)
+        keys = unpacked_keys(b"".join(x.as_py() for x in posted["a"]), width)
         at = np.concatenate([np.zeros(0, np.int64), *(places(x.as_py()) for x in posted["b"])])
         values = np.frombuffer(b"".join(x.as_py() for x in posted["c"]), value)
         return gather(own, at, keys, values)
 
+    small_batches(rows.sparkSession)
     posted = rows.mapInArrow(dealt, _SCHEMA)
     answers = posted.groupBy("part").applyInArrow(answered, _SCHEMA)
     return answers.groupBy("batch").applyInArrow(gathered, schema)

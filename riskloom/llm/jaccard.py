@@ -1,6 +1,6 @@
 """N-gram Jaccard join by a size-aware heavy-light method.
 
-A document's set holds the 64-bit keys of its distinct word shingles. Documents with equal sets are one class, by a
+A document's set holds the keys of its distinct word shingles (64 bits; 56 are compared across documents). Documents with equal sets are one class, by a
 fingerprint. Two classes link when their sets' Jaccard similarity is at least a whole percentage.
 
 * Shingles are ordered by the number of sets that hold them, rarest first; those of one set only can't link. A set that
@@ -33,11 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import materialise, mix64, split_words, steps, word_keys
+from riskloom.llm.common import materialise, mix64, small_batches, split_words, steps, trimmed, word_keys
 from riskloom.llm.components import components
 from riskloom.llm.exchange import exchange, parts_for
 
 WORDS, PERCENT = 4, 85
+#: Bytes of a shingle's key that are compared.
+KEY_BYTES = 7
 #: Documents in the sample that finds very common shingles, and how many of them must hold one.
 SAMPLE, COMMON = 4096, 8
 #: Equal sets: classes that the dealing step skips copies of. At most this many exist by their least size.
@@ -87,6 +89,7 @@ def least_partner(n: np.ndarray | int, percent: int = PERCENT):
 def describe(docs: DataFrame, every: int, words: int = WORDS) -> DataFrame:
     """doc_id, n, fp (the set's fingerprint; null if empty), sample (the keys, for about one row in `every`)."""
 
+    @trimmed
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, fp, sample = [], [], []
@@ -180,7 +183,7 @@ def survivors(docs: DataFrame, base: DataFrame, hot: dict[int, int], common: np.
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["fp", "n", "keys", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return exchange(rows, parts_for(total), deal, answer, gather, "fp long, n long, keys binary, prefix binary").dropDuplicates(["fp"])
+    return exchange(rows, parts_for(total), deal, answer, gather, "fp long, n long, keys binary, prefix binary", width=KEY_BYTES).dropDuplicates(["fp"])
 
 
 def light_keys(n: int, keys: np.ndarray, percent: int) -> Iterator[tuple[int, int, int]]:
@@ -260,16 +263,15 @@ def heavy_links(sets: DataFrame, lists: DataFrame, light: int, percent: int) ->
     """Links with at least one heavy set. `lists`: key, fp, n and head (the least fp of the key's list)."""
     clusters = materialise(components(lists.select(F.col("fp").alias("a"), F.col("head").alias("b"))), "clusters")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
-    inside = sets.join(clusters.select(F.col("node").alias("fp"), "root"), "fp").withColumns({"band": band, "m": F.length("keys") / 8})
-    inside = materialise(inside.select("fp", "n", "keys", "root", "band", "m"), "clustered")
+    placed = sets.select("fp", "n", (F.length("keys") / 8).alias("m")).join(clusters.select(F.col("node").alias("fp"), "root"), "fp")
+    placed = materialise(placed.withColumn("band", band), "clustered")  # without the keys
     blocks = F.ceil(F.greatest(F.sum("m") / CELL_KEYS, F.count(F.lit(1)) / CELL_SETS)).cast("int")
-    whole = inside.groupBy("root").agg(blocks.alias("all_blocks"))
-    bands = inside.groupBy("root", "band").agg(blocks.alias("blocks"))
-    beside = lambda step, name: bands.select("root", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
-    bands = materialise(bands, "bands")
+    whole = placed.groupBy("root").agg(blocks.alias("all_blocks"))
+    bands = materialise(placed.groupBy("root", "band").agg(blocks.alias("blocks")), "bands")
     small = bands.count() <= BROADCAST_BANDS
     held = lambda df: F.broadcast(df) if small else df
-    rows = inside.join(held(whole), "root").join(held(bands), ["root", "band"])
+    beside = lambda step, name: bands.select("root", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
+    rows = placed.join(held(whole), "root").join(held(bands), ["root", "band"])
     for step, name in ((1, "above"), (-1, "below")):
         rows = rows.join(held(beside(step, name)), ["root", "band"], "left")
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -277,7 +279,8 @@ def heavy_links(sets: DataFrame, lists: DataFrame, light: int, percent: int) ->
     up = "if(above is null, array(), transform(sequence(0, above - 1), j -> struct(band as lo, band + 1 as hi, mine as i, j as j, -2 as side)))"
     down = "if(below is null, array(), transform(sequence(0, below - 1), i -> struct(band - 1 as lo, band as hi, i as i, mine as j, -3 as side)))"
     one = "array(struct(0 as lo, 0 as hi, 0 as i, 0 as j, -1 as side))"
-    cells = rows.withColumn("mine", mine).withColumn("cell", F.explode(F.expr(f"if(all_blocks = 1, {one}, concat({own}, {up}, {down}))")))
+    cells = rows.withColumn("mine", mine).select("fp", "root", F.explode(F.expr(f"if(all_blocks = 1, {one}, concat({own}, {up}, {down}))")).alias("cell"))
+    cells = sets.select("fp", "n", "keys").join(cells, "fp")
 
     def find(rows: pa.Table) -> pa.Table:
         side = rows["side"].to_numpy()
@@ -292,6 +295,7 @@ def heavy_links(sets: DataFrame, lists: DataFrame, light: int, percent: int) ->
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs` (columns doc_id and text)."""
+    small_batches(docs.sparkSession)
     rows = docs.count()
     base = materialise(describe(docs, max(1, rows // SAMPLE), words), "shingles")
     classes = materialise(base.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")), "classes")

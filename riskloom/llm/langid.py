@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import small_batches, trimmed
+
 PROFILE, FOLDS, HELD_OUT = 400, 4, 2
 RUN = 1_000_000
 STEP_CHARS = 1_000_000
@@ -141,6 +143,7 @@ def learn(docs: DataFrame, size: int = PROFILE) -> Profiles:
     """Profiles of every non-null lang of `docs` (columns text and lang), over all their texts."""
     rows = docs.filter("lang is not null and text is not null").select("lang", "text")
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = np.array(batch["lang"].to_pylist(), object)
@@ -174,7 +177,9 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """All columns of `docs` (with a column text), and lang_pred and score (0 to 1: one minus the distance)."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # languages x profile size
     kept = docs.drop("lang_pred", "score")
+    small_batches(docs.sparkSession)
 
+    @trimmed
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
