@@ -34,7 +34,7 @@ CHUNK, OVERLAP = 65_536, 512
 #: A boundary is sure if the match before it ended so far from the end of the chunk (the pattern looks no further).
 SURE = 3
 #: Distinct pre-tokens whose ids a worker keeps (and as many older ones), and the longest that it keeps.
-CACHE, CACHE_LENGTH = 100_000, 40
+CACHE, CACHE_LENGTH = 200_000, 40
 #: Bytes beyond which a pre-token is merged by a heap.
 LONG = 64
 
@@ -182,24 +182,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int =
     keys = [c for c in kept.columns if c != "text"]
     out = kept.select(*keys, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
 
-    def task(batches_of):
-        """A task that leaves no cache behind: the worker goes on to other operators."""
-
-        def run(batches):
-            try:
-                yield from batches_of(batches)
-            finally:
-                _CODECS.clear()
-
-        return trimmed(run)
-
     def codec() -> Codec:
         if name not in _CODECS:
             _CODECS.clear()
             _CODECS[name] = Codec(*shared.value)
         return _CODECS[name]
 
-    @task
+    @trimmed
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec()
         for batch in batches:
@@ -215,7 +204,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int =
     chunks = long.withColumn("_n", F.explode(F.sequence(F.lit(0), F.expr(f"int((_length - 1) div {chunk})"))))
     chunks = chunks.withColumn("text", F.expr(f"substring(text, _n * {chunk} + 1, {chunk + overlap})"))
 
-    @task
+    @trimmed
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec()
         for batch in batches:
@@ -239,7 +228,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int =
 
     stitched = group.applyInArrow(runs, "_row long, _at long, text string").repartition(F.col("_row"), F.col("_at"))
 
-    @task
+    @trimmed
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec()
         for batch in batches:
