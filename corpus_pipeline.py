@@ -4,7 +4,7 @@ Five stages over `documents`, each written as Parquet and read again as the next
 
 1. language: documents without a letter, or far from every language's profile, go;
 2. toxicity: documents that are predicted to be toxic go;
-3. near_duplicates: of each group of linked documents, the one with the smallest doc_id stays;
+3. near_duplicates: of each group of linked documents (five-word shingles, similarity 0.8), the one with the smallest doc_id stays;
 4. mix: each source's documents are taken as often as its share of words asks for;
 5. encode: byte-level BPE; the number of ids, and digests of the ids and of the decoded bytes.
 
@@ -23,6 +23,8 @@ from riskloom.llm.queries import BPE_FILE
 
 #: A text this far from all profiles is in none of their languages; ordinary ones lie above twice as much.
 LEAST_LANGUAGE_SCORE = 0.2
+#: Near copies share this percentage of their shingles of so many words; op10_jaccard's own query has other values.
+DUPLICATE_PERCENT, DUPLICATE_WORDS = 80, 5
 #: Removed ids up to which they are broadcast (8 bytes each); beyond, documents and ids are joined by key.
 BROADCAST_IDS = 2_000_000
 
@@ -39,7 +41,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = materialise(jaccard.jaccard_components(docs), "duplicates")
+    found = materialise(jaccard.jaccard_components(docs, DUPLICATE_PERCENT, DUPLICATE_WORDS), "duplicates")
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     twice = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if twice:  # repeated ids: the row that stays is the first by its whole content

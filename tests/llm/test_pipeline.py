@@ -1,6 +1,8 @@
 """Each stage of the pipeline against a direct version, on the smallest data with some planted documents."""
 
 import hashlib
+import random
+import re
 from collections import Counter
 
 import public_tokenizers
@@ -44,6 +46,36 @@ def test_near_duplicates_keep_one_of_each_group(spark, docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want) and kept.columns == docs.columns
 
 
+def brute_five(rows):
+    """Each document's least linked id, by all pairs of five-word sets at 0.8."""
+    sets = []
+    for _, text in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 10 * len(a & b) >= 8 * len(a | b) > 0:
+                group = [group[j] if g == group[i] else g for g in group]
+    return {rows[i][0]: min(rows[j][0] for j in range(len(rows)) if group[j] == group[i]) for i in range(len(rows))}
+
+
+def test_near_duplicates_take_five_words_and_four_fifths(spark):
+    rnd = random.Random(11)
+    rows = []
+    for _ in range(30):
+        base = [f"w{rnd.randrange(500)}" for _ in range(rnd.randint(6, 90))]
+        for _ in range(4):
+            x = list(base)
+            for _ in range(rnd.randint(0, 2)):
+                x[rnd.randrange(len(x))] = f"w{rnd.randrange(500)}"
+            rows.append((len(rows), " ".join(x)))
+    least = brute_five(rows)
+    assert {i for i, c in least.items() if i == c} != {c for _, _, c in brute(rows)}  # the operator's own setting differs here
+    kept = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
+
+
 def test_near_duplicates_with_repeated_ids(spark, docs):
     twice = docs.union(docs.limit(5))
     ids = [r.doc_id for r in pipeline.near_duplicates(spark, twice, SF).collect()]
