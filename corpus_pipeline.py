@@ -41,17 +41,26 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = materialise(jaccard.jaccard_components(docs, DUPLICATE_PERCENT, DUPLICATE_WORDS), "duplicates")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    found = materialise(jaccard.linked_rows(docs, DUPLICATE_PERCENT, DUPLICATE_WORDS), "duplicates")
     twice = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if twice:  # repeated ids: the row that stays is the first by its whole content
-        order = Window.partitionBy("doc_id").orderBy(*(F.col(c) for c in sorted(docs.columns)))
-        unique = docs.filter("doc_id is not null").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
-        docs = unique.unionByName(docs.filter("doc_id is null"))
+    if twice:
+        return _one_of_each(docs, found)
+    gone = found.filter("doc_id <> component_id").select("doc_id")
     small = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
 
 
+def _one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row that stays of each component where ids repeat: of its least id, the first by its whole content. Rows of one
+    id in different components stay apart; without words, rows of one id and text are the same document."""
+    components = found.filter("fp is not null").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_head")).distinct()
+    keyed = jaccard.fingerprints(docs.filter("doc_id is not null"), DUPLICATE_WORDS).withColumnRenamed("fp", "_fp")
+    heads = keyed.join(components, "_fp", "left").filter("_fp is null or doc_id = _head").withColumn("_blank", F.when(F.col("_fp").isNull(), F.col("text")))
+    order = Window.partitionBy("doc_id", "_root", "_blank").orderBy(*(F.col(c) for c in sorted(docs.columns)))
+    kept = heads.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(docs.columns)
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sizes = materialise(mixing.sized(docs.select("doc_id", "text", "source")).drop("text"), "mix-sizes")
     taken = mixing.apply_mix(docs, mixing.plan_mix(sizes)).filter("copies > 0")

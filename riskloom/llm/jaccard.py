@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.llm.common import materialise, mix64, small_batches, split_words, steps, trimmed, word_keys
 from riskloom.llm.components import components
@@ -86,6 +87,10 @@ def least_partner(n: np.ndarray | int, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
+def _fingerprint(keys: np.ndarray) -> int | None:
+    return xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63) if len(keys) else None
+
+
 def describe(docs: DataFrame, every: int, words: int = WORDS) -> DataFrame:
     """doc_id, n, fp (the set's fingerprint; null if empty), sample (the keys, for about one row in `every`)."""
 
@@ -96,7 +101,7 @@ def describe(docs: DataFrame, every: int, words: int = WORDS) -> DataFrame:
             for _, _, data, offsets in steps(batch["text"]):
                 for keys in shingle_sets(data, offsets, words):
                     n.append(len(keys))
-                    fp.append(xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63) if len(keys) else None)
+                    fp.append(_fingerprint(keys))
                     sample.append(keys.tobytes())
             taken = batch["_pick"].to_numpy(zero_copy_only=False)
             sample = [s if t else None for s, t in zip(sample, taken, strict=True)]
@@ -106,6 +111,20 @@ def describe(docs: DataFrame, every: int, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_pick", pick).mapInArrow(sets, "doc_id long, n long, fp long, sample binary")
 
 
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """`docs` with each row's fp, as in linked_rows."""
+    names = [*docs.columns, "fp"]
+
+    @trimmed
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = [_fingerprint(keys) for _, _, data, offsets in steps(batch["text"]) for keys in shingle_sets(data, offsets, words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], names=names)
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+
+
 def _exploded(rows: DataFrame, binary: str, keep: list[str]) -> DataFrame:
     """One row for each 64-bit key in a binary column."""
 
@@ -295,6 +314,12 @@ def heavy_links(sets: DataFrame, lists: DataFrame, light: int, percent: int) ->
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs` (columns doc_id and text)."""
+    return linked_rows(docs, percent, words).select("doc_id", "n_shingles", "component_id")
+
+
+def linked_rows(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """jaccard_components with fp (the set's fingerprint) and root (one a component, also where components repeat an id);
+    both are null if the set is empty."""
     small_batches(docs.sparkSession)
     rows = docs.count()
     base = materialise(describe(docs, max(1, rows // SAMPLE), words), "shingles")
@@ -316,6 +341,6 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     roots = components(links)
     grouped = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of_root = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = materialise(grouped.join(of_root, "root").select("fp", "component_id"), "components")
+    of_class = materialise(grouped.join(of_root, "root").select("fp", "root", "component_id"), "components")
     out = base.select("doc_id", "n", "fp").join(of_class, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "fp", "root")

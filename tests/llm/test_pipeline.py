@@ -82,6 +82,14 @@ def test_near_duplicates_with_repeated_ids(spark, docs):
     assert len(ids) == len(set(ids))
 
 
+def test_near_duplicates_keep_unlinked_texts_of_a_repeated_id(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(30))
+    rows = [(1, text("a")), (2, text("a") + " end"), (2, text("b")), (2, text("c")), (3, text("c")), (3, text("c")), (4, text("b")), (5, ""), (5, " "), (5, ""), (None, text("a"))]
+    kept = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    want = [(1, text("a")), (2, text("b")), (2, text("c")), (5, ""), (5, " "), (None, text("a"))]
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want)) and kept.columns == ["doc_id", "text"]
+
+
 def test_mix_takes_each_document_as_often_as_the_operator_says(spark, docs):
     kept = Counter(r.doc_id for r in pipeline.mix(spark, docs, SF).collect())
     for r in mixing.mix_documents(docs).collect():
