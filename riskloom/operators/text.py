@@ -61,16 +61,32 @@ def occurrence(rows: DataFrame) -> DataFrame:
 
 def packed(paragraphs: Column, target: int = TARGET, most: int = MAXIMUM) -> Column:
     """Paragraphs joined greedily up to the target; one over the maximum is cut at sentence ends first."""
-    cut = lambda p: F.when(F.length(p) > most, F.split(F.regexp_replace(p, r"([.!?])\s+", "$1\n"), "\n")).otherwise(F.array(p))
-    parts = F.flatten(F.transform(paragraphs, cut))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    return F.transform(packed_at(paragraphs, target, most), lambda x: x["text"])
+
 
-    def add(acc: Column, p: Column) -> Column:
-        fits = (acc["open"] == "") | (F.length(acc["open"]) + 2 + F.length(p) <= target)
-        joined = F.when(acc["open"] == "", p).otherwise(F.concat(acc["open"], F.lit("\n\n"), p))
-        return F.when(fits, F.struct(acc["done"].alias("done"), joined.alias("open"))).otherwise(F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), p.alias("open")))
+def packed_at(paragraphs: Column, target: int = TARGET, most: int = MAXIMUM) -> Column:
+    """packed, each part with its offset `at` in the text that the paragraphs are the lines of."""
 
-    return F.aggregate(parts, start, add, lambda acc: F.when(acc["open"] != "", F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
+    def cut(p: Column) -> Column:
+        gaps = F.regexp_extract_all(p, F.lit(r"[.!?](\s+)"), F.lit(1))
+        pieces = F.split(F.regexp_replace(p, r"([.!?])\s+", "$1\n"), "\n")
+        piece = lambda x, gap: F.struct(x.alias("text"), gap.cast("long").alias("gap"))
+        return F.when(F.length(p) > most, F.transform(pieces, lambda x, i: piece(x, F.coalesce(F.length(F.get(gaps, i)), F.lit(1))))).otherwise(F.array(piece(p, F.lit(1))))
+
+    parts = F.flatten(F.transform(paragraphs, cut))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.array().cast("array<struct<at:bigint,text:string>>").alias("done"), F.lit("").alias("open"), zero.alias("begin"), zero.alias("at"))
+    closed = lambda acc: F.concat(acc["done"], F.array(F.struct(acc["begin"].alias("at"), acc["open"].alias("text"))))
+
+    def add(acc: Column, x: Column) -> Column:
+        p, empty = x["text"], acc["open"] == ""
+        fits = empty | (F.length(acc["open"]) + 2 + F.length(p) <= target)
+        joined = F.when(empty, p).otherwise(F.concat(acc["open"], F.lit("\n\n"), p))
+        after = (acc["at"] + F.length(p) + x["gap"]).alias("at")
+        begin = F.when(empty, acc["at"]).otherwise(acc["begin"])
+        return F.when(fits, F.struct(acc["done"].alias("done"), joined.alias("open"), begin.alias("begin"), after)).otherwise(F.struct(closed(acc).alias("done"), p.alias("open"), acc["at"].alias("begin"), after))
+
+    return F.aggregate(parts, start, add, lambda acc: F.when(acc["open"] != "", closed(acc)).otherwise(acc["done"]))
 
 
 def pages_of(chunks: DataFrame, starts: DataFrame) -> DataFrame:

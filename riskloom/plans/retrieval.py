@@ -256,6 +256,5 @@ def page_for_chunk(t: Tables) -> DataFrame:
     lines = X.lines(t.documents).groupBy("doc_id", "page").agg(F.sum(F.length("line") + 1).alias("chars"))
     before = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     starts = lines.select("doc_id", "page", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("page_start"))
-    parts = t.documents.select("doc_id", "text", F.posexplode(X.packed(F.split("text", "\n"))).alias("chunk", "part"))
-    offset = F.expr("locate(substring_index(part, '\n\n', 1), text)") - 1
-    return X.pages_of(parts.select("doc_id", "chunk", offset.alias("offset")), starts)
+    parts = t.documents.select("doc_id", F.posexplode(X.packed_at(F.split("text", "\n"))).alias("chunk", "part"))
+    return X.pages_of(parts.select("doc_id", "chunk", F.col("part.at").alias("offset")), starts)

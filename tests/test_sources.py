@@ -122,6 +122,22 @@ def test_small_fragments_join_the_chunk_before(spark):
     assert got == [(0, "1", 207), (1, "2", 4)]
 
 
+def test_parts_of_repeated_lines_keep_their_pages(spark, tmp_path):
+    from riskloom.plans.retrieval import page_for_chunk
+    from riskloom.sources.views import Tables
+
+    lines = ["licence " + "x" * 1400, "body " + "y" * 1300] * 60 + ["", "", "One sentence.  " * 300 + "End", "licence " + "x" * 1400]
+    body = "\n".join(lines)
+    spark.createDataFrame([(1, body)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    parts = spark.createDataFrame([(body,)], "t string").select(F.explode(text.packed_at(F.split("t", "\n"))).alias("p")).select("p.*").collect()
+    for p in parts:
+        head = p.text.split("\n\n")[0]
+        assert body[p.at : p.at + len(head)] == head
+    assert [p.at for p in parts] == sorted({p.at for p in parts})
+    got = [r.page for r in page_for_chunk(Tables(spark, str(tmp_path))).orderBy("chunk").collect()]
+    assert got == [body[: p.at].count("\n") // 20 for p in parts] and len(set(got)) == 7
+
+
 def test_questions_have_one_form(spark):
     asked = ["What is  OBL 7 ?", "what is obl-0007"]
     got = {r[0] for r in spark.createDataFrame([(a,) for a in asked], "t string").select(quality.normal_question(F.col("t"))).collect()}
