@@ -132,9 +132,12 @@ b AS ({_BM25})
 """
 
 
+def _questions(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.col("item_id").alias("question_id"), (F.col("item_id") % 3 + 1).cast("int").alias("context_id"), "text")
+
+
 def _lexical(t: Tables) -> DataFrame:
-    questions = t.benchmark.select(F.col("item_id").alias("question_id"), (F.col("item_id") % 3 + 1).cast("int").alias("context_id"), "text")
-    scored = V.bm25(t.documents, questions, _seen(t))
+    scored = V.bm25(t.documents, _questions(t), _seen(t))
     return scored.withColumn("score", C.fixed(F.col("score"), 4))
 
 
@@ -144,7 +147,7 @@ def bm25_rank(t: Tables) -> DataFrame:
 
 
 def _arms(t: Tables) -> DataFrame:
-    """The lexical arm, and a recency arm over the same candidates, as ranks."""
+    """The lexical arm, and a recency arm over the same candidates, as ranks (what rrf_fuse's SQL states)."""
     first = V.top(_lexical(t), ["question_id"], R.CANDIDATES, "doc_id").select("question_id", "doc_id", "rank")
     dated = first.join(t.policy_docs.select("doc_id", F.unix_date("effective_from").alias("score")), "doc_id")
     second = V.top(dated.drop("rank"), ["question_id"], R.CANDIDATES, "doc_id").select("question_id", "doc_id", "rank")
@@ -163,11 +166,18 @@ def rrf_fuse(t: Tables) -> DataFrame:
     return _arms(t).withColumn("score", C.fixed(F.col("score"), 6))
 
 
+def _hybrid(t: Tables) -> DataFrame:
+    """The lexical arm and the vector arm, each the best of all documents that the question's context sees, fused."""
+    first = V.top(_lexical(t), ["question_id"], R.CANDIDATES, "doc_id")
+    second = V.hashed_nearest(t.documents, _questions(t), _seen(t), R.CANDIDATES)
+    return V.fuse([arm.select("question_id", "doc_id", "rank") for arm in (first, second)])
+
+
 def _gated(t: Tables) -> DataFrame:
     """Fused candidates with the cosine of question and text, both hashed."""
     q = V.hashing_embed(t.benchmark.select(F.col("item_id").alias("question_id"), "text"), "question_id").withColumnRenamed("weight", "w")
     d = V.hashing_embed(t.documents, "doc_id")
-    fused = _arms(t)
+    fused = _hybrid(t)
     pairs = fused.select("question_id", "doc_id").join(q, "question_id").join(d, ["doc_id", "bucket"]).groupBy("question_id", "doc_id").agg(F.sum(F.col("w") * F.col("weight")).alias("cosine"))
     return fused.join(pairs, ["question_id", "doc_id"]).join(t.documents.select("doc_id", F.length("text").alias("chars")), "doc_id")
 

@@ -1,5 +1,10 @@
 """Validation ladders, loads, ledger and streams."""
 
+import hashlib
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +98,42 @@ def test_hidden_chunks_change_nothing(spark):
     assert score(chunks) == score(chunks[:2]) and [d for d, _ in score(chunks)] == [1]
 
 
+def test_vector_arm_ranks_all_visible_documents(spark, monkeypatch):
+    rnd = random.Random(3)
+    some = lambda n: " ".join(f"t{rnd.randrange(60)}" for _ in range(n))
+    docs, asked = [(i, some(rnd.randint(1, 30))) for i in range(90)] + [(90, "...")], [(i, 1 + i % 2, some(6)) for i in range(12)]
+    seen = [(c, i) for c in (1, 2) for i, _ in docs if rnd.random() < 0.7]
+
+    def vector(t):
+        v = [0] * 256
+        for x in re.findall("[a-z0-9]+", t):
+            h = hashlib.sha256(x.encode()).hexdigest()
+            v[int(h[:8], 16) % 256] += 1 if int(h[8:10], 16) % 2 == 0 else -1
+        size = math.sqrt(sum(x * x for x in v))
+        return [x / size for x in v] if size else None
+
+    of = {i: vector(t) for i, t in docs}
+    want = set()
+    for q, c, t in asked:
+        scored = sorted((-math.floor(sum(x * y for x, y in zip(vector(t), of[i], strict=True)) * 1e6 + 0.5) / 1e6, i) for k, i in seen if k == c and of[i])
+        want |= {(q, i, n + 1) for n, (_, i) in enumerate(scored[:7])}
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "question_id long, context_id int, text string"), spark.createDataFrame(seen, "context_id int, doc_id long")
+    for questions, least, most in ((512, 512, 8192), (5, 1, 20)):
+        monkeypatch.setattr(retrieval, "BLOCK_QUESTIONS", questions)
+        monkeypatch.setattr(retrieval, "LEAST_DOCS", least)
+        monkeypatch.setattr(retrieval, "BLOCK_DOCS", most)
+        assert {(r.question_id, r.doc_id, r["rank"]) for r in retrieval.hashed_nearest(*frames, 7).collect()} == want
+
+
+def test_hybrid_finds_documents_outside_the_lexical_arm(spark, data_dir):
+    from riskloom.plans import retrieval as plans
+    from riskloom.sources.views import Tables
+
+    t = Tables(spark, data_dir)
+    lexical = plans._arms(t).select("question_id", "doc_id")
+    assert plans._gated(t).select("question_id", "doc_id").exceptAll(lexical).count() > 0
+
+
 def test_unknown_role_sees_nothing(spark):
     assert spark.range(1).select(F.size(retrieval.levels_of(F.lit("visitor")))).first()[0] == 0
 
