@@ -177,9 +177,9 @@ def _gated(t: Tables) -> DataFrame:
     """Fused candidates with the cosine of question and text, both hashed."""
     q = V.hashing_embed(t.benchmark.select(F.col("item_id").alias("question_id"), "text"), "question_id").withColumnRenamed("weight", "w")
     d = V.hashing_embed(t.documents, "doc_id")
-    fused = _hybrid(t)
-    pairs = fused.select("question_id", "doc_id").join(q, "question_id").join(d, ["doc_id", "bucket"]).groupBy("question_id", "doc_id").agg(F.sum(F.col("w") * F.col("weight")).alias("cosine"))
-    return fused.join(pairs, ["question_id", "doc_id"]).join(t.documents.select("doc_id", F.length("text").alias("chars")), "doc_id")
+    shared = F.sum(F.col("w") * F.col("weight")).alias("cosine")
+    pairs = _hybrid(t).join(q, "question_id").join(d, ["doc_id", "bucket"]).groupBy("question_id", "doc_id").agg(F.max("score").alias("score"), shared)
+    return pairs.join(t.documents.select("doc_id", F.length("text").alias("chars")), "doc_id")
 
 
 @query()
