@@ -1,18 +1,21 @@
 """Approximate nearest neighbours by stable projections in a kd-tree.
 
 In each cell of the grid, vectors are projected by a few seeded Gaussian (2-stable) directions and the projections are
-held in a kd-tree. A query takes the tree's leaves by their projected distance, verifies the original vectors there in
-double precision, and stops when a chi-square test says that nothing farther in projection is likely to be nearer than
-its k-th neighbour: the squared projected distance over the squared true distance follows chi-square with as many
-degrees of freedom as there are directions.
+held in a kd-tree. A query descends the tree best first, by a queue of boxes in order of their projected distance; it
+verifies the original vectors in double precision as their projections come up, and stops when a chi-square test says
+that nothing farther in projection is likely to be nearer than its k-th neighbour: the squared projected distance over
+the squared true distance follows chi-square with as many degrees of freedom as there are directions.
+
+Rows that hold the same vector are one point of the tree, with the smallest of their vec_ids that a query can need.
 
 Defined cases: vectors null, empty, zero, or holding null or non-finite components take no part; repeated rows count
-once; a vec_id with several vectors is found once, at its least distance; ties go to the smaller vec_id; an empty table
-gives no rows; other columns are ignored.
+once; a vec_id with several vectors is found once, at its least distance; ties among the verified rows, and among any
+number of copies of one vector, go to the smaller vec_id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -24,6 +27,8 @@ from riskloom.llm.mips import ranked
 
 K, QUERY_EVERY = 10, 100
 DIRECTIONS, LEAF, SURE, SEED = 8, 32, 0.98, 11
+#: Binary cuts that make the children of one node, and points verified at a time: the first and the most.
+CUTS, FIRST_STEP, MOST_STEP = 3, 64, 4096
 
 
 def chi_square_quantile(p: float, degrees: int) -> float:
@@ -42,57 +47,119 @@ def chi_square_quantile(p: float, degrees: int) -> float:
 
 
 class ProjectedTree:
-    """A kd-tree over projected rows: leaves of at most LEAF rows, each with its box."""
+    """A kd-tree over projected points. A node's children lie side by side, each with its box; a leaf is a run of points."""
 
     def __init__(self, rows: np.ndarray):
         self.directions = np.random.default_rng(SEED).standard_normal((rows.shape[1], DIRECTIONS))
         points = rows @ self.directions
-        leaves, todo = [], [np.arange(len(points))]
+        members, runs, children, boxes = [], [(0, 0)], [(0, 0)], [(points.min(0), points.max(0))]
+        todo, placed = [(0, np.arange(len(points)))], 0
         while todo:
-            part = todo.pop()
-            spread = np.ptp(points[part], axis=0)
-            axis = int(spread.argmax())
-            if len(part) <= LEAF or spread[axis] == 0:  # copies stay together in one leaf
-                leaves.append(part)
+            node, part = todo.pop()
+            kids = self._cut(points, part)
+            if len(kids) == 1:
+                members.append(part)
+                runs[node] = (placed, placed + len(part))
+                placed += len(part)
                 continue
-            half = len(part) // 2
-            cut = np.argpartition(points[part, axis], half)
-            todo += [part[cut[:half]], part[cut[half:]]]
-        self.members, self.sizes = np.concatenate(leaves), np.array([len(x) for x in leaves])
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.low = np.array([points[x].min(0) for x in leaves])
-        self.high = np.array([points[x].max(0) for x in leaves])
-
-    def walk(self, query: np.ndarray):
-        """Leaves by projected distance to their boxes, and these squared distances."""
-        at = query @ self.directions
-        gap = np.maximum(np.maximum(self.low - at, at - self.high), 0)
-        distance = (gap**2).sum(1)
-        order = np.argsort(distance, kind="stable")
-        return order, distance[order]
+            children[node] = (len(runs), len(runs) + len(kids))
+            for kid in kids:
+                todo.append((len(runs), kid))
+                runs.append((0, 0))
+                children.append((0, 0))
+                boxes.append((points[kid].min(0), points[kid].max(0)))
+        self.members = np.concatenate(members)
+        self.points, self.runs, self.children = points[self.members], runs, children
+        self.low, self.high = np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes])
+
+    @staticmethod
+    def _cut(points: np.ndarray, part: np.ndarray) -> list[np.ndarray]:
+        """Halves, quarters and so on, each along its widest axis; the part itself if it is a leaf."""
+        parts = [part]
+        for _ in range(CUTS):
+            halves = []
+            for p in parts:
+                spread = np.ptp(points[p], axis=0)
+                axis = int(spread.argmax())
+                if len(p) <= LEAF or spread[axis] == 0:
+                    halves.append(p)
+                    continue
+                half = len(p) // 2
+                cut = np.argpartition(points[p, axis], half)
+                halves += [p[cut[:half]], p[cut[half:]]]
+            parts = halves
+        return parts
+
+
+class Copies:
+    """The distinct vectors of a cell and, for each, its smallest vec_ids: as many as a query can need."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, most: int):
+        rows = rows + 0.0  # one zero
+        order = np.argsort(ids, kind="stable")
+        place: dict[bytes, int] = {}
+        first, held = [], []
+        for i in order.tolist():
+            at = place.setdefault(rows[i].tobytes(), len(first))
+            if at == len(first):
+                first.append(i)
+                held.append([])
+            if len(held[at]) < most and (not held[at] or held[at][-1] != ids[i]):
+                held[at].append(int(ids[i]))
+        self.rows = rows[first]
+        self.counts = np.array([len(x) for x in held], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.counts)[:-1]])
+        self.ids = np.array([i for x in held for i in x], np.int64)
+
+    def expand(self, at: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vec_ids of these vectors, and the distance of each."""
+        n = self.counts[at]
+        first = np.repeat(self.starts[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        return self.ids[first + np.arange(int(n.sum()))], np.repeat(distance, n)
 
 
 def search_cell(query_ids, queries, ids, rows, k: int = K, sure: float = SURE):
     """The k nearest rows of one cell for each query: query ids, row ids, distances."""
-    tree = ProjectedTree(rows)
+    copies = Copies(ids, rows, k + 1)
+    tree = ProjectedTree(copies.rows)
     limit = chi_square_quantile(sure, DIRECTIONS)
-    by_leaf, leaf_ids = rows[tree.members], ids[tree.members]
+    vectors, runs, children = copies.rows[tree.members], tree.runs, tree.children
     out = []
     for query_id, query in zip(query_ids, queries, strict=True):
-        order, projected = tree.walk(query)
+        at = query @ tree.directions
         best, best_ids = np.zeros(0), np.zeros(0, np.int64)
-        taken, step = 0, 4
-        while taken < len(order) and not (len(best) >= k and projected[taken] >= limit * best[k - 1] ** 2):
-            now = order[taken : taken + step]
-            places = np.concatenate([np.arange(tree.starts[x], tree.starts[x + 1]) for x in now])
-            places = places[leaf_ids[places] != query_id]
-            distance = np.sqrt(((by_leaf[places] - query) ** 2).sum(1))
-            best, best_ids = np.concatenate([best, distance]), np.concatenate([best_ids, leaf_ids[places]])
+        stop, step, heap = math.inf, FIRST_STEP, [(0.0, 0)]
+        while heap:
+            taken, points = [], 0
+            while heap and points < step:
+                distance, node = heapq.heappop(heap)
+                if distance >= stop:
+                    heap = []
+                    break
+                a, z = children[node]
+                if a == z:
+                    a, z = runs[node]
+                    taken.append(np.arange(a, z))
+                    points += z - a
+                    continue
+                gap = np.maximum(np.maximum(tree.low[a:z] - at, at - tree.high[a:z]), 0)
+                for kid, d in enumerate((gap * gap).sum(1).tolist(), a):
+                    if d < stop:
+                        heapq.heappush(heap, (d, kid))
+            if not taken:
+                break
+            places = np.concatenate(taken)
+            if stop < math.inf:  # the test has stopped before points that are farther in projection
+                places = places[((tree.points[places] - at) ** 2).sum(1) < stop]
+            found, distance = copies.expand(tree.members[places], np.sqrt(((vectors[places] - query) ** 2).sum(1)))
+            other = found != query_id
+            best, best_ids = np.concatenate([best, distance[other]]), np.concatenate([best_ids, found[other]])
             sort = np.lexsort((best_ids, best))
             _, first = np.unique(best_ids[sort], return_index=True)
             sort = sort[np.sort(first)[:k]]
             best, best_ids = best[sort], best_ids[sort]
-            taken, step = taken + step, step * 2
+            stop = limit * best[k - 1] ** 2 if len(best) >= k else math.inf
+            step = min(2 * step, MOST_STEP)
         out.append((np.full(len(best), query_id), best_ids, best))
     return tuple(np.concatenate([x[j] for x in out]) for j in range(3))
 

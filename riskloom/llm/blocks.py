@@ -35,7 +35,7 @@ def grid_search(vectors: DataFrame, is_query: Column, search: Callable, score_ty
     vector count once.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").dropDuplicates(["vec_id", "embedding"])
-    counts = v.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
+    counts = vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()  # before repeats go: no shuffle
     cores = v.sparkSession.sparkContext.defaultParallelism
     rows = min(MOST_ROWS, max(LEAST_ROWS, math.ceil(counts["n"] / (2 * cores))))
     n_rows, n_queries = max(1, math.ceil(counts["n"] / rows)), max(1, math.ceil(counts["q"] / MOST_QUERIES))

@@ -2,12 +2,16 @@
 
 In each cell of the grid, vectors go by descending length in strips. A query leaves once its length times the strip's
 longest can't reach its k-th score. Within a strip, sums over the first SVD-rotated dimensions plus the Cauchy-Schwarz
-bound of the rest decide which pairs are worth the exact integer product.
+bound of the rest decide which pairs are worth the exact integer product. Bounds carry a slack in proportion to both
+lengths, far above what doubles can err. A pair's product is taken in doubles where the lengths say that every partial
+sum is a whole number below 2**52, in 64-bit integers beyond, and in Python's for the few rows with components over 2**60.
 
-Defined cases: vectors null, empty, or holding null or non-finite components take no part; repeated rows count once; a
-vec_id with several vectors is found once, with its best score; ties go to the smaller vec_id; an empty table gives no
-rows; other columns are ignored. Components beyond 2**21 in size leave the exact range of doubles and are multiplied as
-Python integers; a score beyond a long fails with an error.
+Queries go through in blocks and keep k slots each, so that memory follows neither rows nor queries times rows.
+
+Defined cases: vectors null, empty, or holding null or non-finite components take no part (nor do those whose components
+times 64 are beyond a double); repeated rows count once; a vec_id with several vectors is found once, with its best score;
+ties go to the smaller vec_id; an empty table gives no rows; other columns are ignored. A score beyond a long among a
+query's best fails with an error that names the pair.
 """
 
 from __future__ import annotations
@@ -19,79 +23,116 @@ from pyspark.sql import functions as F
 from riskloom.llm.blocks import finite, grid_search
 
 SCALE, K, QUERY_EVERY = 64, 20, 20
-STRIP = 512
+STRIP, QUERIES = 512, 1024
 #: The rotated dimensions that hold this share of the squared lengths are summed before the bound is tested.
 ENERGY = 0.6
-
-
-def _order(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best distinct ids, best first, ties to the smaller id."""
-    place = np.lexsort((ids, -scores))
-    _, first = np.unique(ids[place], return_index=True)
-    return place[np.sort(first)[:k]]
-
-
-def _big(query_ids, queries, ids, rows, k):
-    """Python integers, for components too large for doubles."""
-    out = []
-    whole = [[int(x) for x in r] for r in rows]
-    for q, vec in zip(query_ids, queries, strict=True):
-        vec = [int(x) for x in vec]
-        found = sorted(((-sum(a * b for a, b in zip(vec, r, strict=True)), int(i)) for i, r in zip(ids, whole, strict=True) if i != q))
-        seen: dict[int, int] = {}
-        for s, i in found:
-            if len(seen) == k:
-                break
-            seen.setdefault(i, -s)
-        out += [(int(q), i, s) for i, s in seen.items()]
-    return tuple(np.array([x[j] for x in out], np.int64) for j in range(3))
+#: Relative slack of a bound. Doubles err by about 1e-16 a dimension.
+SLACK = 1e-9
+#: Products of lengths up to which doubles are exact, and components up to which 64-bit integers are used.
+EXACT, WIDE = 2.0**52, 2.0**60
+_LEAST, _MOST = -(2**63) + 1, 2**63 - 1
+_NOBODY = np.iinfo(np.int64).max
+
+
+def _clamped(x: int) -> int:
+    return max(_LEAST, min(_MOST, x))
+
+
+def products(queries: np.ndarray, rows: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The exact integer products of the pairs in `mask`; those beyond a long are cut to its ends."""
+    rough = queries @ rows.T
+    q_length, length = np.sqrt((queries**2).sum(1)), np.sqrt((rows**2).sum(1))
+    wide = mask & (q_length[:, None] * length[None, :] > EXACT)
+    if not wide.any():
+        return rough.astype(np.int64)
+    out = np.where(wide, 0, rough).astype(np.int64)
+    i, j = np.nonzero(wide)
+    for a in range(0, len(i), 4096):
+        one, two = queries[i[a : a + 4096]].astype(np.int64), rows[j[a : a + 4096]].astype(np.int64)
+        out[i[a : a + 4096], j[a : a + 4096]] = (one * two).sum(1)  # modulo 2**64: right if it fits
+    for a, b in zip(*np.nonzero(wide & (np.abs(rough) > 2.0**62)), strict=True):
+        out[a, b] = _clamped(sum(int(x) * int(y) for x, y in zip(queries[a], rows[b], strict=True)))
+    return out
+
+
+class Best:
+    """The k best distinct vec_ids of each of some queries."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.scores, self.ids = np.full((n, k), _LEAST, np.int64), np.full((n, k), _NOBODY)
+
+    def kth(self) -> np.ndarray:
+        return np.where(self.ids[:, -1] == _NOBODY, -np.inf, self.scores[:, -1].astype(np.float64))
+
+    def add(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray, mask: np.ndarray) -> None:
+        """Merge the scores of some rows (`ids`) into the queries `who`; a vec_id keeps its best score."""
+        s = np.concatenate([self.scores[who], np.where(mask, scores, _LEAST)], 1)
+        i = np.concatenate([self.ids[who], np.where(mask, ids[None, :], _NOBODY)], 1)
+        place = np.lexsort((-s, i), axis=1)
+        s, i = np.take_along_axis(s, place, 1), np.take_along_axis(i, place, 1)
+        again = np.zeros(i.shape, bool)
+        again[:, 1:] = i[:, 1:] == i[:, :-1]
+        s[again], i[again] = _LEAST, _NOBODY
+        place = np.lexsort((i, -s), axis=1)[:, : self.k]
+        self.scores[who], self.ids[who] = np.take_along_axis(s, place, 1), np.take_along_axis(i, place, 1)
 
 
 def search_cell(query_ids, queries, ids, rows, k: int = K):
     """The k best rows of one cell for each query: query ids, row ids, scores."""
-    if max(np.abs(rows).max(), np.abs(queries).max()) > 2**21:
-        return _big(query_ids, queries, ids, rows, k)
+    queries, rows = np.floor(queries), np.floor(rows)
+    out = [(np.zeros(0, np.int64),) * 3]
+    apart, aside = np.abs(rows).max(1) > WIDE, np.abs(queries).max(1) > WIDE  # too long for bounds in doubles
+    plain = ~apart
+    for a in range(0, len(queries), QUERIES):
+        part = slice(a, a + QUERIES)
+        best = Best(len(queries[part]), k)
+        mine = np.flatnonzero(~aside[part])
+        if len(mine) and plain.any():
+            _pruned(query_ids[part], queries[part], mine, ids[plain], rows[plain], best)
+        for who, which in ((np.flatnonzero(aside[part]), np.arange(len(rows))), (mine, np.flatnonzero(apart))):
+            for j in which if len(who) else ():
+                row = [int(x) for x in rows[j]]
+                found = np.array([_clamped(sum(int(x) * y for x, y in zip(q, row, strict=True))) for q in queries[part][who]], np.int64)
+                best.add(who, found[:, None], ids[j : j + 1], query_ids[part][who, None] != ids[None, j : j + 1])
+        there = best.ids != _NOBODY
+        n, m = np.nonzero(there)
+        out.append((query_ids[part][n], best.ids[n, m], best.scores[n, m]))
+    asked, found, scores = (np.concatenate([x[j] for x in out]) for j in range(3))
+    beyond = np.flatnonzero((scores >= _MOST) | (scores <= _LEAST))
+    if len(beyond):
+        raise OverflowError(f"the product of vec_id {asked[beyond[0]]} and vec_id {found[beyond[0]]} is beyond a long")
+    return asked, found, scores
+
+
+def _pruned(query_ids, queries, active, ids, rows, best: Best) -> None:
+    """Rows by descending length in strips, each pair tested by its bound before its product is taken."""
     length = np.sqrt((rows**2).sum(1))
     order = np.argsort(-length, kind="stable")
     rows, ids, length = rows[order], ids[order], length[order]
-    values, axes = np.linalg.eigh(rows.T @ rows)
+    scale = max(length[0], 1.0)
+    values, axes = np.linalg.eigh((rows / scale).T @ (rows / scale))
     values, axes = np.maximum(values[::-1], 0), axes[:, ::-1]
     head = int(np.searchsorted(np.cumsum(values), ENERGY * values.sum())) + 1
     turned, asked = rows @ axes, queries @ axes
-    rest = np.sqrt((turned[:, head:] ** 2).sum(1)) * (1 + 1e-9)
-    asked_rest, asked_length = np.sqrt((asked[:, head:] ** 2).sum(1)) * (1 + 1e-9), np.sqrt((queries**2).sum(1)) * (1 + 1e-9)
+    rest, asked_rest = np.sqrt((turned[:, head:] ** 2).sum(1)), np.sqrt((asked[:, head:] ** 2).sum(1))
+    asked_length = np.sqrt((queries**2).sum(1))
     turned, asked = turned[:, :head], asked[:, :head]
-    keep = k if len(np.unique(ids)) == len(ids) else len(ids)  # an id with several vectors: all are kept until the end
-    best = np.full((len(queries), keep), -np.inf)
-    best_id = np.full((len(queries), keep), np.iinfo(np.int64).max)
-    active = np.arange(len(queries))
     for start in range(0, len(rows), STRIP):
-        kth = best[active, -1] if keep == k else np.full(len(active), -np.inf)
-        active = active[asked_length[active] * length[start] + 1e-6 >= kth]
+        kth = best.kth()
+        kth -= SLACK * np.abs(np.where(np.isfinite(kth), kth, 0))
+        active = active[asked_length[active] * length[start] * (1 + SLACK) >= kth[active]]
         if not len(active):
-            break
+            return
         here = slice(start, start + STRIP)
-        kth = best[active, -1] if keep == k else np.full(len(active), -np.inf)
-        bound = asked[active] @ turned[here].T + asked_rest[active, None] * rest[None, here] + 1e-6
-        worth = (bound >= kth[:, None]) & (query_ids[active, None] != ids[None, here])
+        bound = asked[active] @ turned[here].T + asked_rest[active, None] * rest[None, here] + SLACK * asked_length[active, None] * length[None, here]
+        worth = (bound >= kth[active, None]) & (query_ids[active, None] != ids[None, here])
         some = np.flatnonzero(worth.any(1))
         if not len(some):
             continue
         columns = np.flatnonzero(worth[some].any(0))
         mask = worth[np.ix_(some, columns)]
-        scores = np.where(mask, queries[active[some]] @ rows[start + columns].T, -np.inf)
-        who = active[some]
-        all_s = np.concatenate([best[who], scores], 1)
-        all_i = np.concatenate([best_id[who], np.where(mask, ids[start + columns][None, :], np.iinfo(np.int64).max)], 1)
-        place = np.lexsort((all_i, -all_s), axis=1)[:, :keep]
-        best[who], best_id[who] = np.take_along_axis(all_s, place, 1), np.take_along_axis(all_i, place, 1)
-    out = []
-    for q, s, i in zip(query_ids, best, best_id, strict=True):
-        there = s > -np.inf
-        s, i = s[there], i[there]
-        chosen = _order(s, i, k)
-        out.append((np.full(len(chosen), q), i[chosen], s[chosen].astype(np.int64)))
-    return tuple(np.concatenate([x[j] for x in out]) if out else np.zeros(0, np.int64) for j in range(3))
+        best.add(active[some], products(queries[active[some]], rows[start + columns], mask), ids[start + columns], mask)
 
 
 def ranked(found: DataFrame, k: int, best) -> DataFrame:
@@ -104,7 +145,8 @@ def ranked(found: DataFrame, k: int, best) -> DataFrame:
 
 def top_inner_products(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = QUERY_EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of each query (vec_id divisible by `every`)."""
-    whole = vectors.filter(finite(F.col("embedding"))).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("embedding"))
+    scaled = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double") * scale).alias("embedding"))
+    whole = scaled.filter(finite(F.col("embedding")))  # cells take the floor: Spark's gives a long, which large components don't fit
     found = grid_search(whole, F.pmod(F.col("vec_id"), F.lit(every)) == 0, lambda *cell: search_cell(*cell, k=k), "long")
     return ranked(found, k, F.max)
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from riskloom.llm import ann, blocks, mips
@@ -38,11 +39,83 @@ def test_inner_products(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def brute_products(rows, k=20, every=20):
+    best = {}
+    for q in rows:
+        if q[0] % every == 0:
+            mine = {}
+            for i, v in rows:
+                if i != q[0]:
+                    s = sum(math.floor(64 * a) * math.floor(64 * b) for a, b in zip(q[1], v, strict=True))
+                    mine[i] = max(s, mine.get(i, s))
+            for i, s in mine.items():
+                best[q[0], i] = max(s, best.get((q[0], i), s))
+    out = []
+    for q in sorted({q for q, _ in best}):
+        found = sorted((-s, i) for (a, i), s in best.items() if a == q)[:k]
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(found, 1)]
+    return out
+
+
 def test_inner_products_of_huge_components_and_few_rows(spark):
-    rows = [(0, [1e9, -1e9], 1), (20, [1e9, 1e9], 1), (3, [-2e9, 5.0], 1), (40, [1.0], 1)]
-    got = {(r.query_id, r.vec_id): r.score for r in mips.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>, x int")).collect()}
-    whole = {i: [math.floor(64 * x) for x in v] for i, v, _ in rows}
-    assert got == {(q, i): sum(a * b for a, b in zip(whole[q], whole[i], strict=True)) for q in (0, 20) for i in (0, 20, 3) if i != q}
+    rows = [(0, [2e7, -2e7], 1), (20, [2e7, 1e7], 1), (3, [-2e7, 5.0], 1), (4, [1e18, 0.0], 1), (5, [2.0**56, 1.0], 1), (40, [1.0], 1), (60, [1e-3, 3e-3], 1)]
+    schema = "vec_id long, embedding array<double>, x int"
+    with pytest.raises(Exception, match="vec_id 0 and vec_id 4 is beyond a long"):
+        mips.top_inner_products(spark.createDataFrame(rows, schema).filter("vec_id in (0, 3, 4)")).collect()
+    rows = [r for r in rows if r[0] not in (4, 5, 40)]
+    got = sorted(map(tuple, mips.top_inner_products(spark.createDataFrame(rows, schema)).collect()))
+    assert got == brute_products([r[:2] for r in rows])
+    few = [(60, [1e-3, -3e-3], 1), (5, [2.0**56, 1.0], 1), (7, [-(2.0**56), 0.5], 1), (80, [0.0, 0.25], 1)]
+    got = sorted(map(tuple, mips.top_inner_products(spark.createDataFrame(few, schema)).collect()))
+    assert got == brute_products([r[:2] for r in few])
+
+
+def test_one_cell_with_repeated_ids_copies_and_large_rows():
+    rng = np.random.default_rng(8)
+    rows = np.round(rng.standard_normal((3000, 12)) * 40)
+    rows[200:900] = rows[200]  # copies
+    rows[7] *= 2.0**33  # beyond doubles, within a long
+    rows[8] *= 2.0**40
+    ids = np.arange(3000)
+    ids[2500:] = ids[:500]  # several vectors an id
+    asked = np.arange(0, 400, 20)
+    got = mips.search_cell(asked, rows[asked], ids, rows)
+    whole = [[int(x) for x in r] for r in rows]
+    found = {}
+    for q, i, s in zip(*map(list, got), strict=True):
+        found.setdefault(int(q), []).append((int(i), int(s)))
+    for q in asked:
+        best = {}
+        for i, r in zip(ids.tolist(), whole, strict=True):
+            if i != q:
+                s = sum(a * b for a, b in zip(whole[q], r, strict=True))
+                best[i] = max(s, best.get(i, s))
+        assert sorted(found[q], key=lambda x: (-x[1], x[0])) == sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
+
+
+def test_nearest_copies_go_to_the_smaller_ids():
+    rng = np.random.default_rng(3)
+    rows = rng.standard_normal((20_000, 16))
+    rows[rng.permutation(20_000)[:8000]] = rows[0]
+    ids = rng.permutation(20_000)
+    distance = np.sqrt(((rows - rows[0]) ** 2).sum(1))
+    own = int(ids[0])
+    got = ann.search_cell(np.array([own]), rows[:1], ids, rows)
+    want = sorted((d, i) for d, i in zip(distance.tolist(), ids.tolist(), strict=True) if i != own)[:10]
+    assert [(d, i) for d, i in zip(got[2].tolist(), got[1].tolist(), strict=True)] == want
+
+
+def test_nearest_in_one_cell_finds_most(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = rng.standard_normal((6000, 24)) + 3 * rng.standard_normal((20, 24))[rng.integers(0, 20, 6000)]
+    asked = np.arange(0, 6000, 100)
+    got = ann.search_cell(asked, rows[asked], np.arange(6000), rows)
+    hits = 0
+    for q in asked:
+        d = np.sqrt(((rows - rows[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & set(got[1][got[0] == q].tolist()))
+    assert hits >= 0.9 * 10 * len(asked)
 
 
 def test_empty_tables(spark):
