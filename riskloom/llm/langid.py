@@ -9,7 +9,7 @@ profile lacks an n-gram.
 Defined cases: a null text, or one without a letter, is `und` with score 0, as is every text if nothing was learned; a
 null lang is not learned from; equal distances go to the language that is first by code point; repeated rows are judged
 each; an empty table gives no rows; other columns pass through `identify`, but for lang_pred and score, which are
-replaced. Whole texts are counted; a very long one goes through in runs of a million characters.
+replaced. Whole texts are counted; a very long one goes through in runs, with the counts of the whole.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import small_batches, trimmed
 
 PROFILE, FOLDS, HELD_OUT = 400, 4, 2
+#: Characters of a very long text that are counted at a time.
 RUN = 1_000_000
 STEP_CHARS = 1_000_000
 #: Parts of a language's n-grams that are ranked apart before the last ranking.
@@ -52,10 +53,18 @@ def _mixed(key: np.ndarray) -> np.ndarray:
     return ((key ^ (key >> np.uint64(29))) >> np.uint64(13)).astype(np.uint32)
 
 
-def grams(texts: list[str]) -> Iterator[np.ndarray]:
-    """For each text, the hashed keys of all its n-grams; none if it has no letter."""
+def _gram(*codes: int) -> int:
+    """The hashed key of one n-gram; 0 stands for a gap."""
+    packed = {1: 0, 2: 1 << 63, 3: 3}[len(codes)]
+    for i, c in enumerate(reversed(codes)):
+        packed += c << 21 * i
+    return int(_mixed(np.array([packed & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
+
+
+def grams(lowered: list[str], marks: bool = False) -> Iterator[np.ndarray]:
+    """For each lower-cased text, the hashed keys of all its n-grams; none if it has no letter (with `marks`: neither
+    a letter nor a mark)."""
     kinds = _letters()
-    lowered = [t.lower() for t in texts]
     codes = np.frombuffer(("\n" + "\n".join(lowered) + "\n").encode("utf-32-le", "replace"), np.uint32)
     ends = np.cumsum([len(t) + 1 for t in lowered])
     kind = kinds[codes]
@@ -64,7 +73,7 @@ def grams(texts: list[str]) -> Iterator[np.ndarray]:
     kept[1:] |= inside[:-1]
     kept[0] = True
     place = np.concatenate([[0], np.cumsum(kept)])
-    letters = np.concatenate([[0], np.cumsum(kind == 2)])
+    letters = np.concatenate([[0], np.cumsum(inside if marks else kind == 2)])
     c = np.where(inside, codes, 0)[kept].astype(np.uint64)
     two = c[:-1] << np.uint64(21) | c[1:]
     three = c[:-2] << np.uint64(42) | two[1:]
@@ -92,24 +101,53 @@ def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _long(text: str) -> tuple[np.ndarray, np.ndarray]:
-    parts = [tally(next(grams([text[i : i + RUN]]))) for i in range(0, len(text), RUN)]
-    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.int64)
+    """The counts of a whole lower-cased text, in runs that end after a gap; a word longer than half a run is cut, and the
+    n-grams at the cut are put right."""
+    kinds = _letters()
+    keys, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    at, letters = 0, 0
+    while at < len(text):
+        part = text[at : at + RUN]
+        codes = np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32)
+        if at + RUN < len(text):
+            gaps = np.flatnonzero(kinds[codes[RUN // 2 :]] == 0)
+            if len(gaps):
+                codes = codes[: RUN // 2 + int(gaps[-1]) + 1]
+                part = part[: len(codes)]
+            elif kinds[ord(text[at + RUN])]:
+                before, last, then = int(codes[-2]), int(codes[-1]), ord(text[at + RUN])
+                later = ord(text[at + RUN + 1]) if at + RUN + 1 < len(text) else 0
+                later = later if kinds[later] else 0
+                for sign, wrong in ((-1, [(last, 0), (before, last, 0), (0, then), (0, then, later)]), (1, [(last, then), (before, last, then), (last, then, later)])):
+                    keys.append(np.array([_gram(*g) for g in wrong], np.uint32))
+                    counts.append(np.full(len(wrong), sign))
+        letters += int((kinds[codes] == 2).sum())
+        k, n = tally(next(grams([part], marks=True)))
+        keys.append(k)
+        counts.append(n)
+        at += len(part)
+    if not letters:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, inverse, np.concatenate(counts))
+    return found[total > 0], total[total > 0]
 
 
 def counted(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text, its distinct n-grams and their counts."""
+    lowered = [t.lower() for t in texts]
     i = 0
-    while i < len(texts):
-        if len(texts[i]) > RUN:
-            yield _long(texts[i])
+    while i < len(lowered):
+        if len(lowered[i]) > RUN:
+            yield _long(lowered[i])
             i += 1
             continue
         j, size = i, 0
-        while j < len(texts) and size < STEP_CHARS and len(texts[j]) <= RUN:
-            size += len(texts[j]) + 1
+        while j < len(lowered) and size < STEP_CHARS and len(lowered[j]) <= RUN:
+            size += len(lowered[j]) + 1
             j += 1
-        yield from map(tally, grams(texts[i:j]))
+        yield from map(tally, grams(lowered[i:j]))
         i = j
 
 

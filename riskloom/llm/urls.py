@@ -2,12 +2,14 @@
 
 The rules (host, path, verdict) become an array of 64-bit xxhash keys, sorted, beside the full strings. The file is
 written once to the shared folder, Spark hands it to every executor, and tasks memory-map it: a long list costs address
-space, not memory. A url is probed with every host suffix and every rule path length by vectorised binary search;
-what has an equal key is confirmed against the stored string. The longest rule that fits wins; a url that no rule fits
+space, not memory. A url is probed with every host suffix that is no longer (in labels and in characters) than the longest
+rule host, and with every rule path length, by vectorised binary search; what has an equal key is confirmed against the
+stored string. The longest rule that fits wins; a url that no rule fits
 gets the method's own verdict, allow, for it is not on the list.
 
 Defined cases: a null url, or one without ://, has an empty host and path and no rule; an empty rule list allows all;
-repeated rules count once (the same rule with two verdicts is an error); an empty table gives no rows; other columns
+repeated rules count once (the same rule with two verdicts is an error); a very long url costs its length once, whatever
+its number of labels; repeated rows are judged each; an empty table gives no rows; other columns
 pass through, but for host, path, rule and verdict, which are replaced.
 """
 
@@ -30,17 +32,19 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 #: Rules come from a configuration, through the driver; a longer list is refused, not cut.
 MOST_RULES = 20_000_000
 VERDICTS = ("allow", "block")
-_HEAD = struct.Struct("<qqq")
+_HEAD = struct.Struct("<qqqqq")
 
 
 def build(rules: Iterable[tuple[str, str, str]]) -> bytes:
-    """The file: counts, path lengths, sorted keys, string ends, verdicts, strings."""
+    """The file: counts, the most labels and characters of a rule's host, path lengths, sorted keys, string ends, verdicts, strings."""
     found: dict[str, str] = {}
     lengths: dict[str, int] = {}
+    labels = widest = 0
     for host, path, verdict in rules:
         if found.setdefault(host + path, verdict) != verdict:
             raise ValueError(f"two verdicts for {host}{path}")
         lengths[host + path] = len(path)
+        labels, widest = max(labels, host.count(".") + 1), max(widest, len(host))
     if len(found) > MOST_RULES:
         raise ValueError(f"{len(found)} rules; at most {MOST_RULES}")
     keys = np.array([xxhash.xxh64_intdigest(r) for r in found], np.uint64)
@@ -50,7 +54,7 @@ def build(rules: Iterable[tuple[str, str, str]]) -> bytes:
     paths = np.array(sorted(set(lengths.values())), np.int64)
     ends = np.cumsum([0, *map(len, strings)], dtype=np.int64)
     verdicts = np.array([VERDICTS.index(found[names[i]]) for i in order], np.int64)
-    return _HEAD.pack(len(strings), len(paths), int(ends[-1])) + paths.tobytes() + keys[order].tobytes() + ends.tobytes() + verdicts.tobytes() + b"".join(strings)
+    return _HEAD.pack(len(strings), len(paths), int(ends[-1]), labels, widest) + paths.tobytes() + keys[order].tobytes() + ends.tobytes() + verdicts.tobytes() + b"".join(strings)
 
 
 class DigestArray:
@@ -58,7 +62,7 @@ class DigestArray:
 
     def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, "r")
-        n, p, _ = _HEAD.unpack(raw[: _HEAD.size].tobytes())
+        n, p, _, self.labels, self.widest = _HEAD.unpack(raw[: _HEAD.size].tobytes())
         at = _HEAD.size
         parts = []
         for count, kind in ((p, np.int64), (n, np.uint64), (n + 1, np.int64), (n, np.int64)):
@@ -82,6 +86,19 @@ class DigestArray:
                 at += 1
         return out
 
+    def suffixes(self, host: str) -> list[str]:
+        """The host and those of its parents that a rule's host can be, longest first."""
+        tail, out = host[-self.widest - 1 :], []
+        at = len(tail)
+        for _ in range(self.labels):
+            at = tail.rfind(".", 0, at)
+            if at < 0:
+                break
+            out.append(tail[at + 1 :])
+        if at < 0 and len(tail) == len(host):
+            out.append(host)
+        return out[::-1]
+
     def judge(self, hosts: list[str], paths: list[str]) -> tuple[list[str | None], list[str]]:
         """The rule and the verdict of each pair; each host and path head is looked up once."""
         heads = {}
@@ -93,9 +110,7 @@ class DigestArray:
         probes: dict[str, int] = {}
         wanted = {}
         for host, head in heads:
-            labels = host.split(".")
-            mine = [".".join(labels[i:]) + head for i in range(len(labels))]
-            wanted[host, head] = [probes.setdefault(x, len(probes)) for x in mine]
+            wanted[host, head] = [probes.setdefault(x + head, len(probes)) for x in self.suffixes(host)]
         names = list(probes)
         place = self.find(names)
         best: dict[tuple[str, str], int] = {}

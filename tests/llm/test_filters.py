@@ -32,6 +32,17 @@ def test_urls(spark):
     assert {r.verdict for r in urls.filter_urls(df, []).collect()} == {"allow"}
 
 
+def test_long_hosts(tmp_path):
+    path = tmp_path / "rules"
+    path.write_bytes(urls.build([*urls.RULES, ("a.b.c.d.org", "/", "block")]))
+    array = urls.DigestArray(str(path))
+    for host in ("a." * 100_000 + "net", "x" * 100_000, "a.b.c.d.org", "z.a.b.c.d.org", "b.c.d.org", "za.b.c.d.org", ".a.b.c.d.org", "net.", "..", "com"):
+        fits = [h for h in array.suffixes(host) if h in ("com", "net", "a.b.c.d.org")]
+        assert fits == [h for h in ("com", "net", "a.b.c.d.org") if host == h or host.endswith("." + h)]
+        assert len(array.suffixes(host)) <= 6
+    assert array.judge(["a." * 100_000 + "net"], ["/es/x"]) == (["net/es/"], ["block"])
+
+
 def test_equal_keys_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda s: len(s) % 2)  # nearly all keys collide
     path = tmp_path / "rules"
