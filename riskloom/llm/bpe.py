@@ -1,15 +1,19 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A text is cut into chunks that overlap. Each chunk is split by the pre-token pattern on its own, in parallel; a chunk
-that starts inside a pre-token soon falls into step with the true boundaries. Two neighbours are stitched at the first
-boundary of the overlap that both have; the pieces between stitches are then encoded by merge ranks, in parallel, and
-each text's ids are joined in order. Decoding concatenates the bytes of the ids.
+A text is cut into chunks that overlap. Each chunk is split by the pre-token pattern on its own; a chunk that starts
+inside a pre-token soon falls into step with the true boundaries. Two neighbours are stitched at the first boundary of
+the overlap that both have; the pieces are then encoded by merge ranks and each text's ids are joined in order. Decoding
+concatenates the bytes of the ids.
 
-A text of one chunk needs no stitching and is encoded where it is read; only longer ones are dealt out.
+Ordinary documents of more than a chunk are cut, stitched and encoded in the task that reads them. A text beyond `DEAL`
+characters is dealt: its larger chunks are split by different tasks, stitched, and the runs between stitches are encoded
+by different tasks again.
+
+The pattern must cover every character, and may look past a match by `SURE` characters or through white space only.
 
 Defined cases: a null text is an empty one, with no ids and no bytes; repeated rows are encoded each; neighbours whose
-overlap has no common boundary (a run of letters longer than the overlap) are split on from the last true boundary until
-one fits; an empty table gives no rows; other columns are kept by `encode`, but for those that it adds.
+overlap has no common boundary (a run of letters or blanks longer than the overlap) are split on from the last true
+boundary until one fits; an empty table gives no rows; other columns are kept by `encode`, but for those that it adds.
 """
 
 from __future__ import annotations
@@ -27,11 +31,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import small_batches, trimmed
+from riskloom.llm.common import materialise, small_batches, trimmed
 
 #: Characters of a chunk, and of its overlap with the next one.
-CHUNK, OVERLAP = 65_536, 512
-#: A boundary is sure if the match before it ended so far from the end of the chunk (the pattern looks no further).
+CHUNK, OVERLAP = 1024, 64
+#: Characters of a text beyond which it is dealt to tasks, in chunks of as many, and the overlap of these.
+DEAL, DEAL_OVERLAP = 65_536, 512
+#: A boundary is sure if the match before it ended so far from the end of the chunk (the pattern looks no further), and
+#: something other than white space is left after it (of that, the pattern looks through any length).
 SURE = 3
 #: Distinct pre-tokens whose ids a worker keeps (and as many older ones), and the longest that it keeps.
 CACHE, CACHE_LENGTH = 200_000, 40
@@ -113,12 +120,43 @@ class Codec:
             self.kept[piece] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
+    def pretokens(self, text: str, chunk: int, overlap: int) -> list[str]:
+        """The pre-tokens of a text, by overlapping chunks; the text starts and ends at true boundaries."""
+        find, n = self.split.findall, len(text)
+        end = chunk + overlap
+        if n <= end:
+            return find(text)
+        out, now, then = [], find(text[:end]), chunk
+        while end < n:
+            later_end = min(n, then + chunk + overlap)
+            later = find(text[then:later_end])
+            sure = sure_end(text[then:end], then, False)
+            own, i, at = {}, len(now), end
+            while i and (at >= then or at > sure):
+                if at <= sure:
+                    own[at] = i
+                i -= 1
+                at -= len(now[i])
+            meet = then
+            for j, piece in enumerate(later):
+                if meet in own or meet > sure:
+                    break
+                meet += len(piece)
+            if meet in own:
+                out += now[: own[meet]]
+                now = later[j:]
+            else:  # split on from the last true boundary
+                out += now[:i]
+                now = find(text[at:later_end])
+            end, then = later_end, then + chunk
+        return out + now
+
+    def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> bytes:
         """The ids of a text as 32-bit integers; the text starts and ends at true boundaries."""
         if len(self.kept) > CACHE:
             self.kept, self.older = {}, self.kept
         kept, missing = self.kept.get, self._missing
-        return b"".join([kept(piece) or missing(piece) for piece in self.split.findall(text)])
+        return b"".join([kept(piece) or missing(piece) for piece in self.pretokens(text, chunk, overlap)])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -127,6 +165,11 @@ class Codec:
         return [m.end() for m in self.split.finditer(text, start)]
 
 
+def sure_end(text: str, first: int, last: bool) -> int:
+    """Up to where the boundaries of a chunk (or of its end: `text`, from place `first`) are sure."""
+    return first + (len(text) if last else min(len(text) - SURE, len(text.rstrip()) - 1))
+
+
 def digests(codec: Codec, encoded: bytes) -> tuple[int, str, str]:
     """The number of ids, the sha256 of their decimal text, and the sha256 of the bytes that they decode to."""
     ids = np.frombuffer(encoded, np.int32).tolist()
@@ -160,7 +203,7 @@ def stitch(codec: Codec, chunks: list[tuple[int, str, np.ndarray]], length: int)
         while True:
             joined += chunks[j][1][end - chunks[j][0] :]
             end = chunks[j][0] + len(chunks[j][1])
-            sure = end if j + 1 == len(chunks) else end - SURE
+            sure = sure_end(joined, turn, j + 1 == len(chunks))
             mine = turn + np.array(codec.boundaries(joined), np.int64)
             met = np.intersect1d(mine[(mine > then) & (mine <= sure)], chunks[j][2], assume_unique=True)
             if len(met) or j + 1 == len(chunks):
@@ -174,7 +217,7 @@ def stitch(codec: Codec, chunks: list[tuple[int, str, np.ndarray]], length: int)
 _CODECS: dict[str, Codec] = {}
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, deal: int = DEAL, deal_overlap: int = DEAL_OVERLAP) -> DataFrame:
     """All columns of `docs` (with a column text) but text, and n_tokens, ids_sha256, decoded_sha256."""
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))  # a vocabulary file: its size doesn't follow the data
     name = uuid.uuid4().hex
@@ -192,17 +235,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int =
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec()
         for batch in batches:
-            found = [digests(c, c.encode(text.as_py() or "")) for text in batch["text"]]
+            found = [digests(c, c.encode(text.as_py() or "", chunk, overlap)) for text in batch["text"]]
             columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), *columns], names=[*keys, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     small_batches(docs.sparkSession)
-    short = F.coalesce(F.length("text"), F.lit(0)) <= chunk
+    short = F.coalesce(F.length("text"), F.lit(0)) <= deal
     done = kept.filter(short).mapInArrow(whole, out)
 
+    # written once: the rows' numbers must not change between the chunks and the join
     long = kept.filter(~short).withColumn("_row", F.monotonically_increasing_id()).withColumn("_length", F.length("text"))
-    chunks = long.withColumn("_n", F.explode(F.sequence(F.lit(0), F.expr(f"int((_length - 1) div {chunk})"))))
-    chunks = chunks.withColumn("text", F.expr(f"substring(text, _n * {chunk} + 1, {chunk + overlap})"))
+    long = materialise(long, "long-texts")
+    chunks = long.withColumn("_n", F.explode(F.sequence(F.lit(0), F.expr(f"int((_length - 1) div {deal})"))))
+    chunks = chunks.withColumn("text", F.expr(f"substring(text, _n * {deal} + 1, {deal + deal_overlap})"))
 
     @trimmed
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,9 +255,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int =
         for batch in batches:
             bounds = []
             for text, n, length in zip(batch["text"], batch["_n"], batch["_length"], strict=True):
-                text, first = text.as_py(), n.as_py() * chunk
+                text, first = text.as_py(), n.as_py() * deal
                 found = np.array(c.boundaries(text), np.int64)
-                sure = len(text) if first + len(text) >= length.as_py() else len(text) - SURE
+                sure = sure_end(text, 0, first + len(text) >= length.as_py())
                 bounds.append((found[found <= sure] + first).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bounds, pa.binary())], names=[*batch.schema.names, "_bounds"])
 
@@ -222,7 +267,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int =
 
     def runs(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("_n")
-        parts = [(n.as_py() * chunk, text.as_py(), np.frombuffer(b.as_py(), np.int64)) for n, text, b in zip(rows["_n"], rows["text"], rows["_bounds"], strict=True)]
+        parts = [(n.as_py() * deal, text.as_py(), np.frombuffer(b.as_py(), np.int64)) for n, text, b in zip(rows["_n"], rows["text"], rows["_bounds"], strict=True)]
         found = list(stitch(codec(), parts, rows["_length"][0].as_py()))
         return pa.table([pa.array([rows["_row"][0].as_py()] * len(found), pa.int64()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string())], names=["_row", "_at", "text"])
 
@@ -232,7 +277,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int =
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec()
         for batch in batches:
-            ids = [c.encode(text.as_py()) for text in batch["text"]]
+            ids = [c.encode(text.as_py(), chunk, overlap) for text in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["_row"], batch["_at"], pa.array(ids, pa.binary())], names=["_row", "_at", "_ids"])
 
     encoded = stitched.mapInArrow(pieces, "_row long, _at long, _ids binary")

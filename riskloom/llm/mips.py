@@ -58,8 +58,8 @@ def products(queries: np.ndarray, rows: np.ndarray, mask: np.ndarray) -> np.ndar
 class Best:
     """The k best distinct vec_ids of each of some queries."""
 
-    def __init__(self, n: int, k: int):
-        self.k = k
+    def __init__(self, n: int, k: int, distinct: bool):
+        self.k, self.distinct = k, distinct  # distinct: no vec_id comes twice
         self.scores, self.ids = np.full((n, k), _LEAST, np.int64), np.full((n, k), _NOBODY)
 
     def kth(self) -> np.ndarray:
@@ -69,11 +69,12 @@ class Best:
         """Merge the scores of some rows (`ids`) into the queries `who`; a vec_id keeps its best score."""
         s = np.concatenate([self.scores[who], np.where(mask, scores, _LEAST)], 1)
         i = np.concatenate([self.ids[who], np.where(mask, ids[None, :], _NOBODY)], 1)
-        place = np.lexsort((-s, i), axis=1)
-        s, i = np.take_along_axis(s, place, 1), np.take_along_axis(i, place, 1)
-        again = np.zeros(i.shape, bool)
-        again[:, 1:] = i[:, 1:] == i[:, :-1]
-        s[again], i[again] = _LEAST, _NOBODY
+        if not self.distinct:
+            place = np.lexsort((-s, i), axis=1)
+            s, i = np.take_along_axis(s, place, 1), np.take_along_axis(i, place, 1)
+            again = np.zeros(i.shape, bool)
+            again[:, 1:] = i[:, 1:] == i[:, :-1]
+            s[again], i[again] = _LEAST, _NOBODY
         place = np.lexsort((i, -s), axis=1)[:, : self.k]
         self.scores[who], self.ids[who] = np.take_along_axis(s, place, 1), np.take_along_axis(i, place, 1)
 
@@ -83,10 +84,10 @@ def search_cell(query_ids, queries, ids, rows, k: int = K):
     queries, rows = np.floor(queries), np.floor(rows)
     out = [(np.zeros(0, np.int64),) * 3]
     apart, aside = np.abs(rows).max(1) > WIDE, np.abs(queries).max(1) > WIDE  # too long for bounds in doubles
-    plain = ~apart
+    plain, distinct = ~apart, len(np.unique(ids)) == len(ids)
     for a in range(0, len(queries), QUERIES):
         part = slice(a, a + QUERIES)
-        best = Best(len(queries[part]), k)
+        best = Best(len(queries[part]), k, distinct)
         mine = np.flatnonzero(~aside[part])
         if len(mine) and plain.any():
             _pruned(query_ids[part], queries[part], mine, ids[plain], rows[plain], best)

@@ -19,17 +19,27 @@ def digests(text):
     return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
 
 
-@pytest.mark.parametrize("chunk,overlap", [(65_536, 512), (40, 8), (16, 4)])
-def test_texts_of_every_kind(spark, chunk, overlap):
-    rnd = random.Random(3)
+def odd_texts(rnd, n):
     pieces = ["a", "'", "re", " ", "  ", "\n", "x1", "é", "..", "'s", "word ", " 12", "日本", "😀", "\t\u00a0"]
-    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 120))) for _ in range(60)]
-    texts += [None, "", " ", "q" * 500, "don't " * 60, "<|endoftext|>", "same", "same", "x" * 70 + " " * 70 + "y" * 70]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 120))) for _ in range(n)]
+    return [*texts, "", " ", "q" * 500, "don't " * 60, "<|endoftext|>", "same", "same", "x" * 70 + " " * 70 + "y" * 70, "\n" + " " * 300 + "\n" + " " * 90 + "a", "a" + " \n" * 100]
+
+
+@pytest.mark.parametrize("chunk,overlap,deal,deal_overlap", [(1024, 64, 65_536, 512), (40, 8, 100, 16), (16, 4, 40, 8), (24, 6, 10**6, 8)])
+def test_texts_of_every_kind(spark, chunk, overlap, deal, deal_overlap):
+    texts = [*odd_texts(random.Random(3), 60), None]
     rows = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
-    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode(rows, RANKS, public_tokenizers.PATTERN, chunk, overlap).collect()}
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode(rows, RANKS, public_tokenizers.PATTERN, chunk, overlap, deal, deal_overlap).collect()}
     assert got == {i: digests(t) for i, t in enumerate(texts)}
 
 
+def test_chunks_give_the_pretokens_of_the_whole():
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    for text in odd_texts(random.Random(9), 400):
+        for chunk, overlap in ((16, 4), (20, 10), (33, 7)):
+            assert codec.pretokens(text, chunk, overlap) == codec.split.findall(text), (text, chunk)
+
+
 def test_empty_table(spark):
     rows = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(rows, RANKS, public_tokenizers.PATTERN).count() == 0
