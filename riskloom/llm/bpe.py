@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import materialise, small_batches, trimmed
 
 #: Characters of a chunk, and of its overlap with the next one.
-CHUNK, OVERLAP = 1024, 64
+CHUNK, OVERLAP = 1536, 48
 #: Characters of a text beyond which it is dealt to tasks, in chunks of as many, and the overlap of these.
 DEAL, DEAL_OVERLAP = 65_536, 512
 #: A boundary is sure if the match before it ended so far from the end of the chunk (the pattern looks no further), and
@@ -107,8 +107,10 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern, regex.V0)
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.decimals = {rank: str(rank) for rank in self.tokens}
+        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.decimals = [str(rank) for rank in range(len(self.tokens))]
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -159,7 +161,8 @@ class Codec:
         return b"".join([kept(piece) or missing(piece) for piece in self.pretokens(text, chunk, overlap)])
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        tokens = self.tokens
+        return b"".join([tokens[i] for i in ids])
 
     def boundaries(self, text: str, start: int = 0) -> list[int]:
         return [m.end() for m in self.split.finditer(text, start)]
@@ -173,7 +176,8 @@ def sure_end(text: str, first: int, last: bool) -> int:
 def digests(codec: Codec, encoded: bytes) -> tuple[int, str, str]:
     """The number of ids, the sha256 of their decimal text, and the sha256 of the bytes that they decode to."""
     ids = np.frombuffer(encoded, np.int32).tolist()
-    text = ",".join(map(codec.decimals.__getitem__, ids))
+    decimals = codec.decimals
+    text = ",".join([decimals[i] for i in ids])
     return len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
 
 
