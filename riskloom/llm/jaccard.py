@@ -1,14 +1,17 @@
 """N-gram Jaccard join by a size-aware heavy-light method.
 
-A document's set holds the keys of its distinct word shingles (64 bits; 56 are compared across documents). Documents with equal sets are one class, by a
-fingerprint. Two classes link when their sets' Jaccard similarity is at least a whole percentage.
+A document's set holds the keys of its distinct word shingles (64 bits; 56 are compared across documents). Documents with
+equal sets are one class, by a 128-bit fingerprint. Two classes link when their sets' Jaccard similarity is at least a
+whole percentage.
 
 * Shingles are ordered by the number of sets that hold them, rarest first; those of one set only can't link. A set that
   has so many of these that none of its prefix is left links with nothing, and is done.
 * Light sets, up to a size, enumerate their subsets of the fixed size that a partner of each size must share; whoever
   has the same subset is linked without a comparison.
-* Heavy sets are found in the inverted lists of the prefixes. Lists that hang together make a cluster; its sets are
-  dealt to cells of a grid of blocks by size, and in a cell each set scans the inverted lists of its shingles, counts
+* Heavy sets are found in the inverted lists of the prefixes. First each list's members are compared with its head, in
+  shares of a bounded number of sets; that links a group of near copies, however large, by one comparison a member and
+  head. Only lists whose members still hang together in several components are scanned. A list is the unit of work: it
+  is dealt to cells of a grid of blocks by size, and in a cell each set scans the inverted lists of its shingles, counts
   overlaps, and leaves out those that it already hangs together with. Cells give a spanning forest, never all pairs.
 * The size up to which sets are light is chosen by cost: subsets to enumerate against postings to scan.
 
@@ -17,8 +20,8 @@ place: any fixed order gives the same links.
 
 Defined cases: a null or blank text has an empty set, 0 shingles and no links; fewer words than a shingle are one
 shingle; rows with one doc_id are separate documents if their texts differ; a null doc_id is linked like any other, but
-never is a component's id unless no other is there; repeated rows fall in one class; an empty table gives no rows; other
-columns are ignored.
+never is a component's id unless no other is there; repeated rows fall in one class; ties have no part in it, since a
+component's id is its least; a very long text is one set, whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,8 +50,9 @@ SAMPLE, COMMON = 4096, 8
 HOT_CLASSES = 100_000
 #: Light sets have at most so many shingles whatever the cost says.
 MOST_LIGHT = 24
-CELL_KEYS, CELL_SETS = 1_000_000, 2048
-#: Clusters by band of sizes, up to which their numbers of blocks are broadcast; beyond, they are joined by key.
+#: Shingles and sets of one block of a list, or of one share of a head's members.
+CELL_KEYS, CELL_SETS = 250_000, 256
+#: Lists by band of sizes, up to which their numbers of blocks are broadcast; beyond, they are joined by key.
 BROADCAST_BANDS = 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,8 +91,8 @@ def least_partner(n: np.ndarray | int, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
-def _fingerprint(keys: np.ndarray) -> int | None:
-    return xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63) if len(keys) else None
+def _fingerprint(keys: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(keys.tobytes()) if len(keys) else None
 
 
 def describe(docs: DataFrame, every: int, words: int = WORDS) -> DataFrame:
@@ -105,10 +109,10 @@ def describe(docs: DataFrame, every: int, words: int = WORDS) -> DataFrame:
                     sample.append(keys.tobytes())
             taken = batch["_pick"].to_numpy(zero_copy_only=False)
             sample = [s if t else None for s, t in zip(sample, taken, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(sample, pa.binary())], names=["doc_id", "n", "fp", "sample"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sample, pa.binary())], names=["doc_id", "n", "fp", "sample"])
 
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_pick", pick).mapInArrow(sets, "doc_id long, n long, fp long, sample binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_pick", pick).mapInArrow(sets, "doc_id long, n long, fp binary, sample binary")
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -119,10 +123,10 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [_fingerprint(keys) for _, _, data, offsets in steps(batch["text"]) for keys in shingle_sets(data, offsets, words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.binary())], names=names)
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("fp", T.BinaryType())]))
 
 
 def _exploded(rows: DataFrame, binary: str, keep: list[str]) -> DataFrame:
@@ -139,7 +143,7 @@ def _exploded(rows: DataFrame, binary: str, keep: list[str]) -> DataFrame:
     return rows.select(binary, *keep).mapInArrow(explode, ", ".join(["key long", *(f"{c} {kinds[c]}" for c in keep)]))
 
 
-def survivors(docs: DataFrame, base: DataFrame, hot: dict[int, int], common: np.ndarray, percent: int, words: int) -> DataFrame:
+def survivors(docs: DataFrame, base: DataFrame, hot: dict[bytes, int], common: np.ndarray, percent: int, words: int) -> DataFrame:
     """fp, n, keys (shingles that other sets hold too), prefix (the rarest of them, as far as a partner must meet one)."""
     total = base.agg(F.sum("n")).first()[0] or 0
     order = np.argsort(common, kind="stable")
@@ -149,13 +153,14 @@ def survivors(docs: DataFrame, base: DataFrame, hot: dict[int, int], common: np.
         hot, known, rank = shared.value
         ids = batch["doc_id"].to_pylist()
         keys, at, fps, ns, common_at, common_rank = [], [], [], [], [], []
-        row = 0
+        row, seen = 0, set()
         for _, _, data, offsets in steps(batch["text"]):
             for mine in shingle_sets(data, offsets, words):
-                fp = xxhash.xxh3_64_intdigest(mine.tobytes()) - (1 << 63) if len(mine) else 0
-                fps.append(fp)
+                fp = _fingerprint(mine)
+                fps.append(fp or bytes(16))
                 ns.append(len(mine))
-                if len(mine) and hot.get(fp, ids[row]) == ids[row]:
+                if fp is not None and fp not in seen and hot.get(fp, ids[row]) == ids[row]:
+                    seen.add(fp)  # copies next to it are left out too, whatever their ids
                     if len(known):
                         place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
                         found = known[place] == mine
@@ -166,10 +171,10 @@ def survivors(docs: DataFrame, base: DataFrame, hot: dict[int, int], common: np.
                     keys.append(mine)
                     at.append(np.full(len(mine), row, np.uint32))
                 else:
-                    ns[-1] = 0  # a copy of a hot class, or an empty set
+                    ns[-1] = 0  # a copy, or an empty set
                 row += 1
         cat = lambda x, t: np.concatenate([np.zeros(0, t), *x]).astype(t)
-        own = [np.array(fps, np.int64), np.array(ns, np.int64), cat(common_at, np.int64), cat(common_rank, np.int64)]
+        own = [np.frombuffer(b"".join(fps), np.int64), np.array(ns, np.int64), cat(common_at, np.int64), cat(common_rank, np.int64)]
         sizes = np.array([len(x) for x in own], np.int64)
         return cat(keys, np.uint64), cat(at, np.uint32), None, sizes.tobytes() + b"".join(x.tobytes() for x in own)
 
@@ -198,21 +203,21 @@ def survivors(docs: DataFrame, base: DataFrame, hot: dict[int, int], common: np.
             n, mine = int(ns[row]), keys[cut[row] : cut[row + 1]]
             left = n - least_partner(n, percent) + 1 - (n - len(mine))
             if left > 0:
-                out.append((int(fps[row]), n, np.sort(mine).tobytes(), mine[:left].tobytes()))
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["fp", "n", "keys", "prefix"])
+                out.append((fps[2 * row : 2 * row + 2].tobytes(), n, np.sort(mine).tobytes(), mine[:left].tobytes()))
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.binary()))], names=["fp", "n", "keys", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return exchange(rows, parts_for(total), deal, answer, gather, "fp long, n long, keys binary, prefix binary", width=KEY_BYTES).dropDuplicates(["fp"])
+    return exchange(rows, parts_for(total), deal, answer, gather, "fp binary, n long, keys binary, prefix binary", width=KEY_BYTES).dropDuplicates(["fp"])
 
 
-def light_keys(n: int, keys: np.ndarray, percent: int) -> Iterator[tuple[int, int, int]]:
+def light_keys(n: int, keys: np.ndarray, percent: int) -> Iterator[tuple[bytes, int, int]]:
     """(subset key, least size, greatest size) for each subset that a partner of each size must share."""
     for other in range(least_partner(n, percent), 100 * n // percent + 1):
         low, high = min(n, other), max(n, other)
         size = overlap_needed(n, other, percent)
         if size <= min(low, len(keys)):
             for subset in itertools.combinations(keys.tolist(), size):
-                yield xxhash.xxh3_64_intdigest(np.array([*subset, low, high], np.uint64).tobytes()) - (1 << 63), low, high
+                yield xxhash.xxh3_128_digest(np.array([*subset, low, high], np.uint64).tobytes()), low, high
 
 
 def light_cost(n: int, held: int, percent: int) -> int:
@@ -243,20 +248,59 @@ def light_links(sets: DataFrame, percent: int) -> DataFrame:
     def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(key, fp.as_py(), n.as_py() == low) for fp, n, keys in zip(batch["fp"], batch["n"], batch["keys"], strict=True) for key, low, _ in light_keys(n.as_py(), np.frombuffer(keys.as_py(), np.uint64), percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["key", "fp", "less"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], names=["key", "fp", "less"])
 
-    rows = sets.select("fp", "n", "keys").mapInArrow(subsets, "key long, fp long, less boolean")
+    rows = sets.select("fp", "n", "keys").mapInArrow(subsets, "key binary, fp binary, less boolean")
     heads = rows.groupBy("key").agg(F.min(F.when(F.col("less"), F.col("fp"))).alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1 and head is not null")
     return rows.join(heads, "key").filter("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
 
 
-def scan(fps: np.ndarray, ns: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, light: int) -> list[tuple[int, int]]:
-    """Links of one cell that make a spanning forest: each set scans the inverted lists of its keys."""
+def _cut(rows: DataFrame, *keys: str) -> DataFrame:
+    """Into how many blocks of bounded size the sets of each key fall."""
+    return rows.groupBy(*keys).agg(F.ceil(F.greatest(F.sum("n") / CELL_KEYS, F.count(F.lit(1)) / CELL_SETS)).cast("int").alias("blocks"))
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """Broadcast if it is small; df is written already."""
+    return F.broadcast(df) if df.count() <= BROADCAST_BANDS else df
+
+
+def head_links(sets: DataFrame, lists: DataFrame, light: int, percent: int) -> DataFrame:
+    """Links of sets with the heads of their lists. `lists`: key, fp, n, head and head_n."""
+    fits = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
+    pairs = lists.filter((F.col("fp") != F.col("head")) & fits & (F.greatest("n", "head_n") > light)).select("fp", "n", "head", "head_n").distinct()
+    pairs = materialise(pairs, "head-pairs")
+    shares = _held(materialise(_cut(pairs, "head"), "head-shares"))
+    members = pairs.join(shares, "head").withColumn("share", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    members = members.select("fp", "n", "head", "share").join(sets.select("fp", "keys"), "fp")
+    heads = shares.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.col("head").alias("fp"), "share")
+    heads = heads.join(sets.select("fp", F.col("n").alias("head_n"), F.col("keys").alias("head_keys")), "fp").withColumnRenamed("fp", "head")
+
+    def compare(one: pa.Table, some: pa.Table) -> pa.Table:
+        out = []
+        if len(one) and len(some):
+            head, n = np.frombuffer(one["head_keys"][0].as_py(), np.uint64), one["head_n"][0].as_py()
+            sizes = some["n"].to_numpy()
+            blobs = [x.as_py() for x in some["keys"]]
+            keys = np.frombuffer(b"".join(blobs), np.uint64)
+            owner = np.repeat(np.arange(len(blobs)), [len(x) // 8 for x in blobs])
+            place = np.minimum(np.searchsorted(head, keys), len(head) - 1)
+            common = np.bincount(owner[head[place] == keys], minlength=len(blobs))
+            found = np.flatnonzero(100 * common >= percent * (n + sizes - common))
+            out = [(some["fp"][int(i)].as_py(), one["head"][0].as_py()) for i in found]
+        return pa.table([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    keys = ["head", "share"]
+    return heads.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(compare, "a binary, b binary")
+
+
+def scan(ns: np.ndarray, sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, percent: int, light: int) -> list[tuple[int, int]]:
+    """Links of one cell, as places, that join its components (`root`): each set scans the inverted lists of its keys."""
     keys = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
-    root = np.arange(len(sets))  # every set's component, kept flat
+    root = root.copy()  # every set's component, kept flat
     links = []
     for i in np.argsort(-ns, kind="stable"):
         n = int(ns[i])
@@ -273,43 +317,50 @@ def scan(fps: np.ndarray, ns: np.ndarray, sets: list[np.ndarray], side: np.ndarr
         common = np.bincount(met, minlength=len(sets))
         for j in np.flatnonzero(others & (100 * common >= percent * (n + ns - common))):
             if root[j] != root[i]:
-                links.append((int(fps[i]), int(fps[j])))
+                links.append((int(i), int(j)))
                 root[root == root[j]] = root[i]
     return links
 
 
-def heavy_links(sets: DataFrame, lists: DataFrame, light: int, percent: int) -> DataFrame:
-    """Links with at least one heavy set. `lists`: key, fp, n and head (the least fp of the key's list)."""
-    clusters = materialise(components(lists.select(F.col("fp").alias("a"), F.col("head").alias("b"))), "clusters")
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
-    placed = sets.select("fp", "n", (F.length("keys") / 8).alias("m")).join(clusters.select(F.col("node").alias("fp"), "root"), "fp")
-    placed = materialise(placed.withColumn("band", band), "clustered")  # without the keys
-    blocks = F.ceil(F.greatest(F.sum("m") / CELL_KEYS, F.count(F.lit(1)) / CELL_SETS)).cast("int")
-    whole = placed.groupBy("root").agg(blocks.alias("all_blocks"))
-    bands = materialise(placed.groupBy("root", "band").agg(blocks.alias("blocks")), "bands")
+def open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, fp, n, root: the lists whose members are in several components; of lists with the same members, one."""
+    placed = lists.select("key", "fp", "n").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = materialise(placed, "placed")
+    members = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("fp")), F.bit_xor(F.xxhash64(F.lit("again"), "fp"))]
+    of_key = placed.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other"), *(m.alias(f"s{i}") for i, m in enumerate(members)))
+    kept = of_key.filter("one <> other").groupBy("s0", "s1", "s2").agg(F.min("key").alias("key")).select("key")
+    return materialise(placed.join(kept, "key"), "open-lists")
+
+
+def list_links(sets: DataFrame, lists: DataFrame, light: int, percent: int) -> DataFrame:
+    """Links with at least one heavy set between components. `lists`: key, fp, n, root."""
+    rows = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int"))
+    whole = _held(materialise(_cut(rows, "key").withColumnRenamed("blocks", "all_blocks"), "list-blocks"))
+    bands = materialise(_cut(rows, "key", "band"), "list-bands")
     small = bands.count() <= BROADCAST_BANDS
     held = lambda df: F.broadcast(df) if small else df
-    beside = lambda step, name: bands.select("root", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
-    rows = placed.join(held(whole), "root").join(held(bands), ["root", "band"])
+    beside = lambda step, name: bands.select("key", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
+    rows = rows.join(whole, "key").join(held(bands), ["key", "band"])
     for step, name in ((1, "above"), (-1, "below")):
-        rows = rows.join(held(beside(step, name)), ["root", "band"], "left")
+        rows = rows.join(held(beside(step, name)), ["key", "band"], "left")
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     own = "transform(sequence(0, blocks - 1), j -> struct(band as lo, band as hi, least(mine, j) as i, greatest(mine, j) as j, if(mine = j, -1, mine) as side))"
     up = "if(above is null, array(), transform(sequence(0, above - 1), j -> struct(band as lo, band + 1 as hi, mine as i, j as j, -2 as side)))"
     down = "if(below is null, array(), transform(sequence(0, below - 1), i -> struct(band - 1 as lo, band as hi, i as i, mine as j, -3 as side)))"
     one = "array(struct(0 as lo, 0 as hi, 0 as i, 0 as j, -1 as side))"
-    cells = rows.withColumn("mine", mine).select("fp", "root", F.explode(F.expr(f"if(all_blocks = 1, {one}, concat({own}, {up}, {down}))")).alias("cell"))
-    cells = sets.select("fp", "n", "keys").join(cells, "fp")
+    cells = rows.withColumn("mine", mine).select("key", "fp", "n", "root", F.explode(F.expr(f"if(all_blocks = 1, {one}, concat({own}, {up}, {down}))")).alias("cell"))
+    dealt = cells.select("key", "fp", "n", "root", "cell.*").join(sets.select("fp", "keys"), "fp")
 
     def find(rows: pa.Table) -> pa.Table:
         side = rows["side"].to_numpy()
         side = np.where(side == -2, 0, np.where(side == -3, 1, side))
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows["keys"]]
-        found = scan(rows["fp"].to_numpy(), rows["n"].to_numpy(), sets, side, percent, light)
-        return pa.table([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        fps, roots = rows["fp"].to_pylist(), {}
+        root = np.array([roots.setdefault(r, len(roots)) for r in rows["root"].to_pylist()])
+        found = scan(rows["n"].to_numpy(), sets, root, side, percent, light)
+        return pa.table([pa.array([fps[x[i]] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
-    dealt = cells.select("fp", "n", "keys", "root", "cell.lo", "cell.hi", "cell.i", "cell.j", "cell.side")
-    return dealt.groupBy("root", "lo", "hi", "i", "j").applyInArrow(find, "a long, b long")
+    return dealt.groupBy("key", "lo", "hi", "i", "j").applyInArrow(find, "a binary, b binary")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -332,10 +383,14 @@ def linked_rows(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
 
     sets = materialise(survivors(docs, base, hot, common, percent, words), "sets")
     posted = _exploded(sets, "prefix", ["fp", "n"])
-    heads = posted.groupBy("key").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("long"), F.max("n").alias("largest")).filter("long > 1")
+    least_fp = F.min(F.struct("fp", "n"))
+    heads = posted.groupBy("key").agg(least_fp.alias("h"), F.count(F.lit(1)).alias("long"), F.max("n").alias("largest")).filter("long > 1")
+    heads = heads.select("key", F.col("h.fp").alias("head"), F.col("h.n").alias("head_n"), "long", "largest")
     lists = materialise(posted.join(heads, "key"), "lists")
     light = boundary(sets, lists, percent)
-    links = heavy_links(sets, lists.filter(F.col("largest") > light), light, percent)
+    heavy = lists.filter(F.col("largest") > light)
+    near = components(head_links(sets, heavy, light, percent))
+    links = near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(list_links(sets, open_lists(heavy, near), light, percent))
     if light:
         links = links.union(light_links(sets.filter(F.col("n") <= light), percent))
     roots = components(links)
@@ -344,3 +399,17 @@ def linked_rows(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     of_class = materialise(grouped.join(of_root, "root").select("fp", "root", "component_id"), "components")
     out = base.select("doc_id", "n", "fp").join(of_class, "fp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "fp", "root")
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+k AS (SELECT doc_id, len(s) AS n, unnest(s) AS k FROM sets),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS m, b.n AS n, count(*) AS o FROM k a JOIN k b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs WHERE 100 * o >= 85 * (m + n - o)),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce((SELECT min(y) FROM reach r WHERE r.x = sets.doc_id), doc_id)) AS component_id FROM sets
+"""

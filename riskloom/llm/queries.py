@@ -60,4 +60,4 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_toxicity, op4_nearest, op5_language, op6_language_model, op7_token_counts, op8_mix, op9_inner_products, op10_jaccard)}
-ORACLES = {"op2_url_filter": urls.ORACLE, "op8_mix": mixing.ORACLE, "op9_inner_products": mips.ORACLE}
+ORACLES = {"op2_url_filter": urls.ORACLE, "op8_mix": mixing.ORACLE, "op9_inner_products": mips.ORACLE, "op10_jaccard": jaccard.ORACLE}
