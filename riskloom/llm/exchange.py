@@ -54,8 +54,8 @@ def unpacked_keys(raw: bytes, width: int) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def exchange(rows: DataFrame, parts: int, deal: Callable, answer: Callable, gather: Callable, schema: str, value: type = np.uint16, add_up: Callable | None = None, width: int = 8) -> DataFrame:
-    """deal(batch) -> (keys, places, an extra byte a posting or None, bytes for the batch itself)
+def exchange(rows: DataFrame, parts: int, deal: Callable, answer: Callable, gather: Callable, schema: str, value: type = np.uint16, add_up: Callable | None = None, width: int = 8, extra_type: type = np.uint8) -> DataFrame:
+    """deal(batch) -> (keys, places, an extra value of `extra_type` a posting or None, bytes for the batch itself)
     answer(keys, extra) -> (kept, values): which postings to answer, and a value of type `value` for each
     gather(the batch's own bytes, places, keys, values) -> pa.Table of `schema`.
 
@@ -86,7 +86,7 @@ def exchange(rows: DataFrame, parts: int, deal: Callable, answer: Callable, gath
             return rows.select(_NAMES)
         blobs = [x.as_py() for x in rows["a"]]
         keys = unpacked_keys(b"".join(blobs), width)
-        extra = np.frombuffer(b"".join(x.as_py() for x in rows["c"]), np.uint8) if rows["c"].null_count == 0 else None
+        extra = np.frombuffer(b"".join(x.as_py() for x in rows["c"]), extra_type) if rows["c"].null_count == 0 else None
         kept, values, *more = answer(keys, extra)
         out, start = [], 0
         if add_up:
