@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom import registry as R
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """Half-up rounding by floor, which gives the same double in every engine."""
+    """Half-up rounding by floor, which gives the same double in every engine. Values so large that a double holds no such
+    digit stay as they are (a floor is a long here)."""
     scale = float(10**digits)
-    return F.floor(x * scale + 0.5).cast("double") / scale
+    return F.when(F.abs(x) * scale < 2.0**53, F.floor(x * scale + 0.5).cast("double") / scale).otherwise(x)
 
 
 def months_between(first: Column, last: Column) -> Column:
@@ -106,3 +108,21 @@ def tokens(text: Column) -> Column:
 def named(*cases: tuple[str, Column]) -> Column:
     """The names of the cases that hold, in order."""
     return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in cases)))
+
+
+def statements(schema: T.StructType, skip: tuple[str, ...] = ()) -> Column:
+    """'path = value.' for every text and number of a row, at any depth of its structs; lists and flags say nothing."""
+    found: list[Column] = []
+
+    def walk(fields: list[T.StructField], path: str) -> None:
+        for f in fields:
+            name = f"{path}.{f.name}" if path else f.name
+            if name in skip:
+                continue
+            if isinstance(f.dataType, T.StructType):
+                walk(f.dataType.fields, name)
+            elif isinstance(f.dataType, (T.StringType, T.NumericType)):
+                found.append(F.concat(F.lit(f"{name} = "), F.col(name).cast("string"), F.lit(".")))
+
+    walk(schema.fields, "")
+    return F.array_compact(F.array(*found))

@@ -13,13 +13,18 @@ STALE_MONTHS = 3
 
 
 def windows(rows: DataFrame) -> DataFrame:
-    """One row an obligor: its first and last month as structs, and what its months add up to. One shuffle."""
+    """One row an obligor: its first and last month as structs, and what its months add up to. One shuffle.
+
+    Months without a date come first; of months with one date, the smaller by all other columns does, so that reruns agree.
+    """
     everything = F.struct(*rows.columns)
+    rest = [c for c in rows.columns if c != "observation_date"]
+    order = F.struct(F.coalesce("observation_date", F.lit("0001-01-01").cast("date")), F.struct(*rest))
     stage_on = lambda pick: pick(F.when(F.col("stage").isNotNull(), F.col("stage")), F.when(F.col("stage").isNotNull(), F.col("observation_date")))
     return rows.groupBy("obligor_id").agg(
         F.count(F.lit(1)).alias("observation_months"),
-        F.min_by(everything, "observation_date").alias("first"),
-        F.max_by(everything, "observation_date").alias("last"),
+        F.min_by(everything, order).alias("first"),
+        F.max_by(everything, order).alias("last"),
         F.count_if(F.col("days_past_due") >= 30).alias("dpd_30"),
         F.max("stage").alias("worst"),
         F.count_if(F.col("stage") == 2).alias("stage_2"),

@@ -69,22 +69,24 @@ def threshold_cited(threshold: Column, text: Column) -> Column:
 
 
 def plain(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """Space collapsed, closing full stops off, lower-cased."""
+    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"\.+$", ""))
 
 
 def supported(statement: Column, source: Column) -> Column:
-    """Whether a statement is one sentence of its source."""
-    sentences = F.split(F.regexp_replace(source, r"([.!?])\s+", "$1\n"), "\n+")
-    return F.array_contains(F.transform(sentences, plain), plain(statement))
+    """Whether a statement is one sentence of its source; an empty one isn't."""
+    sentences = F.split(source, r"(?<=[.!?])\s+|\n+")
+    return F.coalesce((plain(statement) != "") & F.array_contains(F.transform(sentences, plain), plain(statement)), F.lit(False))
 
 
 def normal_question(text: Column) -> Column:
-    """Space collapsed, closing marks stripped, lower-cased, entity ids in one form."""
-    x = F.trim(F.regexp_replace(text, r"\s+", " "))
-    x = F.lower(F.regexp_replace(x, r"^[?.! ]+|[?.! ]+$", ""))
-    number = F.regexp_extract(x, r"\b(?:obl|fac)[ -]?0*(\d{1,4})\b", 1)
-    kind = F.upper(F.regexp_extract(x, r"\b(obl|fac)[ -]?0*\d{1,4}\b", 1))
-    return F.when(number != "", F.regexp_replace(x, r"\b(?:obl|fac)[ -]?0*\d{1,4}\b", F.concat(kind, F.lit("-"), F.lpad(number, 4, "0")))).otherwise(x)
+    """Space collapsed, closing marks stripped, lower-cased; each entity id in one form: kind, four digits at least, suffix."""
+    x = F.lower(F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"[?.! ]+$", ""))
+    x = F.regexp_replace(x, r"\b(obl|fac)[-_ ]?0*(\d+)(?:[-_ ]0*(\d+))?\b", "\u0001$1\u0002000$2\u0003$3\u0004")
+    for kind in ("obl", "fac"):
+        x = F.replace(x, F.lit(f"\u0001{kind}"), F.lit(kind.upper()))
+    x = F.regexp_replace(x, "\u00020{0,3}(\\d{4,})", "-$1")
+    return F.regexp_replace(F.replace(x, F.lit("\u0003\u0004"), F.lit("")), "\u0003(\\d+)\u0004", "-$1")
 
 
 def latest(rows: DataFrame, *keys: str) -> DataFrame:

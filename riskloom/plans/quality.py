@@ -106,44 +106,21 @@ def threshold_cited(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.coalesce(Q.threshold_cited(F.lit(42.0), F.col("text")), F.lit(False)).alias("cited"))
 
 
-@query(rf"""
-WITH j AS (SELECT *, len(list_filter(regexp_extract_all(evidence, '[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: abs(CAST(replace(x, ',', '') AS DOUBLE) - threshold) <= 1e-9 * threshold)) > 0 AS cited FROM ({_JOINED}) x)
-SELECT obligor_id, rule_id, array_to_string(list_filter([CASE WHEN metric_status <> 'valid' THEN 'metric_not_valid' END, CASE WHEN unit <> 'pct' THEN 'unit' END, CASE WHEN evidence IS NULL THEN 'evidence' END, CASE WHEN NOT coalesce(cited, false) THEN 'threshold' END], lambda x: x IS NOT NULL), ',') AS failures FROM j
-""")
-def check_derivation(t: Tables) -> DataFrame:
-    day = F.lit(_AS_OF).cast("date")
-    rules = _rules(t).filter((F.col("effective_from") <= day) & (F.col("effective_to").isNull() | (F.col("effective_to") >= day))).withColumnRenamed("jurisdiction", "j")
-    rows = _sheets(t).join(F.broadcast(rules), (F.col("jurisdiction") == F.col("j")) & F.array_contains("portfolios", F.col("portfolio"))).join(F.broadcast(t.spark.sql(_EVIDENCE)), "evidence_id", "left")  # registries
-    cited = F.coalesce(Q.threshold_cited(F.col("threshold"), F.col("text")), F.lit(False))
-    failures = C.named(("metric_not_valid", F.col("metric_status") != "valid"), ("unit", F.col("metric_unit") != F.col("unit")), ("evidence", F.col("text").isNull()), ("threshold", ~cited))
-    return rows.select("obligor_id", "rule_id", F.concat_ws(",", failures).alias("failures"))
-
-
-_SENT = r"list_transform(string_split_regex(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', E'\\1\n', 'g'), '\n+'), lambda s: trim(regexp_replace(lower(s), '[ \t\n\x0B\f\r]+', ' ', 'g')))"
+_SPACES = r"'[ \t\n\x0B\f\r]+'"
+#: DuckDB: a statement's normal form, the sentences of a text, and whether one is among the other.
+NORM = rf"lower(regexp_replace(trim(regexp_replace({{0}}, {_SPACES}, ' ', 'g')), '\.+$', ''))"
+SUPPORTED = rf"coalesce({NORM.format('{0}')} <> '' AND list_contains(list_transform(string_split_regex(regexp_replace({{1}}, '([.!?])[ \t\n\x0B\f\r]+', E'\\1\n', 'g'), '\n+'), lambda z: {NORM.format('z')}), {NORM.format('{0}')}), false)"
 
 
 @query(rf"""
-WITH s AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'not in the text at all' ELSE string_split_regex(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', E'\\1\n', 'g'), '\n+')[1] END AS statement FROM documents)
-SELECT doc_id, list_contains({_SENT}, trim(regexp_replace(lower(statement), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS supported FROM s
+WITH s AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN 'not in the text at all' WHEN 1 THEN '. ' WHEN 2 THEN ' ' || string_split_regex(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', E'\\1\n', 'g'), '\n+')[1] || '.'
+  ELSE regexp_extract(text, '^[^.!?]*') END AS statement FROM documents)
+SELECT doc_id, {SUPPORTED.format('statement', 'text')} AS supported FROM s
 """)
 def supported_text(t: Tables) -> DataFrame:
     first = F.element_at(F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\n"), "\n+"), 1)
-    return t.documents.withColumn("statement", F.when(F.col("doc_id") % 3 == 0, "not in the text at all").otherwise(first)).select("doc_id", Q.supported(F.col("statement"), F.col("text")).alias("supported"))
-
-
-_CITED = "SELECT answer_id, seq, unnest(['D' || (answer_id % 50), 'D' || (answer_id + seq), 'sheet']) AS cited FROM answers"
-
-
-@query(f"""
-WITH c AS ({_CITED}), e AS (SELECT 'D' || doc_id AS evidence_id, jurisdiction FROM policy_docs WHERE approval_status = 'approved')
-SELECT answer_id, seq, count(*) AS citations, count(*) FILTER (cited <> 'sheet' AND evidence_id IS NULL) AS unknown, count(*) FILTER (jurisdiction <> 'SAMA') AS foreign_jurisdiction FROM c LEFT JOIN e ON cited = evidence_id GROUP BY ALL
-""")
-def citation_resolution(t: Tables) -> DataFrame:
-    d = lambda n: F.concat(F.lit("D"), n.cast("string"))
-    cited = t.answers.select("answer_id", "seq", F.explode(F.array(d(F.col("answer_id") % 50), d(F.col("answer_id") + F.col("seq")), F.lit("sheet"))).alias("cited"))
-    evidence = t.policy_docs.filter("approval_status = 'approved'").select(d(F.col("doc_id")).alias("cited"), "jurisdiction", F.lit(True).alias("there"))
-    joined = cited.join(evidence, "cited", "left")
-    return joined.groupBy("answer_id", "seq").agg(F.count(F.lit(1)).alias("citations"), F.count_if((F.col("cited") != "sheet") & F.col("there").isNull()).alias("unknown"), F.count_if(F.col("jurisdiction") != "SAMA").alias("foreign_jurisdiction"))
+    statement = F.when(F.col("doc_id") % 4 == 0, "not in the text at all").when(F.col("doc_id") % 4 == 1, ". ").when(F.col("doc_id") % 4 == 2, F.concat(F.lit(" "), first, F.lit("."))).otherwise(F.regexp_extract("text", r"^[^.!?]*", 0))
+    return t.documents.select("doc_id", Q.supported(statement, F.col("text")).alias("supported"))
 
 
 @query("SELECT answer_id, seq, status FROM (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY seq DESC) AS n FROM answers) WHERE n = 1")
@@ -165,26 +142,37 @@ def memory_previous(t: Tables) -> DataFrame:
     return Q.previous(t.answers)
 
 
-_ASKED = "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN '  What   is the DSCR of OBL-' || c_custkey || ' ? ' WHEN 1 THEN 'Stage of obl ' || c_custkey || '!!' WHEN 2 THEN 'limit of FAC-00' || (c_custkey % 100) || '?' ELSE 'No entity here. ' END AS text FROM customer"
-_NORM1 = r"lower(regexp_replace(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), '^[?.! ]+|[?.! ]+$', '', 'g'))"
+_ASKED = """
+SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN '  What   is the DSCR of OBL-' || CAST(c_custkey AS VARCHAR(12)) || ' ? ' WHEN 1 THEN 'Stage of obl ' || CAST(c_custkey AS VARCHAR(12)) || '!!' WHEN 2 THEN 'limit of FAC-00' || CAST(c_custkey % 100 AS VARCHAR(12)) || '?'
+  WHEN 3 THEN 'Is OBL-' || CAST(10000 + c_custkey AS VARCHAR(12)) || ' like obl ' || CAST(c_custkey AS VARCHAR(12)) || ' or fac 9?' WHEN 4 THEN 'fac_' || CAST(c_custkey AS VARCHAR(12)) || '-02 and FAC0003 7.' WHEN 5 THEN '? !Global obl-x 12'
+  WHEN 6 THEN 'obl' || CAST(c_custkey * 1000003 AS VARCHAR(16)) || ' ' ELSE 'No entity here. ' END AS text FROM customer
+"""
+# the text between the ids and the ids, each in its form, put together again
+_ID = r"\b(?:obl|fac)[-_ ]?[0-9]+(?:[-_ ][0-9]+)?\b"
+_PADDED = "upper(m[1:3]) || '-' || lpad(ltrim(regexp_extract(m, '[0-9]+'), '0'), CAST(greatest(4, length(ltrim(regexp_extract(m, '[0-9]+'), '0'))) AS INTEGER), '0') || CASE WHEN regexp_matches(m, '[0-9][-_ ][0-9]') THEN '-' || CAST(regexp_extract(m, '[0-9]+$') AS BIGINT) ELSE '' END"
+_QUESTIONS = rf"""
+WITH q AS (SELECT id, rtrim(lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))), '?.! ') AS x FROM ({_ASKED}) a),
+n AS (SELECT id, string_split_regex(x, '{_ID}') AS apart, list_transform(regexp_extract_all(x, '{_ID}'), lambda m: {_PADDED}) AS ids FROM q)
+SELECT id, array_to_string(list_transform(range(1, len(apart) + 1), lambda i: apart[i] || coalesce(ids[i], '')), '') AS question FROM n
+"""
 
 
-@query(rf"""
-WITH q AS (SELECT id, {_NORM1} AS x FROM ({_ASKED}) a), n AS (SELECT *, regexp_extract(x, '\b(obl|fac)[ -]?0*([0-9]{{1,4}})\b', 2) AS num, upper(regexp_extract(x, '\b(obl|fac)[ -]?0*[0-9]{{1,4}}\b', 1)) AS kind FROM q)
-SELECT id, CASE WHEN num <> '' THEN replace(x, regexp_extract(x, '\b(?:obl|fac)[ -]?0*[0-9]{{1,4}}\b', 0), kind || '-' || lpad(num, 4, '0')) ELSE x END AS question FROM n
-""")
+@query(_QUESTIONS)
 def normalise_question(t: Tables) -> DataFrame:
     return t.sql(_ASKED, "customer").select("id", Q.normal_question(F.col("text")).alias("question"))
 
 
-@query(rf"""
-WITH q AS (SELECT id, {_NORM1} AS x FROM ({_ASKED}) a) SELECT id, sha256('{{"context":' || (id % 7) || '}}') AS context_key, sha256('{{"context":' || (id % 7) || ',"question":' || CAST(to_json(x) AS VARCHAR) || '}}') AS answer_key FROM q WHERE NOT regexp_matches(x, '\b(obl|fac)[ -]?0*[0-9]{{1,4}}\b')
+@query(f"""
+WITH k AS (SELECT id, question, sha256('{{"context":' || (id % 7) || '}}') AS context_key FROM ({_QUESTIONS}) x)
+SELECT id, context_key, sha256('{{"context_key":"' || context_key || '","question":' || CAST(to_json(question) AS VARCHAR) || '}}') AS answer_key,
+  sha256('{{"plan":"p' || (id % 3) || '","question":' || CAST(to_json(question) AS VARCHAR) || '}}') AS question_key FROM k
 """)
 def answer_keys(t: Tables) -> DataFrame:
-    """Keys of questions without an entity, in their context."""
-    rows = t.sql(_ASKED, "customer").select("id", (F.col("id") % 7).alias("context"), Q.normal_question(F.col("text")).alias("question")).filter(~F.col("question").rlike(r"\b(OBL|FAC)-\d{4}\b"))
-    key = lambda *names: F.sha2(F.to_json(F.struct(*names)), 256)
-    return rows.select("id", key("context").alias("context_key"), key("context", "question").alias("answer_key"))
+    """Keys of a context, of a question in it, and of a question about a plan in any context."""
+    key = lambda *columns: F.sha2(F.to_json(F.struct(*columns)), 256)
+    rows = t.sql(_ASKED, "customer").select("id", Q.normal_question(F.col("text")).alias("question"), key((F.col("id") % 7).alias("context")).alias("context_key"))
+    plan = F.concat(F.lit("p"), (F.col("id") % 3).cast("string")).alias("plan")
+    return rows.select("id", "context_key", key("context_key", "question").alias("answer_key"), key(plan, "question").alias("question_key"))
 
 
 @query("""
@@ -266,55 +254,6 @@ def best_checkpoint(t: Tables) -> DataFrame:
     return r.select("run", F.col("f.it").alias("best_iter"), F.floor(F.col("f.best") * 100 + 0.5).cast("long").alias("best_cents"), (F.col("f.misses") < 5).alias("ran_out"))
 
 
-@query("""
-SELECT answer_id, seq, array_to_string(list_filter([CASE WHEN answer_status = 'ESCALATE' AND recommendation <> '' THEN 'escalation_with_recommendation' END, CASE WHEN trim(text) = '' THEN 'empty_answer' END, CASE WHEN status = 'invalid' THEN 'invalid_status' END], lambda x: x IS NOT NULL), ',') AS failures FROM answers
-""")
-def validate_output(t: Tables) -> DataFrame:
-    failures = C.named(("escalation_with_recommendation", (F.col("answer_status") == "ESCALATE") & (F.col("recommendation") != "")), ("empty_answer", F.trim("text") == ""), ("invalid_status", F.col("status") == "invalid"))
-    return t.answers.select("answer_id", "seq", F.concat_ws(",", failures).alias("failures"))
-
-
-@query("""
-SELECT answer_id, seq, status <> 'invalid' AND (status = 'verified' OR recommendation = '' OR answer_status <> 'ESCALATE') AS admissible FROM answers
-""")
-def training_admissible(t: Tables) -> DataFrame:
-    """A hard failure is final; a soft one is waived by a review (a verified answer)."""
-    hard = F.array_compact(F.array(F.when(F.col("status") == "invalid", "invalid_status")))
-    soft = F.array_compact(F.array(F.when((F.col("answer_status") == "ESCALATE") & (F.col("recommendation") != ""), "escalation_with_recommendation")))
-    left = F.when(F.col("status") == "verified", F.array_except(soft, soft)).otherwise(soft)
-    return t.answers.select("answer_id", "seq", ((F.size(hard) == 0) & (F.size(left) == 0)).alias("admissible"))
-
-
-
-
-@query("""
-WITH e AS (SELECT answer_id, seq, status = 'verified' AS expected, answer_status <> 'ESCALATE' AS got, question_id % 3 AS want, answer_id % 3 AS have FROM answers)
-SELECT answer_id, seq, CASE WHEN expected = got THEN 1e0 ELSE 0e0 END AS answer_status_correctness, CASE WHEN abs(want - have) <= 1e-6 THEN 1e0 ELSE 0e0 END AS numerical_agreement FROM e
-""")
-def score_case(t: Tables) -> DataFrame:
-    expected, got = F.col("status") == "verified", F.col("answer_status") != "ESCALATE"
-    close = F.abs(F.col("question_id") % 3 - F.col("answer_id") % 3) <= 1e-6
-    return t.answers.select("answer_id", "seq", (expected == got).cast("double").alias("answer_status_correctness"), close.cast("double").alias("numerical_agreement"))
-
-
-@query()
-def factsheet_statements(t: Tables) -> DataFrame:
-    """Every factsheet as statements 'path = value.'."""
-    sheet = S.factsheets(t.om, _AS_OF)
-    paths = {f"current_position.{c}": F.col(f"current_position.{c}") for c in S.POSITION} | {f"calculated_metrics.{c}": F.col(f"calculated_metrics.{c}.value") for c in C.CALCULATORS}
-    said = F.array_compact(F.array(*(F.when(v.isNotNull(), F.concat(F.lit(f"{k} = "), v.cast("string"), F.lit("."))) for k, v in paths.items())))
-    return sheet.select("obligor_id", F.explode(said).alias("statement"))
-
-
-@query()
-def assess_case(t: Tables) -> DataFrame:
-    """Expected checks as rows against the extracted fields: each check's outcome, and what an invalid output leaves at 0."""
-    checks = F.explode(F.array(F.struct(F.lit("status").alias("check"), F.lit("verified").alias("want")), F.struct(F.lit("answer_status").alias("check"), F.lit("ANSWERED").alias("want"))))
-    rows = t.answers.withColumn("c", checks)
-    got = F.when(F.col("c.check") == "status", F.col("status")).otherwise(F.col("answer_status"))
-    return rows.groupBy("answer_id", "seq").agg(F.count_if(got == F.col("c.want")).alias("passed"), F.max(F.when(F.col("status") == "invalid", 0).otherwise(2)).alias("checks"))
-
-
 @query("""
 WITH p AS (SELECT *, lag(context_id) OVER w AS c, lag(status) OVER w AS s, lag(recommendation) OVER w AS r, lag(answer_id) OVER w AS before FROM answers WINDOW w AS (PARTITION BY question_id ORDER BY answer_id, seq))
 SELECT answer_id, seq, array_to_string(list_filter([CASE WHEN context_id IS DISTINCT FROM c THEN 'context_id' END, CASE WHEN status IS DISTINCT FROM s THEN 'status' END, CASE WHEN recommendation IS DISTINCT FROM r THEN 'recommendation' END], lambda x: x IS NOT NULL), ',') AS changed FROM p WHERE before IS NOT NULL
