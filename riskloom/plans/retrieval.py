@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import registry as R
@@ -13,23 +13,28 @@ from riskloom.operators import retrieval as V
 from riskloom.operators import text as X
 from riskloom.sources.views import Tables
 
-_CONTEXTS = "SELECT * FROM (VALUES (1, 'credit_analyst', 'SAMA', DATE '2022-06-30'), (2, 'regulator_liaison', 'SAMA', DATE '2023-06-30'), (3, 'senior_credit_officer', 'CBUAE', DATE '2022-06-30'), (4, 'visitor', 'SAMA', DATE '2023-06-30')) AS c(context_id, role, jurisdiction, as_of)"
-_WINDOWS = """
-SELECT d.doc_id, d.document_id, d.jurisdiction, d.approval_status, d.confidentiality_level, d.effective_from, CAST(min(n.effective_from) - INTERVAL 1 DAY AS DATE) AS effective_to, arg_min(n.doc_id, (n.effective_from, n.doc_id)) AS superseded_by
-FROM policy_docs d LEFT JOIN policy_docs n ON n.document_id = d.document_id AND n.effective_from > d.effective_from AND n.approval_status = 'approved' WHERE d.approval_status = 'approved' GROUP BY ALL
+_CONTEXTS = "SELECT * FROM (VALUES (1, 'credit_analyst', 'SAMA', DATE '2022-06-30', CAST(NULL AS VARCHAR(12))), (2, 'regulator_liaison', 'SAMA', DATE '2023-06-30', 'retail'), (3, 'senior_credit_officer', 'CBUAE', DATE '2022-06-30', 'sme'), (4, 'visitor', 'SAMA', DATE '2023-06-30', 'sme')) AS c(context_id, role, jurisdiction, as_of, portfolio)"
+_STARTS = "SELECT doc_id, document_id AS target, effective_from FROM policy_docs WHERE approval_status = 'approved' UNION ALL SELECT doc_id, supersedes_document_id, effective_from FROM policy_docs WHERE approval_status = 'approved' AND supersedes_document_id IS NOT NULL"
+_WINDOWS = f"""
+SELECT doc_id, document_id, document_version, jurisdiction, approval_status, confidentiality_level, allowed_roles, portfolios, effective_from, declared_to, supersedes_document_id,
+  CASE WHEN cut IS NOT NULL AND (declared_to IS NULL OR cut < declared_to) THEN cut ELSE declared_to END AS effective_to, CASE WHEN cut IS NOT NULL AND (declared_to IS NULL OR cut < declared_to) THEN later END AS superseded_by
+FROM (SELECT d.*, CAST((SELECT min(n.effective_from) FROM ({_STARTS}) n WHERE n.target = d.document_id AND n.effective_from > d.effective_from) - INTERVAL 1 DAY AS DATE) AS cut,
+  (SELECT arg_min(n.doc_id, (n.effective_from, n.doc_id)) FROM ({_STARTS}) n WHERE n.target = d.document_id AND n.effective_from > d.effective_from) AS later FROM policy_docs d) x
 """
 _LEVELS = "CASE role WHEN 'credit_analyst' THEN ['public', 'internal'] WHEN 'senior_credit_officer' THEN ['public', 'internal', 'confidential'] WHEN 'regulator_liaison' THEN ['public', 'internal', 'confidential', 'restricted'] ELSE []::VARCHAR[] END"
-_VISIBLE = f"SELECT c.context_id, w.doc_id FROM ({_CONTEXTS}) c JOIN ({_WINDOWS}) w ON w.jurisdiction = c.jurisdiction AND list_contains({_LEVELS}, w.confidentiality_level) AND w.effective_from <= c.as_of AND (w.effective_to IS NULL OR w.effective_to >= c.as_of)"
-_OPEN = f"SELECT c.context_id, w.doc_id FROM ({_CONTEXTS}) c JOIN policy_docs w ON w.approval_status = 'approved' AND w.jurisdiction = c.jurisdiction AND list_contains({_LEVELS}, w.confidentiality_level) AND w.effective_from <= c.as_of"
+_MAY = f"w.approval_status = 'approved' AND w.jurisdiction = c.jurisdiction AND list_contains({_LEVELS}, w.confidentiality_level) AND w.effective_from <= c.as_of AND (allowed_roles = '' OR list_contains(string_split(allowed_roles, ','), role)) AND (portfolio IS NULL OR portfolios = '' OR list_contains(string_split(portfolios, ','), portfolio))"
+_VISIBLE = f"SELECT c.context_id, w.doc_id FROM ({_CONTEXTS}) c JOIN ({_WINDOWS}) w ON {_MAY} AND (w.effective_to IS NULL OR w.effective_to >= c.as_of)"
+_OPEN = f"SELECT c.context_id, w.doc_id FROM ({_CONTEXTS}) c JOIN policy_docs w ON {_MAY} AND (w.declared_to IS NULL OR w.declared_to >= c.as_of)"
+_WINDOW_COLUMNS = ["doc_id", "document_id", "document_version", "jurisdiction", "approval_status", "confidentiality_level", "allowed_roles", "portfolios", "effective_from", "declared_to", "supersedes_document_id", "effective_to", "superseded_by"]
 
 
 def _seen(t: Tables) -> DataFrame:
-    return V.visible(t.policy_docs.withColumn("effective_to", F.lit(None).cast("date")), t.spark.sql(_CONTEXTS))
+    return V.visible(t.policy_docs.withColumnRenamed("declared_to", "effective_to"), t.spark.sql(_CONTEXTS))
 
 
 @query(_WINDOWS)
 def supersession_windows(t: Tables) -> DataFrame:
-    return V.supersession(t.policy_docs)
+    return V.supersession(t.policy_docs).select(_WINDOW_COLUMNS)
 
 
 @query(_OPEN)
@@ -42,15 +47,6 @@ def visible_documents(t: Tables) -> DataFrame:
     return V.visible(V.supersession(t.policy_docs), t.spark.sql(_CONTEXTS))
 
 
-@query("""
-SELECT doc_id, array_to_string(list_filter([CASE WHEN jurisdiction <> 'SAMA' THEN 'cross_jurisdiction' END, CASE WHEN (doc_id * 13) % 100 < 72 THEN 'low_relevance' END, CASE WHEN effective_from > DATE '2022-06-30' THEN 'not_yet_effective' END,
-  CASE WHEN approval_status = 'withdrawn' THEN 'superseded' END], lambda x: x IS NOT NULL), ',') AS failures FROM policy_docs
-""")
-def validate_retrieval(t: Tables) -> DataFrame:
-    failures = C.named(("cross_jurisdiction", F.col("jurisdiction") != "SAMA"), ("low_relevance", F.col("doc_id") * 13 % 100 < 72), ("not_yet_effective", F.col("effective_from") > F.lit("2022-06-30").cast("date")), ("superseded", F.col("approval_status") == "withdrawn"))
-    return t.policy_docs.select("doc_id", F.concat_ws(",", failures).alias("failures"))
-
-
 @query("SELECT doc_id, jurisdiction || '-' || document_id || '@' || document_version || '#' || CASE WHEN doc_id % 2 = 0 THEN 'k' || (doc_id % 9) ELSE 'c' || (doc_id % 5) END AS evidence_id FROM policy_docs")
 def evidence_id(t: Tables) -> DataFrame:
     """A citation handle: section key where there is one, else the chunk's ordinal."""
@@ -58,11 +54,14 @@ def evidence_id(t: Tables) -> DataFrame:
     return t.policy_docs.select("doc_id", F.concat("jurisdiction", F.lit("-"), "document_id", F.lit("@"), "document_version", F.lit("#"), key).alias("evidence_id"))
 
 
-@query("SELECT document_id AS collection, count(DISTINCT doc_id % 3) AS signatures FROM policy_docs GROUP BY 1 HAVING count(DISTINCT doc_id % 3) > 1")
+_STORED = "SELECT document_id AS collection, CASE WHEN doc_id % 97 = 3 AND document_id <> 'src1' THEN 'hashing-128' ELSE 'hashing-256' END AS signature FROM policy_docs"
+
+
+@query(f"SELECT collection, count(DISTINCT signature) AS signatures, count(*) FILTER (signature <> 'hashing-256') > 0 AS refused FROM ({_STORED}) x GROUP BY 1")
 def embedder_signature_check(t: Tables) -> DataFrame:
-    """Collections that more than one embedder has filled."""
-    found = t.policy_docs.groupBy(F.col("document_id").alias("collection")).agg(F.count_distinct(F.col("doc_id") % 3).alias("signatures"))
-    return found.filter("signatures > 1")
+    """Each collection, by how many embedders it was filled, and whether the present one must refuse it."""
+    stored, own = t.sql(_STORED, "policy_docs"), V.HashingEmbedder().signature
+    return stored.groupBy("collection").agg(F.count_distinct("signature").alias("signatures"), (F.count_if(F.col("signature") != own) > 0).alias("refused"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n, sha256(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) AS tokens FROM documents")
@@ -84,15 +83,22 @@ def hashing_embed(t: Tables) -> DataFrame:
 
 
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+_COS = f"floor({_DOT} / (sqrt({_DOT.replace('b.emb', 'a.emb')}) * sqrt({_DOT.replace('a.emb', 'b.emb')})) * 1e4 + 0.5e0) / 1e4"
 _DENSE = f"""
 SELECT * FROM (SELECT question_id, vec_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM (
-  SELECT a.vec_id AS question_id, b.vec_id, floor({_DOT} / (sqrt({_DOT.replace('b.emb', 'a.emb')}) * sqrt({_DOT.replace('a.emb', 'b.emb')})) * 1e4 + 0.5e0) / 1e4 AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20)) WHERE rank <= {{0}}
+  SELECT a.vec_id AS question_id, b.vec_id, {_COS} AS score FROM embeddings a JOIN ({_OPEN}) s ON s.context_id = 1 + (a.vec_id // 20) % 3 JOIN embeddings b ON b.vec_id = s.doc_id AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rank <= {{0}}
 """
 
 
+def _turn(n: int) -> Column:
+    return (F.floor(F.col("vec_id") / 20) % n).cast("int")
+
+
 def _dense(t: Tables, k: int) -> DataFrame:
-    queries = t.embeddings.filter("vec_id < 20").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"))  # the stated question set
-    return V.dense(t.embeddings, queries, k)
+    """Questions (ids divisible by 20) against all vectors of documents that their context sees."""
+    asked = t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"), (_turn(3) + 1).alias("group"))
+    rows = t.embeddings.join(_seen(t).select(F.col("doc_id").alias("vec_id"), F.col("context_id").alias("group")), "vec_id").select("vec_id", "embedding", "group")
+    return V.nearest_in_group(rows, asked, k)
 
 
 @query(f"SELECT question_id, vec_id, score, rank::INTEGER AS rank FROM ({_DENSE.format(10)}) d")
@@ -100,15 +106,24 @@ def dense_rank(t: Tables) -> DataFrame:
     return _dense(t, 10).select("question_id", "vec_id", "score", "rank")
 
 
-@query(f"SELECT question_id, vec_id, score FROM ({_DENSE.format(40)}) d")
-def topk_candidates(t: Tables) -> DataFrame:
-    return _dense(t, R.CANDIDATES).select("question_id", "vec_id", "score")
+_EARLIER = """
+SELECT vec_id, embedding, (vec_id // 20) % 5 AS context_id FROM embeddings UNION ALL SELECT vec_id + 1000000, list_concat([0::FLOAT], embedding[2:]), (vec_id // 20) % 5 FROM embeddings WHERE vec_id % 40 = 0
+"""
 
 
-@query(f"SELECT question_id, vec_id, score FROM ({_DENSE.format(1)}) d WHERE score >= 0.92e0")
+@query(f"""
+SELECT question_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM (
+  SELECT a.vec_id AS question_id, b.vec_id, {_COS} AS score FROM ({_EARLIER}) a JOIN ({_EARLIER}) b ON a.context_id = b.context_id AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND a.vec_id < 1000000)) WHERE rank = 1 AND score >= 0.92e0
+""")
 def precedent_join(t: Tables) -> DataFrame:
-    """The most similar earlier question, if it is similar enough."""
-    return _dense(t, 1).filter(F.col("score") >= R.PRECEDENT_SIMILARITY).select("question_id", "vec_id", "score")
+    """The most similar other question of the same context, if it is similar enough. Some were asked before in other words."""
+    context = _turn(5).alias("group")
+    rows = t.embeddings.select("vec_id", "embedding", context)
+    reworded = F.transform("embedding", lambda x, i: F.when(i == 0, F.lit(0).cast("float")).otherwise(x))
+    again = t.embeddings.filter("vec_id % 40 = 0").select((F.col("vec_id") + 1000000).alias("vec_id"), reworded.alias("embedding"), context)
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"), "group")
+    found = V.nearest_in_group(rows.union(again), asked, 1)
+    return found.filter(F.col("score") >= R.PRECEDENT_SIMILARITY).select("question_id", "vec_id", "score")
 
 
 @query("SELECT a.vec_id, floor(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 1e4 + 0.5e0) / 1e4 AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -146,24 +161,20 @@ def bm25_rank(t: Tables) -> DataFrame:
     return V.top(_lexical(t), ["question_id"], R.CANDIDATES, "doc_id")
 
 
-def _arms(t: Tables) -> DataFrame:
-    """The lexical arm, and a recency arm over the same candidates, as ranks (what rrf_fuse's SQL states)."""
-    first = V.top(_lexical(t), ["question_id"], R.CANDIDATES, "doc_id").select("question_id", "doc_id", "rank")
-    dated = first.join(t.policy_docs.select("doc_id", F.unix_date("effective_from").alias("score")), "doc_id")
-    second = V.top(dated.drop("rank"), ["question_id"], R.CANDIDATES, "doc_id").select("question_id", "doc_id", "rank")
-    return V.fuse([first, second])
-
-
 _FUSED = f"""
 {_BM25_CTE}, a1 AS (SELECT * FROM (SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM b WHERE score > 0) WHERE rank <= 40),
-a2 AS (SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY effective_from DESC, doc_id) AS rank FROM a1 JOIN policy_docs USING (doc_id)),
+ed AS ({_EMBED.format('documents')}), eq AS ({_EMBED.format('(SELECT item_id AS doc_id, text FROM benchmark)')}),
+cs AS (SELECT eq.doc_id AS question_id, ed.doc_id, sum(eq.weight * ed.weight) AS cosine FROM eq JOIN ed USING (bucket) GROUP BY ALL),
+cv AS (SELECT z.question_id, d.doc_id, floor(coalesce(cosine, 0e0) * 1e6 + 0.5e0) / 1e6 AS score FROM (SELECT * FROM ({_Q}) zz WHERE question_id IN (SELECT doc_id FROM eq)) z JOIN seen USING (context_id) JOIN (SELECT DISTINCT doc_id FROM ed) d ON d.doc_id = seen.doc_id LEFT JOIN cs ON cs.question_id = z.question_id AND cs.doc_id = d.doc_id),
+a2 AS (SELECT * FROM (SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM cv) WHERE rank <= 40),
 f AS (SELECT question_id, doc_id, sum(1e0 / (60 + rank)) AS score FROM (SELECT * FROM a1 UNION ALL SELECT * FROM a2) GROUP BY ALL)
 """
 
 
-@query(f"WITH {_FUSED} SELECT question_id, doc_id, floor(score * 1e6 + 0.5e0) / 1e6 AS score FROM f")
-def rrf_fuse(t: Tables) -> DataFrame:
-    return _arms(t).withColumn("score", C.fixed(F.col("score"), 6))
+@query(f"WITH {_FUSED} SELECT * FROM (SELECT question_id, doc_id, rank::INTEGER AS rank FROM a2)")
+def topk_candidates(t: Tables) -> DataFrame:
+    """The vector arm: forty documents a question of all that its context sees (bm25_rank is the lexical arm)."""
+    return V.hashed_nearest(t.documents, _questions(t), _seen(t), R.CANDIDATES).select("question_id", "doc_id", "rank")
 
 
 def _hybrid(t: Tables) -> DataFrame:
@@ -173,37 +184,77 @@ def _hybrid(t: Tables) -> DataFrame:
     return V.fuse([arm.select("question_id", "doc_id", "rank") for arm in (first, second)])
 
 
+@query(f"WITH {_FUSED} SELECT question_id, doc_id, floor(score * 1e6 + 0.5e0) / 1e6 AS score FROM f")
+def rrf_fuse(t: Tables) -> DataFrame:
+    return _hybrid(t).withColumn("score", C.fixed(F.col("score"), 6))
+
+
 def _gated(t: Tables) -> DataFrame:
-    """Fused candidates with the cosine of question and text, both hashed."""
-    q = V.hashing_embed(t.benchmark.select(F.col("item_id").alias("question_id"), "text"), "question_id").withColumnRenamed("weight", "w")
-    d = V.hashing_embed(t.documents, "doc_id")
+    """Fused candidates with the cosine of question and text, both hashed; only candidates are embedded again."""
+    fused = _hybrid(t).withColumn("score", C.fixed(F.col("score"), 9))
+    embedder = V.HashingEmbedder()
+    q = embedder.embed_query(t.benchmark.select(F.col("item_id").alias("question_id"), "text"), "question_id").withColumnRenamed("weight", "w")
+    d = embedder.embed(t.documents, "doc_id")
     shared = F.sum(F.col("w") * F.col("weight")).alias("cosine")
-    pairs = _hybrid(t).join(q, "question_id").join(d, ["doc_id", "bucket"]).groupBy("question_id", "doc_id").agg(F.max("score").alias("score"), shared)
-    return pairs.join(t.documents.select("doc_id", F.length("text").alias("chars")), "doc_id")
+    pairs = fused.join(q, "question_id").join(d, ["doc_id", "bucket"]).groupBy("question_id", "doc_id").agg(F.max("score").alias("score"), shared)
+    return pairs.withColumn("cosine", C.fixed(F.col("cosine"), 6)).join(t.documents.select("doc_id", F.length("text").alias("chars")), "doc_id")
 
 
-@query()
+_BUDGET = f"""
+{_FUSED}, ca AS (SELECT question_id, doc_id, floor(cosine * 1e6 + 0.5e0) / 1e6 AS cosine, length(text) AS chars, row_number() OVER (PARTITION BY question_id ORDER BY floor(f.score * 1e9 + 0.5e0) / 1e9 DESC, doc_id) AS k FROM f JOIN cs USING (question_id, doc_id) JOIN documents USING (doc_id)),
+w AS (SELECT DISTINCT question_id, 0::BIGINT AS k, {R.CONTEXT_CHARS}::BIGINT AS left_over, 0::BIGINT AS n, NULL::BIGINT AS took FROM ca UNION ALL
+  SELECT w.question_id, c.k, CASE WHEN ok THEN left_over - chars ELSE left_over END, CASE WHEN ok THEN n + 1 ELSE n END, CASE WHEN ok THEN c.doc_id END
+  FROM w JOIN (SELECT * FROM ca) c ON c.question_id = w.question_id AND c.k = w.k + 1, LATERAL (SELECT c.cosine >= {R.MIN_SCORE!r} AND c.chars <= w.left_over AND w.n < {R.TOP} AS ok) o)
+"""
+
+
+@query(f"WITH RECURSIVE {_BUDGET} SELECT question_id, (n - 1)::INTEGER AS place, took AS doc_id FROM w WHERE took IS NOT NULL")
 def budgeted_topk(t: Tables) -> DataFrame:
-    return V.budgeted(_gated(t), least=0.2)
+    return V.budgeted(_gated(t)).withColumn("place", F.col("place").cast("int"))
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE {_BUDGET}, got AS (SELECT question_id, count(took) AS chunks FROM w GROUP BY 1)
+SELECT item_id AS question_id, coalesce(chunks, 0) AS chunks, CASE WHEN regexp_matches(lower(text), '{"|".join(Q.INJECTION)}') THEN 'BLOCKED' WHEN coalesce(chunks, 0) > 0 THEN 'ANSWERED' ELSE 'INSUFFICIENT_EVIDENCE' END AS status FROM benchmark LEFT JOIN got ON got.question_id = item_id
+""")
 def hybrid_retrieve(t: Tables) -> DataFrame:
     """What each question gets, and whether it is enough to answer."""
-    got = V.budgeted(_gated(t), least=0.2).groupBy("question_id").agg(F.count(F.lit(1)).alias("chunks"))
+    got = V.budgeted(_gated(t)).groupBy("question_id").agg(F.count(F.lit(1)).alias("chunks"))
     asked = t.benchmark.select(F.col("item_id").alias("question_id"), Q.injected(F.col("text")).alias("blocked"))
-    status = F.when(F.col("blocked"), "BLOCKED").when(F.coalesce("chunks", F.lit(0)) > 0, "SUFFICIENT").otherwise("INSUFFICIENT_EVIDENCE")
+    status = F.when(F.col("blocked"), "BLOCKED").when(F.coalesce("chunks", F.lit(0)) > 0, "ANSWERED").otherwise("INSUFFICIENT_EVIDENCE")
     return asked.join(got, "question_id", "left").select("question_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), status.alias("status"))
 
 
-@query("""
-WITH s AS (SELECT sha256(text) AS h, min(doc_id) AS doc_id FROM documents GROUP BY 1) SELECT doc_id FROM s WHERE h NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')
+@query(f"""
+WITH ed AS ({_EMBED.format('documents')}), eq AS ({_EMBED.format('(SELECT item_id AS doc_id, text FROM benchmark)')}), wi AS ({_WINDOWS}),
+cs AS (SELECT eq.doc_id AS question_id, ed.doc_id, floor(sum(eq.weight * ed.weight) * 1e6 + 0.5e0) / 1e6 AS score FROM eq JOIN ed USING (bucket) GROUP BY ALL),
+ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM cs) WHERE rank <= 8),
+fa AS (SELECT question_id, unnest(list_filter([CASE WHEN wi.jurisdiction <> c.jurisdiction THEN 'cross_jurisdiction:' || ev.doc_id END, CASE WHEN score < 0.72e0 THEN 'low_relevance:' || ev.doc_id END, CASE WHEN effective_from > as_of THEN 'not_yet_effective:' || ev.doc_id END,
+  CASE WHEN effective_to < as_of THEN 'superseded:' || ev.doc_id END], lambda x: x IS NOT NULL)) AS failure FROM ev JOIN ({_Q}) z USING (question_id) JOIN ({_CONTEXTS}) c USING (context_id) JOIN wi ON wi.doc_id = ev.doc_id)
+SELECT z.question_id, CASE WHEN EXISTS (SELECT 1 FROM ev WHERE ev.question_id = z.question_id) THEN coalesce((SELECT string_agg(DISTINCT failure, ',' ORDER BY failure) FROM fa WHERE fa.question_id = z.question_id), '') ELSE 'insufficient_evidence' END AS failures FROM ({_Q}) z
+""")
+def validate_retrieval(t: Tables) -> DataFrame:
+    """The eight nearest documents of an index without an access filter, checked against each question's context."""
+    anyone = _questions(t).withColumn("context_id", F.lit(0))
+    found = V.hashed_nearest(t.documents, anyone, t.documents.select(F.lit(0).alias("context_id"), "doc_id"), R.TOP).select("question_id", "doc_id", "score")
+    evidence = found.join(V.supersession(t.policy_docs).select("doc_id", "jurisdiction", "effective_from", "effective_to"), "doc_id")
+    contexts = t.spark.sql(_CONTEXTS).select("context_id", F.col("jurisdiction").alias("own_jurisdiction"), "as_of")
+    checked = V.validate(evidence, _questions(t).join(contexts, "context_id").select("question_id", "own_jurisdiction", "as_of"))
+    return checked.select("question_id", F.concat_ws(",", "failures").alias("failures"))
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en'))
+SELECT sha256(text) AS text_sha, 'hashing-256' AS signature, bucket::INTEGER AS bucket, floor(weight * 1e6 + 0.5e0) / 1e6 AS weight FROM ({_EMBED.format('p')}) e JOIN p USING (doc_id)
 """)
 def embed_incremental(t: Tables) -> DataFrame:
-    """Texts whose (hash, signature) isn't cached yet: here the cache has the English ones."""
-    keyed = t.documents.select("doc_id", "lang", F.sha2("text", 256).alias("h"), F.lit("hash-256").alias("signature"))
-    pending = keyed.join(keyed.filter("lang = 'en'").select("h", "signature").distinct(), ["h", "signature"], "left_anti")
-    return pending.groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    """Embeddings of the texts whose (hash, signature) isn't cached yet; here the cache has the English ones."""
+    embedder = V.HashingEmbedder()
+    keyed = t.documents.filter("text is not null").select("lang", "text", F.sha2("text", 256).alias("text_sha"), F.lit(embedder.signature).alias("signature"))
+    cache = keyed.filter("lang = 'en'").select("text_sha", "signature").distinct()
+    pending = keyed.join(cache, ["text_sha", "signature"], "left_anti").groupBy("text_sha", "signature").agg(F.first("text").alias("text"))
+    made = embedder.embed(pending, "text_sha")
+    return made.select("text_sha", F.lit(embedder.signature).alias("signature"), "bucket", C.fixed(F.col("weight"), 6).alias("weight"))
 
 
 @query("SELECT document_id, count(*) AS n, count(*) FILTER (doc_id % 19 = 0) AS lacking FROM policy_docs GROUP BY 1")
