@@ -162,3 +162,35 @@ def assessed(drafts: DataFrame, expected: DataFrame) -> DataFrame:
     unit = F.col("unit").isNull() | plain(F.try_element_at("fields", beside)).eqNullSafe(plain(F.col("unit")))
     passed = F.when(F.col("kind") == "numeric", C.finite(number) & near & unit).otherwise(plain(got).eqNullSafe(plain(F.col("text"))))
     return rows.select(*KEYS, F.concat_ws(":", "kind", "path").alias("check"), (F.col("valid") & F.coalesce(passed, F.lit(False))).alias("passed"))
+
+
+# How a stage is said, an entity named, and a migration told.
+STAGE = r"(?i)\bstage\b[^0-9;]{0,30}?\b([1-3])\b"
+ENTITY = r"(?i)\b(?:OBL|FAC)[-_ ]?\d+(?:[-_ ]\d+)?\b"
+MIGRATION = r"(?i)\b(?:migrat\w*|from\s+(?:stage\s+)?[1-3]\s+to)\b"
+FIELDS = ("answer_status", "stage", "risk_drivers", "recommendation", "cited")
+
+
+def decision_fields(drafts: DataFrame, facts: DataFrame) -> DataFrame:
+    """Keys and the fields of a decision that must not change between runs; null where the draft isn't valid.
+
+    The stage is that of a conclusion, else the first that a fact states: of the current position before others, migrations
+    left out. Drivers, recommendation and citations are in a form without case, spacing and order.
+    """
+    said = F.regexp_replace("statement", ENTITY, " ")
+    stage = F.regexp_extract(said, STAGE, 1)
+    stated = facts.filter(~said.rlike(MIGRATION) & (stage != "")).groupBy(*KEYS).agg(F.min_by(stage.cast("int"), F.struct(~F.lower("statement").contains("current"), "fact_no")).alias("stated"))
+    cites = facts.groupBy(*KEYS).agg(F.flatten(F.collect_list("cites")).alias("cites"))
+    rows = drafts.join(stated, KEYS, "left").join(cites, KEYS, "left")
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    fields = F.struct(
+        "answer_status", F.coalesce("conclusion_stage", "stated").alias("stage"), F.concat_ws(",", F.array_sort(F.transform(listed(F.col("drivers")), lambda x: plain(x)))).alias("risk_drivers"),
+        plain(F.coalesce("recommendation", F.lit(""))).alias("recommendation"), F.concat_ws(",", F.array_sort(F.array_distinct(F.coalesce("cites", F.array().cast("array<string>"))))).alias("cited"),
+    )
+    return rows.select(*KEYS, F.when(F.col("valid"), fields).alias("fields"))
+
+
+def replayed(stored: DataFrame, again: DataFrame) -> DataFrame:
+    """Keys and the fields that differ between a stored decision and the one made again; 'output' if there is no valid one."""
+    joined = stored.select(*KEYS, F.col("fields").alias("a")).join(again.select(*KEYS, F.col("fields").alias("b")), KEYS, "left")
+    return joined.select(*KEYS, F.when(F.col("b").isNull(), F.array(F.lit("output"))).otherwise(Q.changed(*FIELDS)).alias("differences"))

@@ -39,7 +39,16 @@ def gate_status(score: Column, n: Column, threshold: Column, binary: Column, lea
 def calibration(rows: DataFrame) -> DataFrame:
     """(bin, n, mean_confidence, accuracy) in five half-open bins of 0.2, the last one closed."""
     bin_ = F.least(F.floor(F.col("confidence") * 5.0), F.lit(4)).cast("int")
-    return rows.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
+    return rows.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.sum((F.col("confidence") - F.col("correct")) * (F.col("confidence") - F.col("correct"))).alias("squares"))
+
+
+def calibration_summary(bins: DataFrame) -> DataFrame:
+    """One row: denominator, Brier score, expected calibration error, status; no observations aren't evaluated."""
+    n = F.sum("n")
+    return bins.agg(
+        F.coalesce(n, F.lit(0)).alias("denominator"), (F.sum("squares") / n).alias("brier_score"), (F.sum(F.col("n") * F.abs(F.col("mean_confidence") - F.col("accuracy"))) / n).alias("calibration_error"),
+        F.when(n >= R.REPORTABLE_SLICE, "reportable").when(n > 0, "small_sample").otherwise("not_evaluated").alias("status"),
+    )
 
 
 def select_threshold(rows: DataFrame) -> DataFrame:
@@ -61,27 +70,34 @@ def select_threshold(rows: DataFrame) -> DataFrame:
     return cells.agg(best.alias("b")).select("b.*")
 
 
-def bootstrap(rows: DataFrame, keys: list[str], value: str, samples: int = R.BOOTSTRAPS) -> DataFrame:
-    """Elements 25 and 975 of a thousand resampled means, per key.
+def _poisson_steps() -> list[float]:
+    """Where a uniform number passes from one count of a Poisson law of mean one to the next."""
+    steps, total, term = [], 0.0, math.exp(-1)
+    for k in range(1, 13):
+        total += term
+        steps.append(total)
+        term /= k
+    return steps
 
-    A slice is held as its distinct values (to six digits) with counts, so it stays small however many rows there are. A
-    resample draws each value's count from a Poisson law, in its normal form, by an arithmetic hash of sample and value.
-    """
-    cells = rows.groupBy(*keys, F.round(F.col(value).cast("double"), 6).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    held = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("cells"), F.sum("c").alias("n"))
-    even = lambda s, v, k: (F.pmod(F.xxhash64(s, v, F.lit(k)), F.lit(2**31 - 1)) + 1).cast("double") / 2.0**31
 
-    def drawn(s: Column, x: Column) -> Column:
-        z = F.sqrt(-2.0 * F.log(even(s, x["v"], 1))) * F.cos(2.0 * math.pi * even(s, x["v"], 2))
-        return F.greatest(F.lit(0.0), F.round(x["c"] + F.sqrt(x["c"].cast("double")) * z))
+POISSON_STEPS = _poisson_steps()
 
-    def mean(s: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("t"))
-        add = lambda acc, x: F.struct((acc["w"] + drawn(s, x)).alias("w"), (acc["t"] + drawn(s, x) * x["v"]).alias("t"))
-        return F.aggregate("cells", start, add, lambda acc: F.coalesce(F.try_divide(acc["t"], acc["w"]), F.lit(0.0)))
 
-    means = F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(samples)), mean))
-    return held.withColumn("m", means).select(*keys, "n", F.element_at("m", 25 * samples // 1000).alias("low"), F.element_at("m", 975 * samples // 1000).alias("high"))
+def bootstrap(rows: DataFrame, keys: list[str], item: str, value: str, samples: int = R.BOOTSTRAPS) -> DataFrame:
+    """Elements 25 and 975 of a thousand resampled means, per key.
+
+    A resample takes each row as often as a Poisson law of mean one says, by inversion of a digest of sample, keys and item.
+    Samples are rows, and partial sums are made before anything is shuffled.
+    """
+    drawn = rows.select(*keys, F.col(value).cast("double").alias("v"), F.col(item).alias("_item"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample"))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("sample").cast("string"), *keys, F.col("_item").cast("string"))), 1, 8), 16, 10).cast("long") / 4294967296.0
+    weight = sum((F.when(u >= step, 1).otherwise(0) for step in POISSON_STEPS[1:]), F.when(u >= POISSON_STEPS[0], 1).otherwise(0))
+    weighed = drawn.withColumn("w", weight).filter("w > 0")
+    means = weighed.groupBy(*keys, "sample").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    listed = means.groupBy(*keys).agg(F.array_sort(F.collect_list("m")).alias("m"))  # a list of samples
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    at = lambda k: F.element_at("m", F.greatest(F.lit(1), F.floor(F.size("m") * k / samples).cast("int")))
+    return listed.join(n, keys).select(*keys, "n", at(25 * samples // 1000).alias("low"), at(975 * samples // 1000).alias("high"))
 
 
 def paired_deltas(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
@@ -118,3 +134,47 @@ def agreement(rows: DataFrame, key: str, value: str, least: int) -> DataFrame:
     """Whether all members of a key share one projection, none missing; keys with too few members have no verdict."""
     found = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(value).alias("kinds"), F.count_if(F.col(value).isNull()).alias("missing"))
     return found.select(key, "n", F.when(F.col("n") >= least, (F.col("kinds") == 1) & (F.col("missing") == 0)).alias("agrees"))
+
+
+def qualified(rows: DataFrame, calibration_content: DataFrame, supported: float = 0.90, unsupported: float = 0.95) -> DataFrame:
+    """(label, n, low, problems, qualified): the lower bound of agreement with each reviewed label, and what is wrong with the
+    observations as a whole: groups that aren't independent, repeated content, overlap with calibration, a missing label.
+
+    `rows`: item, group_id, content, split, label (reviewed; null without agreement), hit; `calibration_content`: content.
+    """
+    none = F.array().cast("array<string>")
+    count = lambda df, name: df.agg((F.count(F.lit(1)) > 0).alias(name))
+    found = [
+        count(rows.filter("split is distinct from 'qualification' or group_id is null"), "not_held_out"),
+        count(rows.filter("group_id is not null").groupBy("group_id").count().filter("count > 1"), "dependent_groups"),
+        count(rows.groupBy("content").count().filter("count > 1"), "duplicate_content"),
+        count(rows.join(calibration_content.select("content").distinct(), "content", "left_semi"), "calibration_overlap"),
+        count(rows.filter("label is null"), "unresolved_review"),
+    ]
+    names = ["not_held_out", "dependent_groups", "duplicate_content", "calibration_overlap", "unresolved_review"]
+    problems = found[0]
+    for f in found[1:]:
+        problems = problems.join(F.broadcast(f))  # a row each
+    problems = problems.select(C.named(*((n, F.col(n)) for n in names)).alias("problems"))
+    sides = rows.sparkSession.createDataFrame([("supported", supported), ("unsupported", unsupported)], "label string, least double")
+    per = rows.filter("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits"))
+    joined = sides.join(per, "label", "left").na.fill(0, ["n", "hits"]).join(F.broadcast(problems))
+    low = C.wilson_lower(F.col("hits"), F.col("n"))
+    return joined.select("label", "n", low.alias("low"), F.coalesce("problems", none).alias("problems"), ((low >= F.col("least")) & (F.size("problems") == 0)).alias("qualified"))
+
+
+def consistency(agreements: DataFrame, replays: DataFrame, newly_failing: DataFrame) -> DataFrame:
+    """(gate, scope, value, denominator, minimum, status) of a candidate. `agreements`: split, gate, agrees (null: no
+    verdict); `replays`: differences; `newly_failing`: a row for each check that passed before and fails now."""
+    spark = agreements.sparkSession
+    wanted = spark.createDataFrame([(g, s, m) for g, m in R.AGREEMENT_MINIMA.items() for s in ("validation", "test", "oot")], "gate string, scope string, minimum double")
+    share = lambda c: F.avg(c.cast("double"))
+    found = agreements.filter("agrees is not null").groupBy("gate", F.col("split").alias("scope")).agg(share(F.col("agrees")).alias("value"), F.count(F.lit(1)).alias("denominator"))
+    by_split = wanted.join(found, ["gate", "scope"], "left")
+    replay = replays.agg(F.lit("verified_replay").alias("gate"), F.lit("verified answers").alias("scope"), share(F.size("differences") == 0).alias("value"), F.count(F.lit(1)).alias("denominator")).withColumn("minimum", F.lit(R.REPLAY_MINIMUM))
+    status = F.when(F.col("value").isNull(), "not_evaluated").when(F.col("value") >= F.col("minimum"), "passed").otherwise("failed")
+    columns = ["gate", "scope", "value", "denominator", "minimum"]
+    gates = by_split.select(columns).union(replay.select(columns)).withColumn("status", status).withColumn("value", C.fixed(F.col("value"), 6))
+    lost = newly_failing.agg(F.count(F.lit(1)).cast("double").alias("value"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return gates.union(lost.select(F.lit("regression_checks"), F.lit("development checks"), "value", none("long"), none("double"), F.when(F.col("value") <= R.MOST_NEWLY_FAILING, "passed").otherwise("failed")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.catalog import CATALOG, query
 from riskloom.functions import columns as C
 from riskloom.operators import drafts as D
+from riskloom.operators import evaluation as E
 from riskloom.operators import factsheet as S
 from riskloom.plans import quality as P
 from riskloom.sources.views import Tables
@@ -197,3 +198,76 @@ def factsheet_statements(t: Tables) -> DataFrame:
     """Every factsheet as statements 'path = value.', for each text and number at any depth."""
     sheet = S.factsheets(t.om, P._AS_OF)
     return sheet.select("obligor_id", F.explode(C.statements(sheet.schema, skip=("obligor_id",))).alias("statement"))
+
+
+_PLAIN = r"trim(regexp_replace(lower({0}), '[ \t\n]+', ' ', 'g'))"
+_FIELDS = f"""
+st AS (SELECT answer_id, seq, arg_min(stage, (NOT contains(lower(said), 'current'), fact_no)) AS stated FROM (
+  SELECT answer_id, seq, fact_no, said, TRY_CAST(regexp_extract(clean, '(?i)\\bstage\\b[^0-9;]{{0,30}}?\\b([1-3])\\b', 1) AS INTEGER) AS stage, clean FROM (SELECT *, regexp_replace(said, '(?i)\\b(?:OBL|FAC)[-_ ]?[0-9]+(?:[-_ ][0-9]+)?\\b', ' ', 'g') AS clean FROM f) x)
+  WHERE stage IS NOT NULL AND NOT regexp_matches(clean, '(?i)\\b(?:migrat\\w*|from\\s+(?:stage\\s+)?[1-3]\\s+to)\\b') GROUP BY ALL),
+ci AS (SELECT answer_id, seq, array_to_string(list_sort(list(DISTINCT evidence_id)), ',') AS cited FROM fc GROUP BY ALL),
+df AS (SELECT d.answer_id, d.seq, valid, question_id, split, status, answer_status, coalesce(conclusion_stage, stated) AS stage, array_to_string(list_sort(list_transform({_LIST.format('drivers')}, lambda x: {_PLAIN.format('x')})), ',') AS risk_drivers, {_PLAIN.format('d.recommendation')} AS recommendation, coalesce(cited, '') AS cited
+  FROM drafts d JOIN (SELECT answer_id, seq, status FROM answers) z USING (answer_id, seq) LEFT JOIN st USING (answer_id, seq) LEFT JOIN ci USING (answer_id, seq))
+"""
+
+
+def _fields(t: Tables) -> DataFrame:
+    return D.decision_fields(t.drafts, _facts(t))
+
+
+@query(f"WITH {_BASE}, {_FIELDS} SELECT answer_id, seq, answer_status, stage, risk_drivers, recommendation, cited FROM df WHERE valid")
+def decision_fields(t: Tables) -> DataFrame:
+    """The declared fields of every valid decision."""
+    return _fields(t).filter("fields is not null").select(*D.KEYS, "fields.*")
+
+
+#: A second run of the verified drafts: some say another thing, some say nothing valid.
+_REPLAY = f"""
+{_FIELDS}, vs AS (SELECT * FROM df WHERE valid AND status = 'verified'),
+rp AS (SELECT answer_id, seq, question_id, split, array_to_string(CASE WHEN answer_id % 35 = 30 THEN ['output'] ELSE list_filter([CASE WHEN answer_id % 15 = 5 AND answer_status <> 'ESCALATE' THEN 'answer_status' END, CASE WHEN seq % 6 = 4 AND stage IS DISTINCT FROM 3 THEN 'stage' END], lambda x: x IS NOT NULL) END, ',') AS differences FROM vs)
+"""
+
+
+def _replayed(t: Tables) -> DataFrame:
+    verified = t.answers.filter("status = 'verified'").select(*D.KEYS)
+    stored = _fields(t).filter("fields is not null").join(verified, D.KEYS)
+    f = F.col("fields").withField("answer_status", F.when(F.col("answer_id") % 15 == 5, "ESCALATE").otherwise(F.col("fields.answer_status")))
+    again = stored.select(*D.KEYS, f.withField("stage", F.when(F.col("seq") % 6 == 4, 3).otherwise(F.col("fields.stage"))).alias("fields")).filter("answer_id % 35 <> 30")
+    return D.replayed(stored, again)
+
+
+@query(f"WITH {_BASE}, {_REPLAY} SELECT answer_id, seq, differences FROM rp")
+def replay_join(t: Tables) -> DataFrame:
+    """The stored decision of each verified answer against that of a second run, field by field."""
+    return _replayed(t).select(*D.KEYS, F.concat_ws(",", "differences").alias("differences"))
+
+
+_MINIMA = "(VALUES ('repeated_agreement', 1.0e0), ('equivalent_agreement', 0.95e0), ('negative_control_distinction', 0.95e0)) g(gate, minimum)"
+_SCOPES = "(VALUES ('validation'), ('test'), ('oot')) s(scope)"
+
+
+@query(f"""
+WITH {_BASE}, {_REPLAY},
+ag AS (SELECT split, 'repeated_agreement' AS gate, answer_id AS key, count(*) AS n, CASE WHEN count(*) >= 3 THEN count(DISTINCT recommendation) = 1 AND count(recommendation) = count(*) END AS ok FROM df WHERE valid GROUP BY split, answer_id
+  UNION ALL SELECT split, 'equivalent_agreement', question_id, count(*), CASE WHEN count(*) >= 3 THEN count(DISTINCT answer_status) = 1 AND count(answer_status) = count(*) END FROM df WHERE valid GROUP BY split, question_id
+  UNION ALL SELECT a.split, 'negative_control_distinction', a.answer_id, 2, bool_and(a.rec <> b.rec) FROM (SELECT split, answer_id, min(recommendation) AS rec FROM df WHERE valid GROUP BY ALL) a JOIN (SELECT answer_id, min(recommendation) AS rec FROM df WHERE valid GROUP BY ALL) b ON b.answer_id = a.answer_id + 1 GROUP BY a.split, a.answer_id),
+me AS (SELECT split AS scope, gate, avg(CASE WHEN ok THEN 1e0 ELSE 0e0 END) AS value, count(*) AS denominator FROM ag WHERE ok IS NOT NULL GROUP BY ALL),
+r1 AS (SELECT g.gate, s.scope, me.value, me.denominator, minimum, CASE WHEN me.value IS NULL THEN 'not_evaluated' WHEN me.value >= minimum THEN 'passed' ELSE 'failed' END AS status FROM {_MINIMA} CROSS JOIN {_SCOPES} LEFT JOIN me USING (gate, scope)),
+r2 AS (SELECT 'verified_replay' AS gate, 'verified answers' AS scope, avg(CASE WHEN differences = '' THEN 1e0 ELSE 0e0 END) AS value, count(*) AS denominator, 1e0 AS minimum FROM rp),
+r3 AS (SELECT 'regression_checks' AS gate, 'development checks' AS scope, count(*)::DOUBLE AS value FROM labels WHERE quality = 1 AND toxic = 1)
+SELECT gate, scope, floor(value * 1e6 + 0.5e0) / 1e6 AS value, denominator, minimum, status FROM r1 UNION ALL SELECT gate, scope, floor(value * 1e6 + 0.5e0) / 1e6, denominator, minimum, CASE WHEN denominator = 0 THEN 'not_evaluated' WHEN value >= minimum THEN 'passed' ELSE 'failed' END FROM r2
+UNION ALL SELECT gate, scope, value, NULL, NULL, CASE WHEN value <= 0 THEN 'passed' ELSE 'failed' END FROM r3
+""")
+def consistency_gates(t: Tables) -> DataFrame:
+    """Agreement of repeats, of equivalent questions and distinction of controls by split; replay; checks that newly fail.
+
+    A check passed before where `quality` is 1, and fails now where `toxic` is.
+    """
+    rows = _fields(t).filter("fields is not null").select(*D.KEYS, "fields.*").join(t.drafts.select(*D.KEYS, "split", "question_id"), D.KEYS)
+    repeated = E.agreement(rows.withColumn("key", F.struct("split", "answer_id")), "key", "recommendation", 3).select("key.split", F.lit("repeated_agreement").alias("gate"), "agrees")
+    equivalent = E.agreement(rows.withColumn("key", F.struct("split", "question_id")), "key", "answer_status", 3).select("key.split", F.lit("equivalent_agreement").alias("gate"), "agrees")
+    one = rows.groupBy("split", "answer_id").agg(F.min("recommendation").alias("rec"))
+    control = rows.groupBy((F.col("answer_id") - 1).alias("answer_id")).agg(F.min("recommendation").alias("other"))
+    distinct = one.join(control, "answer_id").select("split", F.lit("negative_control_distinction").alias("gate"), (F.col("rec") != F.col("other")).alias("agrees"))
+    before, after = (t.labels.filter(c).select("doc_id") for c in ("quality = 1", "toxic = 0"))
+    return E.consistency(repeated.union(equivalent).union(distinct), _replayed(t), before.exceptAll(after))

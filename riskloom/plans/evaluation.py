@@ -65,15 +65,32 @@ def wilson_lower(t: Tables) -> DataFrame:
     return rows.select("group_id", "n", C.fixed(C.wilson_lower(F.col("hits"), F.col("n")), 6).alias("low"))
 
 
-@query(f"SELECT portfolio, metric, {_R6.format('avg(value)')} AS mean, count(value) AS n, count(value) >= 10 AS sufficient FROM ({_OBS}) o GROUP BY portfolio, metric")
+_SPLIT_OBS = f"SELECT *, CASE case_id % 4 WHEN 0 THEN 'validation' WHEN 1 THEN 'test' WHEN 2 THEN 'oot' ELSE 'train' END AS split FROM ({_OBS}) zz"
+
+
+@query(f"""
+SELECT kind, slice, metric, {_R6.format('avg(value)')} AS mean, count(value) AS n, count(value) >= 10 AS sufficient FROM (SELECT 'portfolio' AS kind, portfolio AS slice, metric, value FROM ({_SPLIT_OBS}) o UNION ALL SELECT 'split', split, metric, value FROM ({_SPLIT_OBS}) o) GROUP BY kind, slice, metric
+""")
 def metric_means(t: Tables) -> DataFrame:
-    found = _observed(t).groupBy("portfolio", "metric").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
-    return found.select("portfolio", "metric", C.fixed(F.col("mean"), 6).alias("mean"), "n", (F.col("n") >= R.REPORTABLE_SLICE).alias("sufficient"))
+    """Means by portfolio and by split, with the number of cases and whether it is enough to report."""
+    split = F.element_at(F.array(*map(F.lit, ("validation", "test", "oot", "train"))), (F.col("case_id") % 4 + 1).cast("int"))
+    rows = _observed(t).withColumn("split", split).select("metric", "value", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("slice")) for k in ("portfolio", "split")))).alias("s"))
+    found = rows.groupBy("s.kind", "s.slice", "metric").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
+    return found.select("kind", "slice", "metric", C.fixed(F.col("mean"), 6).alias("mean"), "n", (F.col("n") >= R.REPORTABLE_SLICE).alias("sufficient"))
 
 
-@query()
+_STEPS = " + ".join(f"CASE WHEN u >= {x!r} THEN 1 ELSE 0 END" for x in E.POISSON_STEPS)
+
+
+@query(f"""
+WITH d AS (SELECT portfolio, metric, value, sample, CAST(concat('0x', substr(md5(sample || '|' || portfolio || '|' || metric || '|' || case_id), 1, 8)) AS BIGINT) / 4294967296e0 AS u FROM ({_OBS}) o, range(1, 1001) r(sample) WHERE value IS NOT NULL),
+m AS (SELECT portfolio, metric, sample, sum(w * value) / sum(w) AS m FROM (SELECT *, {_STEPS} AS w FROM d) WHERE w > 0 GROUP BY ALL),
+k AS (SELECT portfolio, metric, list_sort(list(m)) AS m FROM m GROUP BY ALL), c AS (SELECT portfolio, metric, count(value) AS n FROM ({_OBS}) o GROUP BY ALL)
+SELECT portfolio, metric, n, {_R6.format('m[greatest(1, len(m) * 25 // 1000)]')} AS low, {_R6.format('m[greatest(1, len(m) * 975 // 1000)]')} AS high FROM k JOIN c USING (portfolio, metric)
+""")
 def bootstrap_ci(t: Tables) -> DataFrame:
-    return E.bootstrap(_observed(t).filter("value is not null"), ["portfolio", "metric"], "value")
+    found = E.bootstrap(_observed(t).filter("value is not null"), ["portfolio", "metric"], "case_id", "value")
+    return found.withColumns({c: C.fixed(F.col(c), 6) for c in ("low", "high")})
 
 
 @query(f"SELECT portfolio, {_R6.format('(sum((1 + case_id % 5) * schema_valid)::DOUBLE / sum(1 + case_id % 5))')} AS pass_rate FROM eval_obs GROUP BY portfolio")
@@ -85,10 +102,17 @@ def business_weighted_pass_rate(t: Tables) -> DataFrame:
 _CONF = "SELECT case_id, (case_id % 101) / 100e0 AS confidence, schema_valid AS correct FROM eval_obs"
 
 
-@query(f"SELECT least(floor(confidence * 5e0), 4)::INTEGER AS bin, count(*) AS n, {_R6.format('avg(confidence)')} AS mean_confidence, {_R6.format('avg(correct)')} AS accuracy FROM ({_CONF}) c GROUP BY 1")
+@query(f"""
+WITH b AS (SELECT least(floor(confidence * 5e0), 4)::INTEGER AS bin, count(*) AS n, avg(confidence) AS c, avg(correct) AS a, sum((confidence - correct) ** 2) AS q FROM ({_CONF}) x GROUP BY 1),
+s AS (SELECT sum(n) AS all_n, sum(q) / sum(n) AS brier, sum(n * abs(c - a)) / sum(n) AS ece FROM b)
+SELECT bin, n, {_R6.format('c')} AS mean_confidence, {_R6.format('a')} AS accuracy, all_n::BIGINT AS denominator, {_R6.format('brier')} AS brier_score, {_R6.format('ece')} AS calibration_error, CASE WHEN all_n >= 10 THEN 'reportable' ELSE 'small_sample' END AS status FROM b, s
+""")
 def calibration_bins(t: Tables) -> DataFrame:
+    """Bins with the summary of all of them."""
     rows = t.eval_obs.select((F.col("case_id") % 101 / 100.0).alias("confidence"), F.col("schema_valid").alias("correct"))
-    return E.calibration(rows).withColumns({c: C.fixed(F.col(c), 6) for c in ("mean_confidence", "accuracy")})
+    bins = E.calibration(rows)
+    joined = bins.drop("squares").join(F.broadcast(E.calibration_summary(bins)))  # a row
+    return joined.withColumns({c: C.fixed(F.col(c), 6) for c in ("mean_confidence", "accuracy", "brier_score", "calibration_error")})
 
 
 _LEFT = "SELECT doc_id AS case_id, CASE WHEN doc_id % 2 = 0 THEN 'dev' ELSE 'test' END AS split, 'quality' AS metric, quality::DOUBLE AS value FROM labels"
@@ -194,27 +218,46 @@ def reviewed_label(t: Tables) -> DataFrame:
     return _reviews(t)
 
 
-@query(f"""
-WITH l AS (SELECT label, count(*) AS n, (count(*) FILTER (item % 20 <> 0))::DOUBLE / count(*) AS p FROM ({_LABELLED}) x WHERE label IS NOT NULL GROUP BY label)
-SELECT label, n, {_R6.format('(' + _WILSON + ')')} AS low, ({_WILSON}) >= CASE label WHEN 'unsupported' THEN 0.95e0 ELSE 0.90e0 END AS qualified FROM l
-""")
+#: Judged items, a group each; their contents, some of which calibration has seen; what the judge and the cosine say.
+_JUDGED = f"""
+SELECT x.item, 'g' || CASE WHEN x.item % 400 = 0 THEN 7 ELSE x.item END AS group_id, 'c' || x.item AS content, CASE WHEN x.item % 1000 = 999 THEN 'train' ELSE 'qualification' END AS split, x.label, x.item % 20 <> 0 AS judged, (((x.item * 37) % 1000) / 1000e0 >= 0.1e0) = (x.label = 'supported') AS near FROM ({_LABELLED}) x
+"""
+_QUALIFY = f"""
+WITH j AS (SELECT * FROM ({_JUDGED}) y WHERE {{1}}), cal AS (SELECT 'c' || item_id AS content FROM benchmark WHERE item_id % 9 = {{2}}),
+p AS (SELECT list_filter([CASE WHEN EXISTS (SELECT 1 FROM j WHERE split <> 'qualification') THEN 'not_held_out' END, CASE WHEN (SELECT count(*) - count(DISTINCT group_id) FROM j) > 0 THEN 'dependent_groups' END, CASE WHEN (SELECT count(*) - count(DISTINCT content) FROM j) > 0 THEN 'duplicate_content' END,
+  CASE WHEN EXISTS (SELECT 1 FROM j WHERE content IN (SELECT content FROM cal)) THEN 'calibration_overlap' END, CASE WHEN EXISTS (SELECT 1 FROM j WHERE label IS NULL) THEN 'unresolved_review' END], lambda x: x IS NOT NULL) AS problems),
+l AS (SELECT s.label, s.least, count(j.item) AS n, (count(*) FILTER ({{0}}))::DOUBLE / greatest(count(j.item), 1) AS p FROM (VALUES ('supported', 0.90e0), ('unsupported', 0.95e0)) s(label, least) LEFT JOIN j USING (label) GROUP BY ALL)
+SELECT label, n, {_R6.format('(' + _WILSON + ')')} AS low, array_to_string(problems, ',') AS problems, ({_WILSON}) >= least AND len(problems) = 0 AS qualified FROM l, (SELECT problems FROM p) pp
+"""
+
+
+def _judged(t: Tables, hit: str) -> DataFrame:
+    item, text = F.col("item"), F.col("item").cast("string")
+    near = (item * 37 % 1000 / 1000.0 >= 0.1) == (F.col("label") == "supported")
+    group = F.concat(F.lit("g"), F.when(item % 400 == 0, 7).otherwise(item).cast("string"))
+    split = F.when(item % 1000 == 999, "train").otherwise("qualification")
+    return _reviews(t).select("item", group.alias("group_id"), F.concat(F.lit("c"), text).alias("content"), split.alias("split"), "label", (near if hit == "near" else item % 20 != 0).alias("hit"))
+
+
+def _calibrated(t: Tables, rest: int) -> DataFrame:
+    return t.benchmark.filter(F.col("item_id") % 9 == rest).select(F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("content"))
+
+
+def _told(found: DataFrame) -> DataFrame:
+    return found.withColumns({"low": C.fixed(F.col("low"), 6), "problems": F.concat_ws(",", "problems")})
+
+
+@query(_QUALIFY.format("judged", "true", 4))
 def qualify_judge(t: Tables) -> DataFrame:
-    """A judge's agreement with each true label, by its lower bound."""
-    rows = _reviews(t).filter("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("item") % 20 != 0).alias("hits"))
-    low = C.wilson_lower(F.col("hits"), F.col("n"))
-    return rows.select("label", "n", C.fixed(low, 6).alias("low"), (low >= F.when(F.col("label") == "unsupported", 0.95).otherwise(0.90)).alias("qualified"))
+    """A judge's agreement with each reviewed label, over all items: their groups, contents and reviews have defects."""
+    return _told(E.qualified(_judged(t, "judged"), _calibrated(t, 4)))
 
 
-@query(f"""
-WITH l AS (SELECT relevant AS label, count(*) AS n, (count(*) FILTER ((cosine >= 0.1e0) = relevant))::DOUBLE / count(*) AS p FROM ({_RATED}) x GROUP BY relevant)
-SELECT label, n, {_R6.format('(' + _WILSON + ')')} AS low, ({_WILSON}) >= CASE WHEN label THEN 0.90e0 ELSE 0.95e0 END AS qualified FROM l
-""")
+@query(_QUALIFY.format("near", "label IS NOT NULL AND item % 400 <> 0 AND item % 1000 <> 999 AND item % 9 <> 5", 5))
 def qualify_retrieval(t: Tables) -> DataFrame:
-    """The same for a cosine threshold."""
-    rows = t.labels.select((F.col("doc_id") * 37 % 1000 / 1000.0).alias("cosine"), (F.col("quality") == 1).alias("label"))
-    found = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("cosine") >= 0.1) == F.col("label")).alias("hits"))
-    low = C.wilson_lower(F.col("hits"), F.col("n"))
-    return found.select("label", "n", C.fixed(low, 6).alias("low"), (low >= F.when(F.col("label"), 0.90).otherwise(0.95)).alias("qualified"))
+    """The same for a cosine threshold, over the items without defects."""
+    rows = _judged(t, "near").filter("label is not null and item % 400 <> 0 and item % 1000 <> 999 and item % 9 <> 5")
+    return _told(E.qualified(rows, _calibrated(t, 5)))
 
 
 @query("SELECT question_id, count(*) AS n, CASE WHEN count(*) >= 3 THEN count(DISTINCT nullif(recommendation, '')) = 1 AND count(nullif(recommendation, '')) = count(*) END AS agrees FROM answers GROUP BY question_id")
@@ -238,28 +281,6 @@ def negative_controls(t: Tables) -> DataFrame:
     return wanted.join(p.select(F.col("answer_id").alias("control"), F.col("rec").alias("other")), "control").groupBy("answer_id").agg(F.bool_and(F.col("rec") != F.col("other")).alias("distinguished"))
 
 
-_GATES = "(VALUES ('repeated_agreement', 1.0e0), ('equivalent_agreement', 0.95e0), ('negative_control_distinction', 0.95e0), ('verified_replay', 1.0e0)) g(gate, minimum)"
-
-
-@query(f"""
-WITH v AS (SELECT 'repeated_agreement' AS gate, avg(schema_valid) AS value, count(*) AS n FROM eval_obs UNION ALL SELECT 'equivalent_agreement', avg(injection_blocked), count(*) FROM eval_obs UNION ALL SELECT 'verified_replay', 1e0, count(*) FROM eval_obs)
-SELECT g.gate, minimum, {_R6.format('v.value')} AS value, CASE WHEN v.n IS NULL THEN 'insufficient' WHEN v.value >= minimum THEN 'passed' ELSE 'failed' END AS status FROM {_GATES} LEFT JOIN v ON g.gate = v.gate
-""")
-def consistency_gates(t: Tables) -> DataFrame:
-    found = t.eval_obs.agg(F.avg("schema_valid").alias("repeated_agreement"), F.avg("injection_blocked").alias("equivalent_agreement"), F.lit(1.0).alias("verified_replay"))
-    values = found.unpivot([], ["repeated_agreement", "equivalent_agreement", "verified_replay"], "gate", "value")
-    gates = t.spark.sql(f"SELECT * FROM {_GATES}")
-    status = F.when(F.col("value").isNull(), "insufficient").when(F.col("value") >= F.col("minimum"), "passed").otherwise("failed")
-    return gates.join(values, "gate", "left").select("gate", "minimum", C.fixed(F.col("value"), 6).alias("value"), status.alias("status"))
-
-
-@query("SELECT a.question_id, count(*) AS n, count(*) FILTER (a.status <> b.status) AS differing FROM answers a JOIN answers b ON a.answer_id = b.answer_id AND b.seq = a.seq + 1 GROUP BY a.question_id")
-def replay_join(t: Tables) -> DataFrame:
-    """Stored fields against the regenerated ones: here an answer's next turn."""
-    again = t.answers.select("answer_id", (F.col("seq") - 1).alias("seq"), F.col("status").alias("again"))
-    return t.answers.join(again, ["answer_id", "seq"]).groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") != F.col("again")).alias("differing"))
-
-
 @query("SELECT 'missing' AS side, item_id, n FROM (SELECT item_id, count(*) AS n FROM (SELECT item_id FROM benchmark EXCEPT ALL SELECT item_id FROM benchmark WHERE item_id % 7 <> 0) GROUP BY 1)")
 def result_agreement(t: Tables) -> DataFrame:
     """Rows that one result has and the other lacks, duplicates counted, order ignored."""

@@ -185,9 +185,22 @@ def field_diff(t: Tables) -> DataFrame:
     return joined.select("obligor_id", "observation_date", F.concat_ws(",", Q.changed("outstanding", "pit_pd", "stage")).alias("changed"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+_NESTED = """
+SELECT event_id, '{"k": ' || CAST(event_id % 7 AS VARCHAR(4)) || ', "facts": [{"ids": ["a", "b' || CAST(user_id AS VARCHAR(12)) || '"]}, {"value": ' || CAST(event_id % 3 AS VARCHAR(4)) || '.5}], "odd.key": null}' AS doc,
+  CASE event_id % 5 WHEN 0 THEN 'k' WHEN 1 THEN 'facts.0.ids.1' WHEN 2 THEN 'facts.1.value' WHEN 3 THEN 'facts.7.value' ELSE 'facts.ids' END AS path FROM events
+"""
+
+
+@query(f"""
+WITH n AS ({_NESTED}) SELECT event_id, CASE path WHEN 'k' THEN json_extract_string(doc, '$.k') WHEN 'facts.0.ids.1' THEN json_extract_string(doc, '$.facts[0].ids[1]') WHEN 'facts.1.value' THEN json_extract_string(doc, '$.facts[1].value') END AS value FROM n
+""")
 def json_path_field(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    """A field by a dotted path, numbers being places in lists; paths are a column, so each distinct one is a case."""
+    rows = t.sql(_NESTED, "events")
+    value = F.lit(None).cast("string")
+    for r in rows.select("path").distinct().limit(Q.MOST_PATHS + 1).collect():  # expected checks come from a registry
+        value = F.when(F.col("path") == r["path"], Q.json_field(F.col("doc"), r["path"])).otherwise(value)
+    return rows.select("event_id", value.alias("value"))
 
 
 _MODEL = "SELECT answer_id, seq, CASE answer_id % 4 WHEN 0 THEN '```json' || chr(10) || '{\"status\": \"' || status || '\", \"stage\": ' || (answer_id % 3 + 1) || '}' || chr(10) || '```' WHEN 1 THEN '{\"status\": \"' || status || '\", \"stage\": 2}' WHEN 2 THEN '{\"status\": \"' || status ELSE 'no json' END AS raw FROM answers"
@@ -205,15 +218,6 @@ def parse_model_json(t: Tables) -> DataFrame:
     return rows.select("answer_id", "seq", "j.status", "j.stage", (F.startswith("body", F.lit("{")) & ~F.endswith("body", F.lit("}"))).alias("truncated"))
 
 
-@query("SELECT answer_id, seq, answer_status, array_to_string(list_sort(regexp_extract_all(lower(recommendation), '[a-z]+')), ',') AS drivers, CASE WHEN regexp_matches(recommendation, 'limit increase') THEN 2 ELSE 1 END AS stage FROM answers")
-def decision_fields(t: Tables) -> DataFrame:
-    """The declared fields of a decision: status, stage, drivers in order."""
-    drivers = F.array_sort(F.regexp_extract_all(F.lower("recommendation"), F.lit("[a-z]+"), F.lit(0)))
-    return t.answers.select("answer_id", "seq", "answer_status", F.concat_ws(",", drivers).alias("drivers"), F.when(F.col("recommendation").contains("limit increase"), 2).otherwise(1).alias("stage"))
-
-
-
-
 @query("SELECT user_id AS run, event_id AS iter, floor(value * 100 + 0.5e0)::BIGINT AS cents, CASE WHEN event_type = 'error' THEN 'valid' ELSE 'train' END AS split FROM events")
 def read_run_metrics(t: Tables) -> DataFrame:
     """Training logs written as text lines and parsed again."""

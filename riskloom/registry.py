@@ -90,6 +90,8 @@ RELEASE = {"low": "auto_release", "medium": "analyst_review_required", "high": "
 
 # Gates and evaluation.
 MINIMUM_ELIGIBLE, WILSON_Z, REGRESSION_TOLERANCE, REPORTABLE_SLICE, BOOTSTRAPS = 30, 1.959963984540054, 0.02, 10, 1000
+AGREEMENT_MINIMA = {"repeated_agreement": 1.0, "equivalent_agreement": 0.95, "negative_control_distinction": 0.95}
+REPLAY_MINIMUM, MOST_NEWLY_FAILING = 1.0, 0
 PRECEDENT_SIMILARITY, FEEDBACK_FRACTION, FAMILY_CAP = 0.92, 0.2, 50
 THRESHOLDS = {"schema_validity": 1.0, "numerical_agreement": 1.0, "citation_coverage": 0.98, "extractive_support_rate": 0.90, "abstention_recall": 0.95, "prompt_injection_block_rate": 0.99, "driver_recall": 0.90, "answer_status_correctness": 1.0, "required_evidence_recall": 0.98, "semantic_support_rate": 0.95}
 
