@@ -68,16 +68,30 @@ def conflicts(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def contract(cases: DataFrame, cutoff: str) -> DataFrame:
-    """(code, n): leaks and defects of a built dataset."""
-    late = F.col("observed") >= F.lit(cutoff).cast("date")
+    """(code, n): leaks and defects of a dataset with a part that lies out of time (`oot`).
+
+    `cases`: record_id, group_id, template_family, split, observed, question, context, classification, source_hash, target,
+    expected, equivalence_id, distinct_from (a list of record ids).
+    """
+    late, oot = F.col("observed") >= F.lit(cutoff).cast("date"), F.col("split") == "oot"
     one = lambda code, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(code).alias("code"), "n")
+    controls = cases.select("record_id", F.explode("distinct_from").alias("control"))
+    known = cases.select(F.col("record_id").alias("control")).distinct()
+    signature = F.struct("context", "split", "expected")
     parts = [
         one("group_leakage", conflicts(cases, "group_id", "split")),
         one("family_leakage", conflicts(cases, "template_family", "split")),
-        one("late_outside_test", cases.filter(late & (F.col("split") != "test"))),
+        one("oot_before_cutoff", cases.filter(oot & ~late)),
+        one("late_outside_oot", cases.filter(late & ~oot)),
         one("duplicate_case_id", cases.groupBy("record_id").count().filter("count > 1")),
-        one("duplicate_question", cases.groupBy(F.lower("text").alias("q"), "jurisdiction").count().filter("count > 1")),
-        one("bad_source_hash", cases.filter(~F.col("content_hash").rlike("^[0-9a-f]{64}$"))),
+        one("duplicate_question", cases.groupBy(F.lower(F.trim("question")).alias("q"), "context").count().filter("count > 1")),
+        one("equivalence_differs", cases.filter("equivalence_id is not null").groupBy("equivalence_id").agg(F.count_distinct(F.to_json(signature)).alias("k")).filter("k > 1")),
+        one("self_control", controls.filter("record_id = control")),
+        one("unknown_control", controls.join(known, "control", "left_anti")),
+        one("missing_target", cases.filter(F.col("split").isin("train", "valid") & F.col("target").isNull())),
+        one("missing_expected", cases.filter(~F.col("split").isin("train") & F.col("expected").isNull())),
+        one("not_releasable", cases.filter(~F.coalesce(F.col("classification").isin("synthetic", "masked"), F.lit(False)))),
+        one("bad_source_hash", cases.filter(~F.coalesce(F.col("source_hash").rlike("^[0-9a-f]{64}$"), F.lit(False)))),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -85,11 +99,52 @@ def contract(cases: DataFrame, cutoff: str) -> DataFrame:
     return out.filter("n > 0")
 
 
+def manifest(rows: DataFrame, exclusions: DataFrame) -> DataFrame:
+    """(kind, key, value): counts, the split of each group, a hash of each split's content, exclusions, family, skeleton,
+    situation and coverage counts, and a hash of all of it, made of the hashes of 256 parts.
+
+    `rows`: record_id, group_id, template_family, skeleton, situation, portfolio, content_hash, split; `exclusions`: kind, key.
+    """
+    text = lambda c: F.col(c).cast("string")
+    per = lambda kind, *keys: rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit(kind).alias("kind"), F.concat_ws("/", *keys).alias("key"), "value")
+    parts = [per("count", "split"), per("family", "template_family"), per("skeleton", "skeleton"), per("situation", "situation"), per("coverage", "portfolio", "situation")]
+    parts.append(rows.groupBy("group_id").agg(F.min("split").alias("value")).select(F.lit("group").alias("kind"), F.col("group_id").alias("key"), "value"))
+    parts.append(_digest(rows, "split", F.concat_ws(":", text("record_id"), "content_hash")).select(F.lit("file").alias("kind"), F.col("split").alias("key"), F.col("digest").alias("value")))
+    parts.append(exclusions.select("kind", "key", F.lit("excluded").alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _digest(rows: DataFrame, key: str, line: Column) -> DataFrame:
+    """A hash of the sorted lines of each key: lines are hashed in 256 parts, and the parts' hashes again."""
+    part = F.substring(F.sha2(line, 256), 1, 2)
+    parts = rows.groupBy(key, part.alias("_p")).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("h"))
+    return parts.groupBy(key).agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("_p", "h"))), lambda x: x["h"])), 256).alias("digest"))
+
+
+def sealed(rows: DataFrame) -> DataFrame:
+    """A manifest with the hash of itself."""
+    whole = _digest(rows.withColumn("_all", F.lit("manifest")), "_all", F.concat_ws("|", "kind", "key", "value"))
+    return rows.unionByName(whole.select(F.lit("manifest_hash").alias("kind"), F.lit("").alias("key"), F.col("digest").alias("value")))
+
+
+def verify_manifest(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
+    """(kind, key, status) of what a stored manifest says otherwise than the data: changed, missing or unexpected."""
+    a, b = stored.select("kind", "key", F.col("value").alias("a")), recomputed.select("kind", "key", F.col("value").alias("b"))
+    joined = a.join(b, ["kind", "key"], "full_outer")
+    status = F.when(F.col("a").isNull(), "missing").when(F.col("b").isNull(), "unexpected").when(F.col("a") != F.col("b"), "changed")
+    return joined.select("kind", "key", status.alias("status")).filter("status is not null")
+
+
 def diversity(rows: DataFrame, most: int = R.FAMILY_CAP) -> DataFrame:
-    """Families and skeletons with too many records, and families in more than one split."""
+    """Families and skeletons with too many records, families in more than one split, and families that need a near miss and
+    have none."""
     over = lambda kind, key: rows.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(F.lit(kind).alias("kind"), "key", "n")
     leaks = conflicts(rows, "template_family", "split").select(F.lit("family_in_splits"), F.col("template_family"), "n")
-    return over("family_over_cap", "template_family").union(over("skeleton_over_cap", "skeleton")).union(leaks)
+    near = rows.groupBy("template_family").agg(F.bool_or("requires_near_miss").alias("due"), F.count_if(F.col("situation") == "near_miss").alias("n")).filter("due and n = 0")
+    return over("family_over_cap", "template_family").union(over("skeleton_over_cap", "skeleton")).union(leaks).union(near.select(F.lit("missing_near_miss"), "template_family", "n"))
 
 
 def task_type(name: Column) -> Column:
@@ -108,10 +163,19 @@ def coverage(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def feedback_status() -> Column:
-    """The first thing that keeps a feedback record from training; 'eligible' if nothing does."""
+    """How far a correction has come: the first thing that it still lacks."""
+    return (
+        F.when(F.col("correction").isNull(), "submitted").when(~F.col("correction_valid"), "invalid_correction").when(F.col("protected"), "protected_split_or_group")
+        .when(F.col("expected_checks") == "", "needs_expected_results").when(F.col("root_cause") == "unknown", "untriaged").when(F.col("root_cause") != "model_behaviour", "component_feedback").otherwise("eligible_for_batch")
+    )
+
+
+def feedback_outcome() -> Column:
+    """What becomes of a feedback record when a training batch is built."""
+    eligible = F.col("eligible") & (F.col("root_cause") == "model_behaviour") & (F.coalesce("correction", F.lit("")) != "") & F.col("reviewer").isNotNull() & (F.col("review_status") == "approved") & (F.col("quality_score") >= LEAST_QUALITY)
     return (
-        F.when(F.col("root_cause").isNull(), "untriaged").when(F.col("root_cause") != "model_behaviour", "component_feedback").when(F.col("review_status") != "approved", "not_approved")
-        .when(F.col("quality_score") < LEAST_QUALITY, "low_quality").when(F.trim("corrected_output") == "", "no_correction").otherwise("eligible")
+        F.when(~F.coalesce(eligible, F.lit(False)), "not_eligible").when(~F.col("captured"), "skipped_no_captured_input").when(F.col("group_id").isNull(), "rejected_missing_group_id")
+        .when(~F.col("correction_valid"), "not_admissible").otherwise("training_example")
     )
 
 

@@ -50,14 +50,24 @@ def tier(body: Column, analysis: Column, recommendation: Column, status: Column)
     return F.struct(level.alias("tier"), F.array_sort(F.array_distinct(reasons)).alias("reasons"))
 
 
+#: Rules up to which a registry is broadcast.
+MOST_RULES = 100_000
+
+
+def applicable(rows: DataFrame, rules: DataFrame, day: Column) -> DataFrame:
+    """Rows with each rule that applies to them by jurisdiction, portfolio and date."""
+    named = rules.withColumnRenamed("jurisdiction", "for_jurisdiction")
+    named = F.broadcast(named) if rules.count() <= MOST_RULES else named
+    fits = (F.col("jurisdiction") == F.col("for_jurisdiction")) & F.array_contains("portfolios", F.col("portfolio"))
+    return rows.join(named, fits & (F.col("effective_from") <= day) & (F.col("effective_to").isNull() | (F.col("effective_to") >= day)))
+
+
 def evaluate_rules(factsheets: DataFrame, rules: DataFrame, evidence: DataFrame, as_of: str) -> DataFrame:
     """(obligor_id, rule_id, outcome, reason): fired, not_fired or unevaluable.
 
     Rules are a registry of a few rows, so they are broadcast; a rule applies by jurisdiction, portfolio and date.
     """
-    day = F.lit(as_of).cast("date")
-    in_force = rules.filter((F.col("effective_from") <= day) & (F.col("effective_to").isNull() | (F.col("effective_to") >= day)))
-    joined = factsheets.join(F.broadcast(in_force.withColumnRenamed("jurisdiction", "for_jurisdiction")), (F.col("jurisdiction") == F.col("for_jurisdiction")) & F.array_contains("portfolios", F.col("portfolio")))
+    joined = applicable(factsheets, rules, F.lit(as_of).cast("date"))
     joined = joined.join(F.broadcast(evidence.select("evidence_id", F.col("text").alias("evidence_text"))), "evidence_id", "left")
     value, threshold = F.col("value"), F.col("threshold")
     fires = reduce(lambda acc, kv: acc.when(F.col("operator") == kv[0], kv[1](value, threshold)), C.COMPARISONS.items(), F.when(F.lit(False), F.lit(False)))

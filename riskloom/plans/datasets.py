@@ -73,21 +73,33 @@ def group_lineage_conflict(t: Tables) -> DataFrame:
     return D.conflicts(t.records, "obligor", "group_id")
 
 
+#: The built dataset as cases with targets, checks and controls; some of them are defective.
+_CASE_COLUMNS = """
+SELECT record_id, group_id, template_family, observed, text AS question, jurisdiction AS context, CASE WHEN record_id % 59 = 0 THEN 'restricted' ELSE classification END AS classification,
+  CASE WHEN record_id % 97 = 0 OR (split = 'test' AND observed >= DATE '2023-06-01' AND record_id % 5 > 0) THEN 'oot' ELSE split END AS split, CASE WHEN record_id % 61 = 0 THEN 'zz' ELSE content_hash END AS source_hash,
+  CASE WHEN record_id % 71 <> 0 THEN 'target' END AS target, CASE WHEN record_id % 67 <> 0 THEN situation END AS expected, CASE WHEN record_id % 3 = 0 THEN 'e' || CAST(record_id % 150 AS VARCHAR(8)) END AS equivalence_id,
+  CASE WHEN record_id % 83 = 0 THEN record_id WHEN record_id % 89 = 0 THEN -1 WHEN record_id % 7 = 0 THEN record_id + 7 END AS control FROM built
+"""
+_CASE_SQL = _CASE_COLUMNS.replace("FROM built", f"FROM ({_FROZEN}) built")
 _CONTRACT = f"""
-WITH c AS ({_FROZEN}), p AS (
+WITH c AS ({_CASE_SQL}), p AS (
   SELECT 'group_leakage' AS code, count(*) AS n FROM (SELECT group_id FROM c GROUP BY 1 HAVING count(DISTINCT split) > 1) UNION ALL
   SELECT 'family_leakage', count(*) FROM (SELECT template_family FROM c GROUP BY 1 HAVING count(DISTINCT split) > 1) UNION ALL
-  SELECT 'late_outside_test', count(*) FROM c WHERE observed >= DATE '{CUTOFF}' AND split <> 'test' UNION ALL
+  SELECT 'oot_before_cutoff', count(*) FROM c WHERE observed < DATE '{CUTOFF}' AND split = 'oot' UNION ALL SELECT 'late_outside_oot', count(*) FROM c WHERE observed >= DATE '{CUTOFF}' AND split <> 'oot' UNION ALL
   SELECT 'duplicate_case_id', count(*) FROM (SELECT record_id FROM c GROUP BY 1 HAVING count(*) > 1) UNION ALL
-  SELECT 'duplicate_question', count(*) FROM (SELECT lower(text), jurisdiction FROM c GROUP BY ALL HAVING count(*) > 1) UNION ALL
-  SELECT 'bad_source_hash', count(*) FROM c WHERE NOT regexp_matches(content_hash, '^[0-9a-f]{{64}}$'))
+  SELECT 'duplicate_question', count(*) FROM (SELECT lower(trim(question)), context FROM c GROUP BY ALL HAVING count(*) > 1) UNION ALL
+  SELECT 'equivalence_differs', count(*) FROM (SELECT equivalence_id FROM c WHERE equivalence_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT (context, split, coalesce(expected, '?'))) > 1) UNION ALL
+  SELECT 'self_control', count(*) FROM c WHERE control = record_id UNION ALL SELECT 'unknown_control', count(*) FROM c WHERE control IS NOT NULL AND control NOT IN (SELECT record_id FROM c) UNION ALL
+  SELECT 'missing_target', count(*) FROM c WHERE split IN ('train', 'valid') AND target IS NULL UNION ALL SELECT 'missing_expected', count(*) FROM c WHERE split <> 'train' AND expected IS NULL UNION ALL
+  SELECT 'not_releasable', count(*) FROM c WHERE classification NOT IN ('synthetic', 'masked') UNION ALL SELECT 'bad_source_hash', count(*) FROM c WHERE NOT regexp_matches(source_hash, '^[0-9a-f]{{64}}$'))
 SELECT * FROM p WHERE n > 0
 """
 
 
 @query(_CONTRACT)
 def dataset_contract(t: Tables) -> DataFrame:
-    return D.contract(_built(t), CUTOFF)
+    cases = t.spark.sql(_CASE_COLUMNS.replace("FROM built", "FROM {built}"), built=_built(t))
+    return D.contract(cases.withColumn("distinct_from", F.array_compact(F.array("control"))), CUTOFF)
 
 
 @query("SELECT sha256(lower(text)) AS h, jurisdiction, count(*) AS n FROM records GROUP BY ALL HAVING count(*) > 1")
@@ -104,12 +116,14 @@ def clone_skeleton(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH c AS (SELECT *, {_SKELETON} AS skeleton FROM ({_FROZEN}) f)
+WITH c AS (SELECT *, {_SKELETON} AS skeleton, CASE WHEN situation = 's3' AND template_family <> 'src1' THEN 'near_miss' ELSE situation END AS sit, record_id % 10 = 1 AS due FROM ({_FROZEN}) f)
 SELECT 'family_over_cap' AS kind, template_family AS key, count(*) AS n FROM c GROUP BY 2 HAVING count(*) > 20 UNION ALL SELECT 'skeleton_over_cap', skeleton, count(*) FROM c GROUP BY 2 HAVING count(*) > 20
 UNION ALL SELECT 'family_in_splits', template_family, count(DISTINCT split) FROM c GROUP BY 2 HAVING count(DISTINCT split) > 1
+UNION ALL SELECT 'missing_near_miss', template_family, 0 FROM c GROUP BY 2 HAVING bool_or(due) AND count(*) FILTER (sit = 'near_miss') = 0
 """)
 def diversity_report(t: Tables) -> DataFrame:
-    return D.diversity(_built(t).withColumn("skeleton", D.skeleton(F.col("text"))), 20)
+    situation = F.when((F.col("situation") == "s3") & (F.col("template_family") != "src1"), "near_miss").otherwise(F.col("situation"))
+    return D.diversity(_built(t).withColumns({"skeleton": D.skeleton(F.col("text")), "situation": situation, "requires_near_miss": F.col("record_id") % 10 == 1}), 20)
 
 
 @query("SELECT record_id FROM (SELECT *, row_number() OVER (PARTITION BY template_family ORDER BY record_id) AS k FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY record_id) AS d FROM records) WHERE d = 1)) WHERE k <= 50")
@@ -184,15 +198,19 @@ def gold_content_hash(t: Tables) -> DataFrame:
     return t.records.groupBy("group_id").agg(F.sha2(F.concat_ws("\n", F.transform(lines, lambda x: x["line"])), 256).alias("content"))
 
 
-@query("SELECT conv_id AS case_id, turn, role FROM conversations WHERE (conv_id * 10 + turn) % 11 NOT IN (3, 5)")
+@query("""
+SELECT case_id, role, (conv_id * 10 + turn) % 7 = 2 AS refused FROM (SELECT *, conv_id * 100 + turn AS case_id FROM conversations) WHERE (conv_id * 10 + turn) % 11 NOT IN (3, 5)
+""")
 def read_jsonl_records(t: Tables) -> DataFrame:
-    """JSON lines read as text: blank lines and comments are skipped, broken ones dropped to a flag, ids kept once."""
-    key = (F.col("conv_id") * 10 + F.col("turn")) % 11
-    line = F.when(key == 3, "").when(key == 5, "# a comment").otherwise(F.to_json(F.struct(F.col("conv_id").alias("case_id"), "turn", "role")))
+    """JSON lines read as text: blank lines, comments and the manifest line aren't cases; a case id that comes twice is refused."""
+    key = F.col("conv_id") * 10 + F.col("turn")
+    line = F.to_json(F.struct(F.lit("case").alias("kind"), (F.col("conv_id") * 100 + F.col("turn")).alias("case_id"), "role"))
+    lines = F.when(key % 11 == 3, F.array(F.lit(""))).when(key % 11 == 5, F.array(F.lit("# a comment"), F.lit('{"kind": "manifest", "version": 1}'))).when(key % 7 == 2, F.array(line, line)).otherwise(F.array(line))
     path = _scratch(t, "jsonl")
-    t.conversations.select(line.alias("value")).write.text(path)
+    t.conversations.select(F.explode(lines).alias("value")).write.text(path)
     rows = t.spark.read.text(path).filter((F.trim("value") != "") & ~F.col("value").startswith("#"))
-    return rows.select(F.from_json("value", "case_id long, turn long, role string").alias("j")).select("j.*").filter("case_id is not null")
+    cases = rows.select(F.from_json("value", "kind string, case_id long, role string").alias("j")).select("j.*").filter("kind = 'case'")
+    return cases.groupBy("case_id").agg(F.min("role").alias("role"), (F.count(F.lit(1)) > 1).alias("refused"))
 
 
 def _write_split(t: Tables) -> str:
@@ -203,7 +221,7 @@ def _write_split(t: Tables) -> str:
     return path
 
 
-@query()
+@query(f"SELECT part, split, count(*) AS n FROM ({_FROZEN}) f, (VALUES ('chat'), ('provenance')) p(part) GROUP BY part, split")
 def write_split_dataset(t: Tables) -> DataFrame:
     """Chat lines and provenance lines by split; how many lines each part has."""
     path = _write_split(t)
@@ -211,19 +229,39 @@ def write_split_dataset(t: Tables) -> DataFrame:
     return both[0].union(both[1]).groupBy("part", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def verify_manifest(t: Tables) -> DataFrame:
-    """Files whose hash differs from the manifest's: here the manifest has one hash changed."""
-    path = _write_split(t)
-    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(f"{path}/provenance").select("path", F.sha2("content", 256).alias("sha256"))
-    first = files.agg(F.min("path").alias("path")).withColumn("changed", F.lit(True))
-    manifest = files.join(F.broadcast(first), "path", "left").select("path", F.when(F.col("changed"), F.lit("0" * 64)).otherwise(F.col("sha256")).alias("expected"))  # one row
-    return files.join(manifest, "path").filter("sha256 <> expected").select(F.lit("changed").alias("status"), F.length("sha256").alias("n"))
+_DIGEST = "SELECT {0}, sha256(string_agg(h, chr(10) ORDER BY p)) AS digest FROM (SELECT {0}, substr(sha256(line), 1, 2) AS p, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM ({1}) d1 GROUP BY ALL) d2 GROUP BY {0}"
+_MANIFEST = f"""
+SELECT 'count' AS kind, split AS key, count(*)::VARCHAR AS value FROM m GROUP BY 2 UNION ALL SELECT 'family', template_family, count(*)::VARCHAR FROM m GROUP BY 2 UNION ALL SELECT 'skeleton', skeleton, count(*)::VARCHAR FROM m GROUP BY 2
+UNION ALL SELECT 'situation', situation, count(*)::VARCHAR FROM m GROUP BY 2 UNION ALL SELECT 'coverage', portfolio || '/' || situation, count(*)::VARCHAR FROM m GROUP BY 2 UNION ALL SELECT 'group', group_id, min(split) FROM m GROUP BY 2
+UNION ALL SELECT 'file', split, digest FROM ({_DIGEST.format('split', "SELECT split, record_id || ':' || content_hash AS line FROM m")}) fd UNION ALL SELECT 'excluded_group', group_id, 'excluded' FROM (SELECT DISTINCT group_id FROM records WHERE record_id % 53 = 0)
+"""
+_SEAL = _DIGEST.format("everything", "SELECT 1 AS everything, kind || '|' || key || '|' || value AS line FROM mf")
+_MANIFEST_CTE = f"m AS (SELECT *, {_SKELETON} AS skeleton FROM ({_FROZEN}) f), mf AS ({_MANIFEST}), sealed AS (SELECT * FROM mf UNION ALL SELECT 'manifest_hash', '', digest FROM ({_SEAL}) sd)"
+
 
+def _manifest(t: Tables) -> DataFrame:
+    excluded = t.records.filter("record_id % 53 = 0").select(F.lit("excluded_group").alias("kind"), F.col("group_id").alias("key")).distinct()
+    return D.manifest(_built(t).withColumn("skeleton", D.skeleton(F.col("text"))), excluded)
 
-@query(f"SELECT split, count(*) AS n, count(DISTINCT group_id) AS groups, count(DISTINCT template_family) AS families, count(DISTINCT content_hash) AS contents FROM ({_FROZEN}) f GROUP BY split")
+
+@query(f"WITH {_MANIFEST_CTE} SELECT * FROM sealed")
 def dataset_manifest(t: Tables) -> DataFrame:
-    return _built(t).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("group_id").alias("groups"), F.count_distinct("template_family").alias("families"), F.count_distinct("content_hash").alias("contents"))
+    """What a dataset is made of, sealed by a hash of all of it."""
+    return D.sealed(_manifest(t))
+
+
+@query(f"""
+WITH {_MANIFEST_CTE} SELECT kind, key, CASE WHEN kind = 'situation' THEN 'missing' WHEN kind = 'family' THEN 'unexpected' ELSE 'changed' END AS status FROM (
+  SELECT kind, key FROM sealed WHERE kind = 'group' AND value = 'train' AND key IN ('g1', 'g2', 'g3') UNION ALL SELECT kind, key FROM sealed WHERE kind = 'file' AND key = 'test' UNION ALL SELECT 'situation', 's1' WHERE EXISTS (SELECT 1 FROM sealed WHERE kind = 'situation' AND key = 's1') UNION ALL SELECT 'family', 'no such family')
+""")
+def verify_manifest(t: Tables) -> DataFrame:
+    """A stored manifest with some entries changed, one lost and one made up, against the data."""
+    true = D.sealed(_manifest(t))
+    moved = (F.col("kind") == "group") & (F.col("value") == "train") & F.col("key").isin("g1", "g2", "g3")
+    value = F.when(moved, "test").when((F.col("kind") == "file") & (F.col("key") == "test"), "0" * 64).otherwise(F.col("value"))
+    stored = true.withColumn("value", value).filter("not (kind = 'situation' and key = 's1')")
+    extra = t.spark.createDataFrame([("family", "no such family", "1")], "kind string, key string, value string")
+    return D.verify_manifest(stored.unionByName(extra), true)
 
 
 @query(f"""
@@ -241,7 +279,9 @@ def dataset_build_increment(t: Tables) -> DataFrame:
 
 
 _FB = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY interaction_id ORDER BY seq DESC) AS k FROM feedback_log) WHERE k = 1"
-_FB_STATUS = "CASE WHEN root_cause IS NULL THEN 'untriaged' WHEN root_cause <> 'model_behaviour' THEN 'component_feedback' WHEN review_status <> 'approved' THEN 'not_approved' WHEN quality_score < 4 THEN 'low_quality' WHEN trim(corrected_output) = '' THEN 'no_correction' ELSE 'eligible' END"
+_PROTECTED = f"group_id IN (SELECT group_id FROM ({_FROZEN}) pf WHERE split <> 'train')"
+_FB_STATUS = f"CASE WHEN correction IS NULL THEN 'submitted' WHEN NOT correction_valid THEN 'invalid_correction' WHEN {_PROTECTED} THEN 'protected_split_or_group' WHEN expected_checks = '' THEN 'needs_expected_results' WHEN root_cause = 'unknown' THEN 'untriaged' WHEN root_cause <> 'model_behaviour' THEN 'component_feedback' ELSE 'eligible_for_batch' END"
+_FB_OUTCOME = "CASE WHEN NOT (eligible AND root_cause = 'model_behaviour' AND coalesce(correction, '') <> '' AND reviewer IS NOT NULL AND review_status = 'approved' AND quality_score >= 4) THEN 'not_eligible' WHEN NOT captured THEN 'skipped_no_captured_input' WHEN group_id IS NULL THEN 'rejected_missing_group_id' WHEN NOT correction_valid THEN 'not_admissible' ELSE 'training_example' END"
 
 
 def _latest(t: Tables) -> DataFrame:
@@ -256,33 +296,47 @@ def latest_feedback(t: Tables) -> DataFrame:
 
 @query(f"SELECT interaction_id, seq, {_FB_STATUS} AS status FROM feedback_log")
 def feedback_eligibility_status(t: Tables) -> DataFrame:
-    return t.feedback_log.select("interaction_id", "seq", D.feedback_status().alias("status"))
+    """The ladder that a correction climbs; groups of held-out cases are protected."""
+    held = _built(t).filter("split <> 'train'").select("group_id").distinct().withColumn("held", F.lit(True))
+    rows = t.feedback_log.join(held, "group_id", "left").withColumn("protected", F.coalesce("held", F.lit(False)))
+    return rows.select("interaction_id", "seq", D.feedback_status().alias("status"))
 
 
-@query(f"SELECT interaction_id, seq, quality_score FROM ({_FB}) f WHERE {_FB_STATUS} = 'eligible'")
+@query(f"SELECT interaction_id, seq, {_FB_OUTCOME} AS outcome FROM ({_FB}) f")
 def feedback_admission(t: Tables) -> DataFrame:
-    return _latest(t).filter(D.feedback_status() == "eligible").select("interaction_id", "seq", "quality_score")
+    """What becomes of each interaction's last correction when a batch is built."""
+    return _latest(t).select("interaction_id", "seq", D.feedback_outcome().alias("outcome"))
 
 
 @query(f"""
-SELECT root_cause, CASE root_cause WHEN 'data' THEN 'source' WHEN 'schema' THEN 'registry' WHEN 'query' THEN 'query_guard' WHEN 'calculation' THEN 'formulas' WHEN 'retrieval' THEN 'retrieval' WHEN 'guardrail' THEN 'guardrails' ELSE 'training' END AS route,
-  count(*) AS n, count(*) FILTER ({_FB_STATUS} = 'eligible') AS eligible, (SELECT count(*) FROM feedback_log x WHERE x.root_cause = f.root_cause) - count(*) AS superseded FROM ({_FB}) f GROUP BY root_cause
+WITH l AS (SELECT *, {_FB_OUTCOME} AS outcome, CASE root_cause WHEN 'data' THEN 'source' WHEN 'schema' THEN 'registry' WHEN 'query' THEN 'query_guard' WHEN 'calculation' THEN 'formulas' WHEN 'retrieval' THEN 'retrieval' WHEN 'guardrail' THEN 'guardrails' ELSE 'training' END AS route FROM ({_FB}) f)
+SELECT 'total' AS kind, 'input_records' AS key, count(*) AS n FROM feedback_log UNION ALL SELECT 'total', 'superseded_by_later_correction', count(*) - count(DISTINCT interaction_id) FROM feedback_log
+UNION ALL SELECT 'total', 'corrections_awaiting_schema_fix', count(*) FILTER (corrected_plan) FROM feedback_log UNION ALL SELECT 'outcome', outcome, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'root_cause', root_cause, count(*) FROM l GROUP BY 2
+UNION ALL SELECT 'route', route, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'sql_review', sql_review, count(*) FROM l WHERE sql_review <> 'not_reviewed' GROUP BY 2
+UNION ALL SELECT 'error_label', label, count(*) FROM (SELECT unnest(string_split(error_labels, ',')) AS label FROM l WHERE error_labels <> '') GROUP BY 2
 """)
 def feedback_report(t: Tables) -> DataFrame:
-    latest = _latest(t).groupBy("root_cause").agg(F.count(F.lit(1)).alias("n"), F.count_if(D.feedback_status() == "eligible").alias("eligible"))
-    everything = t.feedback_log.groupBy("root_cause").agg(F.count(F.lit(1)).alias("all"))
-    route = F.element_at(F.create_map(*(F.lit(x) for kv in D.ROUTES.items() for x in kv)), F.col("root_cause"))
-    return latest.join(everything, "root_cause").select("root_cause", route.alias("route"), "n", "eligible", (F.col("all") - F.col("n")).alias("superseded"))
+    """Totals, outcomes, root causes, routes, reviews of SQL and error labels; each interaction's last record counts."""
+    route = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in D.ROUTES.items() for x in kv)), F.col("root_cause")), F.lit("unrouted"))
+    every = lambda name, c: F.struct(F.lit("total").alias("kind"), F.lit(name).alias("key"), c.alias("n"))
+    n = F.count(F.lit(1))
+    totals = t.feedback_log.agg(F.explode(F.array(every("input_records", n), every("superseded_by_later_correction", n - F.count_distinct("interaction_id")), every("corrections_awaiting_schema_fix", F.count_if("corrected_plan")))).alias("x")).select("x.*")
+    pair = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("key"))
+    one = F.array(pair("outcome", D.feedback_outcome()), pair("root_cause", F.col("root_cause")), pair("route", route), pair("sql_review", F.nullif("sql_review", F.lit("not_reviewed"))))
+    labels = F.transform(F.filter(F.split("error_labels", ","), lambda x: x != ""), lambda x: pair("error_label", x))
+    counted = _latest(t).select(F.explode(F.concat(one, labels)).alias("x")).select("x.*").filter("key is not null").groupBy("kind", "key").agg(n.alias("n"))
+    return totals.union(counted)
 
 
 @query("""
-WITH f AS (SELECT interaction_id, min(root_cause) AS cause, list_sort(list_distinct(list(review_status))) AS d FROM feedback_log GROUP BY interaction_id)
-SELECT sha256(cause || '|' || array_to_string(d, ',')) AS cluster, count(*) AS n FROM f GROUP BY 1
+WITH f AS (SELECT interaction_id, min(root_cause) AS cause, list_sort(list_distinct(list(review_status))) AS d, list_sort(list_distinct(flatten(list(list_filter(string_split(expected_checks, ','), lambda x: x <> ''))))) AS e FROM feedback_log GROUP BY interaction_id)
+SELECT sha256('{"cause":"' || cause || '","diagnostics":["' || array_to_string(d, '","') || '"],"expected_checks":' || CASE WHEN len(e) = 0 THEN '[]' ELSE '["' || array_to_string(e, '","') || '"]' END || '}') AS cluster, count(*) AS n FROM f GROUP BY 1
 """)
 def failure_clusters(t: Tables) -> DataFrame:
-    """Failures with one cause and one set of diagnostics have one digest."""
-    each = t.feedback_log.groupBy("interaction_id").agg(F.min("root_cause").alias("cause"), F.array_sort(F.collect_set("review_status")).alias("d"))
-    return each.groupBy(F.sha2(F.concat_ws("|", "cause", F.concat_ws(",", "d")), 256).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+    """Failures with one cause, one set of diagnostics and one set of expected checks have one digest."""
+    checks = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.split("expected_checks", ","), lambda x: x != "")))))
+    each = t.feedback_log.groupBy("interaction_id").agg(F.min("root_cause").alias("cause"), F.array_sort(F.collect_set("review_status")).alias("diagnostics"), checks.alias("expected_checks"))
+    return each.groupBy(F.sha2(F.to_json(F.struct("cause", "diagnostics", "expected_checks")), 256).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT f.interaction_id, f.seq, f.root_cause, a.status, a.question_id FROM feedback_log f JOIN answers a ON a.answer_id = f.interaction_id AND a.seq = f.seq WHERE a.role = 'assistant'")
@@ -297,8 +351,21 @@ def chunk_identity_conflict(t: Tables) -> DataFrame:
     return D.conflicts(rows, "chunk_id", "payload")
 
 
-@query("SELECT jurisdiction, document_id, approval_status, confidentiality_level, min(doc_id) AS doc_id, count(*) AS n FROM policy_docs GROUP BY jurisdiction, document_id, approval_status, confidentiality_level")
+#: Chunks and those of a second ingestion, whose roles and portfolios stand in another order.
+_INGESTED = """
+SELECT doc_id AS chunk_id, jurisdiction, document_id, document_version, CAST(doc_id % 9 AS VARCHAR(4)) AS section_id, text, approval_status, effective_from, declared_to, confidentiality_level, allowed_roles, portfolios FROM policy_docs
+UNION ALL SELECT doc_id + 1000000, jurisdiction, document_id, document_version, CAST(doc_id % 9 AS VARCHAR(4)), text, approval_status, effective_from, declared_to, CASE WHEN doc_id % 6 = 3 THEN 'secret' ELSE confidentiality_level END,
+  CASE WHEN allowed_roles = 'credit_analyst,senior_credit_officer' THEN 'senior_credit_officer,credit_analyst' ELSE allowed_roles END, CASE WHEN portfolios = 'sme,corporate' THEN 'corporate,sme' ELSE portfolios END FROM policy_docs WHERE doc_id % 3 = 0
+"""
+
+
+@query(f"""
+SELECT chunk_id FROM (SELECT chunk_id, row_number() OVER (PARTITION BY jurisdiction, document_id, document_version, section_id, sha256(text), approval_status, effective_from, declared_to, confidentiality_level,
+  list_sort(string_split(allowed_roles, ',')), list_sort(string_split(portfolios, ',')) ORDER BY chunk_id) AS n FROM ({_INGESTED}) i) WHERE n = 1
+""")
 def dedupe_chunks(t: Tables) -> DataFrame:
-    key = ["jurisdiction", "document_id", "approval_status", "confidentiality_level"]
-    firsts = D.first_by(t.policy_docs, key, ["doc_id"]).select(*key, "doc_id")
-    return firsts.join(t.policy_docs.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key)
+    """The first chunk of each key: place, content, status, window, level, roles and portfolios in any order."""
+    names = lambda c: F.concat_ws(",", F.array_sort(F.split(c, ",")))
+    rows = t.sql(_INGESTED, "policy_docs").withColumns({"content_hash": D.content_hash(F.col("text")), "roles": names("allowed_roles"), "places": names("portfolios")})
+    key = ["jurisdiction", "document_id", "document_version", "section_id", "content_hash", "approval_status", "effective_from", "declared_to", "confidentiality_level", "roles", "places"]
+    return D.first_by(rows, key, ["chunk_id"]).select("chunk_id")

@@ -62,10 +62,12 @@ def _sheets(t: Tables) -> DataFrame:
     return w.select("obligor_id", "last.portfolio", "last.jurisdiction", m["value"].alias("value"), m["unit"].alias("metric_unit"), m["validation_status"].alias("metric_status"))
 
 
-@query(f"WITH r AS ({_RULES}) SELECT rule_id FROM r WHERE jurisdiction = 'SAMA' AND list_contains(string_split(portfolio_list, ','), 'corporate') AND effective_from <= DATE '{_AS_OF}' AND (effective_to IS NULL OR effective_to >= DATE '{_AS_OF}')")
+@query(f"""
+SELECT obligor_id, observation_date, rule_id FROM om JOIN ({_RULES}) r ON om.jurisdiction = r.jurisdiction AND list_contains(string_split(portfolio_list, ','), om.portfolio) AND effective_from <= observation_date AND (effective_to IS NULL OR effective_to >= observation_date)
+""")
 def rules_applicable(t: Tables) -> DataFrame:
-    day = F.lit(_AS_OF).cast("date")
-    return _rules(t).filter((F.col("jurisdiction") == "SAMA") & F.array_contains("portfolios", "corporate") & (F.col("effective_from") <= day) & (F.col("effective_to").isNull() | (F.col("effective_to") >= day))).select("rule_id")
+    """The rules that apply to each obligor's month, by jurisdiction, portfolio and date."""
+    return Q.applicable(t.om, _rules(t), F.col("observation_date")).select("obligor_id", "observation_date", "rule_id")
 
 
 _SHEETS = """
@@ -94,9 +96,17 @@ def rule_factsheet_join(t: Tables) -> DataFrame:
     return _sheets(t).join(F.broadcast(rules), (F.col("jurisdiction") == F.col("j")) & F.array_contains("portfolios", F.col("portfolio"))).select("obligor_id", "rule_id", "threshold")  # a registry
 
 
-@query(f"WITH r AS ({_RULES}), e AS ({_EVIDENCE}) SELECT rule_id, text FROM r LEFT JOIN e USING (evidence_id)")
+_PASSAGES = "SELECT doc_id, text, CASE doc_id % 7 WHEN 0 THEN 'E1' WHEN 1 THEN 'E2' WHEN 2 THEN 'E3' ELSE 'X' END AS evidence_id FROM policy_docs WHERE approval_status = 'approved'"
+
+
+@query(rf"""
+WITH r AS ({_RULES}), e AS ({_PASSAGES})
+SELECT rule_id, doc_id, coalesce(len(list_filter(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: abs(TRY_CAST(replace(x, ',', '') AS DOUBLE) - threshold) <= 1e-9 * threshold)) > 0, false) AS cited FROM r LEFT JOIN e USING (evidence_id)
+""")
 def rule_evidence_lookup(t: Tables) -> DataFrame:
-    return _rules(t).join(t.spark.sql(_EVIDENCE), "evidence_id", "left").select("rule_id", "text")
+    """The passages that each rule names as its evidence, and whether they cite its threshold; a rule without any stays."""
+    found = t.sql(_PASSAGES, "policy_docs").join(F.broadcast(_rules(t).select("rule_id", "evidence_id", "threshold")), "evidence_id", "right")  # a registry
+    return found.select("rule_id", "doc_id", F.coalesce(Q.threshold_cited(F.col("threshold"), F.col("text")), F.lit(False)).alias("cited"))
 
 
 @query(r"""

@@ -177,12 +177,19 @@ def class_balance_quota(t: Tables) -> DataFrame:
     return S.balance_quota(S.rated(t.issuers).select("issuer_id", "rating"), "issuer_id", "rating", 420, len(R.RATINGS))
 
 
+_RUN = "CASE user_id % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'tuned' ELSE 'other' END"
+_RUN_METRICS = f"""
+SELECT {_RUN} AS run, 'events' AS metric, count(*)::DOUBLE AS value FROM events GROUP BY 1 UNION ALL SELECT {_RUN}, 'errors', count(*) FILTER (event_type = 'error') FROM events GROUP BY 1
+UNION ALL SELECT {_RUN}, 'least_loss', min(value) FROM events GROUP BY 1 UNION ALL SELECT {_RUN}, 'runs', count(DISTINCT user_id) FROM events GROUP BY 1
+"""
 
 
-@query("""
-SELECT user_id % 3 AS run, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS purchases, max(event_id) AS last_event FROM events GROUP BY user_id % 3
+@query(f"""
+SELECT metric, max(value) FILTER (run = 'base') AS base, max(value) FILTER (run = 'tuned') AS tuned, max(value) FILTER (run = 'other') AS other FROM ({_RUN_METRICS}) m GROUP BY metric
 """)
 def run_comparison(t: Tables) -> DataFrame:
-    """Runs side by side: each run's metric rows, one row a run."""
-    rows = t.events.withColumn("run", F.col("user_id") % 3)
-    return rows.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.max("event_id").alias("last_event"))
+    """Runs side by side: a row a metric, a column a run."""
+    run = F.when(F.col("user_id") % 3 == 0, "base").when(F.col("user_id") % 3 == 1, "tuned").otherwise("other")
+    per = t.events.groupBy(run.alias("run")).agg(F.count(F.lit(1)).cast("double").alias("events"), F.count_if(F.col("event_type") == "error").cast("double").alias("errors"), F.min("value").cast("double").alias("least_loss"), F.count_distinct("user_id").cast("double").alias("runs"))
+    rows = per.unpivot("run", ["events", "errors", "least_loss", "runs"], "metric", "value")
+    return rows.groupBy("metric").pivot("run", ["base", "tuned", "other"]).agg(F.max("value"))

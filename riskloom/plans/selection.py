@@ -23,13 +23,17 @@ def obligor_history(t: Tables) -> DataFrame:
     return G.history(t.om, _PLAN)
 
 
-@query("""
-SELECT obligor_id, facility_id, observation_date, data_cutoff_date, facility_limit, outstanding, stage FROM fm
-WHERE observation_date BETWEEN DATE '1996-01-31' AND DATE '1999-12-31' AND data_cutoff_date <= DATE '1999-12-31'
+_FACILITIES = "SELECT f.*, c.portfolio, c.jurisdiction FROM fm f JOIN (SELECT DISTINCT obligor_id, portfolio, jurisdiction FROM om) c ON f.obligor_id = c.obligor_id"
+
+
+@query(f"""
+SELECT data_cutoff_date, facility_id, facility_limit, jurisdiction, observation_date, obligor_id, outstanding, portfolio, stage FROM ({_FACILITIES}) x
+WHERE portfolio = 'sme' AND jurisdiction = 'CBUAE' AND observation_date BETWEEN DATE '1996-01-31' AND DATE '1999-12-31' AND data_cutoff_date <= DATE '1999-12-31'
 """)
 def facility_history(t: Tables) -> DataFrame:
-    rows = t.fm.filter(F.col("observation_date").between(F.lit("1996-01-31").cast("date"), F.lit("1999-12-31").cast("date")))
-    return G.point_in_time(rows, "1999-12-31", model_output=False).select("obligor_id", "facility_id", "observation_date", "data_cutoff_date", "facility_limit", "outstanding", "stage")
+    plan = R.Plan("sme", "CBUAE", "1996-01-31", "1999-12-31", "1999-12-31", ("utilisation_pct", "stage"))
+    found = G.history(t.sql(_FACILITIES, "fm", "om"), plan, R.FACILITY)
+    return found.select("data_cutoff_date", "facility_id", "facility_limit", "jurisdiction", "observation_date", "obligor_id", "outstanding", "portfolio", "stage")
 
 
 @query("""

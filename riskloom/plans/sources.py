@@ -105,13 +105,24 @@ def seed_load_one(t: Tables) -> DataFrame:
 #: A year's months as one load: a longer ledger than the two loads of the adapter view.
 _YEARLY = "SELECT obligor_id, observation_date, data_cutoff_date, CAST(year(observation_date) - 1994 AS BIGINT) AS load_id FROM om"
 _ENTRIES = f"SELECT load_id, count(*) AS n_rows, min(observation_date) AS first_date, max(observation_date) AS last_date, max(data_cutoff_date) AS last_cutoff FROM ({_YEARLY}) y GROUP BY load_id"
+#: Two tables a load; a table's digest is that of its sorted keys.
+_FILES = f"""
+SELECT load_id, 'obligor_monthly' AS table_name, sha256(string_agg(CAST(obligor_id AS VARCHAR), ',' ORDER BY obligor_id)) AS file_sha256, count(*) AS row_count FROM ({_YEARLY}) y GROUP BY load_id
+UNION ALL SELECT CAST(year(observation_date) - 1994 AS BIGINT), 'facility_monthly', sha256(string_agg(CAST(facility_id AS VARCHAR), ',' ORDER BY facility_id)), count(*) FROM fm GROUP BY 1
+"""
 _CHAIN = f"""
-WITH RECURSIVE e AS ({_ENTRIES}),
+WITH RECURSIVE e AS (SELECT load_id, string_agg('{{"file_sha256": "' || file_sha256 || '", "row_count": ' || row_count || ', "table_name": "' || table_name || '"}}', ', ' ORDER BY table_name) AS text FROM ({_FILES}) f GROUP BY load_id),
 c AS (SELECT 0::BIGINT AS load_id, '' AS prev_hash, repeat('0', 64) AS chain_hash
-  UNION ALL SELECT e.load_id, c.chain_hash, sha256(c.chain_hash || concat_ws('|', e.load_id, e.n_rows, e.first_date, e.last_date, e.last_cutoff)) FROM c JOIN e ON e.load_id = c.load_id + 1)
+  UNION ALL SELECT e.load_id, c.chain_hash, sha256('{{"entries": [' || e.text || '], "previous": "' || c.chain_hash || '"}}') FROM c JOIN e ON e.load_id = c.load_id + 1)
 """
 
 
+def _files(t: Tables) -> DataFrame:
+    digest = lambda c: F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(c)), lambda x: x.cast("string"))), 256)
+    side = lambda rows, name, c: rows.groupBy((F.year("observation_date") - 1994).cast("long").alias("load_id")).agg(F.lit(name).alias("table_name"), digest(c).alias("file_sha256"), F.count(F.lit(1)).alias("row_count"))
+    return side(t.om, "obligor_monthly", "obligor_id").union(side(t.fm, "facility_monthly", "facility_id"))
+
+
 def _entries(t: Tables) -> DataFrame:
     return L.ledger(t.sql(_YEARLY, "om"))
 
@@ -123,19 +134,22 @@ def ledger_entry(t: Tables) -> DataFrame:
 
 @query(_CHAIN + "SELECT load_id, prev_hash, chain_hash FROM c WHERE load_id > 0")
 def ledger_chain(t: Tables) -> DataFrame:
-    return L.chain(_entries(t))
+    return L.chain(_files(t))
 
 
-@query("SELECT CAST(x AS BIGINT) AS load_id FROM (VALUES (4), (5)) v(x)")
+@query(_CHAIN + """, st AS (SELECT load_id, prev_hash, CASE WHEN load_id = 4 THEN reverse(chain_hash) ELSE chain_hash END AS chain_hash FROM c WHERE load_id > 0)
+SELECT a.load_id FROM st a LEFT JOIN st b ON b.load_id = a.load_id - 1 JOIN e ON e.load_id = a.load_id
+WHERE a.prev_hash <> coalesce(b.chain_hash, repeat('0', 64)) OR a.chain_hash <> sha256('{"entries": [' || e.text || '], "previous": "' || coalesce(b.chain_hash, repeat('0', 64)) || '"}')
+""")
 def ledger_verify(t: Tables) -> DataFrame:
-    """A ledger whose fourth hash was changed: that load and the next one don't follow."""
-    stored = L.chain(_entries(t)).withColumn("chain_hash", F.when(F.col("load_id") == 4, F.reverse("chain_hash")).otherwise(F.col("chain_hash")))
-    return L.broken_links(stored, _entries(t))
+    """A ledger whose fourth hash was changed: the loads that don't follow."""
+    stored = L.chain(_files(t)).withColumn("chain_hash", F.when(F.col("load_id") == 4, F.reverse("chain_hash")).otherwise(F.col("chain_hash")))
+    return L.broken_links(stored, _files(t))
 
 
 @query(_CHAIN + "SELECT load_id, chain_hash FROM c WHERE load_id = (SELECT max(load_id) FROM c)")
 def snapshot_watermark(t: Tables) -> DataFrame:
-    return L.watermark(L.chain(_entries(t)))
+    return L.watermark(L.chain(_files(t)))
 
 
 @query("SELECT 'obligor_monthly' AS source, load_id, count(*) AS n FROM loads GROUP BY load_id UNION ALL SELECT 'facility_monthly', 1, count(*) FROM fm")
@@ -144,12 +158,23 @@ def source_summary(t: Tables) -> DataFrame:
     return one.union(t.fm.agg(F.count(F.lit(1)).alias("n")).select(F.lit("facility_monthly"), F.lit(1), "n"))
 
 
-@query()
+_LINE = "obligor_id || ',' || observation_date || ',' || stage"
+
+
+@query(f"""
+WITH f AS (SELECT observation_date, string_agg({_LINE}, chr(10) ORDER BY {_LINE}) || chr(10) AS content FROM om GROUP BY observation_date)
+SELECT sha256(content) AS sha256, octet_length(encode(content))::BIGINT AS length, observation_date < DATE '1999-01-01' AS refused FROM f
+""")
 def file_fingerprint(t: Tables) -> DataFrame:
+    """A file a month, written and hashed; a file whose bytes the ledger has is refused (here those before 1999)."""
     path = _scratch(t, "files")
-    t.om.select("obligor_id", "observation_date", "stage").repartition(4, "obligor_id").write.parquet(path)
-    found = L.fingerprints(t.spark, f"{path}/*.parquet")
-    return L.unseen_files(found, found.limit(0)).select("sha256", "length")
+    line = F.concat_ws(",", F.col("obligor_id").cast("string"), F.col("observation_date").cast("string"), F.col("stage").cast("string"))
+    lines = t.om.select(F.col("observation_date").cast("string").alias("month"), line.alias("value"))
+    lines.repartition("month").sortWithinPartitions("month", "value").write.partitionBy("month").text(path)
+    found = L.fingerprints(t.spark, f"{path}/*/*.txt")
+    known = found.filter(F.regexp_extract("path", r"month=(\d{4})", 1) < "1999").select("sha256")
+    unseen = L.unseen_files(found, known).select("path", F.lit(False).alias("new"))
+    return found.join(unseen, "path", "left").select("sha256", "length", F.col("new").isNull().alias("refused"))
 
 
 @query("SELECT obligor_id, observation_date, portfolio, jurisdiction, outstanding, stage FROM om WHERE observation_date = DATE '1999-06-30'")

@@ -132,20 +132,29 @@ def ledger(rows: DataFrame) -> DataFrame:
     return rows.groupBy("load_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("observation_date").alias("first_date"), F.max("observation_date").alias("last_date"), F.max("data_cutoff_date").alias("last_cutoff"))
 
 
-def entry_text() -> Column:
-    return F.concat_ws("|", *(F.col(c).cast("string") for c in ("load_id", "n_rows", "first_date", "last_date", "last_cutoff")))
+def chained(previous: Column, text: Column) -> Column:
+    """The hash of a load: of canonical JSON with its entries and the hash before."""
+    return F.sha2(F.concat(F.lit('{"entries": ['), text, F.lit('], "previous": "'), previous, F.lit('"}')), 256)
+
+
+def load_texts(entries: DataFrame) -> DataFrame:
+    """One row a load: its entries (a table each, in order of name) as canonical JSON. `entries`: load_id, table_name,
+    file_sha256, row_count."""
+    one = F.concat(F.lit('{"file_sha256": "'), "file_sha256", F.lit('", "row_count": '), F.col("row_count").cast("string"), F.lit(', "table_name": "'), "table_name", F.lit('"}'))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("table_name", one.alias("text")))), lambda x: x["text"])
+    return entries.groupBy("load_id").agg(F.concat_ws(", ", listed).alias("text"))
 
 
 def chain(entries: DataFrame) -> DataFrame:
     """Every load with the hash of the one before and its own. A ledger has one row a load, so a fold over it is small."""
-    steps = F.array_sort(F.collect_list(F.struct("load_id", entry_text().alias("text"))))
+    steps = F.array_sort(F.collect_list(F.struct("load_id", "text")))
     first = F.array(F.struct(F.lit(0).cast("long").alias("load_id"), F.lit("").alias("prev_hash"), F.lit(GENESIS).alias("chain_hash")))
 
     def link(acc: Column, x: Column) -> Column:
         before = F.element_at(acc, -1)["chain_hash"]
-        return F.concat(acc, F.array(F.struct(x["load_id"].cast("long").alias("load_id"), before.alias("prev_hash"), F.sha2(F.concat(before, x["text"]), 256).alias("chain_hash"))))
+        return F.concat(acc, F.array(F.struct(x["load_id"].cast("long").alias("load_id"), before.alias("prev_hash"), chained(before, x["text"]).alias("chain_hash"))))
 
-    folded = entries.agg(F.aggregate(steps, first, link).alias("chain"))
+    folded = load_texts(entries).agg(F.aggregate(steps, first, link).alias("chain"))
     return folded.select(F.explode("chain").alias("x")).select("x.*").filter("load_id > 0")
 
 
@@ -153,8 +162,8 @@ def broken_links(stored: DataFrame, entries: DataFrame) -> DataFrame:
     """Loads whose stored hashes don't follow from the entries and the hash before."""
     order = Window.orderBy("load_id")  # a ledger has one row a load
     before = F.coalesce(F.lag("chain_hash").over(order), F.lit(GENESIS))
-    rows = stored.join(entries.select("load_id", entry_text().alias("text")), "load_id").withColumn("before", before)
-    return rows.filter((F.col("prev_hash") != F.col("before")) | (F.col("chain_hash") != F.sha2(F.concat("before", "text"), 256))).select("load_id")
+    rows = stored.join(load_texts(entries), "load_id").withColumn("before", before)
+    return rows.filter((F.col("prev_hash") != F.col("before")) | (F.col("chain_hash") != chained(F.col("before"), F.col("text")))).select("load_id")
 
 
 def watermark(chained: DataFrame) -> DataFrame:

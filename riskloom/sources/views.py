@@ -95,7 +95,10 @@ SELECT conv_id AS interaction_id, turn AS seq, role AS reviewer_role,
     WHEN 4 THEN 'retrieval' WHEN 5 THEN 'guardrail' ELSE 'model_behaviour' END AS root_cause,
   (conv_id * 3 + turn) % 6 AS quality_score,
   CASE WHEN (conv_id + turn) % 4 = 0 THEN 'rejected' ELSE 'approved' END AS review_status,
-  text AS corrected_output
+  text AS corrected_output, CASE WHEN (conv_id + turn) % 9 <> 0 THEN text END AS correction, (conv_id * 7 + turn) % 8 <> 0 AS correction_valid,
+  CASE WHEN conv_id % 23 <> 0 THEN 'g' || CAST(conv_id % 197 AS VARCHAR(8)) END AS group_id, CASE conv_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'status' ELSE 'stage,status' END AS expected_checks,
+  conv_id % 6 <> 0 AS eligible, CASE WHEN conv_id % 10 <> 0 THEN 'r' || CAST(turn % 3 AS VARCHAR(2)) END AS reviewer, conv_id % 4 <> 1 AS captured,
+  CASE turn % 3 WHEN 0 THEN 'wrong_stage' WHEN 1 THEN 'wrong_stage,no_citation' ELSE '' END AS error_labels, CASE conv_id % 3 WHEN 0 THEN 'not_reviewed' WHEN 1 THEN 'correct' ELSE 'incorrect' END AS sql_review, conv_id % 14 = 3 AS corrected_plan
 FROM conversations
 """,
     "rating_pairs": """
