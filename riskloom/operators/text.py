@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,37 +91,17 @@ def pages_of(chunks: DataFrame, starts: DataFrame) -> DataFrame:
     return joined.groupBy("doc_id", "chunk").agg(F.max_by("page", "page_start").alias("page"))
 
 
-def _chunks_of(doc_id: int, parts: list[dict]) -> list[tuple]:
-    """One document's sections in order: pack each, and join a small fragment without a number to the chunk before it."""
-    out: list[list] = []
-    for s in parts:
-        texts, open_ = [], ""
-        for p in (x.strip() for x in s["text"].split("\n")):
-            for part in re.split(r"(?<=[.!?])\s+", p) if len(p) > MAXIMUM else [p]:
-                if not part:
-                    continue
-                if open_ and len(open_) + 2 + len(part) > TARGET:
-                    texts.append(open_)
-                    open_ = ""
-                open_ = f"{open_}\n\n{part}" if open_ else part
-        for text in [*texts, *([open_] if open_ else [])]:
-            if len(text) < MINIMUM and not s["number"] and out:
-                out[-1][4] += "\n\n" + text
-            else:
-                out.append([doc_id, len(out), s["number"], s["title"], text])
-    return list(map(tuple, out))
-
-
-def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"doc_id": pa.int64(), "chunk": pa.int32(), "number": pa.string(), "title": pa.string(), "text": pa.string()}
-    for batch in batches:
-        rows = [r for doc_id, parts in zip(batch["doc_id"].to_pylist(), batch["parts"].to_pylist(), strict=True) for r in _chunks_of(doc_id, parts)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
-
-
 def chunk_corpus(rows: DataFrame) -> DataFrame:
-    """Chunks of every document; the state crosses sections, so a document's sections make one row. The hash identifies a
-    chunk."""
-    documents = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "number", "title", "text"))).alias("parts"))
-    chunks = documents.mapInArrow(_chunk_batches, "doc_id long, chunk int, number string, title string, text string")
-    return chunks.withColumn("content_hash", F.sha2("text", 256))
+    """Chunks of every document: each section's paragraphs packed; a small part without a number joins the chunk before it.
+    The hash identifies a chunk. `rows`: doc_id, section, number, title, text."""
+    paragraphs = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = rows.select("doc_id", "section", "number", "title", F.posexplode(packed(paragraphs)).alias("part", "text"))
+    order = Window.partitionBy("doc_id").orderBy("section", "part")
+    small = (F.length("text") < MINIMUM) & (F.coalesce("number", F.lit("")) == "")
+    begins = ~small | (F.row_number().over(order) == 1)
+    parts = parts.withColumn("begins", begins.cast("int")).withColumn("chunk", (F.sum("begins").over(order) - 1).cast("int"))
+    listed = F.array_sort(F.collect_list(F.struct("section", "part", "number", "title", "text")))
+    chunks = parts.groupBy("doc_id", "chunk").agg(listed.alias("p"))
+    first = lambda n: F.element_at("p", 1)[n].alias(n)
+    joined = chunks.select("doc_id", "chunk", first("number"), first("title"), F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
+    return joined.withColumn("content_hash", F.sha2("text", 256))
