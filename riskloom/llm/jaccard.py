@@ -8,11 +8,12 @@ whole percentage.
   has so many of these that none of its prefix is left links with nothing, and is done.
 * Light sets, up to a size, enumerate their subsets of the fixed size that a partner of each size must share; whoever
   has the same subset is linked without a comparison.
-* Heavy sets are found in the inverted lists of the prefixes. First each list's members are compared with its head, in
-  shares of a bounded number of sets; that links a group of near copies, however large, by one comparison a member and
-  head. Only lists whose members still hang together in several components are scanned. A list is the unit of work: it
-  is dealt to cells of a grid of blocks by size, and in a cell each set scans the inverted lists of its shingles, counts
-  overlaps, and leaves out those that it already hangs together with. Cells give a spanning forest, never all pairs.
+* Heavy sets are found in the inverted lists of the prefixes. Each list has a head, the member with the fewest shingles of
+  its own (of a text and its near copies, the text). First each member is compared with its lists' heads, in shares of a
+  bounded number of sets; that links a group of near copies, however large, by one comparison a member and head. What is
+  left to compare are the members of lists of one head, and only where they hang together in several components. Such a
+  group is dealt to cells of a grid of blocks by size, and in a cell each set scans the inverted lists of its shingles,
+  counts overlaps, and leaves out those that it already hangs together with. Cells give a spanning forest, never all pairs.
 * The size up to which sets are light is chosen by cost: subsets to enumerate against postings to scan.
 
 Shingles that very many sets hold (found in a sample, only to place them last in the order) aren't shuffled to one
@@ -50,9 +51,9 @@ SAMPLE, COMMON = 4096, 8
 HOT_CLASSES = 100_000
 #: Light sets have at most so many shingles whatever the cost says.
 MOST_LIGHT = 24
-#: Shingles and sets of one block of a list, or of one share of a head's members.
+#: Shingles and sets of one block of a group, or of one share of a head's members.
 CELL_KEYS, CELL_SETS = 250_000, 256
-#: Lists by band of sizes, up to which their numbers of blocks are broadcast; beyond, they are joined by key.
+#: Groups by band of sizes, up to which their numbers of blocks are broadcast; beyond, they are joined by key.
 BROADCAST_BANDS = 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -322,34 +323,33 @@ def scan(ns: np.ndarray, sets: list[np.ndarray], root: np.ndarray, side: np.ndar
     return links
 
 
-def open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, fp, n, root: the lists whose members are in several components; of lists with the same members, one."""
-    placed = lists.select("key", "fp", "n").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def open_groups(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """head, fp, n, root: the members of each head's lists, where they are in several components."""
+    groups = lists.select("head", "fp", "n").distinct()
+    placed = groups.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = materialise(placed, "placed")
-    members = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("fp")), F.bit_xor(F.xxhash64(F.lit("again"), "fp"))]
-    of_key = placed.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other"), *(m.alias(f"s{i}") for i, m in enumerate(members)))
-    kept = of_key.filter("one <> other").groupBy("s0", "s1", "s2").agg(F.min("key").alias("key")).select("key")
-    return materialise(placed.join(kept, "key"), "open-lists")
+    kept = placed.groupBy("head").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("head")
+    return materialise(placed.join(kept, "head"), "open-groups")
 
 
-def list_links(sets: DataFrame, lists: DataFrame, light: int, percent: int) -> DataFrame:
-    """Links with at least one heavy set between components. `lists`: key, fp, n, root."""
-    rows = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int"))
-    whole = _held(materialise(_cut(rows, "key").withColumnRenamed("blocks", "all_blocks"), "list-blocks"))
-    bands = materialise(_cut(rows, "key", "band"), "list-bands")
+def group_links(sets: DataFrame, groups: DataFrame, light: int, percent: int) -> DataFrame:
+    """Links with at least one heavy set between components. `groups`: head, fp, n, root."""
+    rows = groups.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int"))
+    whole = _held(materialise(_cut(rows, "head").withColumnRenamed("blocks", "all_blocks"), "group-blocks"))
+    bands = materialise(_cut(rows, "head", "band"), "group-bands")
     small = bands.count() <= BROADCAST_BANDS
     held = lambda df: F.broadcast(df) if small else df
-    beside = lambda step, name: bands.select("key", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
-    rows = rows.join(whole, "key").join(held(bands), ["key", "band"])
+    beside = lambda step, name: bands.select("head", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
+    rows = rows.join(whole, "head").join(held(bands), ["head", "band"])
     for step, name in ((1, "above"), (-1, "below")):
-        rows = rows.join(held(beside(step, name)), ["key", "band"], "left")
+        rows = rows.join(held(beside(step, name)), ["head", "band"], "left")
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     own = "transform(sequence(0, blocks - 1), j -> struct(band as lo, band as hi, least(mine, j) as i, greatest(mine, j) as j, if(mine = j, -1, mine) as side))"
     up = "if(above is null, array(), transform(sequence(0, above - 1), j -> struct(band as lo, band + 1 as hi, mine as i, j as j, -2 as side)))"
     down = "if(below is null, array(), transform(sequence(0, below - 1), i -> struct(band - 1 as lo, band as hi, i as i, mine as j, -3 as side)))"
     one = "array(struct(0 as lo, 0 as hi, 0 as i, 0 as j, -1 as side))"
-    cells = rows.withColumn("mine", mine).select("key", "fp", "n", "root", F.explode(F.expr(f"if(all_blocks = 1, {one}, concat({own}, {up}, {down}))")).alias("cell"))
-    dealt = cells.select("key", "fp", "n", "root", "cell.*").join(sets.select("fp", "keys"), "fp")
+    cells = rows.withColumn("mine", mine).select("head", "fp", "n", "root", F.explode(F.expr(f"if(all_blocks = 1, {one}, concat({own}, {up}, {down}))")).alias("cell"))
+    dealt = cells.select("head", "fp", "n", "root", "cell.*").join(sets.select("fp", "keys"), "fp")
 
     def find(rows: pa.Table) -> pa.Table:
         side = rows["side"].to_numpy()
@@ -360,7 +360,7 @@ def list_links(sets: DataFrame, lists: DataFrame, light: int, percent: int) -> D
         found = scan(rows["n"].to_numpy(), sets, root, side, percent, light)
         return pa.table([pa.array([fps[x[i]] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
-    return dealt.groupBy("key", "lo", "hi", "i", "j").applyInArrow(find, "a binary, b binary")
+    return dealt.groupBy("head", "lo", "hi", "i", "j").applyInArrow(find, "a binary, b binary")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -382,15 +382,15 @@ def linked_rows(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     common = np.array([r["key"] for r in sorted(common, key=lambda r: (r["c"], r["key"]))], np.int64).view(np.uint64)
 
     sets = materialise(survivors(docs, base, hot, common, percent, words), "sets")
-    posted = _exploded(sets, "prefix", ["fp", "n"])
-    least_fp = F.min(F.struct("fp", "n"))
-    heads = posted.groupBy("key").agg(least_fp.alias("h"), F.count(F.lit(1)).alias("long"), F.max("n").alias("largest")).filter("long > 1")
+    own = F.col("n") - (F.length("keys") / 8).cast("long")
+    posted = _exploded(sets.withColumn("own", own), "prefix", ["fp", "n", "own"])
+    heads = posted.groupBy("key").agg(F.min(F.struct("own", "fp", "n")).alias("h"), F.count(F.lit(1)).alias("long"), F.max("n").alias("largest")).filter("long > 1")
     heads = heads.select("key", F.col("h.fp").alias("head"), F.col("h.n").alias("head_n"), "long", "largest")
-    lists = materialise(posted.join(heads, "key"), "lists")
+    lists = materialise(posted.drop("own").join(heads, "key"), "lists")
     light = boundary(sets, lists, percent)
     heavy = lists.filter(F.col("largest") > light)
     near = components(head_links(sets, heavy, light, percent))
-    links = near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(list_links(sets, open_lists(heavy, near), light, percent))
+    links = near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(group_links(sets, open_groups(heavy, near), light, percent))
     if light:
         links = links.union(light_links(sets.filter(F.col("n") <= light), percent))
     roots = components(links)
