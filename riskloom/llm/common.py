@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -17,20 +18,57 @@ STEP_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a local one only where none is set, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir). Where none is set, as in tests, a local session gets a
+    folder of its machine; a cluster is refused, since each executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="riskloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_OPEN: list[list[tuple[DataFrame, str]]] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: the lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append((written, path))
+    return written
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can write."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables that are materialised inside, but for those handed to the function that it gives. What is kept must
+    be written already; results that are still to be computed may not depend on the others."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _OPEN.append([])
+    try:
+        yield keep
+    finally:
+        mine = _OPEN.pop()
+        for df, path in mine:
+            if not any(df is k for k in kept):
+                remove(spark, path)
+            elif _OPEN:
+                _OPEN[-1].append((df, path))
 
 
 #: Rows of whole texts that Arrow moves at a time.

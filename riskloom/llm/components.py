@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import materialise
+from riskloom.llm.common import materialise, temporary
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -21,14 +21,18 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root: the least node that is reachable, for every node with a link. `links`: a and b, both longs."""
-    now = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
-    while True:
-        now = materialise(_star(_star(now, large=True), large=False), "links")
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if tuple(seen) == state:
-            break
-        state = tuple(seen)
+    """node, root: the least node that is reachable, for every node with a link. `links`: a and b, of one type that
+    has an order. Links between equal nodes say nothing; without links there are no rows."""
+    state, now = None, links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    with temporary(links.sparkSession) as keep:
+        now = materialise(now, "links")
+        while True:
+            with temporary(links.sparkSession) as keep_next:
+                now = keep_next(materialise(_star(_star(now, large=True), large=False), "links"))
+            seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+            if tuple(seen) == state:
+                keep(now)
+                break
+            state = tuple(seen)
     roots = now.groupBy("a").agg(F.min("b").alias("b"))
     return roots.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select(F.col("b"), F.col("b")).distinct())

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.common import materialise, mix64, small_batches, split_words, steps, trimmed, word_keys
+from riskloom.llm.common import materialise, mix64, small_batches, split_words, steps, temporary, trimmed, word_keys
 from riskloom.llm.components import components
 from riskloom.llm.exchange import exchange, parts_for
 
@@ -372,31 +372,32 @@ def linked_rows(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     """jaccard_components with fp (the set's fingerprint) and root (one a component, also where components repeat an id);
     both are null if the set is empty."""
     small_batches(docs.sparkSession)
-    rows = docs.count()
-    base = materialise(describe(docs, max(1, rows // SAMPLE), words), "shingles")
-    classes = materialise(base.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")), "classes")
-    least = max(4, rows // HOT_CLASSES)
-    hot = {r["fp"]: r["rep"] for r in classes.filter((F.col("c") >= least) & F.col("rep").isNotNull()).select("fp", "rep").collect()}  # at most rows / least
-    sampled = _exploded(base.filter("sample is not null").dropDuplicates(["fp"]).select("fp", "sample"), "sample", [])
-    common = sampled.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= COMMON).collect()  # at most the sample / COMMON
-    common = np.array([r["key"] for r in sorted(common, key=lambda r: (r["c"], r["key"]))], np.int64).view(np.uint64)
-
-    sets = materialise(survivors(docs, base, hot, common, percent, words), "sets")
-    own = F.col("n") - (F.length("keys") / 8).cast("long")
-    posted = _exploded(sets.withColumn("own", own), "prefix", ["fp", "n", "own"])
-    heads = posted.groupBy("key").agg(F.min(F.struct("own", "fp", "n")).alias("h"), F.count(F.lit(1)).alias("long"), F.max("n").alias("largest")).filter("long > 1")
-    heads = heads.select("key", F.col("h.fp").alias("head"), F.col("h.n").alias("head_n"), "long", "largest")
-    lists = materialise(posted.drop("own").join(heads, "key"), "lists")
-    light = boundary(sets, lists, percent)
-    heavy = lists.filter(F.col("largest") > light)
-    near = components(head_links(sets, heavy, light, percent))
-    links = near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(group_links(sets, open_groups(heavy, near), light, percent))
-    if light:
-        links = links.union(light_links(sets.filter(F.col("n") <= light), percent))
-    roots = components(links)
-    grouped = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    of_root = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = materialise(grouped.join(of_root, "root").select("fp", "root", "component_id"), "components")
+    with temporary(docs.sparkSession) as keep:
+        rows = docs.count()
+        base = keep(materialise(describe(docs, max(1, rows // SAMPLE), words), "shingles"))
+        classes = materialise(base.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")), "classes")
+        least = max(4, rows // HOT_CLASSES)
+        hot = {r["fp"]: r["rep"] for r in classes.filter((F.col("c") >= least) & F.col("rep").isNotNull()).select("fp", "rep").collect()}  # at most rows / least
+        sampled = _exploded(base.filter("sample is not null").dropDuplicates(["fp"]).select("fp", "sample"), "sample", [])
+        common = sampled.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= COMMON).collect()  # at most the sample / COMMON
+        common = np.array([r["key"] for r in sorted(common, key=lambda r: (r["c"], r["key"]))], np.int64).view(np.uint64)
+
+        sets = materialise(survivors(docs, base, hot, common, percent, words), "sets")
+        own = F.col("n") - (F.length("keys") / 8).cast("long")
+        posted = _exploded(sets.withColumn("own", own), "prefix", ["fp", "n", "own"])
+        heads = posted.groupBy("key").agg(F.min(F.struct("own", "fp", "n")).alias("h"), F.count(F.lit(1)).alias("long"), F.max("n").alias("largest")).filter("long > 1")
+        heads = heads.select("key", F.col("h.fp").alias("head"), F.col("h.n").alias("head_n"), "long", "largest")
+        lists = materialise(posted.drop("own").join(heads, "key"), "lists")
+        light = boundary(sets, lists, percent)
+        heavy = lists.filter(F.col("largest") > light)
+        near = components(head_links(sets, heavy, light, percent))
+        links = near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(group_links(sets, open_groups(heavy, near), light, percent))
+        if light:
+            links = links.union(light_links(sets.filter(F.col("n") <= light), percent))
+        roots = components(links)
+        grouped = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        of_root = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
+        of_class = keep(materialise(grouped.join(of_root, "root").select("fp", "root", "component_id"), "components"))
     out = base.select("doc_id", "n", "fp").join(of_class, "fp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "fp", "root")
 

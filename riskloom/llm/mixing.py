@@ -6,7 +6,8 @@ in the last cell by single places. The threshold found this way is one number a
 filter by it: nothing is sorted.
 
 Defined cases: a null or blank text has size 0 and takes part with no words; a null source is a source of its own, the
-last one; rows with the same doc_id have the same place and are taken or left together; an empty table gives no rows;
+last one; rows with the same doc_id have the same place and are taken or left together, as are ties of a place; a very long
+text is one document of its size; an empty table gives no rows;
 columns other than doc_id, text and source pass through `apply_mix` untouched, but for those that it adds (size,
 source_size, target, copies, taken), which replace columns of the same name.
 """
@@ -96,8 +97,8 @@ def thresholds(sizes: DataFrame, goals: DataFrame, joined) -> DataFrame:
 class Mix:
     """The plan of a mix: a small table of sources with their thresholds, and how to apply it."""
 
-    def __init__(self, plan: DataFrame, sources: int):
-        self.plan, self.sources = plan, sources
+    def __init__(self, plan: DataFrame, sources: int, most: int = MOST_COPIES):
+        self.plan, self.sources, self.most = plan, sources, most
 
     def join(self, rows: DataFrame, small: DataFrame) -> DataFrame:
         if self.sources <= BROADCAST_SOURCES:
@@ -110,7 +111,7 @@ class Mix:
 def plan_mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> Mix:
     """`sizes`: the columns source, size, _place and _key of `sized`, best written to a table before."""
     goals = materialise(targets(sizes, weights, most).coalesce(1), "mix-targets")
-    mix = Mix(goals, goals.count())
+    mix = Mix(goals, goals.count(), most)
     ends = thresholds(sizes, goals, mix.join)
     mix.plan = materialise(goals.join(ends, "_key", "left").select("_key", "source_size", "target", "whole", "threshold"), "mix-plan")
     return mix
@@ -121,7 +122,7 @@ def apply_mix(docs: DataFrame, mix: Mix) -> DataFrame:
     rows = docs if "_place" in docs.columns else sized(docs)
     rows = rows.drop("source_size", "target", "whole", "threshold")
     more = (F.col("_place") <= F.coalesce(F.col("threshold"), F.lit(-1))).cast("long")
-    rows = mix.join(rows, mix.plan).withColumn("copies", F.col("whole") + more)
+    rows = mix.join(rows, mix.plan).withColumn("copies", F.least(F.col("whole") + more, F.lit(mix.most).cast("long")))
     return rows.withColumn("taken", F.col("size") * F.col("copies")).drop("_place", "_key", "whole", "threshold")
 
 

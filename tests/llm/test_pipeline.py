@@ -105,6 +105,18 @@ def test_encode(spark, docs):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_stages_on_an_empty_table_and_on_clashing_columns(spark, docs):
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = given.limit(30).selectExpr("*", "1 as score", "2 as predicted", "'x' as lang_pred", "3 as size", "4 as copies", "5 as fp", "6 as component_id", "7 as n_tokens")
+    odd = odd.union(odd.selectExpr(*(c if c != "text" else "null as text" for c in odd.columns)))
+    for stage in (pipeline.language, pipeline.toxic, pipeline.near_duplicates, pipeline.mix):
+        none = stage(spark, given.limit(0), SF)
+        assert none.count() == 0 and none.columns == given.columns
+        kept = stage(spark, odd, SF)
+        assert kept.columns == odd.columns and kept.exceptAll(odd if stage is not pipeline.mix else odd.union(odd).union(odd)).count() == 0
+    assert pipeline.encode(spark, given.limit(0), SF).count() == 0
+
+
 def test_run_goes_through_all_stages(spark):
     out = pipeline.run(spark, SF)
     assert set(out.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and out.count() > 0
