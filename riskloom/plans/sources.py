@@ -17,8 +17,12 @@ _TODAY = "2010-01-01"
 
 
 def _scratch(t: Tables, name: str) -> str:
-    """A new folder that all executors share; a local one only where the session names none."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="riskloom-")
+    """A new folder that all executors share; a local session without one gets a folder of its machine."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="riskloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
