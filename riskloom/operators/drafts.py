@@ -19,7 +19,7 @@ SOFT = ("unsupported_claim", "unverified_narrative")
 
 
 def close(a: Column, b: Column) -> Column:
-    return F.abs(a - b) <= F.greatest(F.abs(a), F.abs(b)) * 1e-9
+    return ~F.isnan(a) & ~F.isnan(b) & (F.abs(a - b) <= F.greatest(F.abs(a), F.abs(b)) * 1e-9)
 
 
 def listed(text: Column) -> Column:
