@@ -130,7 +130,7 @@ def test_hybrid_finds_documents_outside_the_lexical_arm(spark, data_dir):
     from riskloom.sources.views import Tables
 
     t = Tables(spark, data_dir)
-    lexical = plans._arms(t).select("question_id", "doc_id")
+    lexical = retrieval.top(plans._lexical(t), ["question_id"], 40, "doc_id").select("question_id", "doc_id")
     assert plans._gated(t).select("question_id", "doc_id").exceptAll(lexical).count() > 0
 
 
