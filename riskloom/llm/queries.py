@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, jaccard, langid, maxent, mips, mixing, toxicity, urls, wordpiece
+from riskloom.llm import ann, bpe, infill, jaccard, langid, maxent, mips, mixing, toxicity, turns, urls, wordpiece
 from riskloom.llm.common import table
 
 BPE_FILE, PIECE_FILE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -59,5 +59,19 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_toxicity, op4_nearest, op5_language, op6_language_model, op7_token_counts, op8_mix, op9_inner_products, op10_jaccard)}
-ORACLES = {"op2_url_filter": urls.ORACLE, "op8_mix": mixing.ORACLE, "op9_inner_products": mips.ORACLE, "op10_jaccard": jaccard.ORACLE}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.rearrange(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+_OPERATORS = (
+    op1_byte_bpe, op2_url_filter, op3_toxicity, op4_nearest, op5_language, op6_language_model, op7_token_counts, op8_mix,
+    op9_inner_products, op10_jaccard, op11_conversation_repair, op12_fill_in_middle,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
+ORACLES = {"op12_fill_in_middle": infill.ORACLE} | {"op2_url_filter": urls.ORACLE, "op8_mix": mixing.ORACLE, "op9_inner_products": mips.ORACLE, "op10_jaccard": jaccard.ORACLE}
