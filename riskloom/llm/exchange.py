@@ -54,12 +54,12 @@ def unpacked_keys(raw: bytes, width: int) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def exchange(rows: DataFrame, parts: int, deal: Callable, answer: Callable, gather: Callable, schema: str, value: type = np.uint16, add_up: Callable | None = None, width: int = 8, extra_type: type = np.uint8) -> DataFrame:
+def exchange(rows: DataFrame, parts: int, deal: Callable, answer: Callable, gather: Callable, schema: str, value: type = np.uint16, add_up: Callable | None = None, width: int = 8, extra_type: type = np.uint8, numbered: bool = False) -> DataFrame:
     """deal(batch) -> (keys, places, an extra value of `extra_type` a posting or None, bytes for the batch itself)
     answer(keys, extra) -> (kept, values): which postings to answer, and a value of type `value` for each
     gather(the batch's own bytes, places, keys, values) -> pa.Table of `schema`.
 
-    `width`: the bytes of a key that are told apart. With add_up, answer also returns bytes that describe the part; add_up(a list of these) -> pa.Table of `schema`, and
+    `width`: the bytes of a key that are told apart. `numbered`: gather gets the batch's number, too. With add_up, answer also returns bytes that describe the part; add_up(a list of these) -> pa.Table of `schema`, and
     gather gets no keys.
     """
 
@@ -111,7 +111,7 @@ def exchange(rows: DataFrame, parts: int, deal: Callable, answer: Callable, gath
         keys = unpacked_keys(b"".join(x.as_py() for x in posted["a"]), width)
         at = np.concatenate([np.zeros(0, np.int64), *(places(x.as_py()) for x in posted["b"])])
         values = np.frombuffer(b"".join(x.as_py() for x in posted["c"]), value)
-        return gather(own, at, keys, values)
+        return gather(own, at, keys, values, *([rows["batch"][0].as_py()] if numbered else []))
 
     small_batches(rows.sparkSession)
     posted = rows.mapInArrow(dealt, _SCHEMA)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, infill, jaccard, langid, maxent, mips, mixing, toxicity, turns, urls, wordpiece
+from riskloom.llm import ann, bpe, infill, jaccard, langid, maxent, mips, mixing, suffixes, toxicity, turns, urls, wordpiece
 from riskloom.llm.common import table
 
 BPE_FILE, PIECE_FILE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -69,9 +71,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), result=("kept_sha256 string", lambda kept: hashlib.sha256(kept).hexdigest()))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 _OPERATORS = (
     op1_byte_bpe, op2_url_filter, op3_toxicity, op4_nearest, op5_language, op6_language_model, op7_token_counts, op8_mix,
-    op9_inner_products, op10_jaccard, op11_conversation_repair, op12_fill_in_middle,
+    op9_inner_products, op10_jaccard, op11_conversation_repair, op12_fill_in_middle, op13_suffix_dedup,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
-ORACLES = {"op12_fill_in_middle": infill.ORACLE} | {"op2_url_filter": urls.ORACLE, "op8_mix": mixing.ORACLE, "op9_inner_products": mips.ORACLE, "op10_jaccard": jaccard.ORACLE}
+ORACLES = {"op12_fill_in_middle": infill.ORACLE, "op13_suffix_dedup": suffixes.ORACLE} | {"op2_url_filter": urls.ORACLE, "op8_mix": mixing.ORACLE, "op9_inner_products": mips.ORACLE, "op10_jaccard": jaccard.ORACLE}
