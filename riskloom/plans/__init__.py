@@ -1,3 +1,3 @@
 """The queries by area; importing this package fills the catalogue."""
 
-from riskloom.plans import datasets, drafts, evaluation, factsheets, quality, ratings, retrieval, selection, sources, streams  # noqa: F401
+from riskloom.plans import datasets, drafts, evaluation, factsheets, quality, ratings, retrieval, selection, sources, streams, text  # noqa: F401

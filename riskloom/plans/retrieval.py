@@ -10,7 +10,6 @@ from riskloom.catalog import query
 from riskloom.functions import columns as C
 from riskloom.operators import quality as Q
 from riskloom.operators import retrieval as V
-from riskloom.operators import text as X
 from riskloom.sources.views import Tables
 
 _CONTEXTS = "SELECT * FROM (VALUES (1, 'credit_analyst', 'SAMA', DATE '2022-06-30', CAST(NULL AS VARCHAR(12))), (2, 'regulator_liaison', 'SAMA', DATE '2023-06-30', 'retail'), (3, 'senior_credit_officer', 'CBUAE', DATE '2022-06-30', 'sme'), (4, 'visitor', 'SAMA', DATE '2023-06-30', 'sme')) AS c(context_id, role, jurisdiction, as_of, portfolio)"
@@ -263,86 +262,3 @@ def reindex_verify(t: Tables) -> DataFrame:
     source = t.policy_docs.select("document_id", "doc_id", F.sha2("text", 256).alias("h"))
     lacking = source.exceptAll(source.filter("doc_id % 19 <> 0")).groupBy("document_id").agg(F.count(F.lit(1)).alias("lacking"))
     return source.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).join(lacking, "document_id", "left").withColumn("lacking", F.coalesce("lacking", F.lit(0)))
-
-
-_LINES = "SELECT doc_id, i - 1 AS ln, (i - 1) // 20 AS page, lines[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)"
-
-
-@query(rf"""
-WITH l AS ({_LINES}), k AS (SELECT doc_id, page, trim(regexp_replace(regexp_replace(line, '[0-9]+', '#', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS key FROM l), p AS (SELECT doc_id, max(page) + 1 AS n FROM l GROUP BY 1 HAVING max(page) + 1 >= 3)
-SELECT doc_id, key, count(DISTINCT page) AS pages FROM k JOIN p USING (doc_id) WHERE length(key) BETWEEN 1 AND 120 GROUP BY doc_id, key, n HAVING count(DISTINCT page) >= greatest(2, floor(n * 0.6e0))
-""")
-def repeated_lines(t: Tables) -> DataFrame:
-    return X.repeated_lines(X.lines(t.documents))
-
-
-@query("SELECT o_orderkey, 'status: ' || o_orderstatus || ' | priority: ' || o_orderpriority || CASE WHEN o_orderkey % 3 > 0 THEN ' | key: ' || o_orderkey ELSE '' END AS line FROM orders")
-def render_table_rows(t: Tables) -> DataFrame:
-    cells = F.array("o_orderstatus", "o_orderpriority", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey").cast("string")).otherwise(""))
-    return t.orders.select("o_orderkey", X.table_rows(F.array(F.lit("status"), F.lit("priority"), F.lit("key")), cells).alias("line"))
-
-
-def _sections(t: Tables) -> DataFrame:
-    return X.sections(X.headings(X.lines(t.documents)))
-
-
-@query(f"""
-WITH l AS ({_LINES}), h AS (SELECT *, CASE WHEN ln % 4 = 0 THEN CASE WHEN (ln // 4) % 3 = 0 THEN (ln // 12 + 1)::VARCHAR ELSE (ln // 12 + 1) || '.' || ((ln // 4) % 3) END END AS number FROM l),
-s AS (SELECT *, count(number) OVER (PARTITION BY doc_id ORDER BY ln) AS section FROM h)
-SELECT doc_id, section, max(number) AS number, len(string_split(max(number), '.'))::INTEGER AS depth, sha256(coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (number IS NULL), '')) AS body FROM s GROUP BY doc_id, section
-""")
-def split_sections(t: Tables) -> DataFrame:
-    return _sections(t).select("doc_id", "section", "number", "depth", F.sha2("text", 256).alias("body"))
-
-
-_SECTIONS = f"""
-SELECT doc_id, section, max(number) AS number, coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (number IS NULL), '') AS body FROM (
-  SELECT *, count(number) OVER (PARTITION BY doc_id ORDER BY ln) AS section FROM (SELECT *, CASE WHEN ln % 4 = 0 THEN CASE WHEN (ln // 4) % 3 = 0 THEN (ln // 12 + 1)::VARCHAR ELSE (ln // 12 + 1) || '.' || ((ln // 4) % 3) END END AS number FROM ({_LINES}) l0) h0) s0 GROUP BY doc_id, section
-"""
-
-
-@query(f"SELECT doc_id, section, number, row_number() OVER (PARTITION BY doc_id, number ORDER BY section)::INTEGER AS occurrence FROM ({_SECTIONS}) s")
-def section_occurrence(t: Tables) -> DataFrame:
-    return X.occurrence(_sections(t)).select("doc_id", "section", "number", "occurrence")
-
-
-#: Pieces of paragraphs (`pa`: doc_id, section, line, start, p) with their places, and parts packed one piece after the other.
-_PACK = r"""
-pc AS (SELECT doc_id, section, line, start, CASE WHEN length(p) > 4000 THEN string_split(regexp_replace(p, '([.!?])[ \t\n\x0B\f\r]+', E'\\1\n', 'g'), chr(10)) ELSE [p] END AS pieces, CASE WHEN length(p) > 4000 THEN regexp_extract_all(p, '[.!?]([ \t\n\x0B\f\r]+)', 1) ELSE [] END AS gaps FROM pa),
-pu AS (SELECT doc_id, section, line, i, pieces[i] AS text, start + CAST(coalesce(list_sum(list_transform(range(1, i), lambda j: length(pieces[j]) + coalesce(length(gaps[j]), 1))), 0) AS BIGINT) AS place FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS i FROM pc)),
-pk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY line, i) AS k FROM pu),
-w AS (SELECT DISTINCT doc_id, section, 0::BIGINT AS k, '' AS body, 0::BIGINT AS part, 0::BIGINT AS begin_ FROM pk UNION ALL
-  SELECT w.doc_id, w.section, p.k, CASE WHEN body = '' THEN p.text WHEN length(body) + 2 + length(p.text) <= 2800 THEN body || chr(10) || chr(10) || p.text ELSE p.text END,
-    CASE WHEN body <> '' AND length(body) + 2 + length(p.text) > 2800 THEN part + 1 ELSE part END, CASE WHEN body = '' OR length(body) + 2 + length(p.text) > 2800 THEN p.place ELSE begin_ END
-  FROM w JOIN pk p ON p.doc_id = w.doc_id AND p.section = w.section AND p.k = w.k + 1),
-parts AS (SELECT doc_id, section, part, arg_max(body, k) AS text, arg_max(begin_, k) AS begin_ FROM w WHERE k > 0 GROUP BY ALL HAVING arg_max(body, k) <> '')
-"""
-_WHOLE = "pa AS (SELECT doc_id, 0 AS section, ln AS line, line AS p, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (" + _LINES + ") l0)"
-
-
-@query(f"WITH RECURSIVE {_WHOLE}, {_PACK} SELECT doc_id, part::INTEGER AS part, length(text)::INTEGER AS chars, sha256(text) AS content_hash FROM parts")
-def pack_paragraphs(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.posexplode(X.packed(F.split("text", "\n"))).alias("part", "text"))
-    return rows.select("doc_id", "part", F.length("text").alias("chars"), F.sha2("text", 256).alias("content_hash"))
-
-
-@query(f"""
-WITH RECURSIVE se AS ({_SECTIONS}), pl AS (SELECT doc_id, section, i AS line, trim(string_split(body, chr(10))[i], ' ') AS p FROM (SELECT *, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS i FROM se)),
-pa AS (SELECT doc_id, section, line, p, 0::BIGINT AS start FROM pl WHERE p <> ''), {_PACK},
-o AS (SELECT doc_id, section, part, number, text, row_number() OVER v AS r, length(text) < 120 AND coalesce(number, '') = '' AS small FROM parts JOIN se USING (doc_id, section) WINDOW v AS (PARTITION BY doc_id ORDER BY section, part)),
-c AS (SELECT *, sum(CASE WHEN NOT small OR r = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY r) - 1 AS chunk FROM o),
-g AS (SELECT doc_id, chunk::INTEGER AS chunk, arg_min(coalesce(number, '?'), r) AS number, string_agg(text, chr(10) || chr(10) ORDER BY r) AS text FROM c GROUP BY ALL)
-SELECT doc_id, chunk, nullif(number, '?') AS number, length(text)::INTEGER AS chars, sha256(text) AS content_hash FROM g
-""")
-def chunk_corpus(t: Tables) -> DataFrame:
-    return X.chunk_corpus(_sections(t)).select("doc_id", "chunk", "number", F.length("text").alias("chars"), "content_hash")
-
-
-@query(f"WITH RECURSIVE {_WHOLE}, {_PACK} SELECT doc_id, part::INTEGER AS chunk, ((len(string_split(substr(d.text, 1, begin_), chr(10))) - 1) // 20)::INTEGER AS page FROM parts JOIN (SELECT doc_id, text FROM documents) d USING (doc_id)")
-def page_for_chunk(t: Tables) -> DataFrame:
-    """Pages of packed parts by their offsets in the text."""
-    lines = X.lines(t.documents).groupBy("doc_id", "page").agg(F.sum(F.length("line") + 1).alias("chars"))
-    before = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    starts = lines.select("doc_id", "page", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("page_start"))
-    parts = t.documents.select("doc_id", F.posexplode(X.packed_at(F.split("text", "\n"))).alias("chunk", "part"))
-    return X.pages_of(parts.select("doc_id", "chunk", F.col("part.at").alias("offset")), starts)
