@@ -23,20 +23,26 @@ doc_id and text are ignored. Strings are judged on the input, so that the result
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import _KEYS, _powers, mix64, small_batches, text_bytes, trim
-from riskloom.llm.exchange import POSTINGS, ROWS, exchange, parts_for
+from riskloom.llm.common import _KEYS, _powers, materialise, mix64, small_batches, steps, text_bytes, trim, trimmed
+from riskloom.llm.exchange import POSTINGS, ROWS, packed_keys, parts_for, unpacked_keys
 
-WIDTH, GRAM = 50, 24
+WIDTH, GRAM = 50, 16
+#: Bytes of text of a batch.
+BATCH = 8 << 20
 #: Windows of one string at most, and bytes that are hashed at a time.
 RUN, STEP = 64, 512 << 10
+#: Keys up to which names come from a table of all of them.
+TABLE = 1 << 22
 #: Strings of one key beyond which its windows are dealt one by one.
 HOT = 20_000
 #: Bytes of text for which there is a part, in the exchange of strings.
@@ -52,27 +58,44 @@ def _packed(*columns: np.ndarray) -> np.ndarray:
         size = int(column.max(initial=0)) + 1
         if int(key.max(initial=0)) >= (1 << 63) // size - 1:
             key = np.unique(key, return_inverse=True)[1]
-        key = key * size + column
+        key *= size
+        key += column
     return key
 
 
+def _names(key: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The rank of each key among the distinct ones, from 1; and the order of the keys, if no two are equal."""
+    most = int(key.max())
+    if most < TABLE:  # few possible keys: count them instead of sorting
+        there = np.zeros(most + 1, np.int32)
+        there[key] = 1
+        return np.cumsum(there, dtype=np.int32)[key], None
+    order = np.argsort(key)
+    inorder = key[order]
+    fresh = np.concatenate([[True], inorder[1:] != inorder[:-1]])
+    names = np.empty(len(key), np.int32)
+    names[order] = np.cumsum(fresh, dtype=np.int32)
+    return names, order if fresh.all() else None
+
+
 def suffix_array(letters: np.ndarray) -> np.ndarray:
     """The starts of all suffixes in their order, by a difference cover of period three. Letters are 1 or more."""
     n = len(letters)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: letters[i:].tolist()), np.int64)
-    s = np.concatenate([letters, np.zeros(4, letters.dtype)]).astype(np.int64)
+    s = np.zeros(n + 4, np.int32)
+    s[:n] = letters
     end = n + (n % 3 == 1)  # the place after the end keeps the last of the first class apart from the second class
-    first, second = np.arange(1, end, 3), np.arange(2, end, 3)
-    sample = np.concatenate([first, second])
-    names = np.unique(_packed(s[sample], s[sample + 1], s[sample + 2]), return_inverse=True)[1] + 1
-    order = np.argsort(names) if names.max() == len(names) else suffix_array(names)
-    rank = np.zeros(n + 4, np.int64)
-    rank[sample[order]] = np.arange(1, len(order) + 1)
+    sample = np.concatenate([np.arange(1, end, 3), np.arange(2, end, 3)])
+    names, order = _names(_packed(s[sample], s[sample + 1], s[sample + 2]))
+    if order is None:
+        order = suffix_array(names)
     sampled = sample[order]
+    rank = np.zeros(n + 4, np.int32)
+    rank[sampled] = np.arange(1, len(order) + 1)
     sampled = sampled[sampled < n]
     rest = np.arange(0, n, 3)
-    rest = rest[np.argsort(_packed(s[rest], rank[rest + 1]))]
+    rest = rest[np.argsort(_packed(s[0:n:3], rank[1 : n + 1 : 3]))]
     # where the rest falls among the first and the second class
     place = np.arange(len(rest))
     for which, ahead in ((1, 1), (2, 2)):
@@ -135,9 +158,9 @@ class Runs:
         self.rows = np.searchsorted(offsets, self.starts, "right") - 1
 
 
-def _ipc(table: pa.Table) -> bytes:
+def _ipc(table: pa.Table, level: int = 3) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -156,7 +179,9 @@ def least_docs(strings: list[bytes], docs: np.ndarray, width: int) -> np.ndarray
     flat = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
     lengths = np.array([len(x) for x in strings], np.int64)
     ends = np.cumsum(lengths + 1) - 1
-    letters = flat.astype(np.int64) + 2
+    used = np.zeros(256, np.int32)
+    used[flat] = 1
+    letters = (np.cumsum(used, dtype=np.int32) + 1)[flat]
     letters[ends] = 1
     at = np.full(len(flat), -1, np.int64)
     windows = lengths - width + 1
@@ -181,58 +206,101 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ROWS_ARROW)], schema=_ROWS_ARROW)
 
 
+def _slices(inorder: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where each run of equal numbers starts and ends."""
+    return itertools.pairwise(np.append(np.flatnonzero(np.diff(inorder, prepend=-1)), len(inorder)).tolist())
+
+
 def _within(counts: np.ndarray) -> np.ndarray:
     """0, 1, ... up to each count."""
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def batches(docs: DataFrame) -> DataFrame:
+    """Documents by runs of some megabytes, written once: batch (its number) and own (ids and texts, compressed). `docs`: doc_id, text."""
+
+    def dealt(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId() << 32, 0
+        for whole in found:
+            for row, end, *_ in steps(whole["text"], BATCH):
+                part = whole.slice(row, end - row)
+                own = _ipc(pa.table([part["doc_id"], part["text"].cast(pa.large_string())], names=["doc_id", "text"]), 6)
+                yield pa.RecordBatch.from_arrays([pa.array([task + number], pa.int64()), pa.array([own], pa.large_binary())], names=["batch", "own"])
+                number += 1
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return materialise(rows.mapInArrow(trimmed(dealt), "batch long, own binary"), "suffix-batches")
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, result: tuple[str, Callable[[bytes], object]] = ("kept binary", bytes)) -> DataFrame:
     """doc_id, n_bytes, spans (start and end of the maximal removed runs of bytes) and what `result` makes of the remaining
     bytes, under its name and type; by default, these bytes."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = max(1, -(-total // PART_TEXT))
+    small_batches(docs.sparkSession)
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     postings = 2 * total // (width - gram + 2)
+    key_parts, parts = parts_for(postings), max(1, -(-total // PART_TEXT))
     key_bytes = min(8, 1 + (max(postings, 1).bit_length() + 7) // 8)
     mask = (1 << 8 * key_bytes) - 1
     name, kind = result[0].split()
     made = pa.string() if kind == "string" else pa.binary()
-
-    def deal(batch: pa.RecordBatch):
-        data, offsets = text_bytes(batch["text"])
-        runs = Runs(data, offsets, batch["doc_id"], width, gram, mask)
-        order = np.lexsort((runs.rows, runs.keys))
-        keys, of = runs.keys[order], runs.rows[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
-        counts = np.diff(np.append(first, len(keys)))
-        several = of[first] != of[first + counts - 1] if len(first) else first > 0
-        extra = (np.minimum(counts, 0x7FFF) | np.where(several, 0x8000, 0)).astype(np.uint16)
-        own = _ipc(pa.table([batch["doc_id"], batch["text"]], names=["doc_id", "text"]))
-        return keys[first], np.zeros(len(first), np.int64), extra, own
-
-    def answer(keys: np.ndarray, extra: np.ndarray):
+    held = batches(docs)
+
+    def own_of(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        table = _read(raw)
+        return _one(table["doc_id"]), *text_bytes(table["text"])
+
+    @trimmed
+    def post(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each batch's distinct keys by part, with the number of strings and whether several documents have it."""
+        for one in found:
+            for batch, raw in zip(one["batch"].to_pylist(), one["own"], strict=True):
+                ids, data, offsets = own_of(raw.as_py())
+                runs = Runs(data, offsets, ids, width, gram, mask)
+                order = np.lexsort((runs.rows, runs.keys))
+                keys, of = runs.keys[order], runs.rows[order]
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+                counts = np.diff(np.append(first, len(keys)))
+                several = of[first] != of[first + counts - 1] if len(first) else first > 0
+                extra = (np.minimum(counts, 0x7FFF) | np.where(several, 0x8000, 0)).astype(np.uint16)
+                part = (keys[first] % np.uint64(key_parts)).astype(np.int64)
+                by_part = np.argsort(part, kind="stable")
+                out = []
+                for a, z in _slices(part[by_part]):
+                    some = by_part[a:z]
+                    out.append((int(part[some[0]]), batch, POSTINGS, packed_keys(keys[first][some], key_bytes), extra[some].tobytes(), None))
+                yield from _rows(out).to_batches()
+
+    def shared(posted: pa.Table) -> pa.Table:
+        """The keys of several documents, for each batch that has them: 1, or 2 if very many strings have the key."""
+        blobs = [x.as_py() for x in posted["a"]]
+        keys, extra = unpacked_keys(b"".join(blobs), key_bytes), np.frombuffer(b"".join(x.as_py() for x in posted["b"]), np.uint16)
         order = np.argsort(keys)
-        sorted_keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])[: len(keys)])
-        postings = np.diff(np.append(first, len(keys)))
-        counted = extra[order].astype(np.int64)
+        inorder, counted = keys[order], extra[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], inorder[1:] != inorder[:-1]])[: len(keys)])
+        times = np.diff(np.append(first, len(keys)))
         strings, several = np.add.reduceat(counted & 0x7FFF, first), np.maximum.reduceat(counted, first) >= 0x8000
-        value = np.where((postings > 1) | several, np.where(strings > hot, 2, 1), 0)
         values = np.empty(len(keys), np.uint8)
-        values[order] = np.repeat(value, postings)
-        return values > 0, values
+        values[order] = np.repeat(np.where((times > 1) | several, np.where(strings > hot, 2, 1), 0), times)
+        out, at = [], 0
+        for batch, blob in zip(posted["batch"].to_pylist(), blobs, strict=True):
+            here = slice(at, at + len(blob) // key_bytes)
+            at, some = here.stop, values[here] > 0
+            out.append((0, batch, POSTINGS, packed_keys(keys[here][some], key_bytes), values[here][some].tobytes(), None))
+        trim()
+        return _rows(out)
 
-    def gather(own: bytes, at: np.ndarray, keys: np.ndarray, values: np.ndarray, batch: int) -> pa.Table:
-        held = _read(own)
-        ids = _one(held["doc_id"])
-        data, offsets = text_bytes(held["text"])
+    def strings_of(own: pa.Table, answers: pa.Table) -> pa.Table:
+        """A batch's distinct strings of shared keys by part, each with its least document, and where they stand."""
+        batch = own["batch"][0].as_py()
+        ids, data, offsets = own_of(own["own"][0].as_py())
         runs = Runs(data, offsets, ids, width, gram, mask)
+        keys = unpacked_keys(b"".join(x.as_py() for x in answers["a"]), key_bytes)
+        values = np.frombuffer(b"".join(x.as_py() for x in answers["b"]), np.uint8)
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
         found = np.minimum(np.searchsorted(keys, runs.keys), max(len(keys) - 1, 0))
         value = np.where(keys[found] == runs.keys, values[found], 0) if len(keys) else np.zeros(len(runs.keys), np.uint8)
-        # strings: runs of windows, or single windows of hot keys
-        plain, single = value == 1, value == 2
+        plain, single = value == 1, value == 2  # runs of windows, or the windows of hot keys one by one
         each = runs.windows[single]
         starts = np.concatenate([runs.starts[plain], np.repeat(runs.starts[single], each) + _within(each)])
         windows = np.concatenate([runs.windows[plain], np.ones(int(each.sum()), np.int64)])
@@ -249,34 +317,28 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
         np.minimum.at(least, which, docs_of)
         part_of = np.zeros(len(strings), np.int64)
         part_of[which] = part
-        by_part = np.argsort(part_of, kind="stable")
-        turn = np.empty(len(strings), np.int64)
+        by_part = np.array(sorted(range(len(strings)), key=lambda i: (part_of[i], strings[i])), np.int64)
+        turn = np.empty(len(strings), np.int32)
         turn[by_part] = np.arange(len(strings))
         out = []
-        cuts = np.append(np.flatnonzero(np.diff(part_of[by_part], prepend=-1)), len(strings))
-        for a, z in itertools.pairwise(cuts.tolist()):
+        for a, z in _slices(part_of[by_part]):
             some = by_part[a:z]
             blob = [strings[i] for i in some.tolist()]
-            out.append((int(part_of[some[0]]), batch, POSTINGS, b"".join(blob), np.array([len(x) for x in blob], np.uint16).tobytes(), least[some].tobytes()))
-        # texts without such strings are done
-        open_rows = np.zeros(len(ids), bool)
-        open_rows[rows] = True
-        texts = [None if o else text[a:z] for o, a, z in zip(open_rows, offsets[:-1], offsets[1:], strict=True)]
-        done = pa.array([None if t is None else result[1](t) for t in texts], made)
-        whole = pa.array([text[a:z] if o else None for o, a, z in zip(open_rows, offsets[:-1], offsets[1:], strict=True)], pa.binary())
-        occurrences = pa.table({"string": turn[which], "start": starts, "windows": windows, "later": docs_of > least[which] if len(which) else np.zeros(0, bool)})
-        sizes = pa.array(np.diff(offsets))
-        out.append((parts + xxhash.xxh3_64_intdigest(str(batch)) % parts, batch, ROWS, _ipc(pa.table([ids, sizes, done, whole], names=["doc_id", "n_bytes", "done", "text"])), _ipc(occurrences), None))
+            out.append((int(part_of[some[0]]), batch, POSTINGS, zstandard.compress(b"".join(blob), 3), np.array([len(x) for x in blob], np.uint16).tobytes(), least[some].tobytes()))
+        order = np.argsort(starts)
+        seen = {"string": turn[which[order]], "step": np.diff(starts[order], prepend=0).astype(np.int32), "windows": windows[order].astype(np.uint8), "later": (docs_of > least[which])[order] if len(which) else np.zeros(0, bool)}
+        out.append((parts + xxhash.xxh3_64_intdigest(str(batch)) % parts, batch, ROWS, _ipc(pa.table(seen)), None, None))
         trim()
         return _rows(out)
 
     def sorted_out(posted: pa.Table) -> pa.Table:
+        """For each string one bit a window: whether a document before the string's least one has the window."""
         if posted["kind"][0].as_py() == ROWS:
             return posted.select(_ROWS_ARROW.names)
         number: dict[bytes, int] = {}
         which, docs_of = [], []
         for blob, lengths, docs in zip(posted["a"], posted["b"], posted["c"], strict=True):
-            blob, ends = blob.as_py(), np.cumsum(np.frombuffer(lengths.as_py(), np.uint16), dtype=np.int64).tolist()
+            blob, ends = zstandard.decompress(blob.as_py()), np.cumsum(np.frombuffer(lengths.as_py(), np.uint16), dtype=np.int64).tolist()
             which.append([number.setdefault(blob[a:z], len(number)) for a, z in zip([0, *ends[:-1]], ends, strict=True)])
             docs_of.append(np.frombuffer(docs.as_py(), np.int64))
         strings, flat = list(number), np.array([i for w in which for i in w], np.int64)
@@ -290,49 +352,48 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
             some = np.array(some, np.int64)
             n = windows[some]
             bits = earliest[np.repeat(first[some], n) + _within(n)] < np.repeat(docs, n)
-            out.append((posted["part"][0].as_py(), batch, POSTINGS, np.packbits(bits).tobytes(), n.astype(np.uint16).tobytes(), None))
+            out.append((posted["part"][0].as_py(), batch, POSTINGS, np.packbits(bits).tobytes(), n.astype(np.uint8).tobytes(), None))
         trim()
         return _rows(out)
 
-    def removed(rows: pa.Table) -> pa.Table:
+    def removed(own: pa.Table, rows: pa.Table) -> pa.Table:
+        ids, data, offsets = own_of(own["own"][0].as_py())
         kinds = rows["kind"].to_numpy()
-        own = int(np.flatnonzero(kinds == ROWS)[0])
-        held, seen = _read(rows["a"][own].as_py()), _read(rows["b"][own].as_py())
+        seen = _read(rows["a"][int(np.flatnonzero(kinds == ROWS)[0])].as_py())
         answers = rows.filter(pa.array(kinds == POSTINGS)).sort_by("part")
-        counts = [np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for x in answers["b"]]
-        bits = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=int(n.sum())) for x, n in zip(answers["a"], counts, strict=True)]
-        sizes = np.asarray(_one(held["n_bytes"]))
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        covered = np.zeros(len(sizes) and int(offsets[-1]), bool)
+        covered = np.zeros(len(data), bool)
         if seen.num_rows:
-            string, start, n, later = (np.asarray(_one(seen[c])) for c in ("string", "start", "windows", "later"))
-            flags, first = np.concatenate(bits), np.concatenate(counts)
-            first = np.cumsum(first) - first
-            starts = np.repeat(start, n) + _within(n)
+            string, step, n, later = (np.asarray(_one(seen[c])) for c in ("string", "step", "windows", "later"))
+            n = n.astype(np.int64)
+            counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in answers["b"]])
+            flags = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=int(np.frombuffer(y.as_py(), np.uint8).sum(dtype=np.int64))) for x, y in zip(answers["a"], answers["b"], strict=True)])
+            first = np.cumsum(counts) - counts
+            starts = np.repeat(np.cumsum(step, dtype=np.int64), n) + _within(n)
             gone = starts[flags[np.repeat(first[string], n) + _within(n)].astype(bool) | np.repeat(later, n)]
             change = np.zeros(len(covered) + 1, np.int32)
             np.add.at(change, gone, 1)
             np.add.at(change, gone + width, -1)
             covered = np.cumsum(change[:-1]) > 0
-        spans, made_of = [], []
-        for text, done, a, z in zip(held["text"], held["done"], offsets[:-1], offsets[1:], strict=True):
-            if not text.is_valid:
+        spans, made_of, text = [], [], data.tobytes()
+        for a, z in itertools.pairwise(offsets.tolist()):
+            here = covered[a:z]
+            if not here.any():
                 spans.append([])
-                made_of.append(done.as_py())
+                made_of.append(result[1](text[a:z]))
                 continue
-            here = covered[a:z]
             edges = np.flatnonzero(np.diff(here.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
             spans.append([{"start": x, "end": y} for x, y in edges.tolist()])
-            made_of.append(result[1](np.frombuffer(text.as_py(), np.uint8)[~here].tobytes()))
+            made_of.append(result[1](data[a:z][~here].tobytes()))
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        found = pa.table([held["doc_id"], held["n_bytes"], pa.array(spans, span), pa.array(made_of, made)], names=["doc_id", "n_bytes", "spans", name])
+        found = pa.table([ids, pa.array(np.diff(offsets), pa.int64()), pa.array(spans, span), pa.array(made_of, made)], names=["doc_id", "n_bytes", "spans", name])
         trim()
         return found
 
-    small_batches(docs.sparkSession)
-    strings = exchange(rows, parts_for(postings), deal, answer, gather, _ROWS_SCHEMA, np.uint8, width=key_bytes, extra_type=np.uint16, numbered=True)
-    answers = strings.groupBy("part").applyInArrow(sorted_out, _ROWS_SCHEMA)
-    return answers.groupBy("batch").applyInArrow(removed, f"doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, {name} {kind}")
+    posted = held.mapInArrow(post, _ROWS_SCHEMA)
+    answers = posted.groupBy("part").applyInArrow(shared, _ROWS_SCHEMA)
+    strings = held.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(strings_of, _ROWS_SCHEMA)
+    bits = strings.groupBy("part").applyInArrow(sorted_out, _ROWS_SCHEMA)
+    return held.groupBy("batch").cogroup(bits.groupBy("batch")).applyInArrow(removed, f"doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, {name} {kind}")
 
 
 ORACLE = r"""

@@ -58,7 +58,7 @@ def texts_of(rnd, n):
 @pytest.mark.parametrize("width,gram,hot,deal", [(12, 5, 20_000, 8 << 20), (12, 5, 1, 300), (7, 7, 3, 64), (50, 24, 20_000, 500)])
 def test_removed_bytes(spark, monkeypatch, width, gram, hot, deal):
     rnd = random.Random(width + hot)
-    monkeypatch.setattr("riskloom.llm.exchange.DEAL_BYTES", deal)
+    monkeypatch.setattr(suffixes, "BATCH", deal)
     monkeypatch.setattr(suffixes, "PART_TEXT", 3000)
     texts = texts_of(rnd, 120)
     rows = list(enumerate(texts)) + [(500, texts[3]), (501, texts[3]), (7, texts[9]), (7, texts[9]), (None, texts[3]), (600, None), (601, ""), (602, "x" * 400), (603, "x" * 900), (-5, texts[20])]
