@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import registry as R
 from riskloom.catalog import query
 from riskloom.functions import columns as C
 from riskloom.operators import quality as Q
+from riskloom.operators import ranking as N
 from riskloom.operators import retrieval as V
+from riskloom.sources.shared import written
 from riskloom.sources.views import Tables
 
 _CONTEXTS = "SELECT * FROM (VALUES (1, 'credit_analyst', 'SAMA', DATE '2022-06-30', CAST(NULL AS VARCHAR(12))), (2, 'regulator_liaison', 'SAMA', DATE '2023-06-30', 'retail'), (3, 'senior_credit_officer', 'CBUAE', DATE '2022-06-30', 'sme'), (4, 'visitor', 'SAMA', DATE '2023-06-30', 'sme')) AS c(context_id, role, jurisdiction, as_of, portfolio)"
@@ -28,7 +30,8 @@ _WINDOW_COLUMNS = ["doc_id", "document_id", "document_version", "jurisdiction",
 
 
 def _seen(t: Tables) -> DataFrame:
-    return V.visible(t.policy_docs.withColumnRenamed("declared_to", "effective_to"), t.spark.sql(_CONTEXTS))
+    """What each context sees, with windows that later versions have cut."""
+    return V.visible(V.supersession(t.policy_docs), t.spark.sql(_CONTEXTS))
 
 
 @query(_WINDOWS)
@@ -38,12 +41,13 @@ def supersession_windows(t: Tables) -> DataFrame:
 
 @query(_OPEN)
 def access_filter(t: Tables) -> DataFrame:
-    return _seen(t)
+    """By the ends that documents declare themselves."""
+    return V.visible(t.policy_docs.withColumnRenamed("declared_to", "effective_to"), t.spark.sql(_CONTEXTS))
 
 
 @query(_VISIBLE)
 def visible_documents(t: Tables) -> DataFrame:
-    return V.visible(V.supersession(t.policy_docs), t.spark.sql(_CONTEXTS))
+    return _seen(t)
 
 
 @query("SELECT doc_id, jurisdiction || '-' || document_id || '@' || document_version || '#' || CASE WHEN doc_id % 2 = 0 THEN 'k' || (doc_id % 9) ELSE 'c' || (doc_id % 5) END AS evidence_id FROM policy_docs")
@@ -53,7 +57,7 @@ def evidence_id(t: Tables) -> DataFrame:
     return t.policy_docs.select("doc_id", F.concat("jurisdiction", F.lit("-"), "document_id", F.lit("@"), "document_version", F.lit("#"), key).alias("evidence_id"))
 
 
-_STORED = "SELECT document_id AS collection, CASE WHEN doc_id % 97 = 3 AND document_id <> 'src1' THEN 'hashing-128' ELSE 'hashing-256' END AS signature FROM policy_docs"
+_STORED = "SELECT document_id AS collection, CASE WHEN doc_id % 97 = 3 AND document_id <> 'd1' THEN 'hashing-128' ELSE 'hashing-256' END AS signature FROM policy_docs"
 
 
 @query(f"SELECT collection, count(DISTINCT signature) AS signatures, count(*) FILTER (signature <> 'hashing-256') > 0 AS refused FROM ({_STORED}) x GROUP BY 1")
@@ -81,11 +85,12 @@ def hashing_embed(t: Tables) -> DataFrame:
     return V.hashing_embed(t.documents, "doc_id").withColumn("weight", C.fixed(F.col("weight"), 6))
 
 
+_DIMENSIONS = 64
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 _COS = f"floor({_DOT} / (sqrt({_DOT.replace('b.emb', 'a.emb')}) * sqrt({_DOT.replace('a.emb', 'b.emb')})) * 1e4 + 0.5e0) / 1e4"
 _DENSE = f"""
 SELECT * FROM (SELECT question_id, vec_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM (
-  SELECT a.vec_id AS question_id, b.vec_id, {_COS} AS score FROM embeddings a JOIN ({_OPEN}) s ON s.context_id = 1 + (a.vec_id // 20) % 3 JOIN embeddings b ON b.vec_id = s.doc_id AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rank <= {{0}}
+  SELECT a.vec_id AS question_id, b.vec_id, {_COS} AS score FROM embeddings a JOIN ({_VISIBLE}) s ON s.context_id = 1 + (a.vec_id // 20) % 3 JOIN embeddings b ON b.vec_id = s.doc_id AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rank <= {{0}}
 """
 
 
@@ -95,9 +100,9 @@ def _turn(n: int) -> Column:
 
 def _dense(t: Tables, k: int) -> DataFrame:
     """Questions (ids divisible by 20) against all vectors of documents that their context sees."""
-    asked = t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"), (_turn(3) + 1).alias("group"))
-    rows = t.embeddings.join(_seen(t).select(F.col("doc_id").alias("vec_id"), F.col("context_id").alias("group")), "vec_id").select("vec_id", "embedding", "group")
-    return V.nearest_in_group(rows, asked, k)
+    asked = t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), N.column_of("embedding").alias("v"), (_turn(3) + 1).alias("group"))
+    rows = t.embeddings.join(_seen(t).select(F.col("doc_id").alias("vec_id"), F.col("context_id").alias("group")), "vec_id").select(F.col("vec_id").alias("id"), N.column_of("embedding").alias("v"), "group")
+    return N.nearest(rows, asked, k, 4, _DIMENSIONS, own=True).withColumnRenamed("id", "vec_id")
 
 
 @query(f"SELECT question_id, vec_id, score, rank::INTEGER AS rank FROM ({_DENSE.format(10)}) d")
@@ -118,11 +123,11 @@ def precedent_join(t: Tables) -> DataFrame:
     """The most similar other question of the same context, if it is similar enough. Some were asked before in other words."""
     context = _turn(5).alias("group")
     rows = t.embeddings.select("vec_id", "embedding", context)
+    vectors = lambda df, key: df.select(F.col("vec_id").alias(key), N.column_of("embedding").alias("v"), "group")
     reworded = F.transform("embedding", lambda x, i: F.when(i == 0, F.lit(0).cast("float")).otherwise(x))
     again = t.embeddings.filter("vec_id % 40 = 0").select((F.col("vec_id") + 1000000).alias("vec_id"), reworded.alias("embedding"), context)
-    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"), "group")
-    found = V.nearest_in_group(rows.union(again), asked, 1)
-    return found.filter(F.col("score") >= R.PRECEDENT_SIMILARITY).select("question_id", "vec_id", "score")
+    found = N.nearest(vectors(rows.union(again), "id"), vectors(rows.filter("vec_id % 20 = 0"), "question_id"), 1, 4, _DIMENSIONS, own=True)
+    return found.filter(F.col("score") >= R.PRECEDENT_SIMILARITY).select("question_id", F.col("id").alias("vec_id"), "score")
 
 
 @query("SELECT a.vec_id, floor(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 1e4 + 0.5e0) / 1e4 AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -132,13 +137,14 @@ def cosine(t: Tables) -> DataFrame:
     return t.embeddings.join(after, "vec_id").select("vec_id", C.fixed(V.dot(F.col("embedding"), F.col("b")), 4).alias("dot"))
 
 
-_Q = "SELECT item_id AS question_id, 1 + item_id % 3 AS context_id, text FROM benchmark"
+#: Items of the benchmark, and the beginnings of some documents, asked by someone of the document's jurisdiction.
+_Q = "SELECT item_id AS question_id, CAST(1 + item_id % 3 AS INT) AS context_id, text FROM benchmark UNION ALL SELECT 1000000 + doc_id, CAST(CASE WHEN lang IN ('en', 'de') THEN 1 + doc_id % 2 ELSE 3 END AS INT), substr(text, 1, 240) FROM documents WHERE doc_id % 30 = 5"
 _BM25 = f"""
 SELECT question_id, doc_id, floor(sum(times * idf * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * len / avg_len))) * 1e4 + 0.5e0) / 1e4 AS score FROM q
   JOIN i USING (context_id, term) JOIN m USING (context_id, term) GROUP BY 1, 2
 """
 _BM25_CTE = f"""
-seen AS (SELECT * FROM ({_OPEN}) o), q AS (SELECT question_id, context_id, term, count(*) AS times FROM (SELECT question_id, context_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM ({_Q}) z) GROUP BY ALL),
+seen AS (SELECT * FROM ({_VISIBLE}) o), q AS (SELECT question_id, context_id, term, count(*) AS times FROM (SELECT question_id, context_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM ({_Q}) z) GROUP BY ALL),
 s AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS terms FROM documents), st AS (SELECT context_id, count(*) AS n, avg(len(terms)) AS avg_len FROM seen JOIN s USING (doc_id) GROUP BY 1),
 m AS (SELECT context_id, doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS len, unnest(terms) AS term FROM s) p JOIN seen USING (doc_id) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 i AS (SELECT context_id, term, greatest(ln((n - count(*) + 0.5e0) / (count(*) + 0.5e0) + 1e0), 1e-9) AS idf, avg_len FROM m JOIN st USING (context_id) GROUP BY context_id, term, n, avg_len),
@@ -147,22 +153,17 @@ b AS ({_BM25})
 
 
 def _questions(t: Tables) -> DataFrame:
-    return t.benchmark.select(F.col("item_id").alias("question_id"), (F.col("item_id") % 3 + 1).cast("int").alias("context_id"), "text")
-
-
-def _lexical(t: Tables) -> DataFrame:
-    scored = V.bm25(t.documents, _questions(t), _seen(t))
-    return scored.withColumn("score", C.fixed(F.col("score"), 4))
+    return t.sql(_Q, "benchmark", "documents")
 
 
 @query(f"WITH {_BM25_CTE} SELECT question_id, doc_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM b WHERE score > 0) WHERE rank <= 40")
 def bm25_rank(t: Tables) -> DataFrame:
-    return V.top(_lexical(t), ["question_id"], R.CANDIDATES, "doc_id")
+    return N.bm25(t.documents, _questions(t), _seen(t))
 
 
 _FUSED = f"""
 {_BM25_CTE}, a1 AS (SELECT * FROM (SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM b WHERE score > 0) WHERE rank <= 40),
-ed AS ({_EMBED.format('documents')}), eq AS ({_EMBED.format('(SELECT item_id AS doc_id, text FROM benchmark)')}),
+ed AS ({_EMBED.format('documents')}), eq AS ({_EMBED.format('(SELECT question_id AS doc_id, text FROM (' + _Q + ') qz)')}),
 cs AS (SELECT eq.doc_id AS question_id, ed.doc_id, sum(eq.weight * ed.weight) AS cosine FROM eq JOIN ed USING (bucket) GROUP BY ALL),
 cv AS (SELECT z.question_id, d.doc_id, floor(coalesce(cosine, 0e0) * 1e6 + 0.5e0) / 1e6 AS score FROM (SELECT * FROM ({_Q}) zz WHERE question_id IN (SELECT doc_id FROM eq)) z JOIN seen USING (context_id) JOIN (SELECT DISTINCT doc_id FROM ed) d ON d.doc_id = seen.doc_id LEFT JOIN cs ON cs.question_id = z.question_id AND cs.doc_id = d.doc_id),
 a2 AS (SELECT * FROM (SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM cv) WHERE rank <= 40),
@@ -176,27 +177,19 @@ def topk_candidates(t: Tables) -> DataFrame:
     return V.hashed_nearest(t.documents, _questions(t), _seen(t), R.CANDIDATES).select("question_id", "doc_id", "rank")
 
 
-def _hybrid(t: Tables) -> DataFrame:
-    """The lexical arm and the vector arm, each the best of all documents that the question's context sees, fused."""
-    first = V.top(_lexical(t), ["question_id"], R.CANDIDATES, "doc_id")
-    second = V.hashed_nearest(t.documents, _questions(t), _seen(t), R.CANDIDATES)
-    return V.fuse([arm.select("question_id", "doc_id", "rank") for arm in (first, second)])
+def _arms(t: Tables) -> list[DataFrame]:
+    """The lexical arm and the vector arm, each the best of all documents that the question's context sees."""
+    questions, seen = _questions(t), written(_seen(t), "seen")
+    return [V.held(arm, questions, seen) for arm in (N.bm25(t.documents, questions, seen), V.hashed_nearest(t.documents, questions, seen, R.CANDIDATES))]
 
 
 @query(f"WITH {_FUSED} SELECT question_id, doc_id, floor(score * 1e6 + 0.5e0) / 1e6 AS score FROM f")
 def rrf_fuse(t: Tables) -> DataFrame:
-    return _hybrid(t).withColumn("score", C.fixed(F.col("score"), 6))
+    return V.fuse([arm.select("question_id", "doc_id", "rank") for arm in _arms(t)]).withColumn("score", C.fixed(F.col("score"), 6))
 
 
 def _gated(t: Tables) -> DataFrame:
-    """Fused candidates with the cosine of question and text, both hashed; only candidates are embedded again."""
-    fused = _hybrid(t).withColumn("score", C.fixed(F.col("score"), 9))
-    embedder = V.HashingEmbedder()
-    q = embedder.embed_query(t.benchmark.select(F.col("item_id").alias("question_id"), "text"), "question_id").withColumnRenamed("weight", "w")
-    d = embedder.embed(t.documents, "doc_id")
-    shared = F.sum(F.col("w") * F.col("weight")).alias("cosine")
-    pairs = fused.join(q, "question_id").join(d, ["doc_id", "bucket"]).groupBy("question_id", "doc_id").agg(F.max("score").alias("score"), shared)
-    return pairs.withColumn("cosine", C.fixed(F.col("cosine"), 6)).join(t.documents.select("doc_id", F.length("text").alias("chars")), "doc_id")
+    return V.candidates(*_arms(t), t.documents, _questions(t))
 
 
 _BUDGET = f"""
@@ -214,18 +207,18 @@ def budgeted_topk(t: Tables) -> DataFrame:
 
 @query(rf"""
 WITH RECURSIVE {_BUDGET}, got AS (SELECT question_id, count(took) AS chunks FROM w GROUP BY 1)
-SELECT item_id AS question_id, coalesce(chunks, 0) AS chunks, CASE WHEN regexp_matches(lower(text), '{"|".join(Q.INJECTION)}') THEN 'BLOCKED' WHEN coalesce(chunks, 0) > 0 THEN 'ANSWERED' ELSE 'INSUFFICIENT_EVIDENCE' END AS status FROM benchmark LEFT JOIN got ON got.question_id = item_id
+SELECT question_id, coalesce(chunks, 0) AS chunks, CASE WHEN regexp_matches(lower(text), '{"|".join(Q.INJECTION)}') THEN 'BLOCKED' WHEN coalesce(chunks, 0) > 0 THEN 'ANSWERED' ELSE 'INSUFFICIENT_EVIDENCE' END AS status FROM ({_Q}) qs LEFT JOIN got USING (question_id)
 """)
 def hybrid_retrieve(t: Tables) -> DataFrame:
     """What each question gets, and whether it is enough to answer."""
     got = V.budgeted(_gated(t)).groupBy("question_id").agg(F.count(F.lit(1)).alias("chunks"))
-    asked = t.benchmark.select(F.col("item_id").alias("question_id"), Q.injected(F.col("text")).alias("blocked"))
+    asked = _questions(t).select("question_id", Q.injected(F.col("text")).alias("blocked"))
     status = F.when(F.col("blocked"), "BLOCKED").when(F.coalesce("chunks", F.lit(0)) > 0, "ANSWERED").otherwise("INSUFFICIENT_EVIDENCE")
     return asked.join(got, "question_id", "left").select("question_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), status.alias("status"))
 
 
 @query(f"""
-WITH ed AS ({_EMBED.format('documents')}), eq AS ({_EMBED.format('(SELECT item_id AS doc_id, text FROM benchmark)')}), wi AS ({_WINDOWS}),
+WITH ed AS ({_EMBED.format('documents')}), eq AS ({_EMBED.format('(SELECT question_id AS doc_id, text FROM (' + _Q + ') qz)')}), wi AS ({_WINDOWS}),
 cs AS (SELECT eq.doc_id AS question_id, ed.doc_id, floor(sum(eq.weight * ed.weight) * 1e6 + 0.5e0) / 1e6 AS score FROM eq JOIN ed USING (bucket) GROUP BY ALL),
 ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM cs) WHERE rank <= 8),
 fa AS (SELECT question_id, unnest(list_filter([CASE WHEN wi.jurisdiction <> c.jurisdiction THEN 'cross_jurisdiction:' || ev.doc_id END, CASE WHEN score < 0.72e0 THEN 'low_relevance:' || ev.doc_id END, CASE WHEN effective_from > as_of THEN 'not_yet_effective:' || ev.doc_id END,

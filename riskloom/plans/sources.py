@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import registry as R
 from riskloom.catalog import query
 from riskloom.sources import loads as L
+from riskloom.sources.shared import folder
 from riskloom.sources.views import Tables
 
 _TODAY = "2010-01-01"
@@ -18,12 +16,7 @@ _TODAY = "2010-01-01"
 
 def _scratch(t: Tables, name: str) -> str:
     """A new folder that all executors share; a local session without one gets a folder of its machine."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not t.spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="riskloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder(t.spark, name)
 
 
 _CELLS = {"obligor_id": "string", "observation_date": "date", "data_cutoff_date": "date", "portfolio": "string", "jurisdiction": "string", "outstanding": "number", "pit_pd": "probability", "days_past_due": "integer", "stage": "integer"}

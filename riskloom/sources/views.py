@@ -77,13 +77,13 @@ SELECT c_custkey AS issuer_id, c_name AS name,
 FROM customer
 """,
     "policy_docs": """
-SELECT doc_id, source AS document_id, CAST(doc_id AS VARCHAR(16)) AS document_version,
+SELECT doc_id, 'd' || CAST(CAST(floor(doc_id / 3) AS BIGINT) AS VARCHAR(16)) AS document_id, CAST(doc_id AS VARCHAR(16)) AS document_version,
   CASE WHEN lang IN ('en','de') THEN 'SAMA' ELSE 'CBUAE' END AS jurisdiction,
   CASE doc_id % 10 WHEN 0 THEN 'draft' WHEN 1 THEN 'withdrawn' ELSE 'approved' END AS approval_status,
   CASE doc_id % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' WHEN 2 THEN 'confidential' ELSE 'restricted' END AS confidentiality_level,
   CAST(DATE '2020-01-01' + INTERVAL 1 DAY * CAST(doc_id % 1500 AS INT) AS DATE) AS effective_from,
   CASE WHEN doc_id % 13 = 0 THEN CAST(DATE '2020-01-01' + INTERVAL 1 DAY * CAST(doc_id % 1500 + 200 AS INT) AS DATE) END AS declared_to,
-  CASE WHEN doc_id % 29 = 0 THEN 'src' || CAST(doc_id % 4 AS VARCHAR(4)) END AS supersedes_document_id,
+  CASE WHEN doc_id % 29 = 0 THEN 'd' || CAST(CAST(floor(doc_id / 3) AS BIGINT) - 2 AS VARCHAR(16)) END AS supersedes_document_id,
   CASE doc_id % 6 WHEN 0 THEN 'regulator_liaison' WHEN 1 THEN 'credit_analyst,senior_credit_officer' ELSE '' END AS allowed_roles,
   CASE doc_id % 5 WHEN 0 THEN 'retail' WHEN 1 THEN 'sme,corporate' ELSE '' END AS portfolios,
   text, n_chars

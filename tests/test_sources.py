@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom import registry as R
-from riskloom.operators import datasets, evaluation, quality, retrieval, scorecard, text
+from riskloom.operators import datasets, evaluation, quality, ranking, retrieval, scorecard, text
 from riskloom.sources import loads as L
 from riskloom.streaming import streams
 
@@ -94,7 +94,7 @@ def test_hidden_chunks_change_nothing(spark):
     chunks = [(1, "alpha beta"), (2, "beta gamma"), (3, "alpha alpha secret")]
     ask = spark.createDataFrame([(7, 1, "alpha")], "question_id int, context_id int, text string")
     seen = spark.createDataFrame([(1, 1), (1, 2)], "context_id int, doc_id long")
-    score = lambda some: [(r.doc_id, r.score) for r in retrieval.bm25(spark.createDataFrame(some, "doc_id long, text string"), ask, seen).collect()]
+    score = lambda some: [(r.doc_id, r.score) for r in ranking.bm25(spark.createDataFrame(some, "doc_id long, text string"), ask, seen).collect()]
     assert score(chunks) == score(chunks[:2]) and [d for d, _ in score(chunks)] == [1]
 
 
@@ -118,10 +118,9 @@ def test_vector_arm_ranks_all_visible_documents(spark, monkeypatch):
         scored = sorted((-math.floor(sum(x * y for x, y in zip(vector(t), of[i], strict=True)) * 1e6 + 0.5) / 1e6, i) for k, i in seen if k == c and of[i])
         want |= {(q, i, n + 1) for n, (_, i) in enumerate(scored[:7])}
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "question_id long, context_id int, text string"), spark.createDataFrame(seen, "context_id int, doc_id long")
-    for questions, least, most in ((512, 512, 8192), (5, 1, 20)):
-        monkeypatch.setattr(retrieval, "BLOCK_QUESTIONS", questions)
-        monkeypatch.setattr(retrieval, "LEAST_DOCS", least)
-        monkeypatch.setattr(retrieval, "BLOCK_DOCS", most)
+    for questions, most in ((512, 4096), (5, 8)):
+        monkeypatch.setattr(ranking, "BLOCK_QUESTIONS", questions)
+        monkeypatch.setattr(ranking, "BLOCK_ROWS", most)
         assert {(r.question_id, r.doc_id, r["rank"]) for r in retrieval.hashed_nearest(*frames, 7).collect()} == want
 
 
@@ -130,7 +129,7 @@ def test_hybrid_finds_documents_outside_the_lexical_arm(spark, data_dir):
     from riskloom.sources.views import Tables
 
     t = Tables(spark, data_dir)
-    lexical = retrieval.top(plans._lexical(t), ["question_id"], 40, "doc_id").select("question_id", "doc_id")
+    lexical = plans._lexical(t).select("question_id", "doc_id")
     assert plans._gated(t).select("question_id", "doc_id").exceptAll(lexical).count() > 0
 
 
