@@ -128,9 +128,9 @@ class Codec:
         end = chunk + overlap
         if n <= end:
             return find(text)
-        out, now, then = [], find(text[:end]), chunk
+        out, now, then, ahead = [], find(text[:end]), chunk, chunk
         while end < n:
-            later_end = min(n, then + chunk + overlap)
+            later_end = min(n, then + ahead + overlap)
             later = find(text[then:later_end])
             sure = sure_end(text[then:end], then, False)
             own, i, at = {}, len(now), end
@@ -147,10 +147,12 @@ class Codec:
             if meet in own:
                 out += now[: own[meet]]
                 now = later[j:]
-            else:  # split on from the last true boundary
+                next_ahead = chunk
+            else:  # split on from the last true boundary, and look twice as far each time, so that the work follows the length
                 out += now[:i]
                 now = find(text[at:later_end])
-            end, then = later_end, then + chunk
+                next_ahead = 2 * ahead
+            end, then, ahead = later_end, then + ahead, next_ahead
         return out + now
 
     def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> bytes:
@@ -203,16 +205,18 @@ def stitch(codec: Codec, chunks: list[tuple[int, str, np.ndarray]], length: int)
         # no common boundary: split on from the last true one, over the next chunks, until one of theirs is met
         known = bounds[bounds > at]
         turn = int(known[known <= then][-1]) if (known <= then).any() else at
-        joined, end, j = text[turn - first :], first + len(text), i + 1
+        joined, end, j, ahead = text[turn - first :], first + len(text), i, 1
         while True:
-            joined += chunks[j][1][end - chunks[j][0] :]
-            end = chunks[j][0] + len(chunks[j][1])
+            for _ in range(min(ahead, len(chunks) - 1 - j)):  # twice as many each time
+                j += 1
+                joined += chunks[j][1][end - chunks[j][0] :]
+                end = chunks[j][0] + len(chunks[j][1])
+            ahead *= 2
             sure = sure_end(joined, turn, j + 1 == len(chunks))
             mine = turn + np.array(codec.boundaries(joined), np.int64)
             met = np.intersect1d(mine[(mine > then) & (mine <= sure)], chunks[j][2], assume_unique=True)
             if len(met) or j + 1 == len(chunks):
                 break
-            j += 1
         stop = int(met[0]) if len(met) else length
         yield at, text[at - first : turn - first] + joined[: stop - turn]
         at = stop

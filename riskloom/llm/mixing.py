@@ -1,13 +1,13 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Each document gets a fixed place (60 bits of a digest of its id). The words of each source are summed by bucket of
+Each document gets a fixed place (60 bits of a digest of its id and text). The words of each source are summed by bucket of
 the place's first 10 bits; the bucket where a source's budget ends is split by the next 10 bits, then by 10 more, and
 in the last cell by single places. The threshold found this way is one number a source, and taking documents is a
 filter by it: nothing is sorted.
 
 Defined cases: a null or blank text has size 0 and takes part with no words; a null source is a source of its own, the
-last one; rows with the same doc_id have the same place and are taken or left together, as are ties of a place; a very long
-text is one document of its size; an empty table gives no rows;
+last one; rows with the same doc_id and text have the same place and are taken or left together, as are ties of a place, while
+rows that share a doc_id alone, or have none, are documents of their own; a very long text is one document of its size; an empty table gives no rows;
 columns other than doc_id, text and source pass through `apply_mix` untouched, but for those that it adds (size,
 source_size, target, copies, taken), which replace columns of the same name.
 """
@@ -31,8 +31,9 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def place_of(doc_id: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, PLACE_BITS // 4), 16, 10).cast("long")
+def place_of(doc_id: Column, text: Column) -> Column:
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(key), 1, PLACE_BITS // 4), 16, 10).cast("long")
 
 
 def _key(source: Column) -> Column:
@@ -40,7 +41,7 @@ def _key(source: Column) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"size": size_of(F.col("text")), "_place": place_of(F.col("doc_id")), "_key": _key(F.col("source"))})
+    return docs.withColumns({"size": size_of(F.col("text")), "_place": place_of(F.col("doc_id"), F.col("text")), "_key": _key(F.col("source"))})
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -135,7 +136,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
 ORACLE = r"""
 WITH s AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS place
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS place
   FROM documents),
 one AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 w AS (SELECT source, source_size, source_size * 3 AS top,

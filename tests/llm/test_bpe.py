@@ -40,6 +40,16 @@ def test_chunks_give_the_pretokens_of_the_whole():
             assert codec.pretokens(text, chunk, overlap) == codec.split.findall(text), (text, chunk)
 
 
+def test_unbroken_runs_cost_what_they_are_long():
+    codec, seen = bpe.Codec(RANKS, public_tokenizers.PATTERN), []
+    whole = codec.split
+    codec.split = type("Counted", (), {"findall": lambda self, t: seen.append(len(t)) or whole.findall(t)})()
+    for n in (50_000, 400_000):
+        seen.clear()
+        text = "a" * n + " end"
+        assert codec.pretokens(text, 1536, 48) == whole.findall(text) and sum(seen) < 6 * n
+
+
 def test_empty_table(spark):
     rows = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(rows, RANKS, public_tokenizers.PATTERN).count() == 0

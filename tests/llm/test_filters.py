@@ -90,6 +90,15 @@ def test_mix(spark):
     assert mixing.mix_documents(df.limit(0)).count() == 0
 
 
+def test_mix_comes_near_its_target_where_ids_repeat(spark):
+    for doc_id in (7, None):
+        rows = [(doc_id, f"w{i} " * 30, "a") for i in range(100)] + [(1000 + i, f"v{i} " * 30, "b") for i in range(100)]
+        got = mixing.mix_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        for low, high in ((0, 500), (1000, 1200)):
+            some = [r for r in got if low <= (r.doc_id or 7) < high]
+            assert abs(sum(r.taken for r in some) - some[0].target) <= 60
+
+
 def test_mix_of_empty_texts(spark):
     df = spark.createDataFrame([(1, "", "a"), (2, None, "b")], "doc_id long, text string, source string")
     assert {r.taken for r in mixing.mix_documents(df).collect()} == {0}
