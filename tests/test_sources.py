@@ -124,11 +124,11 @@ def test_vector_arm_ranks_all_visible_documents(spark, monkeypatch):
         assert {(r.question_id, r.doc_id, r["rank"]) for r in retrieval.hashed_nearest(*frames, 7).collect()} == want
 
 
-def test_hybrid_finds_documents_outside_the_lexical_arm(spark, data_dir):
+def test_hybrid_finds_documents_outside_the_lexical_arm(spark):
     from riskloom.plans import retrieval as plans
     from riskloom.sources.views import Tables
 
-    t = Tables(spark, data_dir)
+    t = Tables(spark, "/root/testdata/sf0.01")
     lexical = plans._lexical(t).select("question_id", "doc_id")
     assert plans._gated(t).select("question_id", "doc_id").exceptAll(lexical).count() > 0
 
