@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskloom import registry as R
 
@@ -110,19 +109,13 @@ def named(*cases: tuple[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in cases)))
 
 
-def statements(schema: T.StructType, skip: tuple[str, ...] = ()) -> Column:
-    """'path = value.' for every text and number of a row, at any depth of its structs; lists and flags say nothing."""
-    found: list[Column] = []
-
-    def walk(fields: list[T.StructField], path: str) -> None:
-        for f in fields:
-            name = f"{path}.{f.name}" if path else f.name
-            if name in skip:
-                continue
-            if isinstance(f.dataType, T.StructType):
-                walk(f.dataType.fields, name)
-            elif isinstance(f.dataType, (T.StringType, T.NumericType)):
-                found.append(F.concat(F.lit(f"{name} = "), F.col(name).cast("string"), F.lit(".")))
-
-    walk(schema.fields, "")
-    return F.array_compact(F.array(*found))
+def number_text(x: Column) -> Column:
+    """A double as its shortest text: plain from 1e-4 up to 1e16, with an exponent of two digits beyond."""
+    text = x.cast("string")
+    plain = F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
+    digits = F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), r"\.0$", "")
+    power = F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
+    sign = F.when(power < 0, "-").otherwise("+")
+    apart = F.concat(digits, F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    apart = F.when(F.abs(power) > 99, F.concat(digits, F.lit("e"), sign, F.abs(power).cast("string"))).otherwise(apart)
+    return F.when(~finite(x), F.lower(text)).when(x == 0, text).when(F.abs(x).between(1e-4, 9999999999999998.0), plain).otherwise(apart)

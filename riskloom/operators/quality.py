@@ -19,16 +19,6 @@ HIGH_TIER = ("rating recommendation", "recommend downgrade", "recommend upgrade"
 PRECEDENCE = {"verified": 0, "system": 1, "model": 2, "invalid": 3}
 
 
-#: Distinct paths of one batch of checks.
-MOST_PATHS = 500
-
-
-def json_field(document: Column, path: str) -> Column:
-    """The value at a dotted path as text; null if it isn't there."""
-    steps = "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in path.split("."))
-    return F.get_json_object(document, f"${steps}")
-
-
 def injected(text: Column) -> Column:
     return F.lower(text).rlike("|".join(INJECTION))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from riskloom.functions import columns as C
 from riskloom.operators import drafts as D
 from riskloom.operators import evaluation as E
 from riskloom.operators import factsheet as S
+from riskloom.operators import leaves as V
 from riskloom.plans import quality as P
+from riskloom.sources.shared import written
 from riskloom.sources.views import Tables
 
 _VALUE = "calculated_metrics.utilisation_pct"
@@ -20,17 +24,19 @@ def _sheets(t: Tables) -> DataFrame:
     return P._sheets(t).select("obligor_id", F.lit("utilisation_pct").alias("metric"), "value", "metric_unit", "metric_status")
 
 
-def _sources(t: Tables) -> DataFrame:
+def _sources(t: Tables, sheets: DataFrame | None = None) -> DataFrame:
     """What a draft may cite: its passages, and its factsheet if there is one."""
-    said = F.coalesce(F.concat(F.lit(f"{_VALUE} = "), F.col("value").cast("string"), F.lit(".")), F.lit(""))
-    own = t.drafts.join(_sheets(t), "obligor_id").select("answer_id", "seq", F.col("sheet_id").alias("evidence_id"), "jurisdiction", said.alias("text"))
+    sheets = _sheets(t) if sheets is None else sheets
+    said = F.coalesce(F.concat(F.lit(f"{_VALUE} = "), C.number_text(F.col("value")), F.lit(".")), F.lit(""))
+    own = t.drafts.join(sheets, "obligor_id").select("answer_id", "seq", F.col("sheet_id").alias("evidence_id"), "jurisdiction", said.alias("text"))
     return t.draft_sources.unionByName(own)
 
 
-def _facts(t: Tables) -> DataFrame:
-    rows = t.draft_facts.join(_sheets(t).select("obligor_id", "value"), "obligor_id", "left")
+def _facts(t: Tables, sheets: DataFrame | None = None) -> DataFrame:
+    sheets = _sheets(t) if sheets is None else sheets
+    rows = t.draft_facts.join(sheets.select("obligor_id", "value"), "obligor_id", "left")
     observed = F.col("value") + F.col("d_shift")
-    own = F.coalesce(F.concat(F.lit(f"{_VALUE} = "), observed.cast("string"), F.lit(".")), F.lit("no sheet"))
+    own = F.coalesce(F.concat(F.lit(f"{_VALUE} = "), C.number_text(observed), F.lit(".")), F.lit("no sheet"))
     d = F.struct(F.col("d_metric").alias("metric"), observed.alias("observed"), F.col("d_unit").alias("unit"), F.col("d_operator").alias("operator"), F.col("d_threshold").alias("threshold"), F.col("d_holds").alias("holds"), F.col("d_evidence").alias("evidence_id"), F.col("d_rule").alias("rule_id"))
     return rows.select("answer_id", "seq", "fact_no", "obligor_id", F.coalesce("statement", own).alias("statement"), D.listed(F.col("cites")).alias("cites"), F.when(F.col("d_metric").isNotNull(), d).alias("d"))
 
@@ -41,20 +47,35 @@ def _rules(t: Tables) -> DataFrame:
     return found.join(F.broadcast(P._rules(t).select("rule_id", "metric", "unit", "operator", "evidence_id", "threshold")), "rule_id")  # a registry
 
 
-def _derivations(t: Tables) -> DataFrame:
+def _derivations(t: Tables, facts: DataFrame, sheets: DataFrame) -> DataFrame:
     # the registry names its evidence E1 where a draft's passage is E0
     rules = _rules(t).withColumn("evidence_id", F.when(F.col("evidence_id") == "E1", "E0").otherwise(F.col("evidence_id")))
-    return D.derivation_failures(_facts(t), _sheets(t), t.draft_sources, rules)
+    return D.derivation_failures(facts, sheets, t.draft_sources, rules)
 
 
 def _narrated(t: Tables) -> DataFrame:
-    narrative = F.concat(F.array("summary", "recommendation"), D.listed(F.col("drivers")))
-    digest = F.sha2(F.concat_ws("|", "summary", "recommendation", "drivers", "structured_ids"), 256)
-    return t.drafts.withColumns({"narrative": narrative, "structured": D.listed(F.col("structured_ids")), "content_hash": digest})
+    narrative = F.concat(F.array("summary", "recommendation"), *(D.listed(F.col(c)) for c in ("drivers", "missing_information", "mitigants", "inferences", "bases")))
+    return t.drafts.withColumns({"narrative": narrative, "structured": D.listed(F.col("structured_ids"))})
+
+
+@dataclass
+class _Parts:
+    """What several checks of the drafts need, each computed once."""
+
+    sheets: DataFrame
+    facts: DataFrame
+    sources: DataFrame
+    derivations: DataFrame
+    drafts: DataFrame
 
+    @classmethod
+    def of(cls, t: Tables) -> _Parts:
+        sheets = written(_sheets(t), "sheets")
+        facts, sources = written(_facts(t, sheets), "facts"), written(_sources(t, sheets), "sources")
+        return cls(sheets, facts, sources, written(_derivations(t, facts, sheets), "derivations"), written(_narrated(t), "drafts"))
 
-def _failures(t: Tables) -> DataFrame:
-    return D.output_failures(_narrated(t), _facts(t), _sources(t), _derivations(t))
+    def failures(self) -> DataFrame:
+        return D.output_failures(self.drafts, self.facts, self.sources, self.derivations)
 
 
 _LIST = "list_filter(list_transform(string_split({0}, ','), lambda x: trim(x)), lambda x: x <> '')"
@@ -80,7 +101,7 @@ dv AS (SELECT answer_id, seq, fact_no, d_rule, ruled AND r_holds IS DISTINCT FRO
   CASE WHEN d_holds <> CASE d_operator WHEN 'gt' THEN d_observed > d_threshold WHEN 'gte' THEN d_observed >= d_threshold WHEN 'lt' THEN d_observed < d_threshold WHEN 'eq' THEN {_NEAR.format('d_observed', 'd_threshold')} END THEN 'comparison_result_mismatch' END,
   CASE WHEN NOT list_contains(ids, d_evidence) THEN 'threshold_evidence_not_cited_by_claim' END], lambda x: x IS NOT NULL)) AS failures FROM dj),
 alls AS (SELECT answer_id, seq, string_agg(text, ' ' ORDER BY text) AS all_text FROM s GROUP BY ALL),
-na AS (SELECT answer_id, seq, unnest(list_concat([summary, recommendation], {_LIST.format('drivers')})) AS said FROM drafts),
+na AS (SELECT answer_id, seq, unnest(list_concat([summary, recommendation], {_LIST.format('drivers')}, {_LIST.format('missing_information')}, {_LIST.format('mitigants')}, {_LIST.format('inferences')}, {_LIST.format('bases')})) AS said FROM drafts),
 rf AS (SELECT answer_id, seq, evidence_id FROM fc UNION ALL SELECT answer_id, seq, unnest({_LIST.format('structured_ids')}) FROM drafts),
 fl AS (
   SELECT answer_id, seq, 'unsupported_claim' AS failure FROM g WHERE NOT supported UNION SELECT answer_id, seq, 'material_fact_without_citation' FROM g WHERE len(ids) = 0
@@ -95,7 +116,8 @@ fs AS (SELECT answer_id, seq, list_sort(list(failure)) AS failures FROM fl GROUP
 @query(f"WITH {_BASE} SELECT answer_id, seq, fact_no, array_to_string(failures, ',') AS failures FROM dv")
 def check_derivation(t: Tables) -> DataFrame:
     """Each fact's derivation against the factsheet, the cited threshold and the rule."""
-    return _derivations(t).select("answer_id", "seq", "fact_no", F.concat_ws(",", "failures").alias("failures"))
+    sheets = _sheets(t)
+    return _derivations(t, _facts(t, sheets), sheets).select("answer_id", "seq", "fact_no", F.concat_ws(",", "failures").alias("failures"))
 
 
 @query(f"""
@@ -120,29 +142,40 @@ def citation_resolution(t: Tables) -> DataFrame:
 @query(f"WITH {_BASE} SELECT answer_id, seq, coalesce(array_to_string(failures, ','), '') AS failures FROM drafts LEFT JOIN fs USING (answer_id, seq)")
 def validate_output(t: Tables) -> DataFrame:
     """Facts against their sources, citations, derivations, rules, narrative and human approval."""
-    per = _failures(t).groupBy(*D.KEYS).agg(F.concat_ws(",", F.array_sort(F.collect_set("failure"))).alias("failures"))
+    per = _Parts.of(t).failures().groupBy(*D.KEYS).agg(F.concat_ws(",", F.array_sort(F.collect_set("failure"))).alias("failures"))
     return t.drafts.select(*D.KEYS).join(per, D.KEYS, "left").na.fill("")
 
 
-_HASH = "sha256(summary || '|' || recommendation || '|' || drivers || '|' || structured_ids)"
-_REVIEWED = f"""
-SELECT answer_id, seq, CASE WHEN answer_id % 17 <> 0 THEN 'r1' END AS reviewer, CASE WHEN answer_id % 4 = 1 THEN 'rejected' ELSE 'approved' END AS status, answer_id % 19 <> 0 AS semantic_supported, true AS numerics_verified,
-  CASE WHEN answer_id % 6 = 1 THEN 'an older text' ELSE {_HASH} END AS content_hash FROM drafts WHERE seq % 3 <> 1
+_TARGET = ["answer_status", "summary", "recommendation", "drivers", "structured_ids", "missing_information", "mitigants", "inferences", "bases", "human_approval", "valid"]
+_DERIVED = "coalesce(d_metric, ''), CASE WHEN d_metric IS NULL THEN '' ELSE coalesce(d_observed::VARCHAR, '') END, coalesce(d_unit, ''), coalesce(d_operator, ''), coalesce(d_threshold::VARCHAR, ''), coalesce(d_holds::VARCHAR, ''), coalesce(d_evidence, ''), coalesce(d_rule, '')"
+#: Reviews of most drafts; some are of another person's approval, some of an older text.
+_REVIEWS = f"""
+hf AS (SELECT answer_id, seq, sha256(string_agg(x, '|' ORDER BY x)) AS h FROM (SELECT answer_id, seq, sha256(concat_ws('|', fact_no, said, array_to_string(ids, ','), {_DERIVED})) AS x FROM f) GROUP BY ALL),
+hs AS (SELECT answer_id, seq, sha256(string_agg(x, '|' ORDER BY x)) AS h FROM (SELECT answer_id, seq, sha256(concat_ws('|', evidence_id, jurisdiction, text)) AS x FROM s) GROUP BY ALL),
+ho AS (SELECT obligor_id, sha256(sha256(concat_ws('|', 'utilisation_pct', coalesce(value::VARCHAR, ''), 'pct', coalesce(metric_status, '')))) AS h FROM sh),
+hc AS (SELECT answer_id, seq, sha256(concat_ws('|', {", ".join(f"{c}::VARCHAR" for c in _TARGET)}, coalesce(hf.h, ''), coalesce(hs.h, ''), coalesce(ho.h, ''))) AS content_hash FROM drafts d LEFT JOIN hf USING (answer_id, seq) LEFT JOIN hs USING (answer_id, seq) LEFT JOIN ho USING (obligor_id)),
+rw AS (SELECT answer_id, seq, CASE WHEN answer_id % 17 <> 0 THEN 'r1' END AS reviewer, CASE WHEN answer_id % 4 = 1 THEN 'rejected' ELSE 'approved' END AS status, answer_id % 19 <> 0 AS semantic_supported, true AS numerics_verified,
+  CASE WHEN answer_id % 6 = 1 THEN 'an older text' ELSE content_hash END AS content_hash FROM hc WHERE seq % 3 <> 1)
 """
 
 
 @query(f"""
-WITH {_BASE}, rv AS (SELECT DISTINCT answer_id, seq, content_hash FROM ({_REVIEWED}) x WHERE reviewer IS NOT NULL AND status = 'approved' AND semantic_supported AND numerics_verified),
+WITH {_BASE}, {_REVIEWS}, rv AS (SELECT DISTINCT answer_id, seq, content_hash FROM rw WHERE reviewer IS NOT NULL AND status = 'approved' AND semantic_supported AND numerics_verified),
 op AS (SELECT DISTINCT g.answer_id, g.seq FROM g LEFT JOIN dv USING (answer_id, seq, fact_no) WHERE NOT supported AND (dv.failures IS NULL OR len(dv.failures) > 0)),
-j AS (SELECT d.answer_id, d.seq, coalesce(fs.failures, []) AS fa, op.answer_id IS NOT NULL AS open_claim, rv.answer_id IS NOT NULL AS verified FROM drafts d LEFT JOIN fs USING (answer_id, seq) LEFT JOIN op USING (answer_id, seq) LEFT JOIN rv ON rv.answer_id = d.answer_id AND rv.seq = d.seq AND rv.content_hash = {_HASH}),
+j AS (SELECT d.answer_id, d.seq, coalesce(fs.failures, []) AS fa, op.answer_id IS NOT NULL AS open_claim, rv.answer_id IS NOT NULL AS verified FROM drafts d LEFT JOIN fs USING (answer_id, seq) LEFT JOIN op USING (answer_id, seq) LEFT JOIN hc USING (answer_id, seq) LEFT JOIN rv ON rv.answer_id = d.answer_id AND rv.seq = d.seq AND rv.content_hash = hc.content_hash),
 k AS (SELECT *, list_sort(list_concat(list_filter(fa, lambda x: x NOT IN ('unsupported_claim', 'unverified_narrative')), CASE WHEN (open_claim OR list_contains(fa, 'unverified_narrative')) AND NOT verified THEN ['semantic_and_numeric_review_required'] ELSE [] END)) AS hard FROM j)
 SELECT answer_id, seq, array_to_string(hard, ',') AS failures, len(hard) = 0 AS admissible FROM k
 """)
 def training_admissible(t: Tables) -> DataFrame:
-    """Hard failures are final; those of wording are waived by a review that is bound to the content."""
-    # the hash of a reviewed text: SQL and Spark write it alike
-    reviews = t.sql(_REVIEWED.replace(_HASH, "sha2(" + _HASH.removeprefix("sha256(")[:-1] + ", 256)"), "drafts")
-    found = D.admission(_narrated(t), _failures(t), _facts(t), _sources(t), _derivations(t), reviews)
+    """Hard failures are final; those of wording are waived by a review that is bound to the draft, its facts, its sources and
+    its factsheet."""
+    parts = _Parts.of(t)
+    drafts = D.content_hash(parts.drafts, parts.facts, parts.sources, parts.sheets, _TARGET)
+    reviews = drafts.filter("seq % 3 <> 1").select(
+        *D.KEYS, F.when(F.col("answer_id") % 17 != 0, "r1").alias("reviewer"), F.when(F.col("answer_id") % 4 == 1, "rejected").otherwise("approved").alias("status"), (F.col("answer_id") % 19 != 0).alias("semantic_supported"),
+        F.lit(True).alias("numerics_verified"), F.when(F.col("answer_id") % 6 == 1, "an older text").otherwise(F.col("content_hash")).alias("content_hash"),
+    )
+    found = D.admission(drafts, parts.failures(), parts.facts, parts.sources, parts.derivations, reviews)
     return found.select(*D.KEYS, F.concat_ws(",", "failures").alias("failures"), (F.size("failures") == 0).alias("admissible"))
 
 
@@ -156,18 +189,22 @@ rs AS (SELECT answer_id, seq, count(*) FILTER (unknown) AS unknown_citations, li
 x AS (SELECT d.*, sh.value, n, coverage, bare, number, coalesce(unknown_citations, 0) AS unk, coalesce(refs, []) AS refs, fs.failures AS fa, {_LIST.format('required_evidence')} AS need, {_WORDS.format(_LIST.format('required_drivers'))} AS want, {_WORDS.format(_LIST.format('d.drivers'))} AS have,
     CASE WHEN must_abstain OR is_injection THEN 'INSUFFICIENT_EVIDENCE' ELSE expected_status END AS due, (SELECT count(*) FROM s WHERE s.answer_id = d.answer_id AND s.seq = d.seq AND s.jurisdiction <> d.jurisdiction) AS foreign_ones
   FROM drafts d LEFT JOIN sh USING (obligor_id) LEFT JOIN ff USING (answer_id, seq) LEFT JOIN rs USING (answer_id, seq) LEFT JOIN fs USING (answer_id, seq)),
-y AS (SELECT *, valid AND answer_status = due AND (due <> 'ANSWERED' OR n > 0 OR summary <> '' OR drivers <> '') AS correct FROM x)
-SELECT answer_id, seq, valid AS schema_valid, correct AS answer_status_correct, valid AND must_abstain AND answer_status = 'INSUFFICIENT_EVIDENCE' AS abstained_correctly, valid AND is_injection AND answer_status = 'INSUFFICIENT_EVIDENCE' AS injection_blocked,
-  CASE WHEN valid THEN coalesce(coverage, 0e0) ELSE 0e0 END AS citation_coverage, CASE WHEN len(need) > 0 THEN CASE WHEN valid THEN len(list_intersect(refs, need))::DOUBLE / len(need) ELSE 0e0 END END AS required_evidence_recall,
-  correct AND (value IS NULL OR coalesce(abs(number - value) <= 1e-6, false)) AS numeric_agreement, CASE WHEN NOT valid THEN 0e0 WHEN len(want) = 0 THEN 1e0 ELSE len(list_intersect(have, want))::DOUBLE / len(want) END AS driver_recall,
-  CASE WHEN valid THEN unk ELSE 0 END AS unknown_citations, CASE WHEN valid THEN foreign_ones ELSE 0 END AS cross_jurisdiction, CASE WHEN valid THEN coalesce(bare, 0) ELSE 1 END AS unsupported_claims, correct AND fa IS NULL AS grounding_verified FROM y
+y AS (SELECT *, valid AND answer_status = due AND (due <> 'ANSWERED' OR n > 0 OR summary <> '' OR drivers <> '') AS correct FROM x),
+z AS (SELECT *, outcome = 'answered' AS there, outcome = 'blocked' AND (must_abstain OR is_injection) AS fit FROM y)
+SELECT answer_id, seq, CASE WHEN there THEN valid ELSE fit END AS schema_valid, CASE WHEN there THEN correct ELSE fit END AS answer_status_correct, CASE WHEN there THEN valid AND must_abstain AND answer_status = 'INSUFFICIENT_EVIDENCE' ELSE fit END AS abstained_correctly,
+  CASE WHEN there THEN valid AND is_injection AND answer_status = 'INSUFFICIENT_EVIDENCE' ELSE fit AND is_injection END AS injection_blocked,
+  CASE WHEN there AND valid THEN coalesce(coverage, 0e0) ELSE 0e0 END AS citation_coverage, CASE WHEN len(need) > 0 THEN CASE WHEN there AND valid THEN len(list_intersect(refs, need))::DOUBLE / len(need) ELSE 0e0 END END AS required_evidence_recall,
+  there AND correct AND (value IS NULL OR coalesce(abs(number - value) <= 1e-6, false)) AS numeric_agreement, CASE WHEN NOT valid OR NOT there THEN 0e0 WHEN len(want) = 0 THEN 1e0 ELSE len(list_intersect(have, want))::DOUBLE / len(want) END AS driver_recall,
+  CASE WHEN there AND valid THEN unk ELSE 0 END AS unknown_citations, CASE WHEN there AND valid THEN foreign_ones ELSE 0 END AS cross_jurisdiction, CASE WHEN NOT there THEN 0 WHEN valid THEN coalesce(bare, 0) ELSE 1 END AS unsupported_claims,
+  CASE WHEN there THEN correct AND fa IS NULL ELSE fit END AS grounding_verified, outcome = 'failed' AS provider_failed FROM z
 """)
 def score_case(t: Tables) -> DataFrame:
     """Every metric of a draft against its case; the expected number is the factsheet's."""
-    sheet = _sheets(t).select("obligor_id", "value")
+    parts = _Parts.of(t)
+    sheet = parts.sheets.select("obligor_id", "value")
     numerics = F.map_from_entries(F.array_compact(F.array(F.when(F.col("value").isNotNull(), F.struct(F.lit(_VALUE), F.col("value"))))))
-    cases = _narrated(t).join(sheet, "obligor_id", "left").withColumns({"numerics": numerics, "drivers": D.listed(F.col("drivers")), "required_evidence": D.listed(F.col("required_evidence")), "required_drivers": D.listed(F.col("required_drivers"))})
-    return D.scored(cases, _facts(t), _sources(t), _failures(t))
+    cases = parts.drafts.join(sheet, "obligor_id", "left").withColumns({"numerics": numerics, "drivers": D.listed(F.col("drivers")), "required_evidence": D.listed(F.col("required_evidence")), "required_drivers": D.listed(F.col("required_drivers"))})
+    return D.scored(cases, parts.facts, parts.sources, parts.failures())
 
 
 _EXPECTED = f"""
@@ -195,9 +232,10 @@ def assess_case(t: Tables) -> DataFrame:
 
 @query()
 def factsheet_statements(t: Tables) -> DataFrame:
-    """Every factsheet as statements 'path = value.', for each text and number at any depth."""
+    """Every factsheet as statements 'path = value.', for each text, number and date at any depth."""
     sheet = S.factsheets(t.om, P._AS_OF)
-    return sheet.select("obligor_id", F.explode(C.statements(sheet.schema, skip=("obligor_id",))).alias("statement"))
+    whole = F.to_variant_object(F.struct(*(c for c in sheet.columns if c != "obligor_id")))
+    return V.statements(sheet.select("obligor_id", whole.alias("sheet")), ["obligor_id"], "sheet")
 
 
 _PLAIN = r"trim(regexp_replace(lower({0}), '[ \t\n]+', ' ', 'g'))"

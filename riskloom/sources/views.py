@@ -154,14 +154,17 @@ FROM conversations c
 SELECT answer_id, seq, 1 + answer_id % 120 AS obligor_id, 'CASE-' || CAST(answer_id AS VARCHAR(12)) AS sheet_id, status <> 'invalid' AS valid,
   CASE WHEN answer_id % 13 = 0 THEN 'INSUFFICIENT_EVIDENCE' ELSE answer_status END AS answer_status,
   CASE answer_id % 4 WHEN 0 THEN 'The limit stands' WHEN 1 THEN 'Raise the limit now' ELSE '' END AS recommendation,
-  CASE (answer_id + seq) % 4 WHEN 0 THEN 'The limit stands' WHEN 1 THEN '' WHEN 2 THEN 'Exposure  ROSE.' ELSE 'A summary in other words' END AS summary,
+  CASE WHEN answer_id % 20 = 8 THEN 'The limit stands' ELSE CASE (answer_id + seq) % 4 WHEN 0 THEN 'The limit stands' WHEN 1 THEN '' WHEN 2 THEN 'Exposure  ROSE.' ELSE 'A summary in other words' END END AS summary,
   CASE answer_id % 3 WHEN 0 THEN 'exposure rose' WHEN 1 THEN '' ELSE 'The limit stands,Late filing' END AS drivers,
   answer_id % 5 <> 0 AS human_approval,
   CASE seq % 4 WHEN 0 THEN 'E0' WHEN 1 THEN 'E1,E9' WHEN 2 THEN '' ELSE 'E2,CASE-' || CAST(answer_id AS VARCHAR(12)) END AS structured_ids,
   CASE WHEN answer_id % 4 = 1 THEN 1 + answer_id % 3 END AS conclusion_stage, CASE answer_id % 5 WHEN 0 THEN 'validation' WHEN 1 THEN 'test' WHEN 2 THEN 'oot' ELSE 'train' END AS split, question_id,
   answer_id % 7 = 0 AS must_abstain, answer_id % 11 = 0 AS is_injection, 'ANSWERED' AS expected_status,
   CASE answer_id % 4 WHEN 0 THEN 'E0,E1' WHEN 1 THEN 'E2' WHEN 2 THEN '' ELSE 'E9' END AS required_evidence,
-  CASE answer_id % 5 WHEN 0 THEN 'Late  Filing' WHEN 1 THEN '' ELSE 'exposure rose,weak cover' END AS required_drivers, 'SAMA' AS jurisdiction
+  CASE answer_id % 5 WHEN 0 THEN 'Late  Filing' WHEN 1 THEN '' ELSE 'exposure rose,weak cover' END AS required_drivers, 'SAMA' AS jurisdiction,
+  CASE answer_id % 7 WHEN 3 THEN 'Late filing' ELSE '' END AS missing_information, CASE answer_id % 5 WHEN 2 THEN 'The limit stands' ELSE '' END AS mitigants,
+  CASE answer_id % 8 WHEN 4 THEN 'exposure rose' ELSE '' END AS inferences, CASE WHEN answer_id % 8 <> 4 THEN '' WHEN seq % 2 = 0 THEN 'Exposure rose' ELSE 'A guess' END AS bases,
+  CASE WHEN answer_id % 16 = 7 THEN 'blocked' WHEN answer_id % 31 = 5 THEN 'failed' ELSE 'answered' END AS outcome
 FROM answers
 """,
     "draft_sources": """
@@ -180,12 +183,12 @@ UNION ALL
 SELECT answer_id, seq, 1, 1 + answer_id % 120, 'Utilisation is beyond the limit', CASE answer_id % 5 WHEN 0 THEN 'E0,E7' WHEN 1 THEN 'E2' ELSE 'E0' END,
   CASE WHEN answer_id % 6 = 5 THEN 'no_such_metric' ELSE 'utilisation_pct' END, CASE WHEN answer_id % 7 = 1 THEN 1e0 ELSE 0e0 END, CASE WHEN answer_id % 10 = 9 THEN 'x' ELSE 'pct' END,
   CASE answer_id % 5 WHEN 0 THEN 'gt' WHEN 1 THEN 'lt' WHEN 2 THEN 'eq' ELSE 'gte' END, CASE WHEN answer_id % 8 = 2 THEN 61e0 ELSE 60e0 END, answer_id % 2 = 0,
-  CASE WHEN answer_id % 12 = 7 THEN 'E8' ELSE 'E0' END, CASE answer_id % 3 WHEN 0 THEN 'sama.watchlist.utilisation' WHEN 1 THEN 'cbuae.utilisation' END FROM answers WHERE seq % 3 <> 2
+  CASE WHEN answer_id % 12 = 7 THEN 'E8' ELSE 'E0' END, CASE answer_id % 3 WHEN 0 THEN 'sama.watchlist.utilisation' WHEN 1 THEN 'cbuae.utilisation' END FROM answers WHERE seq % 3 <> 2 AND answer_id % 20 <> 8
 UNION ALL
 SELECT answer_id, seq, 2, 1 + answer_id % 120, CAST(NULL AS VARCHAR(20)), 'CASE-' || CAST(answer_id AS VARCHAR(12)), NULL, CASE WHEN answer_id % 9 = 4 THEN 1e0 ELSE 0e0 END, NULL, NULL, NULL, NULL, NULL, NULL FROM answers WHERE seq % 2 = 0
 UNION ALL
 SELECT answer_id, seq, 3, 1 + answer_id % 120, CASE answer_id % 5 WHEN 0 THEN 'The current credit stage for OBL-0002 is 2' WHEN 1 THEN 'It migrated from stage 1 to 2' WHEN 2 THEN 'Stage OBL 7 was 3' WHEN 3 THEN 'current_position.stage = 1' ELSE 'No word of it' END, 'E0',
-  NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM answers WHERE seq % 5 <> 4
+  NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM answers WHERE seq % 5 <> 4 AND answer_id % 20 <> 8
 """,
 }
 

@@ -133,3 +133,39 @@ def test_the_embedder_signs_its_vectors(spark):
     bucket = lambda w: int(hashlib.sha256(w.encode()).hexdigest()[:8], 16) % 256
     assert abs(abs(got[bucket("late")]) - 2 / math.sqrt(5)) < 1e-12 and abs(abs(got[bucket("filing")]) - 1 / math.sqrt(5)) < 1e-12
     assert one.embed_query(texts, "id").count() == len(got)
+
+
+def test_a_review_is_void_after_any_edit(spark):
+    """A change of the draft, a fact, a citation, a derivation, a source or the factsheet."""
+    D = drafts
+    target = ["summary", "answer_status"]
+    rows = {
+        "drafts": ([(1, 0, 5, "Paraphrased", "ANSWERED", ["Paraphrased"], [], "", True)], "answer_id long, seq long, obligor_id long, summary string, answer_status string, narrative array<string>, structured array<string>, recommendation string, human_approval boolean"),
+        "facts": ([(1, 0, 0, 5, "Exposure rose", ["E1"], None), (1, 0, 1, 5, "Beyond", ["E1"], ("utilisation_pct", 61.0, "pct", "gt", 60.0, True, "E1", None))], "answer_id long, seq long, fact_no int, obligor_id long, statement string, cites array<string>, d struct<metric:string,observed:double,unit:string,operator:string,threshold:double,holds:boolean,evidence_id:string,rule_id:string>"),
+        "sources": ([(1, 0, "E1", "SAMA", "Exposure rose. Above 60 per cent.")], "answer_id long, seq long, evidence_id string, jurisdiction string, text string"),
+        "sheets": ([(5, "utilisation_pct", 61.0, "pct", "valid")], "obligor_id long, metric string, value double, metric_unit string, metric_status string"),
+    }
+    rules = spark.createDataFrame([], "obligor_id long, rule_id string, metric string, unit string, operator string, evidence_id string, threshold double, holds boolean")
+    frame = lambda name, edit: spark.createDataFrame([edit.get(name, lambda r: r)(r) for r in rows[name][0]], rows[name][1])
+
+    def judged(edit, review):
+        f = {n: frame(n, edit) for n in rows}
+        known = D.content_hash(f["drafts"], f["facts"], f["sources"], f["sheets"], target)
+        found = D.derivation_failures(f["facts"], f["sheets"], f["sources"], rules)
+        failures = D.output_failures(known, f["facts"], f["sources"], found)
+        reviews = spark.createDataFrame([(1, 0, "r", "approved", True, True, review or "")], "answer_id long, seq long, reviewer string, status string, semantic_supported boolean, numerics_verified boolean, content_hash string")
+        return known.first()["content_hash"], D.admission(known, failures, f["facts"], f["sources"], found, reviews).first()["failures"]
+
+    approved, without = judged({}, None)
+    assert without == ["semantic_and_numeric_review_required"] and judged({}, approved) == (approved, [])
+    edits = [
+        {"drafts": lambda r: (*r[:4], "ESCALATE", *r[5:])},
+        {"facts": lambda r: (*r[:4], "Exposure  rose.", *r[5:]) if r[2] == 0 else r},
+        {"facts": lambda r: (*r[:5], ["E1", "E1"], r[6]) if r[2] == 0 else r},
+        {"facts": lambda r: (*r[:6], (*r[6][:1], 61.00000000001, *r[6][2:])) if r[2] == 1 else r},
+        {"sources": lambda r: (*r[:4], r[4] + " More.")},
+        {"sheets": lambda r: (*r[:2], 61.00000000001, *r[3:])},
+    ]
+    for edit in edits:
+        digest, failures = judged(edit, approved)
+        assert digest != approved and failures == ["semantic_and_numeric_review_required"], edit
