@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom import registry as R
 from riskloom.functions import columns as C
+from riskloom.operators.digests import tree
 
 LEAST_QUALITY = 4
 TASKS = ("factsheet", "credit_deterioration", "ews_analysis", "email_draft", "policy_qa")
@@ -101,7 +102,7 @@ def contract(cases: DataFrame, cutoff: str) -> DataFrame:
 
 def manifest(rows: DataFrame, exclusions: DataFrame) -> DataFrame:
     """(kind, key, value): counts, the split of each group, a hash of each split's content, exclusions, family, skeleton,
-    situation and coverage counts, and a hash of all of it, made of the hashes of 256 parts.
+    situation and coverage counts, and a hash of all of it, by trees of hashes.
 
     `rows`: record_id, group_id, template_family, skeleton, situation, portfolio, content_hash, split; `exclusions`: kind, key.
     """
@@ -109,7 +110,7 @@ def manifest(rows: DataFrame, exclusions: DataFrame) -> DataFrame:
     per = lambda kind, *keys: rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit(kind).alias("kind"), F.concat_ws("/", *keys).alias("key"), "value")
     parts = [per("count", "split"), per("family", "template_family"), per("skeleton", "skeleton"), per("situation", "situation"), per("coverage", "portfolio", "situation")]
     parts.append(rows.groupBy("group_id").agg(F.min("split").alias("value")).select(F.lit("group").alias("kind"), F.col("group_id").alias("key"), "value"))
-    parts.append(_digest(rows, "split", F.concat_ws(":", text("record_id"), "content_hash")).select(F.lit("file").alias("kind"), F.col("split").alias("key"), F.col("digest").alias("value")))
+    parts.append(tree(rows, ["split"], F.concat_ws(":", text("record_id"), "content_hash")).select(F.lit("file").alias("kind"), F.col("split").alias("key"), F.col("digest").alias("value")))
     parts.append(exclusions.select("kind", "key", F.lit("excluded").alias("value")))
     out = parts[0]
     for p in parts[1:]:
@@ -117,16 +118,9 @@ def manifest(rows: DataFrame, exclusions: DataFrame) -> DataFrame:
     return out
 
 
-def _digest(rows: DataFrame, key: str, line: Column) -> DataFrame:
-    """A hash of the sorted lines of each key: lines are hashed in 256 parts, and the parts' hashes again."""
-    part = F.substring(F.sha2(line, 256), 1, 2)
-    parts = rows.groupBy(key, part.alias("_p")).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("h"))
-    return parts.groupBy(key).agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("_p", "h"))), lambda x: x["h"])), 256).alias("digest"))
-
-
 def sealed(rows: DataFrame) -> DataFrame:
     """A manifest with the hash of itself."""
-    whole = _digest(rows.withColumn("_all", F.lit("manifest")), "_all", F.concat_ws("|", "kind", "key", "value"))
+    whole = tree(rows.withColumn("_all", F.lit("manifest")), ["_all"], F.concat_ws("|", "kind", "key", "value"))
     return rows.unionByName(whole.select(F.lit("manifest_hash").alias("kind"), F.lit("").alias("key"), F.col("digest").alias("value")))
 
 

@@ -9,6 +9,8 @@ from riskloom import registry as R
 from riskloom.catalog import query
 from riskloom.functions import columns as C
 from riskloom.operators import datasets as D
+from riskloom.operators import digests
+from riskloom.operators.digests import tree_sql
 from riskloom.plans.sources import _scratch
 from riskloom.sources.views import Tables
 
@@ -190,12 +192,11 @@ def stable_point_id(t: Tables) -> DataFrame:
     return t.records.select("record_id", F.pmod(head, F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long").alias("point_id"))
 
 
-@query("SELECT group_id, sha256(string_agg(record_id || ':' || sha256(text), chr(10) ORDER BY record_id)) AS content FROM records GROUP BY group_id")
+@query(tree_sql("SELECT group_id, record_id || ':' || sha256(text) AS line FROM records", "group_id").replace("h AS digest", "h AS content"))
 def gold_content_hash(t: Tables) -> DataFrame:
-    """One hash over a set's cases in order, a set per group."""
+    """One hash over a set's cases, a set per group."""
     line = F.concat(F.col("record_id").cast("string"), F.lit(":"), F.sha2("text", 256))
-    lines = F.array_sort(F.collect_list(F.struct("record_id", line.alias("line"))))
-    return t.records.groupBy("group_id").agg(F.sha2(F.concat_ws("\n", F.transform(lines, lambda x: x["line"])), 256).alias("content"))
+    return digests.tree(t.records, ["group_id"], line).select("group_id", F.col("digest").alias("content"))
 
 
 @query("""
@@ -229,13 +230,12 @@ def write_split_dataset(t: Tables) -> DataFrame:
     return both[0].union(both[1]).groupBy("part", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-_DIGEST = "SELECT {0}, sha256(string_agg(h, chr(10) ORDER BY p)) AS digest FROM (SELECT {0}, substr(sha256(line), 1, 2) AS p, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM ({1}) d1 GROUP BY ALL) d2 GROUP BY {0}"
 _MANIFEST = f"""
 SELECT 'count' AS kind, split AS key, count(*)::VARCHAR AS value FROM m GROUP BY 2 UNION ALL SELECT 'family', template_family, count(*)::VARCHAR FROM m GROUP BY 2 UNION ALL SELECT 'skeleton', skeleton, count(*)::VARCHAR FROM m GROUP BY 2
 UNION ALL SELECT 'situation', situation, count(*)::VARCHAR FROM m GROUP BY 2 UNION ALL SELECT 'coverage', portfolio || '/' || situation, count(*)::VARCHAR FROM m GROUP BY 2 UNION ALL SELECT 'group', group_id, min(split) FROM m GROUP BY 2
-UNION ALL SELECT 'file', split, digest FROM ({_DIGEST.format('split', "SELECT split, record_id || ':' || content_hash AS line FROM m")}) fd UNION ALL SELECT 'excluded_group', group_id, 'excluded' FROM (SELECT DISTINCT group_id FROM records WHERE record_id % 53 = 0)
+UNION ALL SELECT 'file', split, digest FROM ({tree_sql("SELECT split, record_id || ':' || content_hash AS line FROM m", "split")}) fd UNION ALL SELECT 'excluded_group', group_id, 'excluded' FROM (SELECT DISTINCT group_id FROM records WHERE record_id % 53 = 0)
 """
-_SEAL = _DIGEST.format("everything", "SELECT 1 AS everything, kind || '|' || key || '|' || value AS line FROM mf")
+_SEAL = tree_sql("SELECT 1 AS everything, kind || '|' || key || '|' || value AS line FROM mf", "everything")
 _MANIFEST_CTE = f"m AS (SELECT *, {_SKELETON} AS skeleton FROM ({_FROZEN}) f), mf AS ({_MANIFEST}), sealed AS (SELECT * FROM mf UNION ALL SELECT 'manifest_hash', '', digest FROM ({_SEAL}) sd)"
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from riskloom import registry as R
 from riskloom.catalog import query
+from riskloom.operators import digests
+from riskloom.operators.digests import tree_sql
 from riskloom.sources import loads as L
-from riskloom.sources.shared import folder
+from riskloom.sources.shared import folder, written
 from riskloom.sources.views import Tables
 
 _TODAY = "2010-01-01"
@@ -102,10 +104,11 @@ def seed_load_one(t: Tables) -> DataFrame:
 #: A year's months as one load: a longer ledger than the two loads of the adapter view.
 _YEARLY = "SELECT obligor_id, observation_date, data_cutoff_date, CAST(year(observation_date) - 1994 AS BIGINT) AS load_id FROM om"
 _ENTRIES = f"SELECT load_id, count(*) AS n_rows, min(observation_date) AS first_date, max(observation_date) AS last_date, max(data_cutoff_date) AS last_cutoff FROM ({_YEARLY}) y GROUP BY load_id"
-#: Two tables a load; a table's digest is that of its sorted keys.
+#: Two tables a load; a table's digest is that of its keys.
+_OBLIGORS, _FACILITIES = (tree_sql(f"SELECT CAST(year(observation_date) - 1994 AS BIGINT) AS load_id, CAST({key} AS VARCHAR) AS line FROM {table}", "load_id") for key, table in (("obligor_id", "om"), ("facility_id", "fm")))
 _FILES = f"""
-SELECT load_id, 'obligor_monthly' AS table_name, sha256(string_agg(CAST(obligor_id AS VARCHAR), ',' ORDER BY obligor_id)) AS file_sha256, count(*) AS row_count FROM ({_YEARLY}) y GROUP BY load_id
-UNION ALL SELECT CAST(year(observation_date) - 1994 AS BIGINT), 'facility_monthly', sha256(string_agg(CAST(facility_id AS VARCHAR), ',' ORDER BY facility_id)), count(*) FROM fm GROUP BY 1
+SELECT load_id, 'obligor_monthly' AS table_name, digest AS file_sha256, row_count FROM ({_OBLIGORS}) o JOIN (SELECT load_id, count(*) AS row_count FROM ({_YEARLY}) y GROUP BY 1) n USING (load_id)
+UNION ALL SELECT load_id, 'facility_monthly', digest, row_count FROM ({_FACILITIES}) o JOIN (SELECT CAST(year(observation_date) - 1994 AS BIGINT) AS load_id, count(*) AS row_count FROM fm GROUP BY 1) n USING (load_id)
 """
 _CHAIN = f"""
 WITH RECURSIVE e AS (SELECT load_id, string_agg('{{"file_sha256": "' || file_sha256 || '", "row_count": ' || row_count || ', "table_name": "' || table_name || '"}}', ', ' ORDER BY table_name) AS text FROM ({_FILES}) f GROUP BY load_id),
@@ -115,8 +118,10 @@ c AS (SELECT 0::BIGINT AS load_id, '' AS prev_hash, repeat('0', 64) AS chain_has
 
 
 def _files(t: Tables) -> DataFrame:
-    digest = lambda c: F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(c)), lambda x: x.cast("string"))), 256)
-    side = lambda rows, name, c: rows.groupBy((F.year("observation_date") - 1994).cast("long").alias("load_id")).agg(F.lit(name).alias("table_name"), digest(c).alias("file_sha256"), F.count(F.lit(1)).alias("row_count"))
+    def side(rows: DataFrame, name: str, key: str) -> DataFrame:
+        dated = rows.select((F.year("observation_date") - 1994).cast("long").alias("load_id"), F.col(key).cast("string").alias("line"))
+        return digests.tree(dated, ["load_id"], F.col("line")).select("load_id", F.lit(name).alias("table_name"), F.col("digest").alias("file_sha256"), F.col("n").alias("row_count"))
+
     return side(t.om, "obligor_monthly", "obligor_id").union(side(t.fm, "facility_monthly", "facility_id"))
 
 
@@ -140,8 +145,9 @@ WHERE a.prev_hash <> coalesce(b.chain_hash, repeat('0', 64)) OR a.chain_hash <>
 """)
 def ledger_verify(t: Tables) -> DataFrame:
     """A ledger whose fourth hash was changed: the loads that don't follow."""
-    stored = L.chain(_files(t)).withColumn("chain_hash", F.when(F.col("load_id") == 4, F.reverse("chain_hash")).otherwise(F.col("chain_hash")))
-    return L.broken_links(stored, _files(t))
+    files = written(_files(t), "ledger-files")
+    stored = L.chain(files).withColumn("chain_hash", F.when(F.col("load_id") == 4, F.reverse("chain_hash")).otherwise(F.col("chain_hash")))
+    return L.broken_links(stored, files)
 
 
 @query(_CHAIN + "SELECT load_id, chain_hash FROM c WHERE load_id = (SELECT max(load_id) FROM c)")

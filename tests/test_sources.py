@@ -4,13 +4,16 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from riskloom import registry as R
-from riskloom.operators import datasets, evaluation, quality, ranking, retrieval, scorecard, text
+from riskloom.operators import datasets, digests, evaluation, quality, ranking, retrieval, scorecard, text
 from riskloom.sources import loads as L
+from riskloom.sources.ledgered import LedgeredSource
 from riskloom.streaming import streams
 
 COLUMNS = ["obligor_id", "observation_date", "data_cutoff_date", "portfolio", "jurisdiction", "pit_pd", "days_past_due", "stage"]
@@ -67,15 +70,84 @@ def test_seed_refuses_a_missing_column(spark, tmp_path):
         L.seed(file_of(spark, [GOOD]), R.OBLIGOR, str(tmp_path / "seed"))
 
 
-def test_stream_quarantines_a_broken_batch_and_runs_again(spark, tmp_path):
+def test_stream_quarantines_a_broken_batch_and_burns_no_number(spark, tmp_path):
     at = lambda n: str(tmp_path / n)
-    run = lambda: streams.append_loads(spark, at("in"), COLUMNS, at("source"), at("away"), at("check"), "2025-01-01").awaitTermination()
-    for rows in ([GOOD], [broken(stage="9")], [broken(stage="3", data_cutoff_date="2024-10-01")]):
+    target = LedgeredSource(spark, R.OBLIGOR, "obligor_monthly", at("source"), at("ledger"))
+    run = lambda: streams.append_loads(spark, at("in"), COLUMNS, target, at("away"), at("check"), "2025-01-01").awaitTermination()
+    for rows in ([GOOD], [broken(stage="9")], [GOOD], [broken(stage="3", data_cutoff_date="2024-10-01")]):
         file_of(spark, rows).coalesce(1).write.mode("append").json(at("in"))
         run()
     run()
-    assert sorted((r.load_id, r.stage) for r in spark.read.parquet(at("source")).collect()) == [(1, 1), (3, 3)]
+    assert sorted((r.load_id, r.stage) for r in target.rows().collect()) == [(1, 1), (2, 3)]
     assert spark.read.parquet(at("away")).count() == 1
+    found = {r.load_id: r for r in target.ledger().collect()}
+    assert found[1].prev_hash == L.GENESIS and found[2].prev_hash == found[1].chain_hash and (found[2].restated_rows, found[2].row_count) == (1, 1)
+    assert target.broken().count() == 0 and L.chain(target.ledger()).filter(F.col("load_id") == 2).first()["chain_hash"] == found[2].chain_hash
+
+
+def test_a_crash_between_the_two_writes_leaves_one_ledger_row(spark, tmp_path, monkeypatch):
+    at = lambda n: str(tmp_path / n)
+    target = LedgeredSource(spark, R.OBLIGOR, "obligor_monthly", at("source"), at("ledger"))
+    run = lambda: streams.append_loads(spark, at("in"), COLUMNS, target, at("away"), at("check"), "2025-01-01").awaitTermination()
+    commit = LedgeredSource.commit
+    file_of(spark, [GOOD, broken(obligor_id="2")]).coalesce(1).write.mode("append").json(at("in"))
+
+    def before(self, entry):
+        raise RuntimeError("crash before the commit")
+
+    def after(self, entry):
+        commit(self, entry)
+        raise RuntimeError("crash after the commit")
+
+    for crash in (before, after):
+        monkeypatch.setattr(LedgeredSource, "commit", crash)
+        with pytest.raises(StreamingQueryException):
+            run()
+        assert (target.rows() is None or target.rows().count() == 0) == (crash is before)
+    monkeypatch.setattr(LedgeredSource, "commit", commit)
+    run()
+    assert [(r.load_id, r.row_count) for r in target.ledger().collect()] == [(1, 2)] and target.rows().count() == 2
+
+
+def test_a_batch_rewrites_only_the_shards_of_its_keys(spark, tmp_path):
+    rnd = random.Random(2)
+    schema = "interaction_id long, seq long, root_cause string"
+    log = [(rnd.randrange(60), i, rnd.choice("abc")) for i in range(200)]
+    table = streams.KeyedTable(spark, str(tmp_path / "table"), ["interaction_id"], spark.createDataFrame([], schema).schema, shards=16)
+    for version, rows in enumerate((log[:150], log[150:], [(3, 999, "z")])):
+        touched = table.merge(streams.latest_feedback(spark.createDataFrame(rows, schema)), version, streams.latest_feedback)
+        assert table.merge(spark.createDataFrame(rows, schema), version, streams.latest_feedback) == []  # the same batch again
+    assert len(touched) == 1
+    want = {}
+    for i, seq, cause in [*log, (3, 999, "z")]:
+        want[i] = max(want.get(i, (-1, "")), (seq, cause))
+    assert {r.interaction_id: (r.seq, r.root_cause) for r in table.read().collect()} == want
+
+
+def test_digest_trees(spark, monkeypatch):
+    monkeypatch.setattr(digests, "LEAF", 3)
+
+    def plain(lines):
+        counted = Counter(hashlib.sha256(x.encode()).hexdigest() for x in lines)
+        depth = sum(len(counted) > 3 * 16**j for j in range(12))
+        sha = lambda xs: hashlib.sha256(",".join(xs).encode()).hexdigest()
+        nodes = {}
+        for s, c in counted.items():
+            nodes.setdefault(s[:depth], []).append(f"{s}:{c}")
+        nodes = {p: sha(sorted(xs)) for p, xs in nodes.items()}
+        for level in range(depth - 1, -1, -1):
+            up = {}
+            for p in sorted(nodes):
+                up.setdefault(p[:level], []).append(nodes[p])
+            nodes = {p: sha(xs) for p, xs in up.items()}
+        return nodes[""]
+
+    rnd = random.Random(4)
+    sets = {"one": ["x"], "few": ["a", "b", "a"], "hot": ["same"] * 500 + ["other"], None: [f"n{i}" for i in range(40)], "many": [f"line {rnd.randrange(900)}" for _ in range(1500)]}
+    rows = [(k, x) for k, lines in sets.items() for x in lines]
+    rnd.shuffle(rows)
+    got = digests.tree(spark.createDataFrame(rows, "k string, x string").repartition(5), ["k"], F.col("x")).collect()
+    assert {r.k: (r.n, r.digest) for r in got} == {k: (len(lines), plain(lines)) for k, lines in sets.items()}
 
 
 def test_struct_of_a_table():
