@@ -51,19 +51,26 @@ def calibration_summary(bins: DataFrame) -> DataFrame:
     )
 
 
+#: Ranges of the values from 0 to 1 whose sums are carried on.
+RANGES = 1000
+
+
 def select_threshold(rows: DataFrame) -> DataFrame:
     """The threshold with the greatest (least of recall and rejection, rejection, recall, threshold).
 
     `rows`: cosine, relevant. Candidates are 0, 1 and the clamped cosines, to six digits, so at most a million; counts per
-    value, then running sums.
+    value, then running sums within ranges of values, which start from what the ranges before add up to.
     """
     t = C.fixed(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("cosine"))), 6)
     cells = rows.groupBy(t.alias("t")).agg(F.count_if("relevant").alias("pos"), F.count_if(~F.col("relevant")).alias("neg"))
     ends = rows.sparkSession.createDataFrame([(0.0, 0, 0), (1.0, 0, 0)], "t double, pos long, neg long")
     cells = cells.union(ends).groupBy("t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    up = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)  # at most a million values
-    everything = Window.partitionBy()
-    cells = cells.withColumns({"below_pos": F.coalesce(F.sum("pos").over(up), F.lit(0)), "below_neg": F.coalesce(F.sum("neg").over(up), F.lit(0)), "all_pos": F.sum("pos").over(everything), "all_neg": F.sum("neg").over(everything)})
+    cells = cells.withColumn("range", F.floor(F.col("t") * RANGES))
+    sums = cells.groupBy("range").agg(F.sum("pos").alias("range_pos"), F.sum("neg").alias("range_neg"))
+    before, every = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # RANGES + 1 rows
+    carried = sums.select("range", *(F.coalesce(F.sum(f"range_{c}").over(before), F.lit(0)).alias(f"carried_{c}") for c in ("pos", "neg")), *(F.sum(f"range_{c}").over(every).alias(f"all_{c}") for c in ("pos", "neg")))
+    up = Window.partitionBy("range").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)  # at most a million / RANGES values
+    cells = cells.join(F.broadcast(carried), "range").withColumns({f"below_{c}": F.coalesce(F.sum(c).over(up), F.lit(0)) + F.col(f"carried_{c}") for c in ("pos", "neg")})
     recall = F.coalesce(F.try_divide((F.col("all_pos") - F.col("below_pos")).cast("double"), F.col("all_pos")), F.lit(0.0))
     reject = F.coalesce(F.try_divide(F.col("below_neg").cast("double"), F.col("all_neg")), F.lit(0.0))
     best = F.max(F.struct(F.least(recall, reject).alias("balance"), reject.alias("rejection"), recall.alias("recall"), F.col("t").alias("threshold")))

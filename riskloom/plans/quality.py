@@ -10,6 +10,7 @@ from riskloom.functions import columns as C
 from riskloom.operators import factsheet as S
 from riskloom.operators import leaves as V
 from riskloom.operators import quality as Q
+from riskloom.operators import scans as N
 from riskloom.plans.sources import _scratch
 from riskloom.sources.views import Tables
 
@@ -254,17 +255,9 @@ f AS (SELECT run, k, iter AS best_iter, loss AS best, 0 AS misses FROM l WHERE k
 SELECT run, best_iter, floor(best * 100 + 0.5e0)::BIGINT AS best_cents, k = (SELECT max(k) FROM l x WHERE x.run = f.run) AND misses < 5 AS ran_out FROM f QUALIFY row_number() OVER (PARTITION BY run ORDER BY k DESC) = 1
 """)
 def best_checkpoint(t: Tables) -> DataFrame:
-    """An ordered fold over a run's losses: the first iteration that improves by the margin; stops after five misses."""
-    steps = F.array_sort(F.collect_list(F.struct("event_id", "value")))
-    start = F.struct(F.lit(None).cast("long").alias("it"), F.lit(float("inf")).alias("best"), F.lit(0).alias("misses"))
-
-    def step(acc, x):
-        better = x["value"] < acc["best"] - 0.05
-        moved = F.when(better, F.struct(x["event_id"].alias("it"), x["value"].alias("best"), F.lit(0).alias("misses"))).otherwise(F.struct(acc["it"].alias("it"), acc["best"].alias("best"), (acc["misses"] + 1).alias("misses")))
-        return F.when(acc["misses"] < 5, moved).otherwise(acc)
-
-    r = t.events.groupBy(F.col("user_id").alias("run")).agg(F.aggregate(steps, start, step).alias("f"))
-    return r.select("run", F.col("f.it").alias("best_iter"), F.floor(F.col("f.best") * 100 + 0.5).cast("long").alias("best_cents"), (F.col("f.misses") < 5).alias("ran_out"))
+    """The iteration of a run's best loss, by the margin of 0.05; a run is over after five misses."""
+    found = N.best_steps(t.events, "user_id", "event_id", "value", 0.05)
+    return found.select("run", F.col("best_place").alias("best_iter"), F.floor(F.col("best") * 100 + 0.5).cast("long").alias("best_cents"), "ran_out")
 
 
 @query("""
@@ -273,9 +266,9 @@ SELECT answer_id, seq, array_to_string(list_filter([CASE WHEN context_id IS DIST
 """)
 def context_changes(t: Tables) -> DataFrame:
     """What changed in the context since a question's previous answer."""
-    w = Window.partitionBy("question_id").orderBy("answer_id", "seq")
     fields = F.struct("context_id", "status", "recommendation")
-    rows = t.answers.select("answer_id", "seq", fields.alias("b"), F.lag(fields).over(w).alias("a")).filter("a is not null")
+    rows = t.answers.select("question_id", "answer_id", "seq", fields.alias("b"))
+    rows = N.lagged(rows, ["question_id"], ["answer_id", "seq"], F.col("b"), "a").filter("a is not null")
     return rows.select("answer_id", "seq", F.concat_ws(",", Q.changed("context_id", "status", "recommendation")).alias("changed"))
 
 
