@@ -173,23 +173,6 @@ def scored(drafts: DataFrame, facts: DataFrame, sources: DataFrame, failures: Da
     )
 
 
-def assessed(drafts: DataFrame, expected: DataFrame) -> DataFrame:
-    """Keys, check, passed: each expected check against what the draft says. An invalid draft fails all of its checks.
-
-    `drafts`: keys, valid, fields (path -> text), numbers (path -> double); `expected`: keys, kind (field, numeric), path, text,
-    value, abs_tolerance, rel_tolerance, unit. A number's unit is the field beside it, and is checked where one is expected.
-    """
-    rows = expected.join(drafts.select(*KEYS, "valid", "fields", "numbers"), KEYS)
-    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    got = F.try_element_at("fields", F.col("path"))
-    number = F.try_element_at("numbers", F.col("path"))
-    near = F.abs(number - F.col("value")) <= F.greatest("abs_tolerance", F.col("rel_tolerance") * F.greatest(F.abs(number), F.abs("value")))
-    beside = F.concat(F.regexp_replace("path", r"\.[^.]*$", ""), F.lit(".unit"))
-    unit = F.col("unit").isNull() | plain(F.try_element_at("fields", beside)).eqNullSafe(plain(F.col("unit")))
-    passed = F.when(F.col("kind") == "numeric", C.finite(number) & near & unit).otherwise(plain(got).eqNullSafe(plain(F.col("text"))))
-    return rows.select(*KEYS, F.concat_ws(":", "kind", "path").alias("check"), (F.col("valid") & F.coalesce(passed, F.lit(False))).alias("passed"))
-
-
 # How a stage is said, an entity named, and a migration told.
 STAGE = r"(?i)\bstage\b[^0-9;]{0,30}?\b([1-3])\b"
 ENTITY = r"(?i)\b(?:OBL|FAC)[-_ ]?\d+(?:[-_ ]\d+)?\b"

@@ -88,17 +88,77 @@ def profile() -> Column:
     )
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    """A number with so many decimals, thousands separated, rounded by the exact value of the double: 0.35, which lies a little below,
+    gives 0.3; true halves go to the even neighbour. Good up to 1e15."""
+    twice = 2.0 * 10**digits
+    size = F.abs(x)
+    product = size * twice  # with what rounding took from it, by splitting the double in two
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    lost = (high * twice - product) + (size - high) * twice
+    half = (F.floor(product) == product) & (F.floor(product) % 2 == 1)
+    below = F.floor(product / 2.0)
+    up = F.when(half, (lost > 0) | ((lost == 0) & (below % 2 == 1))).otherwise(product / 2.0 - below >= 0.5)
+    units = (below + F.when(up, 1).otherwise(0)).cast("decimal(20,0)")
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.format_number(units * F.lit(f"{10.0**-digits:.{digits}f}").cast(f"decimal(10,{digits})"), digits))
+
+
+def _filled(text: str, *parts: Column) -> Column:
+    """A text with columns in the place of its {}."""
+    first, *rest = text.split("{}")
+    return F.concat(F.lit(first), *(x for part, after in zip(parts, rest, strict=True) for x in (part, F.lit(after))))
+
+
+def picked(name: str, n: int) -> Column:
+    """A choice of n by a hash of the issuer's name, for one kind of sentence: which wording is taken has no meaning."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{name}:"), "name")), 1, 8), 16, 10).cast("long") % n
+
+
+def _phrase(factor: Column, strong: bool) -> Column:
+    plain = lambda x, d: F.replace(_rounded(x, d), F.lit(","), F.lit(""))
+    sector = F.lower("sector")
+    figures = {
+        "leverage": plain(F.col("debt_to_ebitda"), 1), "coverage": plain(F.col("interest_coverage"), 1), "margin": plain(F.col("ebitda_margin") * 100.0, 0), "liquidity": plain(F.col("current_ratio"), 1),
+        "scale": _rounded(F.col("revenue_musd"), 0), "growth": plain(F.col("revenue_growth") * 100.0, 1), "cyclicality": sector,
+    }
+    out = F.lit(None).cast("string")
+    for name, texts in R.DRIVER_PHRASES.items():
+        text = texts[strong]
+        out = F.when(factor == name, _filled(text, figures[name]) if "{}" in text else F.lit(text)).otherwise(out)
+    return out
+
+
+def _sentence(kind: str, names: Column, strong: bool) -> Column:
+    """One sentence about up to two drivers; null if there is none."""
+    phrases = F.array_join(F.transform(names, lambda f: _phrase(f, strong)), " and ")
+    frames = R.FRAMES[kind]
+    text = F.element_at(F.array(*(_filled(f, phrases) for f in frames)), (picked(kind, len(frames)) + 1).cast("int"))
+    return F.when(F.size(names) > 0, F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30)))
+
+
 def rationale() -> Column:
-    """Two to four sentences from the drivers; the opening is chosen by a hash of the name."""
+    """Two to four sentences: what weighs on the rating and what offsets it, or what supports it and what remains, a word on rates
+    where debt is high, and what it comes to. Where several wordings are in use, a hash of the name picks one."""
     d = drivers()
-    openings = F.array(F.lit("The profile is shaped by "), F.lit("Key considerations are "), F.lit("The assessment reflects "))
-    opening = F.element_at(openings, (F.pmod(F.crc32("name"), F.lit(3)) + 1).cast("int"))
-    listed = lambda a: F.array_join(a, " and ")
-    weak = F.when(F.size(d["weak"]) > 0, F.concat(F.lit("Weak "), listed(d["weak"]), F.lit(" limits the rating.")))
-    strong = F.when(F.size(d["strong"]) > 0, F.concat(F.lit("Strong "), listed(d["strong"]), F.lit(" supports it.")))
-    residual = F.when(F.size(d["residual"]) > 0, F.concat(F.lit("Below-average "), listed(d["residual"]), F.lit(" is a further constraint.")))
-    first = F.concat(opening, F.lit("a composite score of "), F.format_string("%.1f", F.col("composite")), F.lit("."))
-    return F.concat_ws(" ", first, weak, strong, residual)
+    weak, strong = F.size(d["weak"]) > 0, F.size(d["strong"]) > 0
+    body = (
+        F.when(weak, F.array(_sentence("negative", d["weak"], False), _sentence("offset", d["strong"], True)))
+        .when(strong, F.array(_sentence("positive", d["strong"], True), _sentence("residual", d["residual"], False)))
+        .otherwise(F.array(_filled(R.BALANCED, F.lower("sector"))))
+    )
+    note = F.lit(None).cast("string")
+    for rates, texts in R.RATE_NOTES.items():
+        chosen = F.element_at(F.array(*map(F.lit, texts)), (picked("rates", len(texts)) + 1).cast("int"))
+        note = F.when((F.col("rate_environment") == rates) & (F.col("debt_to_ebitda") > R.RATE_NOTE_LEVERAGE), chosen).otherwise(note)
+    grade = F.when(investment_grade(F.col("rating")), "investment grade").otherwise("speculative grade")
+    return F.array_join(F.array_compact(F.concat(body, F.array(note, _filled(R.CLOSING, F.col("rating"), grade)))), " ")
+
+
+def dialogues(rated: DataFrame) -> DataFrame:
+    """issuer_id and messages: the prompt, the profile as a question, and the rating with its rationale, as JSON."""
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    answer = F.concat(F.lit("Rating: "), "rating", F.lit("\n\nRationale: "), rationale())
+    return rated.select("issuer_id", F.to_json(F.array(turn("system", F.lit(R.SYSTEM_PROMPT)), turn("user", profile()), turn("assistant", answer))).alias("messages"))
 
 
 def pair_metrics(pairs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.catalog import CATALOG, query
 from riskloom.functions import columns as C
+from riskloom.operators import assessment as A
 from riskloom.operators import drafts as D
 from riskloom.operators import evaluation as E
 from riskloom.operators import factsheet as S
@@ -207,27 +208,62 @@ def score_case(t: Tables) -> DataFrame:
     return D.scored(cases, parts.facts, parts.sources, parts.failures())
 
 
+_TASK = "CASE WHEN answer_id % 6 = 5 THEN 'query_plan' ELSE 'credit_analysis' END"
+_NONE = "CAST(NULL AS DOUBLE) AS value, 0e0 AS abs_tolerance, 0e0 AS rel_tolerance, CAST(NULL AS VARCHAR(8)) AS unit, CAST(NULL AS VARCHAR(8)) AS currency, CAST(NULL AS VARCHAR(10)) AS as_of_date"
+_NO_PATHS = "CAST(NULL AS VARCHAR(40)) AS unit_path, CAST(NULL AS VARCHAR(40)) AS currency_path, CAST(NULL AS VARCHAR(40)) AS as_of_date_path"
+#: What the cases expect of the answers' fields, numbers, confidences and plans.
 _EXPECTED = f"""
-SELECT answer_id, seq, 'field' AS kind, 'answer_status' AS path, 'answered' AS text, CAST(NULL AS DOUBLE) AS value, 0e0 AS abs_tolerance, 0e0 AS rel_tolerance, CAST(NULL AS VARCHAR(8)) AS unit, obligor_id FROM drafts
-UNION ALL SELECT answer_id, seq, 'field', 'summary', 'exposure rose.', NULL, 0e0, 0e0, NULL, obligor_id FROM drafts WHERE answer_id % 3 = 0
-UNION ALL SELECT answer_id, seq, 'numeric', '{_VALUE}.value', NULL, 50e0, 5e0, CASE WHEN answer_id % 2 = 0 THEN 0.4e0 ELSE 0e0 END, CASE answer_id % 3 WHEN 0 THEN ' PCT ' WHEN 1 THEN 'x' END, obligor_id FROM drafts
-UNION ALL SELECT answer_id, seq, 'numeric', 'no.such.path', NULL, 1e0, 1e0, 0e0, NULL, obligor_id FROM drafts WHERE answer_id % 10 = 0
+SELECT answer_id, seq, 'field' AS kind, 'answer_status' AS path, 'answered' AS text_expected, {_NONE}, CAST(NULL AS INT) AS outcome, {_NO_PATHS} FROM drafts
+UNION ALL SELECT answer_id, seq, 'field', 'summary', 'Exposure  rose.', {_NONE}, NULL, {_NO_PATHS} FROM drafts WHERE answer_id % 3 = 0
+UNION ALL SELECT answer_id, seq, 'field', 'risk_drivers', 'LATE filing,the limit stands', {_NONE}, NULL, {_NO_PATHS} FROM drafts WHERE answer_id % 4 = 0
+UNION ALL SELECT answer_id, seq, 'field', 'no.such.path', NULL, {_NONE}, NULL, {_NO_PATHS} FROM drafts WHERE answer_id % 10 = 1
+UNION ALL SELECT answer_id, seq, 'numeric', '{_VALUE}.value', NULL, 50e0, 5e0, CASE WHEN answer_id % 2 = 0 THEN 0.4e0 ELSE 0e0 END, CASE answer_id % 3 WHEN 0 THEN ' PCT ' WHEN 1 THEN 'x' END, CASE WHEN answer_id % 7 = 2 THEN 'sar' END, CASE WHEN answer_id % 5 = 1 THEN '2023-06-30' END, NULL, NULL, NULL, 'sheet.date' FROM drafts
+UNION ALL SELECT answer_id, seq, 'numeric', 'no.such.path', NULL, 1e0, 1e0, 0e0, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM drafts WHERE answer_id % 10 = 0
+UNION ALL SELECT answer_id, seq, 'confidence', CASE WHEN answer_id % 9 = 4 THEN 'summary' ELSE 'confidence' END, NULL, {_NONE}, answer_id % 2, {_NO_PATHS} FROM drafts WHERE answer_id % 3 <> 1
+UNION ALL SELECT answer_id, seq, 'plan', 'plan.portfolio', 'SME', {_NONE}, NULL, {_NO_PATHS} FROM drafts
 """
 
 
 @query(f"""
-WITH sh AS ({P._SHEETS}), e AS ({_EXPECTED})
-SELECT answer_id, seq, kind || ':' || path AS "check", d.valid AND CASE WHEN path = 'answer_status' THEN lower(answer_status) = text WHEN path = 'summary' THEN lower(trim(regexp_replace(summary, ' +', ' ', 'g'))) = text
-  WHEN path = 'no.such.path' THEN false ELSE coalesce(abs(sh.value - 50e0) <= greatest(5e0, rel_tolerance * greatest(abs(sh.value), 50e0)), false) AND (unit IS NULL OR lower(trim(unit)) = 'pct') END AS passed
-FROM e JOIN drafts d USING (answer_id, seq) LEFT JOIN sh ON sh.obligor_id = d.obligor_id
+WITH {_BASE}, e AS ({_EXPECTED}), d AS (SELECT *, {_TASK} AS task, {_LIST.format('drivers')} AS has, CASE WHEN answer_id % 3 = 2 THEN 'sme' ELSE 'retail' END AS portfolio FROM drafts),
+n AS (SELECT d.answer_id, d.seq, e.path, d.valid AND e.path <> 'no.such.path' AND coalesce(abs(sh.value - e.value) <= greatest(abs_tolerance, rel_tolerance * greatest(abs(sh.value), e.value)), false) AND (unit IS NULL OR lower(trim(unit)) = 'pct')
+    AND (currency IS NULL OR (answer_id % 2 = 0 AND sh.value IS NOT NULL)) AND (as_of_date IS NULL OR answer_id % 4 <> 3) AS ok FROM e JOIN d USING (answer_id, seq) LEFT JOIN sh ON sh.obligor_id = d.obligor_id WHERE kind = 'numeric'),
+fi AS (SELECT answer_id, seq, path, valid AND CASE path WHEN 'answer_status' THEN lower(answer_status) = 'answered' WHEN 'summary' THEN lower(trim(regexp_replace(summary, ' +', ' ', 'g'))) = 'exposure rose.' WHEN 'risk_drivers' THEN list_sort(list_transform(has, lambda x: lower(x))) = ['late filing', 'the limit stands'] ELSE true END AS ok
+  FROM e JOIN d USING (answer_id, seq) WHERE kind = 'field'),
+co AS (SELECT answer_id, seq, avg(CASE WHEN e.path = 'confidence' THEN pow((answer_id % 10) / 10e0 - e.outcome, 2) ELSE 1e0 END) AS v FROM e JOIN d USING (answer_id, seq) WHERE kind = 'confidence' AND valid AND task = 'credit_analysis' GROUP BY ALL),
+rs AS (SELECT answer_id, seq, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM s WHERE s.answer_id = rf.answer_id AND s.seq = rf.seq AND s.evidence_id = rf.evidence_id)) AS known, list(DISTINCT evidence_id) AS refs FROM rf GROUP BY ALL),
+c AS (SELECT d.*, coalesce(n, 0) AS n, known, coalesce(refs, []) AS refs, fs.failures IS NULL AS passed, list_distinct({_LIST.format('required_evidence')}) AS need, {_WORDS.format(_LIST.format('required_drivers'))} AS want, {_WORDS.format('has')} AS have, answer_status = 'INSUFFICIENT_EVIDENCE' AS abstains
+  FROM d LEFT JOIN rs USING (answer_id, seq) LEFT JOIN fs USING (answer_id, seq)),
+m AS (SELECT answer_id, seq, 'field:' || path AS metric, ok::DOUBLE AS v FROM fi UNION ALL SELECT answer_id, seq, 'numerical_agreement', avg(ok::INT::DOUBLE) FROM n GROUP BY ALL UNION ALL SELECT answer_id, seq, 'confidence_brier_score', v FROM co
+  UNION ALL SELECT answer_id, seq, 'plan:plan.portfolio', (valid AND portfolio = 'sme')::DOUBLE FROM d WHERE task <> 'credit_analysis' UNION ALL SELECT answer_id, seq, 'json_validity', valid::DOUBLE FROM d UNION ALL SELECT answer_id, seq, 'plan_validity', valid::DOUBLE FROM d WHERE task <> 'credit_analysis'
+  UNION ALL SELECT answer_id, seq, 'compilation_success', 0e0 FROM d WHERE task <> 'credit_analysis' AND NOT valid UNION ALL SELECT answer_id, seq, 'extractive_support_heuristic', (valid AND passed)::DOUBLE FROM c WHERE task = 'credit_analysis'
+  UNION ALL SELECT answer_id, seq, 'citation_resolution', known::DOUBLE / n FROM c WHERE task = 'credit_analysis' AND valid AND n > 0 UNION ALL SELECT answer_id, seq, 'citation_recall', CASE WHEN valid THEN len(list_intersect(refs, need))::DOUBLE / len(need) ELSE 0e0 END FROM c WHERE task = 'credit_analysis' AND len(need) > 0
+  UNION ALL SELECT answer_id, seq, 'driver_recall', CASE WHEN NOT valid THEN 0e0 WHEN len(want) > 0 THEN len(list_intersect(have, want))::DOUBLE / len(want) ELSE (len(have) = 0)::DOUBLE END FROM c WHERE task = 'credit_analysis' AND answer_id % 7 <> 1
+  UNION ALL SELECT answer_id, seq, 'driver_precision', CASE WHEN NOT valid THEN 0e0 WHEN len(have) > 0 THEN len(list_intersect(have, want))::DOUBLE / len(have) ELSE (len(want) = 0)::DOUBLE END FROM c WHERE task = 'credit_analysis' AND answer_id % 7 <> 1
+  UNION ALL SELECT answer_id, seq, 'abstention_recall', (valid AND abstains)::DOUBLE FROM c WHERE task = 'credit_analysis' AND must_abstain UNION ALL SELECT answer_id, seq, 'abstention_precision', must_abstain::DOUBLE FROM c WHERE task = 'credit_analysis' AND valid AND abstains)
+SELECT answer_id, seq, metric, floor(v * 1e6 + 0.5e0) / 1e6 AS value FROM m
 """)
 def assess_case(t: Tables) -> DataFrame:
-    """Expected checks as rows: fields in normal form, numbers within absolute and relative tolerance with their unit."""
-    pair = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
-    fields = F.map_from_entries(F.array(pair("answer_status", F.col("answer_status")), pair("summary", F.col("summary")), pair(f"{_VALUE}.unit", F.col("metric_unit"))))
-    numbers = F.map_from_entries(F.array(pair(f"{_VALUE}.value", F.col("value"))))
-    drafts = t.drafts.join(_sheets(t), "obligor_id", "left").withColumns({"fields": fields, "numbers": numbers})
-    return D.assessed(drafts, t.sql(_EXPECTED, "drafts"))
+    """Every metric of every answer against its case; an answer is a JSON document, and one that isn't valid scores nothing."""
+    parts = _Parts.of(t)
+    odd = F.col("answer_id") % 2 == 0
+    shown = F.struct("value", F.lit("pct").alias("unit"), F.when(odd & F.col("value").isNotNull(), "SAR").alias("currency"))
+    document = F.struct(
+        "answer_status", "summary", D.listed(F.col("drivers")).alias("risk_drivers"), (F.col("answer_id") % 10 / 10.0).alias("confidence"),
+        F.struct(shown.alias("utilisation_pct")).alias("calculated_metrics"), F.struct(F.when(F.col("answer_id") % 4 != 3, "2023-06-30").otherwise("2022-12-31").alias("date")).alias("sheet"),
+        F.struct(F.when(F.col("answer_id") % 3 == 2, "sme").otherwise("Retail").alias("portfolio")).alias("plan"),
+    )
+    drafts = parts.drafts.join(parts.sheets.select("obligor_id", "value"), "obligor_id", "left").withColumn("task", F.expr(_TASK))
+    answers = drafts.select(*D.KEYS, "task", F.when(F.col("valid"), F.to_variant_object(document)).alias("document"))
+    known = parts.sources.groupBy(*D.KEYS).agg(F.collect_set("evidence_id").alias("known"))
+    cites = parts.facts.groupBy(*D.KEYS).agg(F.flatten(F.collect_list("cites")).alias("cites"))
+    failed = parts.failures().select(*D.KEYS).distinct().withColumn("failed", F.lit(True))
+    none = F.array().cast("array<string>")
+    cases = drafts.join(known, D.KEYS, "left").join(cites, D.KEYS, "left").join(failed, D.KEYS, "left").select(
+        *D.KEYS, F.col("failed").isNull().alias("passed"), F.concat(F.coalesce("cites", none), "structured").alias("refs"), F.coalesce("known", none).alias("known"), D.listed(F.col("required_evidence")).alias("required_evidence"),
+        F.when(F.col("answer_id") % 7 != 1, D.listed(F.col("required_drivers"))).alias("risk_drivers"), D.listed(F.col("drivers")).alias("drivers"), "must_abstain", (F.col("answer_status") == "INSUFFICIENT_EVIDENCE").alias("abstains"),
+    )
+    return A.assessed(answers, t.sql(_EXPECTED, "drafts"), cases).withColumn("value", C.fixed(F.col("value"), 6))
 
 
 @query()

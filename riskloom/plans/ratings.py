@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import registry as R
-from riskloom.catalog import query
+from riskloom.catalog import CATALOG, query
 from riskloom.functions import columns as C
 from riskloom.operators import scorecard as S
 from riskloom.sources.views import Tables
@@ -104,17 +104,53 @@ def top_drivers(t: Tables) -> DataFrame:
     return d.select("issuer_id", *(F.concat_ws(",", f"d.{c}").alias(c) for c in ("weak", "strong", "residual")))
 
 
-@query()
+def _sql_text(text: str, *parts: str) -> str:
+    first, *rest = (f"'{x}'" for x in text.replace("'", "''").split("{}"))
+    return " || ".join([first, *(x for pair in zip(parts, rest, strict=True) for x in pair)])
+
+
+_FIGURES = {
+    "leverage": "printf('%.1f', debt_to_ebitda)", "coverage": "printf('%.1f', interest_coverage)", "margin": "printf('%.0f', ebitda_margin * 100e0)", "liquidity": "printf('%.1f', current_ratio)",
+    "scale": "format('{:,}', CAST(printf('%.0f', revenue_musd) AS BIGINT))", "growth": "printf('%.1f', revenue_growth * 100e0)", "cyclicality": "lower(sector)", "position": None,
+}
+_SAID = {strong: "CASE x.name " + " ".join(f"WHEN '{n}' THEN {_sql_text(t[strong], *([_FIGURES[n]] if _FIGURES[n] else []))}" for n, t in R.DRIVER_PHRASES.items()) + " END" for strong in (False, True)}
+_PICK = "CAST(concat('0x', substr(md5('{0}:' || i.name), 1, 8)) AS BIGINT) % {1}"
+
+
+def _sql_frame(kind: str, column: str) -> str:
+    frames = R.FRAMES[kind]
+    text = f"CASE {_PICK.format(kind, len(frames))} " + " ".join(f"WHEN {k} THEN {_sql_text(f, column)}" for k, f in enumerate(frames)) + " END"
+    return f"CASE WHEN {column} IS NOT NULL THEN upper(substr({text}, 1, 1)) || substr({text}, 2) END"
+
+
+_NOTE = "CASE WHEN debt_to_ebitda > 3 THEN CASE rate_environment " + " ".join(f"WHEN '{r}' THEN CASE {_PICK.format('rates', len(t))} " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(t)) + " END" for r, t in R.RATE_NOTES.items()) + " END END"
+_RATIONALE = f"""
+x AS ({_LONG}), l AS (SELECT x.*, i.* EXCLUDE (issuer_id, name) FROM x JOIN issuers i USING (issuer_id)),
+wk AS (SELECT issuer_id, string_agg(said, ' and ' ORDER BY n) AS said FROM (SELECT issuer_id, {_SAID[False]} AS said, row_number() OVER (PARTITION BY issuer_id ORDER BY k, name) AS n FROM l x WHERE score < 45) WHERE n <= 2 GROUP BY 1),
+sg AS (SELECT issuer_id, string_agg(said, ' and ' ORDER BY n) AS said FROM (SELECT issuer_id, {_SAID[True]} AS said, row_number() OVER (PARTITION BY issuer_id ORDER BY k, name) AS n FROM l x WHERE score > 62) WHERE n <= 2 GROUP BY 1),
+re AS (SELECT issuer_id, said FROM (SELECT issuer_id, {_SAID[False]} AS said, row_number() OVER (PARTITION BY issuer_id ORDER BY k, name) AS n FROM l x WHERE score < 50) WHERE n = 1),
+ra AS (SELECT i.issuer_id, rating, concat_ws(' ', CASE WHEN wk.said IS NOT NULL THEN {_sql_frame('negative', 'wk.said')} WHEN sg.said IS NOT NULL THEN {_sql_frame('positive', 'sg.said')} ELSE {_sql_text(R.BALANCED, 'lower(sector)')} END,
+  CASE WHEN wk.said IS NOT NULL THEN {_sql_frame('offset', 'sg.said')} WHEN sg.said IS NOT NULL THEN {_sql_frame('residual', 're.said')} END, {_NOTE},
+  {_sql_text(R.CLOSING, 'rating', "CASE WHEN rating IN ('AAA', 'AA', 'A', 'BBB') THEN 'investment grade' ELSE 'speculative grade' END")}) AS rationale
+  FROM issuers i JOIN (SELECT issuer_id, rating FROM ({CATALOG['scorecard_rating'].sql}) sr) q USING (issuer_id) LEFT JOIN wk USING (issuer_id) LEFT JOIN sg USING (issuer_id) LEFT JOIN re USING (issuer_id))
+"""
+
+
+@query(f"WITH {_RATIONALE} SELECT issuer_id, rating, rationale FROM ra")
 def compose_rationale(t: Tables) -> DataFrame:
     return S.rated(t.issuers).select("issuer_id", "rating", S.rationale().alias("rationale"))
 
 
-@query()
+@query(f"""
+WITH {_RATIONALE}, pf AS ({CATALOG['render_profile'].sql})
+SELECT issuer_id, sha256({_sql_text(R.SYSTEM_PROMPT)}) AS system_sha, sha256(profile) AS user_sha, sha256('Rating: ' || rating || chr(10) || chr(10) || 'Rationale: ' || rationale) AS assistant_sha FROM ra JOIN pf USING (issuer_id)
+""")
 def chat_messages(t: Tables) -> DataFrame:
-    rows = S.rated(t.issuers)
-    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    answer = F.concat(F.lit("Rating: "), "rating", F.lit("\n\nRationale: "), S.rationale())
-    return rows.select("issuer_id", F.to_json(F.array(turn("system", F.lit("You are a credit analyst.")), turn("user", S.profile()), turn("assistant", answer))).alias("messages"))
+    """Training dialogues of three turns, as digests of what each turn says."""
+    rows = S.dialogues(S.rated(t.issuers))
+    said = F.from_json("messages", "array<struct<role:string,content:string>>")
+    digest = lambda role: F.sha2(F.element_at(F.filter("m", lambda x: x["role"] == role), 1)["content"], 256).alias(f"{role}_sha")
+    return rows.select("issuer_id", said.alias("m")).select("issuer_id", *map(digest, ("system", "user", "assistant")))
 
 
 _PAIRS_SQL = "SELECT truth_idx, pred_idx, abs(truth_idx - pred_idx) AS d FROM rating_pairs"

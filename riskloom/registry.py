@@ -133,3 +133,29 @@ class Plan:
     group_by: tuple[str, ...] = ()
     aggregations: tuple[tuple[str, str], ...] = field(default=())
     watermark: int | None = None
+
+# The wording of rationales. {} stands for a figure, the sector or the drivers; a phrase is (weak, strong).
+SYSTEM_PROMPT = "You are a corporate credit rating analyst. Given an issuer's financial and business profile, respond with a rating on the scale AAA, AA, A, BBB, BB, B, CCC followed by a brief rationale."
+DRIVER_PHRASES = {
+    "leverage": ("elevated leverage of {}x debt/EBITDA", "conservative leverage of {}x debt/EBITDA"),
+    "coverage": ("thin interest coverage of {}x", "comfortable interest coverage of {}x"),
+    "margin": ("a compressed EBITDA margin of {}%", "a healthy EBITDA margin of {}%"),
+    "liquidity": ("tight liquidity at a {} current ratio", "solid liquidity at a {} current ratio"),
+    "scale": ("limited scale at ${}M of revenue", "substantial scale at ${}M of revenue"),
+    "growth": ("weak top-line momentum of {}%", "solid top-line growth of {}%"),
+    "cyclicality": ("high cyclicality in the {} sector", "the stability of {} sector cash flows"),
+    "position": ("a weak competitive position", "a strong competitive position"),
+}
+FRAMES = {
+    "negative": ("{} constrain the credit profile.", "The rating is held back by {}.", "{} are the primary constraints on the rating.", "Credit quality is limited by {}."),
+    "positive": ("{} support the rating.", "The profile benefits from {}.", "{} underpin credit quality.", "Supporting the rating are {}."),
+    "offset": ("{} provide partial offset.", "This is partly offset by {}.", "Offsetting factors include {}.", "{} temper these concerns."),
+    "residual": ("Against this, {} remain a constraint.", "{} weigh against the profile.", "Balancing that, {} limit further upside."),
+}
+RATE_NOTES = {
+    "Rising": ("A rising rate environment adds refinancing pressure given the debt load.", "Rising rates raise the cost of servicing this capital structure."),
+    "Falling": ("A falling rate environment eases refinancing risk.", "Declining rates modestly improve the funding outlook."),
+}
+RATE_NOTE_LEVERAGE = 3.0
+BALANCED = "The profile is broadly balanced, with no factor materially away from the {} sector norm."
+CLOSING = "On balance this supports a {} rating, in {} territory."
