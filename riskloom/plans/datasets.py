@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom import registry as R
 from riskloom.catalog import query
 from riskloom.functions import columns as C
 from riskloom.operators import datasets as D
