@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,6 +50,13 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of tables that nothing refers to any more. Spark deletes them when the driver's garbage is
+    collected, which on a driver with little to do comes late."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Delete the tables that are materialised inside, but for those handed to the function that it gives. What is kept must
