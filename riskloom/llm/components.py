@@ -22,7 +22,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, root: the least node that is reachable, for every node with a link. `links`: a and b, of one type that
-    has an order. Links between equal nodes say nothing; without links there are no rows."""
+    has an order. Links between equal nodes say nothing, nor do links with a null; without links there are no rows."""
     state, now = None, links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     with temporary(links.sparkSession) as keep:
         now = materialise(now, "links")

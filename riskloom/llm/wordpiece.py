@@ -8,8 +8,8 @@ side by side, longest last.
 Words are [^\\x20\\x09-\\x0D]+; each starts with the vocabulary's mark for a word start. Every single byte is a piece of
 its own where no longer piece fits, so each word has a count.
 
-Defined cases: a null, empty or blank text has no words and 0 tokens; repeated rows are counted each; an empty table
-gives no rows; other columns are ignored by the query and kept by `count_tokens`, but for n_words and n_tokens, which
+Defined cases: a null, empty or blank text has no words and 0 tokens; repeated rows are counted each; ties can't arise, since at
+one place only one piece is longest; a very long text is counted whole, a run of texts of its own; an empty table gives no rows; other columns are ignored by the query and kept by `count_tokens`, but for n_words and n_tokens, which
 are replaced; a vocabulary with an empty piece is refused.
 """
 

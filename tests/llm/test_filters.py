@@ -116,7 +116,7 @@ def test_token_counts(spark):
             n += 1
         return n
 
-    texts = [None, "", " \n", "the and of", "Überraschung naïve 日本語 😀😀", "▁▁a ▁", "x" * 3000, "same same", "same same", "in\x0bternational\tization"]
+    texts = [None, "", " \n", "the and of", "the internationalisation of " * 30_000, "Überraschung naïve 日本語 😀😀", "▁▁a ▁", "x" * 3000, "same same", "same same", "in\x0bternational\tization"]
     rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
     got = {r.doc_id: (r.n_words, r.n_tokens) for r in wordpiece.count_tokens(rows, pieces).collect()}
     words = {i: [w for w in re.split(rb"[\x20\x09-\x0D]+", (t or "").encode()) if w] for i, t in enumerate(texts)}

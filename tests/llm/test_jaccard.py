@@ -88,3 +88,12 @@ def test_sizes_and_overlaps():
         for n in range(m, 60):
             o = jaccard.overlap_needed(m, n)
             assert 100 * o >= 85 * (m + n - o) and not 100 * (o - 1) >= 85 * (m + n - o + 1)
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(8)
+    long = [f"w{rnd.randrange(5000)}" for _ in range(60_000)]
+    near = [w if k % 400 else "other" for k, w in enumerate(long)]
+    rows = [(5, " ".join(long)), (3, " ".join(near)), (9, " ".join(long[:30_000])), (7, "w1 w2 w3 w4")]
+    got = sorted(tuple(r)[:3] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == brute(rows) and dict((i, c) for i, _, c in got)[5] == 3
