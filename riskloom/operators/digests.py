@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.sources.shared import written
+
 #: Distinct lines of one leaf, about, and children of one node.
 LEAF, FANOUT = 256, 16
 _DEEPEST = 12
@@ -19,7 +21,7 @@ def tree(rows: DataFrame, by: list[str], line: Column) -> DataFrame:
     hash of the lines whose hashes begin alike, a node that of its up to 16 children. Shape and digest follow from the lines
     alone, and no node gathers more than a leaf's lines or 16 hashes, whatever a key holds.
     """
-    found = rows.select(*by, F.sha2(line, 256).alias("s")).groupBy(*by, "s").agg(F.count(F.lit(1)).alias("c"))
+    found = written(rows.select(*by, F.sha2(line, 256).alias("s")).groupBy(*by, "s").agg(F.count(F.lit(1)).alias("c")), "lines")
     sizes = found.groupBy(*by).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("lines"))
     depth = reduce(lambda a, b: a + b, [(F.col("lines") > LEAF * FANOUT**j).cast("int") for j in range(_DEEPEST)])
     sizes = sizes.select(*(F.col(c).alias(f"_{c}") for c in by), "n", depth.alias("depth"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.sources.shared import written
+
 # Sizes of chunks and of headers, in characters or shares, and what a heading looks like.
 TARGET, MAXIMUM, MINIMUM = 2800, 4000, 120
 REPEAT_SHARE, LEAST_PAGES, LINE_CHARS = 0.6, 3, 120
@@ -186,7 +188,7 @@ def packed(rows: DataFrame, target: int = TARGET) -> DataFrame:
 def chunk_corpus(docs: DataFrame) -> DataFrame:
     """Chunks of every document: doc_id, chunk (running number), section_id, section_key, path, chunk_index (in its section),
     offset, text, content_hash. A small part of a section without an id joins the chunk before it. `docs`: doc_id, text."""
-    found = paragraphs(docs)
+    found = written(paragraphs(docs), "paragraphs")
     keys = occurrence(found.groupBy("doc_id", "section").agg(F.first("section_id").alias("section_id"), F.first("path").alias("path")))
     parts = packed(units(found)).join(keys, ["doc_id", "section"])
     order = Window.partitionBy("doc_id").orderBy("section", "part")

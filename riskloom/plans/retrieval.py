@@ -102,7 +102,7 @@ def _dense(t: Tables, k: int) -> DataFrame:
     """Questions (ids divisible by 20) against all vectors of documents that their context sees."""
     asked = t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), N.column_of("embedding").alias("v"), (_turn(3) + 1).alias("group"))
     rows = t.embeddings.join(_seen(t).select(F.col("doc_id").alias("vec_id"), F.col("context_id").alias("group")), "vec_id").select(F.col("vec_id").alias("id"), N.column_of("embedding").alias("v"), "group")
-    return N.nearest(rows, asked, k, 4, _DIMENSIONS, own=True).withColumnRenamed("id", "vec_id")
+    return N.nearest(written(rows, "visible-vectors"), asked, k, 4, _DIMENSIONS, own=True).withColumnRenamed("id", "vec_id")
 
 
 @query(f"SELECT question_id, vec_id, score, rank::INTEGER AS rank FROM ({_DENSE.format(10)}) d")
