@@ -6,10 +6,12 @@ over the whole text goes to a logistic unit. A threshold is then set for each la
 haven't seen the row, where the errors are fewest, and the response is scaled so that the threshold lies at the same
 score everywhere. The language is taken from the text, by naive Bayes over the same hashed words.
 
-Training uses a bounded sample of the labelled rows: about `SAMPLE` of each label, by a hash of doc_id (by one of the
-text too where doc_ids repeat), and of these, in hash order, those until `SAMPLE_WORDS` words are reached; each is learned from
-whole. The sample is written once; each model is trained in a task of its own, and only models and responses come to the
-driver. Scores cover every whole text.
+Training uses every labelled row, each whole. Rows are dealt by a hash to shards of about `SHARD_ROWS` rows or `SHARD_WORDS`
+words; in each round every shard goes on from the same weights, and the changes of each row of weights are averaged over the
+shards that changed it. Shards, not tasks, decide what is learned: a layout changes scores by rounding only. The shards are
+kept on the executors' disks between the rounds. Word counts, languages and thresholds cover all labelled rows: thresholds
+come from sums over ranges of the sorted responses. Only tables of fixed size, or of one column for each language, come to the
+driver. Scores cover every whole text. A bounded sample is learned from only where a caller of `fit` asks for one.
 
 Defined cases: a null, empty or wordless text gets the score of a document without words; a label other than 0 or 1, or
 a null one, is not learned from; a doc_id with several labels is learned from with each; rows that repeat doc_id, text and
@@ -21,28 +23,34 @@ replaced.
 
 from __future__ import annotations
 
-import io
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import materialise, mix64, small_batches, steps, temporary, trimmed
+from riskloom.llm.common import materialise, mix64, release, small_batches, steps, temporary, trimmed
 
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
-SAMPLE, SAMPLE_WORDS = 4000, 8_000_000
 WORD_ROWS, HEAD_ROWS, HEAD_BYTES = 1 << 16, 1 << 14, 4
 DIM, WIDTHS, FILTERS = 8, (1, 2, 3), 8
 EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 4, 300, 64, 0.02, 3
 #: Training documents that must have a word (or its first bytes) for its row to be learned, and the share of words that a
 #: step sees of a document.
 LEAST_DOCS, KEEP = 3, 0.5
-#: Parts of the sample: each part's responses come from a model that was trained on the others, and set the thresholds.
+#: Parts of the rows: each part's responses come from a model that was trained on the others, and set the thresholds.
 PARTS = 3
 STEP_BYTES = 1 << 20
+#: A shard without a part has rows enough for LEAST_STEPS steps in EPOCHS epochs, unless its texts are long.
+SHARD_ROWS, SHARD_WORDS = LEAST_STEPS * BATCH // EPOCHS * PARTS // (PARTS - 1), 8 << 20
+#: Words of a step beyond which it takes no further document; rows of weights, and responses, that are added up at a time.
+STEP_WORDS, SLICE_ROWS, RANGE_ROWS = 1 << 20, 8192, 250_000
+#: Labelled ids up to which they are broadcast; beyond, documents and labels are joined by key.
+BROADCAST_IDS = 1_000_000
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -146,40 +154,71 @@ def _blank(languages: int) -> Model:
     return Model(some(WORD_ROWS, DIM), some(HEAD_ROWS, DIM), filters, np.zeros(n, np.float32), some(n) * 2, 0.0, np.zeros((WORD_ROWS, languages), np.float32), np.zeros(languages))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
-    """Stochastic gradient descent (Adagrad); the pool passes a gradient only to the words where it found its maximum."""
-    model = _blank(1)
-    rng = np.random.default_rng(SEED)
-    total: dict[str, np.ndarray] = {}
-    frozen: dict[str, np.ndarray] = {}
+def _dense(flat: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Filters, bias, unit and offset, as views of one array."""
+    sizes = [*(width * DIM * FILTERS for width in WIDTHS), len(WIDTHS) * FILTERS, len(WIDTHS) * FILTERS, 1]
+    *filters, bias, unit, offset = np.split(flat.reshape(-1), np.cumsum(sizes)[:-1])
+    return [f.reshape(width, DIM, FILTERS) for f, width in zip(filters, WIDTHS, strict=True)], bias, unit, offset
+
+
+def _tables() -> list[np.ndarray]:
+    """The weights before training: words, first bytes, and all others as one column."""
+    blank = _blank(1)
+    others = [*(f.ravel() for f in blank.filters), blank.bias, blank.unit, np.zeros(1, np.float32)]
+    return [blank.word, blank.head, np.concatenate(others)[:, None]]
+
+
+def _model(tables: list[np.ndarray]) -> Model:
+    """A model of views of the tables, as yet without languages and thresholds."""
+    filters, bias, unit, offset = _dense(tables[2])
+    return Model(tables[0], tables[1], filters, bias, unit, float(offset[0]), np.zeros((WORD_ROWS, 1), np.float32), np.zeros(1))
+
 
-    def step(name: str, array: np.ndarray, grad: np.ndarray, at=slice(None)) -> None:
-        seen = total.setdefault(name, np.full(array.shape, 1e-4, np.float32))
+@dataclass
+class State:
+    """Where a model in training stands: its tables and Adagrad's sums, the rows that aren't learned, the labels' weights, and
+    the epochs of the whole training."""
+
+    tables: list[np.ndarray]
+    seen: list[np.ndarray]
+    frozen: list[np.ndarray]
+    weights: np.ndarray
+    epochs: int
+
+
+def learn(state: State, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int, seed: list[int]) -> list[np.ndarray]:
+    """Stochastic gradient descent (Adagrad) from `state`, in place; the pool passes a gradient only to the words where it found
+    its maximum. Gives the rows of each table that were changed."""
+    model, (seen_filters, seen_bias, seen_unit, seen_offset) = _model(state.tables), _dense(state.seen[2])
+    offset = _dense(state.tables[2])[3]
+    rng = np.random.default_rng(seed)
+    touched_rows = [np.zeros(len(t), bool) for t in state.tables]
+    touched_rows[2][:] = True
+
+    def step(array: np.ndarray, seen: np.ndarray, grad: np.ndarray, at=slice(None)) -> None:
         seen[at] += grad**2
         array[at] -= RATE * grad / np.sqrt(seen[at])
 
-    # rows of words that few documents have stay zero: they can't mark single documents, and unseen words say nothing
-    for name, array, k in (("word", model.word, 0), ("head", model.head, 1)):
-        held = sum((np.bincount(np.unique(r[k]), minlength=len(array)) for r in rows), np.zeros(len(array), np.int64))
-        array[held < LEAST_DOCS] = 0
-        frozen[name] = held < LEAST_DOCS
     labels = np.array([r[2] for r in rows], np.float32)
-    weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6)).astype(np.float32)
-    offset = np.zeros(1, np.float32)
-    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(rows)))):
+    weight = state.weights[labels.astype(np.int64)]
+    sizes = np.array([len(r[0]) for r in rows])
+    for _ in range(epochs):
         order = rng.permutation(len(rows))
-        for i in range(0, len(rows), BATCH):
+        i = 0
+        while i < len(rows):
             part = order[i : i + BATCH]
-            seen_words = [rng.random(len(rows[j][0])) < KEEP for j in part]
+            part = part[: max(1, int(np.searchsorted(np.cumsum(sizes[part]), STEP_WORDS, "right")))]
+            i += len(part)
+            seen_words = [rng.random(sizes[j]) < KEEP for j in part]
             w, h = (np.concatenate([rows[j][k][m] for j, m in zip(part, seen_words, strict=True)]) for k in (0, 1))
             places = np.concatenate([[0], np.cumsum([int(m.sum()) for m in seen_words])])
             best, where = model.pooled(w, h, places, trace=True)
             p = 1 / (1 + np.exp(-np.clip(best @ model.unit + offset, -30, 30)))
             d = ((p - labels[part]) * weight[part] / len(part)).astype(np.float32)
             back = d[:, None] * model.unit[None, :] * (best > 0)
-            step("unit", model.unit, best.T @ d)
-            step("offset", offset, np.array([d.sum()], np.float32))
-            step("bias", model.bias, back.sum(0))
+            step(model.unit, seen_unit, best.T @ d)
+            step(offset, seen_offset, np.array([d.sum()], np.float32))
+            step(model.bias, seen_bias, back.sum(0))
             touched, grads = [], []
             for f, width in enumerate(WIDTHS):
                 columns = slice(f * FILTERS, (f + 1) * FILTERS)
@@ -191,120 +230,305 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
                     np.add.at(grad, c, g[:, None] * x)
                     touched.append(at + k)
                     grads.append(g[:, None] * model.filters[f][k][:, c].T)
-                    step(f"filter{width}{k}", model.filters[f][k], grad.T)
+                    step(model.filters[f][k], seen_filters[f][k], grad.T)
             at, g = np.concatenate(touched), np.concatenate(grads)
-            for name, array, ids in (("word", model.word, w), ("head", model.head, h)):
-                live = ~frozen[name][ids[at]]
+            for t, ids in enumerate((w, h)):
+                live = ~state.frozen[t][ids[at]]
                 rows_hit, inverse = np.unique(ids[at][live], return_inverse=True)
                 summed = np.zeros((len(rows_hit), DIM), np.float32)
                 np.add.at(summed, inverse, g[live])
-                step(name, array, summed, rows_hit)
-    model.offset = float(offset[0])
-    return model
+                step(state.tables[t], state.seen[t], summed, rows_hit)
+                touched_rows[t][rows_hit] = True
+    return [np.flatnonzero(t) for t in touched_rows]
+
 
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """All columns of `docs`, and toxic, of each pair of a document outside the held-out fold and its label."""
+    rest = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT, F.lit(False))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = known.filter(rest & F.col("toxic").isin(0, 1)).distinct()
+    return docs.filter(rest).join(F.broadcast(known) if known.count() <= BROADCAST_IDS else known, "doc_id")
 
-def best_threshold(response: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the gap with the fewest errors; above everything if marking nothing errs least."""
-    order = np.argsort(-response, kind="stable")
-    r, gain = response[order], np.cumsum(2 * labels[order] - 1)
-    if not len(r) or gain.max() <= 0:
-        return float(r[0]) + 1 if len(r) else 0.0
-    i = int(gain.argmax())
-    return float(r[i] + r[i + 1]) / 2 if i + 1 < len(r) else float(r[i]) - 1
+
+def _hashed(texts: DataFrame, kind: type) -> DataFrame:
+    """doc_id, lang, toxic, w and h (rows of embeddings, as integers of a `kind`) and place (a hash) of each row of `texts`."""
+
+    @trimmed
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w_all, h_all = [], []
+            for _, _, data, offsets in steps(batch["text"], STEP_BYTES):
+                w, h, places = hashed_words(data, offsets)
+                w, h = w.astype(kind), h.astype(kind)
+                for a, z in zip(places[:-1], places[1:], strict=True):
+                    w_all.append(w[a:z].tobytes())
+                    h_all.append(h[a:z].tobytes())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], batch["toxic"], pa.array(w_all, pa.binary()), pa.array(h_all, pa.binary())], names=["doc_id", "lang", "toxic", "w", "h"])
+
+    found = texts.select("doc_id", "lang", "toxic", "text").mapInArrow(words, "doc_id long, lang string, toxic int, w binary, h binary")
+    return found.withColumn("place", F.xxhash64("doc_id", "lang", "toxic", "w", "h"))
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame | None:
-    """doc_id, lang, toxic, w and h (rows of embeddings), place (a hash): the rows to learn from, written once."""
-    rest = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT, F.lit(False))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(rest & F.col("toxic").isin(0, 1)).distinct()
-    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """For trials: rows as of `_hashed`, about `sample` of each label by a hash of doc_id (and of the text too where doc_ids
+    repeat), written once."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    pairs = _labelled(docs.select("doc_id").distinct(), labels)
+    counts = {r["toxic"]: r["count"] for r in pairs.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return None
     place = lambda *columns: F.pmod(F.xxhash64(F.lit("sample"), *columns), F.lit(1_000_000)) / 1_000_000
     below = lambda where, n: where < F.when(F.col("toxic") == 1, sample / n.get(1, 1)).otherwise(sample / n.get(0, 1))
-    chosen = F.broadcast(known.filter(below(place("doc_id"), counts)))  # distinct pairs: about 2 x sample
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    chosen = F.broadcast(pairs.filter(below(place("doc_id"), counts)))  # distinct pairs: about 2 x sample
     found = {r["toxic"]: r["count"] for r in docs.select("doc_id").join(chosen, "doc_id").groupBy("toxic").count().collect()}
     texts = docs.join(chosen, "doc_id")
     if max(found.values(), default=0) > 2 * sample:  # doc_ids repeat
         texts = texts.filter(below(place("doc_id", "text"), found))
+    rows = _hashed(texts, np.int32)
+    return materialise(rows.groupBy("place").agg(*(F.first(c).alias(c) for c in rows.columns if c != "place")), "toxicity-sample")
+
+
+def _dealt(rows: DataFrame, kind: type, shards: int, tasks: int) -> DataFrame:
+    """shard, part, lang, toxic, w and h (16 bits a word) of each row once, the shards side by side and in an order that no
+    partitioning changes."""
 
     @trimmed
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, n = None, None, 0
         for batch in batches:
-            w_all, h_all = [], []
-            for _, _, data, offsets in steps(batch["text"], STEP_BYTES):
-                w, h, places = hashed_words(data, offsets)
-                for a, z in zip(places[:-1], places[1:], strict=True):
-                    w_all.append(w[a:z].tobytes())
-                    h_all.append(h[a:z].tobytes())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], batch["toxic"], pa.array(w_all, pa.binary()), pa.array(h_all, pa.binary())], names=["doc_id", "lang", "toxic", "w", "h"])
+            keep, parts = [], []
+            for i, (shard, *row) in enumerate(zip(*(batch[c].to_pylist() for c in ("shard", "doc_id", "toxic", "place")), strict=True)):
+                if shard != now:
+                    now, last, n = shard, None, 0
+                if row != last:
+                    keep.append(i)
+                    parts.append(n % PARTS)
+                    n += 1
+                last = row
+            mine = batch.take(pa.array(keep, pa.int64()))
+            narrow = [pa.array([np.frombuffer(x.as_buffer(), kind).astype(np.uint16).tobytes() for x in mine[c]], pa.binary()) for c in ("w", "h")]
+            yield pa.RecordBatch.from_arrays([mine["shard"], pa.array(parts, pa.int32()), mine["lang"], mine["toxic"], *narrow], names=["shard", "part", "lang", "toxic", "w", "h"])
+
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "w"), F.lit(shards)))
+    ordered = dealt.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "doc_id", "toxic", "place")
+    return ordered.mapInArrow(once, "shard long, part int, lang string, toxic int, w binary, h binary")
+
+
+def _pairs(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Words, first bytes and label of each row."""
+    words = ([np.frombuffer(x, np.uint16) for x in batch[c].to_pylist()] for c in ("w", "h"))
+    return list(zip(*words, batch["toxic"].to_pylist(), strict=True))
+
+
+def _counted(dealt: DataFrame) -> pa.Table:
+    """kind, lang, at and n: of each part the documents that have a word's row or that of its first bytes (`held`) and the rows
+    of each label (`label`); of each language the times of every word's row (`lang`)."""
+    every = WORD_ROWS + HEAD_ROWS
+
+    def sent(kind: str, lang: str | None, counts: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["kind", "lang", "at", "n"])
+
+    @trimmed
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, label = np.zeros(PARTS * every, np.int64), np.zeros(PARTS * 2, np.int64)
+        for batch in batches:
+            spoken: dict[str, list[np.ndarray]] = {}
+            for (w, h, y), part, lang in zip(_pairs(batch), batch["part"].to_pylist(), batch["lang"].to_pylist(), strict=True):
+                held[part * every + np.unique(w).astype(np.int64)] += 1
+                held[part * every + WORD_ROWS + np.unique(h).astype(np.int64)] += 1
+                label[part * 2 + y] += 1
+                if lang is not None:
+                    spoken.setdefault(lang, []).append(w)
+            for lang, words in spoken.items():
+                times = np.bincount(np.concatenate(words), minlength=WORD_ROWS)
+                yield sent("lang", lang, times, np.union1d(np.flatnonzero(times), [0]))
+        for kind, counts in (("held", held), ("label", label)):
+            yield sent(kind, None, counts, np.flatnonzero(counts))
+
+    return dealt.mapInArrow(count, "kind string, lang string, at long, n long").groupBy("kind", "lang", "at").agg(F.sum("n").alias("n")).toArrow()
+
+
+def _round(dealt: DataFrame, states: list[State], number: int, rounds: int, tasks: int) -> None:
+    """Every shard goes on from the states, in each without the rows of its part; the states then take the averaged changes. The
+    epochs are spread over the rounds."""
+    shared = dealt.sparkSession.sparkContext.broadcast(states)  # tables of fixed size
+    schema = "fold int, slice int, ids binary, change binary, times binary"
+    slices = [(t, a, min(a + SLICE_ROWS, len(x))) for t, x in enumerate(states[0].tables) for a in range(0, len(x), SLICE_ROWS)]
+    columns = [2 * x.shape[1] for x in states[0].tables]
+
+    def row(fold: int, i: int, ids: np.ndarray, change: np.ndarray, times: np.ndarray) -> list[pa.Array]:
+        return [pa.array([fold], pa.int32()), pa.array([i], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids.astype(np.int32), change.astype(np.float32), times.astype(np.float32)))]
+
+    names = ["fold", "slice", "ids", "change", "times"]
 
-    hashed = texts.mapInArrow(words, "doc_id long, lang string, toxic int, w binary, h binary")
-    key = F.xxhash64("doc_id", "lang", "toxic", "w", "h")
-    return materialise(hashed.withColumn("place", key).groupBy("place").agg(*(F.first(c).alias(c) for c in hashed.columns)), "toxicity-sample")
-
-
-def _in_order(rows: pa.Table) -> list[tuple]:
-    """(doc_id, lang, label, words, first bytes) in an order that no partitioning changes."""
-    columns = [rows[c].to_pylist() for c in ("doc_id", "lang", "toxic", "w", "h")]
-    found = sorted(zip(*columns, strict=True), key=lambda r: (r[0], r[2], len(r[3]), r[3], r[1] or ""))
-    return [(i, lang, y, np.frombuffer(w, np.int32), np.frombuffer(h, np.int32)) for i, lang, y, w, h in found]
-
-
-def _learned(rows: pa.Table) -> pa.Table:
-    """Train without one part and respond to it or, for the last number, train on all; arrays, as one blob."""
-    number = rows["fold"][0].as_py()
-    ordered = _in_order(rows)
-    part = np.arange(len(ordered)) % PARTS
-    pairs = [(w, h, y) for _, _, y, w, h in ordered]
-    model = train([x for x, q in zip(pairs, part, strict=True) if q != number])
-    if number < PARTS:
-        mine = np.flatnonzero(part == number)
-        arrays = {"rows": mine, "response": np.array([model.response(w, h, np.array([0, len(w)]))[0] for w, h, _ in (pairs[i] for i in mine)])}
-    else:
-        names = sorted({r[1] for r in ordered if r[1] is not None}) or [""]
-        seen = np.full((WORD_ROWS, len(names)), 0.1)
-        for _, lang, _, w, _ in ordered:
-            if lang is not None:
-                seen[:, names.index(lang)] += np.bincount(w, minlength=WORD_ROWS)
-        model.languages = np.log(seen / seen.sum(0)).astype(np.float32)
-        spoken = np.array([model.language(w, np.array([0, len(w)]))[0] for w, _, _ in pairs])
-        arrays = {"word": model.word, "head": model.head, "bias": model.bias, "unit": model.unit, "offset": np.array(model.offset), "languages": model.languages, "spoken": spoken, "labels": np.array([r[2] for r in ordered])}
-        arrays |= {f"filter{i}": f for i, f in enumerate(model.filters)}
-    sink = io.BytesIO()
-    np.savez(sink, **arrays)
-    return pa.table([pa.array([number], pa.int32()), pa.array([sink.getvalue()], pa.binary())], names=["fold", "arrays"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Learn from the labelled rows outside the held-out fold; `docs`: doc_id, text, lang; `labels`: doc_id, toxic."""
+    @trimmed
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states = shared.value
+        change = [[np.zeros((len(x), n), np.float32) for x, n in zip(s.tables, columns, strict=True)] for s in states]
+        times = [[np.zeros(len(x), np.float32) for x in s.tables] for s in states]
+
+        def settle(shard: int, rows: list[tuple], parts: list[int]) -> None:
+            for fold, base in enumerate(states):
+                mine = [r for r, p in zip(rows, parts, strict=True) if p != fold]
+                epochs = base.epochs * (number + 1) // rounds - base.epochs * number // rounds
+                if not mine or not epochs:
+                    continue
+                own = replace(base, tables=[x.copy() for x in base.tables], seen=[x.copy() for x in base.seen])
+                for t, hit in enumerate(learn(own, mine, epochs, [SEED, number, shard])):
+                    change[fold][t][hit] += np.hstack([own.tables[t][hit] - base.tables[t][hit], own.seen[t][hit] - base.seen[t][hit]])
+                    times[fold][t][hit] += 1
+
+        now, rows, parts = None, [], []
+        for batch in batches:
+            for shard, pair, part in zip(batch["shard"].to_pylist(), _pairs(batch), batch["part"].to_pylist(), strict=True):
+                if shard != now and rows:
+                    settle(now, rows, parts)
+                    rows, parts = [], []
+                now = shard
+                rows.append(pair)
+                parts.append(part)
+        if rows:
+            settle(now, rows, parts)
+        for fold in range(len(states)):
+            for i, (t, a, z) in enumerate(slices):
+                ids = a + np.flatnonzero(times[fold][t][a:z])
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays(row(fold, i, ids, change[fold][t][ids], times[fold][t][ids]), names=names)
+
+    def total(rows: pa.Table) -> pa.Table:
+        fold, i = rows["fold"][0].as_py(), rows["slice"][0].as_py()
+        t, a, z = slices[i]
+        change, times = np.zeros((z - a, columns[t])), np.zeros(z - a)
+        for r in rows.to_pylist():
+            at = np.frombuffer(r["ids"], np.int32) - a
+            change[at] += np.frombuffer(r["change"], np.float32).reshape(len(at), -1)
+            times[at] += np.frombuffer(r["times"], np.float32)
+        at = np.flatnonzero(times)
+        return pa.table(row(fold, i, at + a, change[at], times[at]), names=names)
+
+    tasks = min(tasks, dealt.sparkSession.sparkContext.defaultParallelism)  # each sends its sums of the whole tables
+    some = F.pmod(F.spark_partition_id(), F.lit(max(1, math.isqrt(tasks))))  # changes are added up in two steps
+    sums = dealt.select("shard", "part", "toxic", "w", "h").coalesce(tasks).mapInArrow(train, schema).withColumn("some", some).groupBy("fold", "slice", "some").applyInArrow(lambda rows: total(rows), schema)
+    for r in sums.groupBy("fold", "slice").applyInArrow(total, schema).collect():  # the tables' size
+        state, t = states[r["fold"]], slices[r["slice"]][0]
+        at = np.frombuffer(r["ids"], np.int32)
+        mean = np.frombuffer(r["change"], np.float32).reshape(len(at), -1) / np.frombuffer(r["times"], np.float32)[:, None]
+        half = columns[t] // 2
+        state.tables[t][at] += mean[:, :half]
+        state.seen[t][at] += mean[:, half:]
+    shared.destroy()
+
+
+def _responses(dealt: DataFrame, models: list[Model]) -> DataFrame:
+    """spoken (the number of the text's language), response (by the model that hasn't seen the row) and toxic of each row."""
+    shared = dealt.sparkSession.sparkContext.broadcast(models)
+
+    @trimmed
+    def respond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        for batch in batches:
+            pairs, part = _pairs(batch), batch["part"].to_numpy()
+            response, spoken = np.zeros(len(pairs)), np.zeros(len(pairs), np.int32)
+            step = np.cumsum([len(w) for w, _, _ in pairs]) // STEP_WORDS
+            for p in range(PARTS):
+                for s in np.unique(step):
+                    mine = np.flatnonzero((part == p) & (step == s))
+                    if len(mine):
+                        w, h = (np.concatenate([pairs[i][k] for i in mine]) for k in (0, 1))
+                        places = np.concatenate([[0], np.cumsum([len(pairs[i][0]) for i in mine])])
+                        response[mine], spoken[mine] = models[p].response(w, h, places), models[PARTS].language(w, places)
+            yield pa.RecordBatch.from_arrays([pa.array(spoken), pa.array(response), batch["toxic"]], names=["spoken", "response", "toxic"])
+
+    return dealt.mapInArrow(respond, "spoken int, response double, toxic int")
+
+
+def best_thresholds(responses: DataFrame) -> DataFrame:
+    """Of each `spoken`, and of all rows (null), toxic (their number) and threshold: the middle of the gap with the fewest errors;
+    above everything if marking nothing errs least. Windows hold a range of the sorted responses at most."""
+    each = responses.withColumn("spoken", F.explode(F.array(F.lit(None).cast("int"), F.col("spoken"))))
+    gains = each.groupBy("spoken", "response").agg(F.sum(2 * F.col("toxic") - 1).alias("gain"), F.sum("toxic").alias("toxic"))
+    parts = max(1, math.ceil(gains.count() / RANGE_ROWS))
+    down = F.col("response").desc()
+    gains = materialise(gains.repartitionByRange(parts, "spoken", down).withColumn("range", F.spark_partition_id()), "toxicity-gains")
+    inside = Window.partitionBy("spoken", "range").orderBy(down)
+    ranges = gains.groupBy("spoken", "range").agg(F.sum("gain").alias("total"), F.max("response").alias("first"))
+    across = Window.partitionBy("spoken").orderBy("range")  # a row a range
+    ranges = ranges.select(F.col("spoken").alias("_spoken"), F.col("range").alias("_range"), (F.sum("total").over(across) - F.col("total")).alias("before"), F.lead("first").over(across).alias("then"))
+    run = gains.withColumn("run", F.sum("gain").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("response").over(inside))
+    run = run.join(ranges, F.col("spoken").eqNullSafe(F.col("_spoken")) & (F.col("range") == F.col("_range")))
+    run = run.withColumn("run", F.col("run") + F.col("before")).withColumn("next", F.coalesce("next", "then"))
+    middle = F.when(F.col("next").isNull(), F.col("response") - 1).otherwise((F.col("response") + F.col("next")) / 2)
+    best = run.groupBy("spoken").agg(F.max("run").alias("most"), F.max_by(middle, F.struct("run", "response")).alias("middle"), F.max("response").alias("top"), F.sum("toxic").alias("toxic"))
+    return best.select("spoken", "toxic", F.when(F.col("most") <= 0, F.col("top") + 1).otherwise(F.col("middle")).alias("threshold"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> Model | None:
+    """Learn from all labelled rows outside the held-out fold; `docs`: doc_id, text, lang; `labels`: doc_id, toxic. With
+    `sample`, for trials, from about so many rows of each label."""
     with temporary(docs.sparkSession):
         return _fit(docs, labels, sample)
 
 
-def _fit(docs: DataFrame, labels: DataFrame, sample: int) -> Model | None:
-    rows = sample_of(docs, labels, sample)
+def _fit(docs: DataFrame, labels: DataFrame, sample: int | None) -> Model | None:
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    kind = np.uint16 if sample is None else np.int32
+    rows = materialise(_hashed(_labelled(docs, labels), kind), "toxicity-rows") if sample is None else sample_of(docs, labels, sample)
     if rows is None:
         return None
-    sizes = sorted(rows.select("place", "toxic", (F.length("w") / 4).cast("long").alias("n")).collect())  # the sample's rows
-    before = np.cumsum([0, *(r["n"] for r in sizes)])[:-1]
-    kept = [r for r, n in zip(sizes, before, strict=True) if n < SAMPLE_WORDS]
-    if len({r["toxic"] for r in kept}) < 2 or len(kept) < 2 * PARTS:
+    once = rows.select("place", "toxic", F.octet_length("w").alias("size")).distinct()
+    n, size, kinds = once.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.count_distinct("toxic")).first()
+    if kinds < 2:
+        return None
+    shards = max(1, n // SHARD_ROWS, math.ceil(size / np.dtype(kind).itemsize / SHARD_WORDS))
+    tasks = min(shards, 16 * spark.sparkContext.defaultParallelism)
+    dealt = _dealt(rows, kind, shards, tasks).persist(StorageLevel.DISK_ONLY)
+    try:
+        return _trained(dealt, shards, tasks)
+    finally:
+        dealt.unpersist(blocking=True)
+
+
+def _trained(dealt: DataFrame, shards: int, tasks: int) -> Model | None:
+    counts, every = _counted(dealt).to_pandas(), WORD_ROWS + HEAD_ROWS
+    held, label = np.zeros((PARTS, every), np.int64), np.zeros((PARTS, 2), np.int64)
+    for kind, table in (("held", held), ("label", label)):
+        mine = counts[counts["kind"] == kind]
+        table.reshape(-1)[mine["at"]] = mine["n"]
+    if label.sum() < 2 * PARTS:
         return None
-    some = rows.filter(F.col("place") <= kept[-1]["place"]).withColumn("fold", F.explode(F.array(*map(F.lit, range(PARTS + 1)))))
-    found = {r["fold"]: np.load(io.BytesIO(r["arrays"])) for r in some.groupBy("fold").applyInArrow(_learned, "fold int, arrays binary").collect()}
-    last = found[PARTS]
-    response, y, spoken = np.zeros(len(kept)), last["labels"], last["spoken"]
-    for p in range(PARTS):
-        response[found[p]["rows"]] = found[p]["response"]
-    overall = best_threshold(response, y)
-    thresholds = np.full(last["languages"].shape[1], overall)
-    for i in range(len(thresholds)):
-        mine, n = spoken == i, y[spoken == i].sum()
-        if n:  # few toxic rows move a language's threshold little
-            thresholds[i] = (n * best_threshold(response[mine], y[mine]) + 20 * overall) / (n + 20)
-    return Model(last["word"], last["head"], [last[f"filter{i}"] for i in range(len(WIDTHS))], last["bias"], last["unit"], float(last["offset"]), last["languages"], thresholds)
+    names = sorted(counts["lang"].dropna().unique()) or [""]
+    spoken = np.full((WORD_ROWS, len(names)), 0.1)
+    mine = counts[counts["kind"] == "lang"]
+    spoken[mine["at"], np.searchsorted(names, mine["lang"].tolist()) if len(mine) else []] += mine["n"]
+
+    states = []
+    for fold in range(PARTS + 1):  # the last one learns from all
+        rest = np.arange(PARTS) != fold
+        # rows of words that few documents have stay zero: they can't mark single documents, and unseen words say nothing
+        frozen = np.split(held[rest].sum(0) < LEAST_DOCS, [WORD_ROWS])
+        tables = _tables()
+        for table, rows in zip(tables, frozen, strict=False):
+            table[rows] = 0
+        share = label[rest].sum(0) / max(1, label[rest].sum())
+        epochs = max(EPOCHS, math.ceil(LEAST_STEPS * BATCH / max(1, int(label[rest].sum()))))
+        states.append(State(tables, [np.full(x.shape, 1e-4, np.float32) for x in tables], frozen, (0.5 / np.maximum(share, 1e-6)).astype(np.float32), epochs))
+    rounds = 1 if shards == 1 and label.sum() < SHARD_ROWS else EPOCHS
+    for i in range(rounds):
+        release(dealt.sparkSession)  # shuffle files of the texts, and of the round before
+        _round(dealt, states, i, rounds, tasks)
+
+    models = [_model(s.tables) for s in states]
+    last = models[PARTS]
+    last.languages = np.log(spoken / spoken.sum(0)).astype(np.float32)
+    best = {r["spoken"]: r for r in best_thresholds(_responses(dealt, models)).collect()}
+    overall = best[None]["threshold"]
+    last.thresholds = np.full(len(names), overall)
+    for i, r in best.items():
+        if i is not None and r["toxic"]:  # few toxic rows move a language's threshold little
+            last.thresholds[i] = (r["toxic"] * r["threshold"] + 20 * overall) / (r["toxic"] + 20)
+    return last
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

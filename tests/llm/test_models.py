@@ -146,6 +146,51 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert sorted(len(r.w) // 4 for r in toxicity.sample_of(df, known, 100).collect()) == [0, 1, 50_000]
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    rows = [(i, f"row{i % 7} of b{i % 11} {'vile' if i % 10 == 0 else 'kind'} end", ("en", "de", None)[i % 3], int(i % 10 == 0)) for i in range(9000)]
+    df, known = (spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").select(*c) for c in (("doc_id", "text", "lang"), ("doc_id", "toxic")))
+    model = toxicity.fit(df, known)
+    assert len([r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1 and not r[3]]) > 5000
+    seen = np.full((toxicity.WORD_ROWS, 2), 0.1)
+    for i, text, lang, _ in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1 and lang:
+            w = toxicity.hashed_words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0]
+            np.add.at(seen[:, ["de", "en"].index(lang)], w, 1)
+    assert np.allclose(model.languages, np.log(seen / seen.sum(0)), atol=1e-5)
+    assert all(r.predicted == (r.doc_id % 10 == 0) for r in toxicity.score(df, model).collect())
+
+
+def test_toxicity_learns_alike_in_any_layout(spark, docs, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 60)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    some = docs.filter("doc_id < 10000000").select("doc_id", "text", "lang")
+    twice = some.union(some.filter("doc_id < 200"))  # repeated rows are learned from once
+    models = [toxicity.fit(some.repartition(1), labels), toxicity.fit(some.repartition(8), labels)]
+    for name in ("word", "head", "unit", "thresholds"):
+        assert np.allclose(getattr(models[0], name), getattr(models[1], name), atol=1e-3)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 10**6)
+    assert np.allclose(toxicity.fit(some, labels).word, toxicity.fit(twice, labels).word, atol=1e-3)
+
+
+@pytest.mark.parametrize("rows", [3, 250_000])
+def test_toxicity_thresholds_against_plain_loops(spark, monkeypatch, rows):
+    monkeypatch.setattr(toxicity, "RANGE_ROWS", rows)
+    rnd = __import__("random").Random(6)
+    given = [(s, rnd.randint(0, 12) / 4, int(rnd.random() < (0.1, 0.5, 0.9)[s])) for s in range(3) for _ in range(30)] + [(4, 0.5, 0), (5, 0.5, 1)]
+
+    def plain(mine):
+        values = sorted({r for r, _ in mine}, reverse=True)
+        gains = [sum(2 * y - 1 for r, y in mine if r >= v) for v in values]
+        if max(gains) <= 0:
+            return values[0] + 1
+        i = gains.index(max(gains))
+        return (values[i] + values[i + 1]) / 2 if i + 1 < len(values) else values[i] - 1
+
+    got = {r.spoken: (r.toxic, r.threshold) for r in toxicity.best_thresholds(spark.createDataFrame(given, "spoken int, response double, toxic int")).collect()}
+    groups = {s: [(r, y) for t, r, y in given if s in (None, t)] for s in (None, 0, 1, 2, 4, 5)}
+    assert got == {s: (sum(y for _, y in mine), plain(mine)) for s, mine in groups.items()}
+
+
 def test_language_model(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
