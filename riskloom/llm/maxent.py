@@ -10,14 +10,14 @@ each class.
 A word's class goes by its last two bytes: the most frequent endings have a class each, the others share some by hash.
 The end of a text is a token, and a class of its own.
 
-Biases start from the frequencies of classes and slots in a bounded sample, all other weights from zero. Weights are trained
+Biases start from the frequencies of classes and slots in all training documents, all other weights from zero. Weights are trained
 by distributed gradient updates. Documents are dealt to shards of about `SHARD_BYTES` by a hash, and in
 each round every shard runs Adagrad over its share of the round's training documents, in an order that no partitioning
 changes, from the same weights; the changes of each row are averaged over the shards that changed it. Shards, not tasks,
 decide what is learned: a layout changes scores by rounding only. All training documents are used, each in one round. The
 tables of weights grow with the square root of the training bytes.
 
-Counts cover all training tokens: the most frequent words (from a bounded sample, counted exactly) add up where they are
+Counts cover all training tokens: the most frequent words (of all training documents) add up where they are
 read; of the others, each run of texts sends one count a word, so that no word is a hot key.
 
 Defined cases: a null or blank text is the end token alone; a null doc_id is learned from; repeated rows are learned
@@ -45,7 +45,7 @@ FOLDS, HELD_OUT = 7, 2
 CLASSES, OWN, SLOTS = 32, 23, 16
 END, REST = CLASSES - 1, SLOTS - 1
 ROUNDS, MINI, RATE = 2, 8192, 0.15
-SAMPLE, HEAD = 4096, 2048
+HEAD = 2048
 STEP_BYTES = 1 << 20
 SHARD_BYTES, LEAST_BITS = 16 << 20, 14
 #: Rows of weights that are added up at a time.
@@ -204,21 +204,26 @@ def learn_batch(learners: list[Learner], at: list[np.ndarray], classes: np.ndarr
 
 
 def _start(docs: DataFrame, rows: int) -> Model:
-    """A model with biases only. From a bounded sample: the most frequent words, their classes and slots, the class of every
+    """A model with biases only. From all documents: the most frequent words, their classes and slots, the class of every
     ending, and how frequent classes and slots are."""
     n_docs = docs.count()
-    every = max(1, n_docs // SAMPLE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for _, _, data, offsets in steps(batch["text"], STEP_BYTES):
                 starts, ends, _ = split_words(data, offsets)
-                keys, first, n = np.unique(word_keys(data, starts, ends), return_index=True, return_counts=True)
-                endings = word_endings(data, starts[first], ends[first]) if len(keys) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(endings), pa.array(n.astype(np.int64))], names=["key", "ending", "n"])
-
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(count, "key long, ending long, n long")
-    counts = materialise(some.groupBy("key", "ending").agg(F.sum("n").alias("n")), "sample-words")
+                if len(starts):
+                    keys, first, n = np.unique(word_keys(data, starts, ends), return_index=True, return_counts=True)
+                    found.append((keys, word_endings(data, starts[first], ends[first]), n))
+            if found:
+                keys, endings, n = map(np.concatenate, zip(*found, strict=True))
+                keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+                n = np.bincount(inverse, n).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(endings[first]), pa.array(n)], names=["key", "ending", "n"])
+
+    words = docs.select("text").mapInArrow(count, "key long, ending long, n long")
+    counts = materialise(words.groupBy("key", "ending").agg(F.sum("n").alias("n")), "words")
     frequent = counts.orderBy(F.col("n").desc(), "key").limit(HEAD).collect()
     endings = counts.groupBy("ending").agg(F.sum("n").alias("n")).collect()  # at most 65,536
     ranked = [r["ending"] for r in sorted(endings, key=lambda r: (-r["n"], r["ending"]))[:OWN]]
@@ -226,7 +231,7 @@ def _start(docs: DataFrame, rows: int) -> Model:
     classes[ranked] = np.arange(len(ranked))
     taken, place = np.zeros(CLASSES, np.int64), {}
     of_class, of_slot = np.ones(CLASSES), np.ones((CLASSES, SLOTS))
-    of_class[END] += n_docs / every
+    of_class[END] += n_docs
     for r in endings:
         of_class[classes[r["ending"]]] += r["n"]
     for r in frequent:
@@ -329,6 +334,7 @@ def train(docs: DataFrame) -> tuple[Model, np.ndarray]:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(LEAST_BITS, math.ceil(math.log2(2 * math.sqrt(size) + 1)))
     model = _start(docs, 1 << bits)
+    release(docs.sparkSession)  # the words counted
     shards = max(1, math.ceil(size / ROUNDS / SHARD_BYTES))
     counts = np.zeros(len(model.head) + 1, np.int64)
     for i in range(ROUNDS):

@@ -207,6 +207,18 @@ def test_language_model(spark, docs):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
+def test_language_model_starts_from_all_documents(spark):
+    rows = [(i, f"the {i % 5} word{i % 50}" + (f" only{i}" if i < 600 else "")) for i in range(9000)]
+    model = maxent._start(spark.createDataFrame(rows, "doc_id long, text string"), 1 << 14)
+    words = Counter(x for _, t in rows for x in t.split())
+    data = " ".join(words).encode()
+    keys, classes, _ = maxent.tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]), model.endings)
+    assert set(model.head.tolist()) == set(keys[:-1].tolist())
+    of_class = np.ones(maxent.CLASSES) + np.bincount(classes[:-1], list(words.values()), maxent.CLASSES)
+    of_class[maxent.END] += len(rows)
+    assert np.allclose(model.tables[1][0], np.log(of_class / of_class.sum()), atol=1e-6)
+
+
 def test_language_model_on_little(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert maxent.score_documents(empty).count() == 0
