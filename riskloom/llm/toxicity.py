@@ -9,7 +9,8 @@ score everywhere. The language is taken from the text, by naive Bayes over the s
 Training uses every labelled row, each whole. Rows are dealt by a hash to shards of about `SHARD_ROWS` rows or `SHARD_WORDS`
 words; in each round every shard goes on from the same weights, and the changes of each row of weights are averaged over the
 shards that changed it. Shards, not tasks, decide what is learned: a layout changes scores by rounding only. The shards are
-kept on the executors' disks between the rounds. Word counts, languages and thresholds cover all labelled rows: thresholds
+kept on the executors' disks between the rounds. Each model is trained in tasks of its own over the same shards, about as many
+in all as there are cores, and each task sends the sum of its changes to one model. Word counts, languages and thresholds cover all labelled rows: thresholds
 come from sums over ranges of the sorted responses. Only tables of fixed size, or of one column for each language, come to the
 driver. Scores cover every whole text. A bounded sample is learned from only where a caller of `fit` asks for one.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,8 @@ STEP_BYTES = 1 << 20
 SHARD_ROWS, SHARD_WORDS = LEAST_STEPS * BATCH // EPOCHS * PARTS // (PARTS - 1), 8 << 20
 #: Words of a step beyond which it takes no further document; rows of weights, and responses, that are added up at a time.
 STEP_WORDS, SLICE_ROWS, RANGE_ROWS = 1 << 20, 8192, 250_000
+#: Tasks of a model whose sums are added up in one step; those of more tasks are added up in groups first.
+ONE_STEP = 64
 #: Labelled ids up to which they are broadcast; beyond, documents and labels are joined by key.
 BROADCAST_IDS = 1_000_000
 
@@ -345,13 +349,22 @@ def _counted(dealt: DataFrame) -> pa.Table:
         for kind, counts in (("held", held), ("label", label)):
             yield sent(kind, None, counts, np.flatnonzero(counts))
 
-    return dealt.mapInArrow(count, "kind string, lang string, at long, n long").groupBy("kind", "lang", "at").agg(F.sum("n").alias("n")).toArrow()
+    some = dealt.coalesce(dealt.sparkSession.sparkContext.defaultParallelism)  # each task sends counts of the whole tables
+    return some.mapInArrow(count, "kind string, lang string, at long, n long").groupBy("kind", "lang", "at").agg(F.sum("n").alias("n")).toArrow()
+
+
+def _tasks(fold: int, tasks: int, cores: int) -> int:
+    """Tasks that train a state, at most: its share of the cores by the rows that it learns from, and no more than `tasks`. The
+    one that learns from all may have two, since Spark runs a union of single partitions as one task."""
+    share = cores // PARTS if fold == PARTS else cores * (PARTS - 1) // PARTS**2
+    return max(2 if fold == PARTS else 1, min(tasks, share))
 
 
 def _round(dealt: DataFrame, states: list[State], number: int, rounds: int, tasks: int) -> None:
     """Every shard goes on from the states, in each without the rows of its part; the states then take the averaged changes. The
     epochs are spread over the rounds."""
-    shared = dealt.sparkSession.sparkContext.broadcast(states)  # tables of fixed size
+    context = dealt.sparkSession.sparkContext
+    shared = [context.broadcast(s) for s in states]  # tables of fixed size
     schema = "fold int, slice int, ids binary, change binary, times binary"
     slices = [(t, a, min(a + SLICE_ROWS, len(x))) for t, x in enumerate(states[0].tables) for a in range(0, len(x), SLICE_ROWS)]
     columns = [2 * x.shape[1] for x in states[0].tables]
@@ -361,39 +374,39 @@ def _round(dealt: DataFrame, states: list[State], number: int, rounds: int, task
 
     names = ["fold", "slice", "ids", "change", "times"]
 
-    @trimmed
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states = shared.value
-        change = [[np.zeros((len(x), n), np.float32) for x, n in zip(s.tables, columns, strict=True)] for s in states]
-        times = [[np.zeros(len(x), np.float32) for x in s.tables] for s in states]
-
-        def settle(shard: int, rows: list[tuple], parts: list[int]) -> None:
-            for fold, base in enumerate(states):
-                mine = [r for r, p in zip(rows, parts, strict=True) if p != fold]
-                epochs = base.epochs * (number + 1) // rounds - base.epochs * number // rounds
-                if not mine or not epochs:
-                    continue
-                own = replace(base, tables=[x.copy() for x in base.tables], seen=[x.copy() for x in base.seen])
-                for t, hit in enumerate(learn(own, mine, epochs, [SEED, number, shard])):
-                    change[fold][t][hit] += np.hstack([own.tables[t][hit] - base.tables[t][hit], own.seen[t][hit] - base.seen[t][hit]])
-                    times[fold][t][hit] += 1
+    def trained(fold: int, count: int) -> DataFrame:
+        """The changes of a state, added up over the shards of each of `count` tasks."""
+        mine = shared[fold]
 
-        now, rows, parts = None, [], []
-        for batch in batches:
-            for shard, pair, part in zip(batch["shard"].to_pylist(), _pairs(batch), batch["part"].to_pylist(), strict=True):
-                if shard != now and rows:
-                    settle(now, rows, parts)
-                    rows, parts = [], []
-                now = shard
-                rows.append(pair)
-                parts.append(part)
-        if rows:
-            settle(now, rows, parts)
-        for fold in range(len(states)):
+        @trimmed
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            base = mine.value
+            change = [np.zeros((len(x), n), np.float32) for x, n in zip(base.tables, columns, strict=True)]
+            times = [np.zeros(len(x), np.float32) for x in base.tables]
+            epochs = base.epochs * (number + 1) // rounds - base.epochs * number // rounds
+
+            def settle(shard: int, rows: list[tuple]) -> None:
+                own = replace(base, tables=[x.copy() for x in base.tables], seen=[x.copy() for x in base.seen])
+                for t, hit in enumerate(learn(own, rows, epochs, [SEED, number, shard])):
+                    change[t][hit] += np.hstack([own.tables[t][hit] - base.tables[t][hit], own.seen[t][hit] - base.seen[t][hit]])
+                    times[t][hit] += 1
+
+            now, rows = None, []
+            for batch in batches:
+                for shard, pair in zip(batch["shard"].to_pylist(), _pairs(batch), strict=True):
+                    if shard != now and rows:
+                        settle(now, rows)
+                        rows = []
+                    now = shard
+                    rows.append(pair)
+            if rows:
+                settle(now, rows)
             for i, (t, a, z) in enumerate(slices):
-                ids = a + np.flatnonzero(times[fold][t][a:z])
+                ids = a + np.flatnonzero(times[t][a:z])
                 if len(ids):
-                    yield pa.RecordBatch.from_arrays(row(fold, i, ids, change[fold][t][ids], times[fold][t][ids]), names=names)
+                    yield pa.RecordBatch.from_arrays(row(fold, i, ids, change[t][ids], times[t][ids]), names=names)
+
+        return dealt.filter(F.col("part") != fold).select("shard", "toxic", "w", "h").coalesce(count).mapInArrow(train, schema)
 
     def total(rows: pa.Table) -> pa.Table:
         fold, i = rows["fold"][0].as_py(), rows["slice"][0].as_py()
@@ -406,9 +419,12 @@ def _round(dealt: DataFrame, states: list[State], number: int, rounds: int, task
         at = np.flatnonzero(times)
         return pa.table(row(fold, i, at + a, change[at], times[at]), names=names)
 
-    tasks = min(tasks, dealt.sparkSession.sparkContext.defaultParallelism)  # each sends its sums of the whole tables
-    some = F.pmod(F.spark_partition_id(), F.lit(max(1, math.isqrt(tasks))))  # changes are added up in two steps
-    sums = dealt.select("shard", "part", "toxic", "w", "h").coalesce(tasks).mapInArrow(train, schema).withColumn("some", some).groupBy("fold", "slice", "some").applyInArrow(lambda rows: total(rows), schema)
+    # the longest first; each task sends its sums of one state's tables
+    counts = {fold: _tasks(fold, tasks, context.defaultParallelism) for fold in reversed(range(len(states)))}
+    sums = reduce(DataFrame.unionAll, (trained(*x) for x in counts.items()))
+    if max(counts.values()) > ONE_STEP:
+        some = F.pmod(F.spark_partition_id(), F.lit(math.isqrt(max(counts.values()))))
+        sums = sums.withColumn("some", some).groupBy("fold", "slice", "some").applyInArrow(lambda rows: total(rows), schema)
     for r in sums.groupBy("fold", "slice").applyInArrow(total, schema).collect():  # the tables' size
         state, t = states[r["fold"]], slices[r["slice"]][0]
         at = np.frombuffer(r["ids"], np.int32)
@@ -416,7 +432,8 @@ def _round(dealt: DataFrame, states: list[State], number: int, rounds: int, task
         half = columns[t] // 2
         state.tables[t][at] += mean[:, :half]
         state.seen[t][at] += mean[:, half:]
-    shared.destroy()
+    for s in shared:
+        s.destroy()
 
 
 def _responses(dealt: DataFrame, models: list[Model]) -> DataFrame:

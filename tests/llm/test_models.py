@@ -172,6 +172,27 @@ def test_toxicity_learns_alike_in_any_layout(spark, docs, monkeypatch):
     assert np.allclose(toxicity.fit(some, labels).word, toxicity.fit(twice, labels).word, atol=1e-3)
 
 
+def test_toxicity_rounds_shuffle_one_sum_a_core(spark, monkeypatch):
+    rnd = __import__("random").Random(4)
+    texts = [" ".join(f"word{rnd.randrange(3000)}" for _ in range(40)) + (" vile" if i % 8 == 0 else "") for i in range(3000)]
+    rows = [(i, text, "en", int(i % 8 == 0)) for i, text in enumerate(texts)]
+    df, known = (spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").select(*c) for c in (("doc_id", "text", "lang"), ("doc_id", "toxic")))
+    core = spark.sparkContext._jsc.sc()
+
+    def written():
+        core.listenerBus().waitUntilEmpty(30_000)
+        return core.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 200)  # ten shards
+    before = written()
+    model = toxicity.fit(df, known)
+    assert written() - before < 10e6
+    monkeypatch.setattr(toxicity, "ONE_STEP", 0)  # sums in groups first
+    again = toxicity.fit(df, known)
+    for name in ("word", "head", "unit", "thresholds"):
+        assert np.allclose(getattr(model, name), getattr(again, name), atol=1e-3)
+
+
 @pytest.mark.parametrize("rows", [3, 250_000])
 def test_toxicity_thresholds_against_plain_loops(spark, monkeypatch, rows):
     monkeypatch.setattr(toxicity, "RANGE_ROWS", rows)
