@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import materialise, mix64, release, split_words, steps, trimmed, word_keys
+from riskloom.llm.common import _LOWER, materialise, mix64, release, split_words, steps, trimmed, word_keys
 from riskloom.llm.exchange import exchange, parts_for
 from riskloom.llm.langid import held_out
 
@@ -47,13 +47,19 @@ END, REST = CLASSES - 1, SLOTS - 1
 ROUNDS, MINI, RATE = 2, 8192, 0.15
 HEAD = 2048
 STEP_BYTES = 1 << 20
+#: Words that a task counts before it hands them on, as far as they don't come together.
+HELD_WORDS = 1 << 20
 SHARD_BYTES, LEAST_BITS = 16 << 20, 14
+#: Tokens or rows of weights that a step goes through at a time, so that they stay in the cache.
+BLOCK = 1024
 #: Rows of weights that are added up at a time.
 SLICE_ROWS = 4096
 _END_KEY = np.uint64(0x2545F4914F6CDD1D)
 _START_KEY = np.uint64(0xD1342543DE82EF95)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = np.float32(-1e9)
+#: Sums of exponentials that keep their precision as 32-bit numbers.
+_LEAST, _MOST = 1e-20, 1e30
 FEATURES = 3
 
 
@@ -77,8 +83,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray, endings: np.ndarray) -> tuple[
 
 def word_endings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The last two bytes of each word, lower-cased, as a number."""
-    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.int64)
-    return np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], 0) * 256 + low[ends - 1]
+    low = lambda at: _LOWER[data[at]].astype(np.int64)
+    return np.where(ends - starts > 1, low(np.maximum(ends - 2, 0)), 0) * 256 + low(ends - 1)
 
 
 def histories(keys: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
@@ -126,14 +132,26 @@ class Model:
         return [one, np.zeros((len(keys), 1), np.int32), two, classes.astype(np.int32)[:, None]]
 
 
-def log_softmax(tables: list[np.ndarray], at: list[np.ndarray]) -> np.ndarray:
-    """Natural log probabilities of all outputs: tokens x outputs."""
+def exponentials(tables: list[np.ndarray], at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all outputs the summed weights and their exponentials (tokens x outputs), and each token's sum of these."""
     z = tables[1].take(at[1][:, 0], axis=0)
     for k in range(at[0].shape[1]):
         z += tables[0].take(at[0][:, k], axis=0)
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+    ones = np.ones(z.shape[1], z.dtype)
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+        total = e @ ones
+    if len(z) and not (total.min() > _LEAST and total.max() < _MOST):  # the greatest is taken off only where it matters
+        z -= z.max(1, keepdims=True)
+        e = np.exp(z)
+        total = e @ ones
+    return z, e, total
+
+
+def log_probability(tables: list[np.ndarray], at: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The natural log probability of output `y` of each token."""
+    z, _, total = exponentials(tables, at)
+    return z[np.arange(len(y)), y].astype(np.float64) - np.log(total)
 
 
 def sorted_places(flat: np.ndarray) -> np.ndarray:
@@ -143,19 +161,26 @@ def sorted_places(flat: np.ndarray) -> np.ndarray:
     return order[np.argsort(high[order], kind="stable")] if high.any() else order
 
 
-def segment_sums(rows: np.ndarray, first: np.ndarray, lengths: np.ndarray, many: int = 16) -> np.ndarray:
-    """The sums of runs of rows: short runs side by side, long ones one by one."""
-    out = rows.take(first, axis=0)
-    for i in np.flatnonzero(lengths > many):
-        out[i] = rows[first[i] : first[i] + lengths[i]].sum(0)
-    short, k = np.flatnonzero((lengths > 1) & (lengths <= many)), 1
-    while len(short):
-        out[short] += rows.take(first[short] + k, axis=0)
+def segment_sums(rows: np.ndarray, of: np.ndarray, first: np.ndarray, lengths: np.ndarray, many: int = 64) -> np.ndarray:
+    """The sums of the rows that runs of `of` name, longest run first: short runs side by side, long ones one by one."""
+    out = rows.take(of[first], axis=0)
+    long = int(np.searchsorted(-lengths, -many, "left"))
+    for i in range(long):
+        out[i] = rows.take(of[first[i] : first[i] + lengths[i]], axis=0).sum(0)
+    k, more = 1, int(np.searchsorted(-lengths, -1, "left"))
+    while more > long:
+        out[long:more] += rows.take(of[first[long:more] + k], axis=0)
         k += 1
-        short = short[lengths[short] > k]
+        more = int(np.searchsorted(-lengths, -k, "left"))
     return out
 
 
+def put_rows(table: np.ndarray, hit: np.ndarray, rows: np.ndarray) -> None:
+    """table[hit] = rows, a row at a time as one item."""
+    whole = f"V{table.itemsize * table.shape[1]}"
+    table.view(whole).ravel()[hit] = rows.view(whole).ravel()
+
+
 class Learner:
     """One table in training: Adagrad from given weights, and the sum of the changes of the shards gone through."""
 
@@ -171,16 +196,20 @@ class Learner:
         flat = flat[order]
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         lengths = np.diff(np.append(first, len(flat)))
-        g = segment_sums(d.take(order // at.shape[1], axis=0), first, lengths)
-        g /= np.sqrt(lengths)[:, None].astype(np.float32)
-        hit = flat[first]
-        seen = self.seen.take(hit, axis=0)
-        seen += g * g
-        self.seen[hit] = seen
-        np.sqrt(seen, out=seen)
-        g *= np.float32(RATE)
-        g /= seen
-        self.weights[hit] = self.weights.take(hit, axis=0) - g
+        longest = np.argsort(-np.minimum(lengths, 1 << 15).astype(np.int16), kind="stable")
+        first, lengths, of = first[longest], lengths[longest], order // at.shape[1]
+        hit, scale = flat[first], (1 / np.sqrt(lengths)).astype(np.float32)[:, None]
+        for i in range(0, len(hit), BLOCK):
+            here, part = hit[i : i + BLOCK], slice(i, i + BLOCK)
+            g = segment_sums(d, of, first[part], lengths[part])
+            g *= scale[part]
+            seen = self.seen.take(here, axis=0)
+            seen += g * g
+            put_rows(self.seen, here, seen)
+            np.sqrt(seen, out=seen)
+            g *= np.float32(RATE)
+            g /= seen
+            put_rows(self.weights, here, self.weights.take(here, axis=0) - g)
         self.touched[hit] = True
 
     def settle(self) -> None:
@@ -197,32 +226,67 @@ def learn_batch(learners: list[Learner], at: list[np.ndarray], classes: np.ndarr
         part = slice(i, i + MINI)
         for f, y in ((0, classes[part]), (2, slots[part])):
             here = [a[part] for a in at[f : f + 2]]
-            d = np.exp(log_softmax(weights[f : f + 2], here))
+            d = np.empty((len(y), weights[f].shape[1]), np.float32)
+            for a in range(0, len(y), BLOCK):
+                _, e, total = exponentials(weights[f : f + 2], [x[a : a + BLOCK] for x in here])
+                np.divide(e, total[:, None], out=d[a : a + BLOCK])
             d[np.arange(len(y)), y] -= 1
             for learner, rows in zip(learners[f : f + 2], here, strict=True):
                 learner.update(rows, d)
 
 
+def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys, a place at which each stands, and the place of each given key among them."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    begins = np.ones(len(keys), bool)
+    begins[1:] = keys[1:] != keys[:-1]
+    first = np.flatnonzero(begins)
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(begins) - 1
+    return keys[first], order[first], inverse
+
+
+def tally(keys: np.ndarray, endings: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words (a key has one ending) and how often each comes; `n`: how often each given one stands for."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    times = np.diff(np.append(first, len(keys))) if n is None else np.add.reduceat(n[order], first)
+    return keys[first], endings[order[first]], times
+
+
+def _tallied(words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    keys, endings, n = words
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(endings), pa.array(n)], names=["key", "ending", "n"])
+
+
+@trimmed
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each word comes, as far as HELD_WORDS lets a task count before it hands on."""
+    found, held = [], 0
+    for batch in batches:
+        for _, _, data, offsets in steps(batch["text"], STEP_BYTES):
+            starts, ends, _ = split_words(data, offsets)
+            if len(starts):
+                found.append(tally(word_keys(data, starts, ends), word_endings(data, starts, ends)))
+                held += len(found[-1][0])
+            if held > HELD_WORDS:
+                found = [tally(*map(np.concatenate, zip(*found, strict=True)))]
+                held = len(found[0][0])
+                if held > HELD_WORDS // 2:
+                    yield _tallied(found[0])
+                    found, held = [], 0
+    if found:
+        yield _tallied(tally(*map(np.concatenate, zip(*found, strict=True))))
+
+
 def _start(docs: DataFrame, rows: int) -> Model:
     """A model with biases only. From all documents: the most frequent words, their classes and slots, the class of every
     ending, and how frequent classes and slots are."""
     n_docs = docs.count()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for _, _, data, offsets in steps(batch["text"], STEP_BYTES):
-                starts, ends, _ = split_words(data, offsets)
-                if len(starts):
-                    keys, first, n = np.unique(word_keys(data, starts, ends), return_index=True, return_counts=True)
-                    found.append((keys, word_endings(data, starts[first], ends[first]), n))
-            if found:
-                keys, endings, n = map(np.concatenate, zip(*found, strict=True))
-                keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-                n = np.bincount(inverse, n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(endings[first]), pa.array(n)], names=["key", "ending", "n"])
-
-    words = docs.select("text").mapInArrow(count, "key long, ending long, n long")
+    words = docs.select("text").mapInArrow(count_words, "key long, ending long, n long")
     counts = materialise(words.groupBy("key", "ending").agg(F.sum("n").alias("n")), "words")
     frequent = counts.orderBy(F.col("n").desc(), "key").limit(HEAD).collect()
     endings = counts.groupBy("ending").agg(F.sum("n").alias("n")).collect()  # at most 65,536
@@ -369,11 +433,10 @@ def score(docs: DataFrame, model: Model, counts: np.ndarray) -> DataFrame:
             place, slots = model.slots(keys)
             at = model.places(keys, classes, first)
             term = np.zeros(len(keys))
-            for i in range(0, len(keys), MINI):
-                part = slice(i, i + MINI)
+            for i in range(0, len(keys), BLOCK):
+                part = slice(i, i + BLOCK)
                 here = [a[part] for a in at]
-                each = np.arange(len(here[0]))
-                term[part] = log_softmax(model.tables[:2], here[:2])[each, classes[part]].astype(np.float64) + log_softmax(model.tables[2:], here[2:])[each, slots[part]]
+                term[part] = log_probability(model.tables[:2], here[:2], classes[part]) + log_probability(model.tables[2:], here[2:], slots[part])
             in_head, rest = place >= 0, slots == REST
             log = np.where(in_head, logs[place], 0.0)
             found["n"].append(np.diff(first))
@@ -386,7 +449,7 @@ def score(docs: DataFrame, model: Model, counts: np.ndarray) -> DataFrame:
             rare_row.append((owner[~in_head] + row).astype(np.uint32))
             rare_class.append(classes[~in_head])
         rare, rare_row, rare_class = map(np.concatenate, (rare, rare_row, rare_class))
-        distinct, one, inverse = np.unique(rare, return_index=True, return_inverse=True)
+        distinct, one, inverse = distinct_keys(rare)
         times = np.bincount(inverse, train[rare_row], len(distinct)).astype(np.uint64)
         types = {"n": np.int64, "known": np.int64, "sum": float, "rest": float, "term": float}
         columns = [pa.array(np.concatenate([np.zeros(0), *found[c]]).astype(t)) for c, t in types.items()]

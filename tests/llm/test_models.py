@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,3 +314,42 @@ def test_language_model_learns_alike_in_any_layout(spark, docs, monkeypatch):
     assert all(abs(scores[0][i] - s) <= 1e-3 + 1e-5 * abs(s) for i, s in scores[1].items())
     held = {r.doc_id: r for r in maxent.score_documents(some).collect() if r.held_out}
     assert sum(scores[0][i] for i in held) > sum(r.base_score for r in held.values())
+
+
+def test_language_model_counts_a_word_once_a_task(monkeypatch):
+    batches = [pa.RecordBatch.from_pydict({"text": [f"the word{i % 7} Word{i % 5} x{k}", None, ""]}) for k in range(4) for i in range(30)]
+    words = Counter(x for b in batches for t in b["text"].to_pylist() for x in (t or "").lower().split())
+    for held, rows in ((maxent.HELD_WORDS, len(words)), (6, None)):
+        monkeypatch.setattr(maxent, "HELD_WORDS", held)
+        found = [r for b in maxent.count_words(iter(batches)) for r in b.to_pylist()]
+        assert rows in (None, len(found))
+        got = Counter()
+        for r in found:
+            got[r["key"]] += r["n"]
+        assert sorted(got.values()) == sorted(words.values())
+        assert all(len({r["ending"] for r in found if r["key"] == k}) == 1 for k in got)
+
+
+def test_language_model_steps_against_plain_loops():
+    rnd = np.random.default_rng(3)
+    at, d = np.minimum(rnd.geometric(0.02, (3000, 3)) - 1, 199).astype(np.int32), rnd.normal(size=(3000, 16)).astype(np.float32)
+    learner = maxent.Learner(rnd.normal(size=(200, 16)).astype(np.float32))
+    weights, seen = learner.weights.astype(float), learner.seen.astype(float)
+    learner.update(at, d)
+    for row in range(200):
+        g = sum((d[i].astype(float) for i, k in np.argwhere(at == row)), np.zeros(16)) / math.sqrt(max(1, (at == row).sum()))
+        seen[row] += g * g
+        weights[row] -= maxent.RATE * g / np.sqrt(seen[row])
+    assert np.allclose(learner.weights, weights, atol=1e-4) and np.allclose(learner.seen, seen, rtol=1e-4)
+    assert (learner.touched == np.isin(np.arange(200), at)).all()
+
+
+@pytest.mark.parametrize("shift", [0.0, 500.0, -500.0])
+def test_language_model_probabilities_of_any_weights(shift):
+    rnd = np.random.default_rng(5)
+    tables = [rnd.normal(size=(50, 16)).astype(np.float32), (rnd.normal(size=(4, 16)) + shift).astype(np.float32)]
+    at, y = [rnd.integers(0, 50, (300, 3)), rnd.integers(0, 4, (300, 1))], rnd.integers(0, 16, 300)
+    z = tables[1][at[1][:, 0]].astype(float) + tables[0][at[0]].astype(float).sum(1)
+    want = z - z.max(1, keepdims=True)
+    want -= np.log(np.exp(want).sum(1, keepdims=True))
+    assert np.allclose(maxent.log_probability(tables, at, y), want[np.arange(300), y], atol=1e-3)
