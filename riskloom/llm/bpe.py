@@ -24,6 +24,7 @@ import heapq
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import materialise, small_batches, trimmed
+from riskloom.llm.common import KEPT, materialise, small_batches, trimmed
 
 #: Characters of a chunk, and of its overlap with the next one.
 CHUNK, OVERLAP = 1536, 48
@@ -222,7 +223,7 @@ def stitch(codec: Codec, chunks: list[tuple[int, str, np.ndarray]], length: int)
         at = stop
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[str, Codec] = KEPT
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, deal: int = DEAL, deal_overlap: int = DEAL_OVERLAP) -> DataFrame:
@@ -239,7 +240,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int =
             _CODECS[name] = Codec(*shared.value)
         return _CODECS[name]
 
-    @trimmed
+    @partial(trimmed, keeps=True)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec()
         for batch in batches:
@@ -257,7 +258,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int =
     chunks = long.withColumn("_n", F.explode(F.sequence(F.lit(0), F.expr(f"int((_length - 1) div {deal})"))))
     chunks = chunks.withColumn("text", F.expr(f"substring(text, _n * {deal} + 1, {deal + deal_overlap})"))
 
-    @trimmed
+    @partial(trimmed, keeps=True)
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec()
         for batch in batches:
@@ -281,7 +282,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int =
 
     stitched = group.applyInArrow(runs, "_row long, _at long, text string").repartition(F.col("_row"), F.col("_at"))
 
-    @trimmed
+    @partial(trimmed, keeps=True)
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec()
         for batch in batches:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step takes at a time; a longer document is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -99,11 +99,17 @@ def trim() -> None:
         pass
 
 
-def trimmed(batches_of: Callable) -> Callable:
-    """A function over batches that trims the worker when a task ends."""
+#: What a worker keeps between the tasks of one job; tasks of others, in the same worker, let go of it.
+KEPT: dict[str, object] = {}
+
+
+def trimmed(batches_of: Callable, keeps: bool = False) -> Callable:
+    """A function over batches that trims the worker when a task ends; `keeps`: it works with what is in KEPT."""
 
     @wraps(batches_of)
     def run(batches):
+        if not keeps:
+            KEPT.clear()
         try:
             yield from batches_of(batches)
         finally:

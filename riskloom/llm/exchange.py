@@ -69,16 +69,23 @@ def exchange(rows: DataFrame, parts: int, deal: Callable, answer: Callable, gath
         slices = (whole.slice(row, end - row) for whole in batches for row, end, *_ in steps(whole["text"], DEAL_BYTES))
         for number, batch in enumerate(slices):
             keys, at, extra, own = deal(batch)
-            keys = keys & np.uint64((1 << 8 * width) - 1)
-            part = (keys % np.uint64(parts)).astype(np.int64)
+            if width < 8:
+                keys = keys & np.uint64((1 << 8 * width) - 1)
+            part = (keys % np.uint64(parts)).astype(np.int32)
             order = np.lexsort((keys, part))
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            cut = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+            del part
             out = []
             for p in np.flatnonzero(np.diff(cut)):
                 some = order[cut[p] : cut[p + 1]]
                 out.append((int(p), task + number, POSTINGS, packed_keys(keys[some], width), packed_places(at[some]), None if extra is None else extra[some].tobytes()))
             out.append((parts + (task + number) % parts, task + number, ROWS, own, None, None))
-            yield _batch(out)
+            del keys, at, extra, own, order
+            found = _batch(out)
+            del out
+            yield found
+            del found
+            trim()
 
     def answered(rows: pa.Table) -> pa.Table:
         kinds = rows["kind"].to_numpy()
@@ -111,7 +118,10 @@ def exchange(rows: DataFrame, parts: int, deal: Callable, answer: Callable, gath
         keys = unpacked_keys(b"".join(x.as_py() for x in posted["a"]), width)
         at = np.concatenate([np.zeros(0, np.int64), *(places(x.as_py()) for x in posted["b"])])
         values = np.frombuffer(b"".join(x.as_py() for x in posted["c"]), value)
-        return gather(own, at, keys, values)
+        found = gather(own, at, keys, values)
+        del posted, own, keys, at, values
+        trim()
+        return found
 
     small_batches(rows.sparkSession)
     posted = rows.mapInArrow(dealt, _SCHEMA)

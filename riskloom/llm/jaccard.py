@@ -133,6 +133,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def _exploded(rows: DataFrame, binary: str, keep: list[str]) -> DataFrame:
     """One row for each 64-bit key in a binary column."""
 
+    @trimmed
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = [x.as_py() for x in batch[binary]]
@@ -246,6 +247,7 @@ def boundary(sets: DataFrame, lists: DataFrame, percent: int) -> int:
 def light_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links among light sets: all that share a subset hang on the least one of the lesser size."""
 
+    @trimmed
     def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(key, fp.as_py(), n.as_py() == low) for fp, n, keys in zip(batch["fp"], batch["n"], batch["keys"], strict=True) for key, low, _ in light_keys(n.as_py(), np.frombuffer(keys.as_py(), np.uint64), percent)]

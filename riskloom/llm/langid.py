@@ -33,6 +33,8 @@ STEP_CHARS = 1_000_000
 PARTS = 64
 
 _TABLE: list[np.ndarray] = []
+#: Counts of n-grams that are held before they are added up.
+HELD_KEYS = 1 << 18
 
 
 def _letters() -> np.ndarray:
@@ -189,13 +191,15 @@ def learn(docs: DataFrame, size: int = PROFILE) -> Profiles:
                 texts = batch["text"].filter(pa.array(langs == lang)).to_pylist()
                 total_k, total_n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
                 held: list[tuple[np.ndarray, np.ndarray]] = []
+                many = 0
                 for n, pair in enumerate(counted(texts), 1):
                     held.append(pair)
-                    if n % 512 == 0 or n == len(texts):
+                    many += len(pair[0])
+                    if many >= HELD_KEYS or n == len(texts):
                         keys = np.concatenate([total_k, *(p[0] for p in held)])
                         total_k, inverse = np.unique(keys, return_inverse=True)
                         total_n = np.bincount(inverse, np.concatenate([total_n, *(p[1] for p in held)])).astype(np.int64)
-                        held = []
+                        held, many = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total_k), pa.string()), pa.array(total_k.astype(np.int64)), pa.array(total_n)], names=["lang", "key", "n"])
 
     counts = rows.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))

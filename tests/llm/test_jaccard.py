@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskloom.llm import components, exchange, jaccard
@@ -97,3 +99,30 @@ def test_very_long_texts(spark):
     rows = [(5, " ".join(long)), (3, " ".join(near)), (9, " ".join(long[:30_000])), (7, "w1 w2 w3 w4")]
     got = sorted(tuple(r)[:3] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect())
     assert got == brute(rows) and dict((i, c) for i, _, c in got)[5] == 3
+
+
+def test_shingles_of_many_texts_hold_little():
+    import tracemalloc
+
+    from riskloom.llm import common
+
+    texts = pa.array(["some words of a text " * 100] * 2000)
+    common._POWERS.update(up=np.ones(1, np.uint64), down=np.ones(1, np.uint64))
+    tracemalloc.start()
+    try:
+        for _, _, data, offsets in common.steps(texts):
+            for _ in jaccard.shingle_sets(data, offsets):
+                pass
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_tasks_of_another_job_let_go_of_what_a_worker_keeps():
+    from riskloom.llm import bpe, common
+
+    bpe._CODECS["job"] = object()
+    list(common.trimmed(iter, keeps=True)([1]))
+    assert "job" in bpe._CODECS
+    list(common.trimmed(iter)([1]))
+    assert not bpe._CODECS
