@@ -40,7 +40,7 @@ WIDTH, GRAM = 50, 16
 #: Bytes of text of a batch.
 BATCH = 8 << 20
 #: Windows of one string at most, and bytes that are hashed at a time.
-RUN, STEP = 64, 512 << 10
+RUN, STEP = 64, 64 << 10
 #: Keys up to which names come from a table of all of them.
 TABLE = 1 << 22
 #: Strings of one key beyond which its windows are dealt one by one.
@@ -78,24 +78,35 @@ def _names(key: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     return names, order if fresh.all() else None
 
 
-def suffix_array(letters: np.ndarray) -> np.ndarray:
-    """The starts of all suffixes in their order, by a difference cover of period three. Letters are 1 or more."""
+def suffix_array(letters: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The starts of all suffixes, or of those at `wanted` places (a flag a letter), in their order, by a difference cover of
+    period three. Letters are 1 or more."""
     n = len(letters)
     if n < 4:
-        return np.array(sorted(range(n), key=lambda i: letters[i:].tolist()), np.int64)
+        return np.array(sorted((i for i in range(n) if wanted is None or wanted[i]), key=lambda i: letters[i:].tolist()), np.int64)
     s = np.zeros(n + 4, np.int32)
     s[:n] = letters
     end = n + (n % 3 == 1)  # the place after the end keeps the last of the first class apart from the second class
-    sample = np.concatenate([np.arange(1, end, 3), np.arange(2, end, 3)])
-    names, order = _names(_packed(s[sample], s[sample + 1], s[sample + 2]))
+    sample = np.concatenate([np.arange(1, end, 3, dtype=np.int32), np.arange(2, end, 3, dtype=np.int32)])
+    names, order = _names(_packed(*(np.concatenate([s[1 + i : end + i : 3], s[2 + i : end + i : 3]]) for i in range(3))))
+    needed = None
+    if wanted is not None:  # the order of a place rests on that of the sample's places among it and the next two
+        near = np.zeros(n + 4, bool)
+        for ahead in range(3):
+            near[ahead : n + ahead] |= wanted
+        needed = np.concatenate([near[1:end:3], near[2:end:3]])
     if order is None:
-        order = suffix_array(names)
+        order = suffix_array(names, needed)
+    elif needed is not None:
+        order = order[needed[order]]
     sampled = sample[order]
     rank = np.zeros(n + 4, np.int32)
-    rank[sampled] = np.arange(1, len(order) + 1)
+    rank[sampled] = np.arange(1, len(order) + 1, dtype=np.int32)
     sampled = sampled[sampled < n]
-    rest = np.arange(0, n, 3)
-    rest = rest[np.argsort(_packed(s[0:n:3], rank[1 : n + 1 : 3]))]
+    rest = np.arange(0, n, 3, dtype=np.int32)
+    if wanted is not None:
+        sampled, rest = sampled[wanted[sampled]], rest[wanted[::3]]
+    rest = rest[np.argsort(_packed(s[rest], rank[rest + 1]))]
     # where the rest falls among the first and the second class
     place = np.arange(len(rest))
     for which, ahead in ((1, 1), (2, 2)):
@@ -103,18 +114,17 @@ def suffix_array(letters: np.ndarray) -> np.ndarray:
         both = np.concatenate([some, rest])
         key = _packed(*(s[both + i] for i in range(ahead)), rank[both + ahead])
         place += np.searchsorted(key[: len(some)], key[len(some) :])
-    out, free = np.empty(n, np.int64), np.ones(n, bool)
+    out, free = np.empty(len(sampled) + len(rest), np.int64), np.ones(len(sampled) + len(rest), bool)
     out[place], free[place] = rest, False
     out[free] = sampled
     return out
 
 
-def window_keys(data: np.ndarray, width: int, gram: int) -> np.ndarray:
-    """For each window of `width` bytes, the least hash of the strings of `gram` bytes in it."""
+def window_keys(data: np.ndarray, width: int, gram: int, mask: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows of `width` bytes have another key than the window before, and these keys: the least hash of the strings
+    of `gram` bytes in the window, as far as the mask goes."""
     n = len(data) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.empty(n, np.uint64)
+    places, keys, before = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], None
     for at in range(0, n, STEP):
         part = data[at : at + STEP + width - 1]
         up, down = _powers(len(part) + 1)
@@ -127,35 +137,37 @@ def window_keys(data: np.ndarray, width: int, gram: int) -> np.ndarray:
             step = min(span, wanted - span)
             least = np.minimum(least[:-step], least[step:])
             span += step
-        out[at : at + STEP] = least
-    return out
+        least &= np.uint64(mask)
+        fresh = np.empty(len(least), bool)
+        fresh[0] = before is None or least[0] != before
+        np.not_equal(least[1:], least[:-1], out=fresh[1:])
+        some = np.flatnonzero(fresh)
+        places.append(some + at)
+        keys.append(least[some])
+        before = least[-1]
+    return np.concatenate(places), np.concatenate(keys)
 
 
 class Runs:
     """Runs of windows of one key in the texts of a batch: starts, numbers of windows, rows and keys."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, ids: pa.Array, width: int, gram: int, mask: int):
-        keys = window_keys(data, width, gram) & np.uint64(mask)
-        lengths = np.diff(offsets)
-        usable = np.where(np.asarray(ids.is_valid()), lengths - width + 1, 0)
-        cut = np.zeros(len(keys) + 1, bool)
-        cut[1:-1] = keys[1:] != keys[:-1]
-        inside = np.zeros(len(keys) + 1, np.int8)
+        places, keys = window_keys(data, width, gram, mask)
+        usable = np.where(np.asarray(ids.is_valid()), np.diff(offsets) - width + 1, 0)
         some = np.flatnonzero(usable > 0)
-        inside[offsets[some]] += 1
-        inside[offsets[some] + usable[some]] -= 1
-        valid = np.cumsum(inside[:-1]) > 0
-        cut[offsets[some]] = True
-        edges = np.flatnonzero(cut[:-1] & valid) if len(keys) else np.zeros(0, np.int64)
-        stops = np.flatnonzero(valid & (cut[1:] | ~np.append(valid[1:], False)))
-        runs = stops + 1 - edges
+        edges = np.sort(np.concatenate([places, offsets[some], offsets[some] + usable[some]]), kind="stable")
+        edges = edges[np.diff(edges, append=len(data)) > 0]  # each once
+        rows = np.searchsorted(offsets, edges, "right") - 1
+        inside = edges - offsets[rows] < usable[rows]
+        runs = np.diff(edges, append=len(data))[inside]
+        edges, rows = edges[inside], rows[inside]
+        keys = keys[np.searchsorted(places, edges, "right") - 1]
         pieces = -(-runs // RUN)
         which = np.repeat(np.arange(len(edges)), pieces)
-        place = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        self.starts = edges[which] + place * RUN
-        self.windows = np.minimum(RUN, stops[which] + 1 - self.starts)
-        self.keys = keys[self.starts] if len(which) else np.zeros(0, np.uint64)
-        self.rows = np.searchsorted(offsets, self.starts, "right") - 1
+        place = _within(pieces) * RUN
+        self.starts = edges[which] + place
+        self.windows = np.minimum(RUN, runs[which] - place)
+        self.keys, self.rows = keys[which], rows[which]
 
 
 def _ipc(table: pa.Table, level: int = 3) -> bytes:
@@ -187,12 +199,11 @@ def least_docs(strings: list[bytes], docs: np.ndarray, width: int) -> np.ndarray
     windows = lengths - width + 1
     firsts = np.repeat(ends - lengths, windows) + _within(windows)
     at[firsts] = np.arange(len(firsts))
-    order = suffix_array(letters)
-    order = order[at[order] >= 0]
+    order = suffix_array(letters, at >= 0)
     view = np.lib.stride_tricks.sliding_window_view(flat, width)
     fresh = np.ones(len(order), bool)
-    for some in range(0, len(order) - 1, 100_000):
-        here = view[order[some : some + 100_001]]
+    for some in range(0, len(order) - 1, 8_000):
+        here = view[order[some : some + 8_001]]
         fresh[some + 1 : some + len(here)] = (here[1:] != here[:-1]).any(axis=1)
     of = np.repeat(docs, windows)[at[order]]
     starts = np.flatnonzero(fresh)
@@ -317,7 +328,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
         np.minimum.at(least, which, docs_of)
         part_of = np.zeros(len(strings), np.int64)
         part_of[which] = part
-        by_part = np.array(sorted(range(len(strings)), key=lambda i: (part_of[i], strings[i])), np.int64)
+        key_of = np.zeros(len(strings), np.uint64)
+        key_of[which] = np.concatenate([runs.keys[plain], np.repeat(runs.keys[single], each)])
+        by_part = np.lexsort((key_of, part_of))  # strings of one key are alike, which makes them small
         turn = np.empty(len(strings), np.int32)
         turn[by_part] = np.arange(len(strings))
         out = []
@@ -361,29 +374,27 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
         kinds = rows["kind"].to_numpy()
         seen = _read(rows["a"][int(np.flatnonzero(kinds == ROWS)[0])].as_py())
         answers = rows.filter(pa.array(kinds == POSTINGS)).sort_by("part")
-        covered = np.zeros(len(data), bool)
+        gone = np.zeros(0, np.int64)
         if seen.num_rows:
             string, step, n, later = (np.asarray(_one(seen[c])) for c in ("string", "step", "windows", "later"))
             n = n.astype(np.int64)
             counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in answers["b"]])
             flags = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=int(np.frombuffer(y.as_py(), np.uint8).sum(dtype=np.int64))) for x, y in zip(answers["a"], answers["b"], strict=True)])
             first = np.cumsum(counts) - counts
-            starts = np.repeat(np.cumsum(step, dtype=np.int64), n) + _within(n)
-            gone = starts[flags[np.repeat(first[string], n) + _within(n)].astype(bool) | np.repeat(later, n)]
-            change = np.zeros(len(covered) + 1, np.int32)
-            np.add.at(change, gone, 1)
-            np.add.at(change, gone + width, -1)
-            covered = np.cumsum(change[:-1]) > 0
+            within = _within(n)
+            gone = np.flatnonzero(flags[np.repeat(first[string], n) + within].astype(bool) | np.repeat(later, n))
+            gone = (np.repeat(np.cumsum(step, dtype=np.int64), n) + within)[gone]
+        # runs of removed bytes, which end with their row
+        row = np.searchsorted(offsets, gone, "right") - 1
+        fresh = np.flatnonzero((np.diff(gone, prepend=-1 - width) > width) | (np.diff(row, prepend=-1) > 0))
+        edges = np.stack([gone[fresh], gone[np.append(fresh[1:], len(gone))[: len(fresh)] - 1] + width], axis=1)
         spans, made_of, text = [], [], data.tobytes()
-        for a, z in itertools.pairwise(offsets.tolist()):
-            here = covered[a:z]
-            if not here.any():
-                spans.append([])
-                made_of.append(result[1](text[a:z]))
-                continue
-            edges = np.flatnonzero(np.diff(here.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-            spans.append([{"start": x, "end": y} for x, y in edges.tolist()])
-            made_of.append(result[1](data[a:z][~here].tobytes()))
+        cuts = np.searchsorted(row[fresh], np.arange(len(offsets))).tolist()
+        for (a, z), (f, l) in zip(itertools.pairwise(offsets.tolist()), itertools.pairwise(cuts), strict=True):
+            here = edges[f:l].tolist()
+            spans.append([{"start": x - a, "end": y - a} for x, y in here])
+            kept = itertools.pairwise([a, *(e for span in here for e in span), z])
+            made_of.append(result[1](b"".join(text[x:y] for x, y in itertools.islice(kept, 0, None, 2))))
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         found = pa.table([ids, pa.array(np.diff(offsets), pa.int64()), pa.array(spans, span), pa.array(made_of, made)], names=["doc_id", "n_bytes", "spans", name])
         trim()

@@ -2,8 +2,10 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskloom.llm import suffixes
@@ -75,3 +77,52 @@ def test_very_long_texts_and_empty_table(spark):
     spans = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffixes.remove_repeats(df).collect()}
     assert spans == {1: [], 2: [(100_000, 200_000)], 3: []}
     assert suffixes.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_suffix_array_of_wanted_places():
+    rnd = random.Random(5)
+    for n in [*range(40), 200, 500]:
+        for letters in (1, 2, 3, 200):
+            s = np.array([rnd.randint(1, letters) for _ in range(n)], np.int64)
+            for share in (0, 0.3, 1):
+                wanted = np.array([rnd.random() < share for _ in range(n)], bool)
+                assert suffixes.suffix_array(s, wanted).tolist() == sorted(np.flatnonzero(wanted).tolist(), key=lambda i: s[i:].tolist()), (s, wanted)
+
+
+def test_runs_hold_each_window_once_with_the_key_of_its_bytes(monkeypatch):
+    monkeypatch.setattr(suffixes, "STEP", 100)
+    rnd = random.Random(8)
+    texts = [t.encode() for t in [*texts_of(rnd, 60), "", "x" * 900, "", *texts_of(rnd, 3), "x" * 12, "y" * 11]]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    ids = pa.array([None if i % 9 == 4 else i for i in range(len(texts))], pa.int64())
+    runs = suffixes.Runs(data, offsets, ids, 12, 5, (1 << 40) - 1)
+    got, keys = [], {}
+    for start, n, row, key in zip(runs.starts.tolist(), runs.windows.tolist(), runs.rows.tolist(), runs.keys.tolist(), strict=True):
+        for at in range(start, start + n):
+            got.append((row, at - int(offsets[row])))
+            assert keys.setdefault(data[at : at + 12].tobytes(), key) == key
+    assert runs.windows.max() <= suffixes.RUN
+    assert got == [(row, at) for row, text in enumerate(texts) if row % 9 != 4 for at in range(len(text) - 11)]
+
+
+def test_runs_keep_no_key_for_each_byte():
+    """The keys of a batch were held whole, with flags and sums of eight bytes a byte of text beside them."""
+    data = np.random.default_rng(2).integers(97, 123, 4 << 20, dtype=np.uint8)
+    offsets = np.arange(0, len(data) + 1, 4096)
+    suffixes.Runs(data[:4096], offsets[:2], pa.array([0]), 50, 16, (1 << 40) - 1)
+    tracemalloc.start()
+    suffixes.Runs(data, offsets, pa.array(np.arange(len(offsets) - 1)), 50, 16, (1 << 40) - 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(data), peak / len(data)
+
+
+def test_spans_end_with_their_documents(spark):
+    """Whole documents that go side by side in one batch, and pieces that touch or leave one byte between them."""
+    rnd = random.Random(12)
+    a, b = ("".join(rnd.choice("abcdefgh") for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (2, b), (3, a), (4, b), (5, a + b), (6, a + "-" + b), (7, ""), (8, b + a), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = got(suffixes.remove_repeats(df))
+    assert found == plain(rows, suffixes.WIDTH)
+    assert [spans for _, _, spans, _ in found] == [[], [], [(0, 60)], [(0, 60)], [(0, 120)], [(0, 60), (61, 121)], [], [(0, 120)], []]
