@@ -4,7 +4,8 @@ A byte goes if it lies in a string of `WIDTH` bytes that also starts in a docume
 
 Suffixes are sorted by the difference-cover method: the suffixes at places that aren't multiples of three are named by the
 sort of their first three letters; while names repeat, the string of names is sorted the same way; the remaining suffixes are
-then sorted by their first letter and the rank of the next, and merged in. Neighbours in that order that share their first
+then sorted by their first letter and the rank of the next, and merged in. All suffixes are named, but only the starts of
+windows, and places that their order rests on, are ranked and merged. Neighbours in that order that share their first
 `WIDTH` bytes are copies of one string, and the least doc_id of such a group decides for all of it.
 
 The sort is distributed by content. Each window of `WIDTH` bytes has a key, the least hash of the `GRAM`-byte strings in it;
