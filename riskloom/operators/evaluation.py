@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import registry as R
 from riskloom.functions import columns as C
+from riskloom.operators import resampling
 
 
 def unpivot(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -88,19 +92,38 @@ def _poisson_steps() -> list[float]:
 
 
 POISSON_STEPS = _poisson_steps()
+#: Digests that one task of a bootstrap makes, about.
+DRAWS = 20_000_000
 
 
 def bootstrap(rows: DataFrame, keys: list[str], item: str, value: str, samples: int = R.BOOTSTRAPS) -> DataFrame:
     """Elements 25 and 975 of a thousand resampled means, per key.
 
     A resample takes each row as often as a Poisson law of mean one says, by inversion of a digest of sample, keys and item.
-    Samples are rows, and partial sums are made before anything is shuffled.
+    Rows are dealt to tasks of about `DRAWS` digests, each makes them many at once and hands on the sums of its rows.
     """
-    drawn = rows.select(*keys, F.col(value).cast("double").alias("v"), F.col(item).alias("_item"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample"))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("sample").cast("string"), *keys, F.col("_item").cast("string"))), 1, 8), 16, 10).cast("long") / 4294967296.0
-    weight = sum((F.when(u >= step, 1).otherwise(0) for step in POISSON_STEPS[1:]), F.when(u >= POISSON_STEPS[0], 1).otherwise(0))
-    weighed = drawn.withColumn("w", weight).filter("w > 0")
-    means = weighed.groupBy(*keys, "sample").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    tail = F.concat_ws("|", F.lit(""), *keys, F.col(item).cast("string"))
+    listed = rows.select(F.struct(*keys).alias("k"), F.to_json(F.struct(*keys)).alias("name"), F.col(value).cast("double").alias("v"), tail.alias("tail"))
+    dealt = listed.repartition(max(1, math.ceil(rows.count() * samples / DRAWS)))
+    heads = [str(x).encode() for x in range(1, samples + 1)]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name = batch["name"].dictionary_encode().indices.to_numpy()
+            tails, v = [x.encode() for x in batch["tail"].to_pylist()], batch["v"].fill_null(0.0).to_numpy()
+            order = np.argsort(name, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(name[order])) + 1) if len(order) else []:
+                w, wv = np.zeros(samples), np.zeros(samples)
+                for some in (own[i : i + 1024] for i in range(0, len(own), 1024)):
+                    times = resampling.weights(heads, [tails[i] for i in some], POISSON_STEPS).astype(np.float64)
+                    w += times.sum(1)
+                    wv += times @ v[some] if np.isfinite(v[some]).all() else np.where(times > 0, times * v[some], 0.0).sum(1)
+                drawn = np.flatnonzero(w > 0)
+                key = batch["k"].take(pa.array(np.full(len(drawn), own[0])))
+                yield pa.RecordBatch.from_arrays([key, pa.array(drawn + 1, pa.int32()), pa.array(w[drawn]), pa.array(wv[drawn])], names=["k", "sample", "w", "wv"])
+
+    drawn = dealt.mapInArrow(sums, f"k {listed.schema['k'].dataType.simpleString()}, sample int, w double, wv double").select("k.*", "sample", "w", "wv")
+    means = drawn.groupBy(*keys, "sample").agg((F.sum("wv") / F.sum("w")).alias("m"))
     listed = means.groupBy(*keys).agg(F.array_sort(F.collect_list("m")).alias("m"))  # a list of samples
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     at = lambda k: F.element_at("m", F.greatest(F.lit(1), F.floor(F.size("m") * k / samples).cast("int")))

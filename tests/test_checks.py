@@ -3,11 +3,12 @@
 import datetime
 import hashlib
 import math
+import random
 
 from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
-from riskloom.operators import datasets, drafts, evaluation, quality, retrieval
+from riskloom.operators import datasets, drafts, evaluation, quality, resampling, retrieval
 
 KEY = {"answer_id": 1, "seq": 0}
 
@@ -169,3 +170,23 @@ def test_a_review_is_void_after_any_edit(spark):
     for edit in edits:
         digest, failures = judged(edit, approved)
         assert digest != approved and failures == ["semantic_and_numeric_review_required"], edit
+
+
+def test_weights_of_many_digests_at_once():
+    rnd = random.Random(2)
+    tails = [("|" + "é" * rnd.randint(0, 90) + str(rnd.random())).encode() for _ in range(60)] + [b"|"]
+    heads = [str(i).encode() for i in range(1, 1001, 37)]
+    got = resampling.weights(heads, tails, evaluation.POISSON_STEPS)
+    for i, head in enumerate(heads):
+        for j, tail in enumerate(tails):
+            u = int(hashlib.md5(head + tail).hexdigest()[:8], 16) / 2**32
+            assert got[i, j] == sum(u >= step for step in evaluation.POISSON_STEPS)
+
+
+def test_a_bootstrap_is_dealt_to_tasks(spark, monkeypatch):
+    """However few files the cases lie in, their digests are made by several tasks."""
+    monkeypatch.setattr(evaluation, "DRAWS", 100_000)
+    rows = spark.createDataFrame([(k, i, float(i % 3 == 0)) for k in "ab" for i in range(300)], "k string, item long, v double").coalesce(1)
+    found = evaluation.bootstrap(rows, ["k"], "item", "v")
+    assert "RoundRobinPartitioning(6)" in found._jdf.queryExecution().executedPlan().toString()
+    assert all(0.2 < r.low < 1 / 3 < r.high < 0.5 for r in found.collect())
