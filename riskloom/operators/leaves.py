@@ -17,6 +17,12 @@ def _kind(value: Column) -> Column:
     )
 
 
+def _told(value: Column, kind: Column) -> tuple[Column, Column]:
+    """The text and the number of a value."""
+    plain, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
+    return F.when(kind == "number", C.number_text(number)).otherwise(plain).alias("text"), F.when(kind.isin("integer", "number"), number).alias("number")
+
+
 def values(rows: DataFrame, keys: list[str], document: str) -> DataFrame:
     """The keys, path, kind (object, list, text, integer, number, date, flag, null), text and number of every value at any depth.
 
@@ -38,9 +44,7 @@ def values(rows: DataFrame, keys: list[str], document: str) -> DataFrame:
         named = named.select(*columns, F.concat(under, F.coalesce("key", F.col("pos").cast("string"))).alias("path"), "value")
         level = written(named, "values")
         kinds = level.withColumn("kind", _kind(F.col("value")))
-        plain, number = F.try_variant_get("value", "$", "string"), F.try_variant_get("value", "$", "double")
-        said = F.when(F.col("kind") == "number", C.number_text(number)).otherwise(plain)
-        here = kinds.select(*columns, "path", "kind", said.alias("text"), F.when(F.col("kind").isin("integer", "number"), number).alias("number"))
+        here = kinds.select(*columns, "path", "kind", *_told(F.col("value"), F.col("kind")))
         found = here if found is None else found.unionByName(here)
         level = kinds.filter("kind in ('object', 'list')").select(*keys, "path", "value")
         if level.isEmpty():
@@ -58,3 +62,28 @@ def statements(rows: DataFrame, keys: list[str], document: str) -> DataFrame:
 def at_path(found: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
     """`asked` (the keys and path) with text and number of the value there; null where there is none. `found`: as `values`."""
     return asked.join(found.select(*keys, "path", "kind", "text", "number"), [*keys, "path"], "left")
+
+
+def reached(document: Column, path: Column) -> Column:
+    """The value of a document (a variant) at a path, as a variant: the path's names are followed one by one, whatever their number,
+    and nothing else of the document is taken apart. Paths are as in `values`; null where nothing stands there."""
+    def step(value: Column, part: Column) -> Column:
+        named = F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), part)
+        placed = F.get(F.try_variant_get(value, "$", "array<variant>"), part.try_cast("int"))
+        return F.when(part == "", None).otherwise(F.coalesce(named, F.when(part.rlike(r"^(0|[1-9]\d*)$"), placed)))
+
+    return F.aggregate(F.split(path, r"\."), document, step)
+
+
+def fields(rows: DataFrame, document: str, path: str, name: str) -> DataFrame:
+    """`rows` with the struct `name` (kind, text, number) of what stands at a row's path of its document."""
+    found = rows.withColumn(name, reached(F.col(document), F.col(path)))
+    found = found.withColumn(name, F.struct(F.col(name).alias("value"), F.when(F.col(name).isNotNull(), _kind(F.col(name))).alias("kind")))
+    value, kind = F.col(f"{name}.value"), F.col(f"{name}.kind")
+    return found.withColumn(name, F.struct(kind.alias("kind"), *_told(value, kind), value.alias("value")))
+
+
+def members(value: Column) -> Column:
+    """The texts of the members of a list that are plain values."""
+    told = lambda v: F.when(~_kind(v).isin("object", "list"), F.when(_kind(v) == "number", _told(v, _kind(v))[0]).otherwise(F.try_variant_get(v, "$", "string")))
+    return F.array_compact(F.transform(F.try_variant_get(value, "$", "array<variant>"), told))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
 from riskloom.operators import leaves
+from riskloom.plans import quality
+from riskloom.sources.views import Tables
 
 
 def plain_field(value, path):
@@ -70,3 +72,28 @@ def test_numbers_are_written_plainly(spark):
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", C.number_text(F.col("x")).alias("t")).collect()
     assert all(float(r.t) == r.x for r in got)
     assert all(r.t == repr(r.x) for r in got if abs(r.x) < 2**53 and r.x != 5e-324)  # beyond, this JVM's text isn't always the shortest
+
+
+def test_a_field_is_reached_without_taking_documents_apart(spark):
+    rnd = random.Random(9)
+    docs = [{"root": random_value(rnd, 6)} for _ in range(60)]
+    parts = ["root", "a", "b", "list", "0", "1", "2", "x", "", "01", "99999999999"]
+    asked = [(i, json.dumps(docs[i]), ".".join(["root", *(rnd.choice(parts) for _ in range(rnd.randint(0, 5)))])) for i in range(60) for _ in range(15)]
+    asked += [(900, None, "root"), (901, "{broken", "root"), (902, '{"a": 1}', ""), (903, '{"it\'s \\"q\\"": [{"0": 2.50}]}', 'it\'s "q".0.0')]
+    rows = spark.createDataFrame(asked, "id int, doc string, path string").withColumn("doc", F.try_parse_json("doc"))
+    found = leaves.fields(rows, "doc", "path", "f")
+    assert not any(x in found._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Join", "Generate"))
+    for r in found.select("id", "path", "f.kind", "f.text", "f.number").collect():
+        empty = any(p == "" for p in r.path.split("."))
+        want = plain_field(docs[r.id], r.path) if r.id < 60 and not empty and not any(p in ("01", "99999999999") for p in r.path.split(".")) else None
+        if r.id == 903:
+            assert (r.kind, r.text, r.number) == ("number", "2.5", 2.5)
+        elif isinstance(want, (dict, list)):
+            assert r.kind in ("object", "list") and json.loads(r.text) == want
+        else:
+            assert r.text == as_text(want), (r, want)
+
+
+def test_a_field_by_path_is_one_pass(spark, data_dir):
+    plan = quality.json_path_field(Tables(spark, data_dir))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("FileScan") == 1
