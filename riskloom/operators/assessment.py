@@ -22,12 +22,6 @@ def normal(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
-def _lists(found: DataFrame) -> DataFrame:
-    """(keys, path, listed): the members of every list of plain values, in normal form and order, joined by commas."""
-    inside = found.filter(F.col("path").rlike(r"\.\d+$") & ~F.col("kind").isin("object", "list"))
-    return inside.groupBy(*KEYS, F.regexp_replace("path", r"\.\d+$", "").alias("path")).agg(F.array_join(F.array_sort(F.collect_list(normal(F.col("text")))), ",").alias("listed"))
-
-
 def checked(answers: DataFrame, checks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The checks with passed and confidence, and the answers with valid. `answers`: keys, task, document (a variant; null if the answer
     isn't one of the schema).
@@ -36,20 +30,19 @@ def checked(answers: DataFrame, checks: DataFrame) -> tuple[DataFrame, DataFrame
     commas); of a numeric value, abs_tolerance, rel_tolerance and, each if it matters, unit, currency, as_of_date, which stand
     beside it or at unit_path, currency_path, as_of_date_path; of a confidence outcome (0 or 1).
     """
-    found = written(leaves.values(answers, KEYS, "document"), "answer-values")
-    valid = answers.select(*KEYS, "task", F.col("document").isNotNull().alias("valid"))
-    lists = _lists(found)
+    known = answers.select(*KEYS, "task", F.col("document").isNotNull().alias("valid"), "document")
+    valid = known.drop("document")
     expected = lambda c: F.array_join(F.array_sort(F.transform(F.split(c, ","), normal)), ",")
-    rows = checks.join(valid, KEYS).join(found.select(*KEYS, "path", "kind", "text", "number").withColumnRenamed("kind", "is"), [*KEYS, "path"], "left")
-    rows = rows.join(lists.withColumnRenamed("listed", "_listed"), [*KEYS, "path"], "left")
+    rows = leaves.fields(checks.join(known, KEYS), "document", "path", "_f")
+    listed = F.array_join(F.array_sort(F.transform(leaves.members(F.col("_f.value")), normal)), ",")
+    rows = rows.withColumns({"is": F.col("_f.kind"), "text": F.col("_f.text"), "number": F.col("_f.number"), "_listed": F.when(F.col("_f.kind") == "list", listed)}).drop("_f")
     near = F.abs(F.col("number") - F.col("value")) <= F.greatest("abs_tolerance", F.col("rel_tolerance") * F.greatest(F.abs("number"), F.abs("value")))
     right = F.coalesce(C.finite(F.col("number")) & near, F.lit(False))
-    texts = found.select(*KEYS, F.col("path").alias("_path"), F.col("text").alias("_text"))
-    for name in BESIDE:  # one row an answer and path
+    for name in BESIDE:
         place = F.coalesce(f"{name}_path", F.concat(F.regexp_replace("path", r"\.?[^.]*$", ""), F.lit(f".{name}")))
-        rows = rows.withColumn("_path", place).join(texts, [*KEYS, "_path"], "left")
+        rows = leaves.fields(rows.withColumn("_path", F.when(F.col(name).isNotNull(), place)), "document", "_path", "_f")
+        rows = rows.withColumn(f"_{name}", F.col("_f.text")).drop("_f", "_path")
         right = right & (F.col(name).isNull() | normal(F.col(f"_{name}")).eqNullSafe(normal(F.col(name))))
-        rows = rows.withColumnRenamed("_text", f"_{name}").drop("_path")
     said = F.when(F.col("is") == "list", F.coalesce("_listed", F.lit("")).eqNullSafe(expected(F.col("text_expected")))).otherwise(normal(F.col("text")).eqNullSafe(normal(F.col("text_expected"))))
     passed = F.when(F.col("kind") == "numeric", right).when(F.col("kind") == "confidence", F.col("number").isNotNull() & F.col("outcome").isin(0, 1)).otherwise(said)
     rows = rows.withColumn("passed", F.col("valid") & F.coalesce(passed, F.lit(False)))

@@ -14,6 +14,7 @@ from riskloom.operators import drafts as D
 from riskloom.operators import evaluation as E
 from riskloom.operators import factsheet as S
 from riskloom.operators import leaves as V
+from riskloom.operators import quality as Q
 from riskloom.plans import quality as P
 from riskloom.sources.shared import written
 from riskloom.sources.views import Tables
@@ -42,16 +43,17 @@ def _facts(t: Tables, sheets: DataFrame | None = None) -> DataFrame:
     return rows.select("answer_id", "seq", "fact_no", "obligor_id", F.coalesce("statement", own).alias("statement"), D.listed(F.col("cites")).alias("cites"), F.when(F.col("d_metric").isNotNull(), d).alias("d"))
 
 
-def _rules(t: Tables) -> DataFrame:
+def _rules(t: Tables, sheets: DataFrame | None = None) -> DataFrame:
     """The rules that were evaluated for each obligor, and whether they hold (null: unevaluable)."""
-    found = CATALOG["evaluate_rules"].build(t).withColumn("holds", F.when(F.col("outcome") != "unevaluable", F.col("outcome") == "fired"))
+    found = CATALOG["evaluate_rules"].build(t) if sheets is None else Q.evaluate_rules(sheets, P._rules(t), t.spark.sql(P._EVIDENCE), P._AS_OF)
+    found = found.withColumn("holds", F.when(F.col("outcome") != "unevaluable", F.col("outcome") == "fired"))
     return found.join(F.broadcast(P._rules(t).select("rule_id", "metric", "unit", "operator", "evidence_id", "threshold")), "rule_id")  # a registry
 
 
 def _derivations(t: Tables, facts: DataFrame, sheets: DataFrame) -> DataFrame:
     # the registry names its evidence E1 where a draft's passage is E0
-    rules = _rules(t).withColumn("evidence_id", F.when(F.col("evidence_id") == "E1", "E0").otherwise(F.col("evidence_id")))
-    return D.derivation_failures(facts, sheets, t.draft_sources, rules)
+    rules = _rules(t, sheets if "portfolio" in sheets.columns else None).withColumn("evidence_id", F.when(F.col("evidence_id") == "E1", "E0").otherwise(F.col("evidence_id")))
+    return D.derivation_failures(facts, sheets.drop("portfolio", "jurisdiction"), t.draft_sources, rules)
 
 
 def _narrated(t: Tables) -> DataFrame:
@@ -59,6 +61,12 @@ def _narrated(t: Tables) -> DataFrame:
     return t.drafts.withColumns({"narrative": narrative, "structured": D.listed(F.col("structured_ids"))})
 
 
+def _merged(df: DataFrame, name: str) -> DataFrame:
+    """Written, and never broadcast: texts repeat, so that millions of rows make a file of a few MB, by whose size Spark would
+    collect them in the driver."""
+    return written(df, name).hint("merge")
+
+
 @dataclass
 class _Parts:
     """What several checks of the drafts need, each computed once."""
@@ -71,9 +79,10 @@ class _Parts:
 
     @classmethod
     def of(cls, t: Tables) -> _Parts:
-        sheets = written(_sheets(t), "sheets")
-        facts, sources = written(_facts(t, sheets), "facts"), written(_sources(t, sheets), "sources")
-        return cls(sheets, facts, sources, written(_derivations(t, facts, sheets), "derivations"), written(_narrated(t), "drafts"))
+        whole = _merged(P._sheets(t).withColumn("metric", F.lit("utilisation_pct")), "sheets")
+        sheets = whole.drop("portfolio", "jurisdiction")
+        facts, sources = _merged(_facts(t, sheets), "facts"), _merged(_sources(t, sheets), "sources")
+        return cls(sheets, facts, sources, _merged(_derivations(t, facts, whole), "derivations"), _merged(_narrated(t), "drafts"))
 
     def failures(self) -> DataFrame:
         return D.output_failures(self.drafts, self.facts, self.sources, self.derivations)

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from riskloom.operators import assessment as A
+from riskloom.plans import drafts
+from riskloom.sources.views import Tables
 
 CHECK = {"text_expected": None, "value": None, "abs_tolerance": 0.0, "rel_tolerance": 0.0, "unit": None, "currency": None, "as_of_date": None, "outcome": None, "unit_path": None, "currency_path": None, "as_of_date_path": None}
 CHECKS = "answer_id long, seq long, kind string, path string, text_expected string, value double, abs_tolerance double, rel_tolerance double, unit string, currency string, as_of_date string, outcome int, unit_path string, currency_path string, as_of_date_path string"
@@ -45,3 +47,10 @@ def test_every_metric(spark):
         (4, "json_validity"): 0.0, (4, "plan_validity"): 0.0, (4, "compilation_success"): 0.0, (4, "plan:portfolio"): 0.0,
     }
     assert [(r.answer_id, r.path, r.confidence, r.outcome) for r in A.calibration(rows).collect()] == [(1, "p", 0.8, 1)]
+
+
+def test_parts_of_drafts_are_not_broadcast(spark, data_dir):
+    """Their files are small, their rows aren't."""
+    parts = drafts._Parts.of(Tables(spark, data_dir))
+    plan = parts.failures()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
